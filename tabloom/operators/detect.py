@@ -115,40 +115,41 @@ def detect_implicates(df: DataFrame) -> dict:
     return {"kind": "none", "m": 0}
 
 
-# Words that mark a Likert scale in value labels (EN/DE).
-LIKERT_KEYWORDS = ["agree", "disagree", "satisf", "zufrieden", "stimme", "trifft",
-                   "never", "always", "often", "sometimes", "rarely", "nie", "immer",
-                   "oft", "selten", "manchmal", "very", "sehr", "gar nicht", "excellent",
-                   "poor", "good", "bad", "gut", "schlecht"]
+# The Likert keyword pattern (EN/DE), matched case-insensitively.
+LIKERT_PATTERN = ("agree|disagree|neutral|nie|selten|manchmal|oft|immer|"
+                  "strongly|always|never|trifft\\s*zu|stimme")
 
 
 def detect_likert(df: DataFrame, columns: list[str], labels: dict | None = None) -> DataFrame:
-    """Likert if 3-7 levels and (label keyword, or 5/7 levels, or integer numeric
-    with 3-7 distinct).  Distinct counts are capped at 8 per column, so the
-    aggregate state stays bounded."""
+    """Likert if 3-7 levels and (a level or value label matches the keyword
+    pattern, or 5/7 levels), or numeric with 3-7 distinct integer values.
+    One aggregate: per column the distinct count, an integrality flag and
+    whether any level matches; distinct counts use the exact aggregate."""
     labels = labels or {}
     k = {f.name: kind(f.dataType) for f in df.schema.fields}
     aggs = []
     for i, c in enumerate(columns):
-        aggs.append(F.approx_count_distinct(c).alias(f"a{i}"))
-    approx = df.agg(*aggs).first()
-    small = [c for i, c in enumerate(columns) if approx[f"a{i}"] <= 12]
-    aggs = []
-    for c in small:
-        aggs.append(F.count_distinct(c).alias(f"nd_{c}"))
+        aggs.append(F.count_distinct(c).alias(f"nd{i}"))
         if k[c] == "numeric":
             x = F.col(c).cast("double")
-            aggs.append(F.bool_and(F.when(x.isNotNull(), x == F.floor(x))).alias(f"int_{c}"))
-    exact = df.agg(*aggs).first().asDict() if aggs else {}
-    rows = []
-    for c in columns:
-        nd = exact.get(f"nd_{c}", 99)
-        lab_text = " ".join(str(v).lower() for v in (labels.get(c) or {}).values())
-        kw = any(w in lab_text for w in LIKERT_KEYWORDS)
-        is_int_num = k[c] == "numeric" and bool(exact.get(f"int_{c}"))
-        ok = 3 <= nd <= 7 and (kw or nd in (5, 7) or is_int_num)
-        rows.append((c, int(nd) if nd != 99 else None, bool(ok)))
-    return df.sparkSession.createDataFrame(rows, "column string, n_levels int, is_likert boolean")
+            aggs.append(F.bool_and(F.when(x.isNotNull(), x == F.round(x))).alias(f"int{i}"))
+        else:
+            aggs.append(F.bool_or(F.lower(F.col(c).cast("string")).rlike(LIKERT_PATTERN)).alias(f"kw{i}"))
+    w = df.agg(*aggs)
+    items = []
+    for i, c in enumerate(columns):
+        nd = F.col(f"nd{i}")
+        in_range = (nd >= 3) & (nd <= 7)
+        vl = list((labels.get(c) or {}).values())
+        lab_kw = bool(vl) and 3 <= len(vl) <= 7 and any(
+            re.search(LIKERT_PATTERN, str(v).lower()) for v in vl)
+        if k[c] == "numeric":
+            ok = in_range & F.coalesce(F.col(f"int{i}"), F.lit(False))
+        else:
+            ok = in_range & (F.coalesce(F.col(f"kw{i}"), F.lit(False)) | nd.isin(5, 7))
+        ok = ok | F.lit(lab_kw)
+        items.append(F.struct(F.lit(c).alias("column"), nd.cast("long").alias("n_levels"), ok.alias("is_likert")))
+    return w.select(F.inline(F.array(*items)))
 
 
 def horizon_label(frequency: str, h: int) -> str:

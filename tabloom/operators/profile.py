@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranks
+from ..functions.fmt import c_fixed
 from ..functions.types import kind, r_class
 
 
@@ -100,8 +101,8 @@ def add_severity(p: DataFrame) -> DataFrame:
         F.when(F.col("is_constant"), F.lit("Zero variance - drop")),
         F.when(F.col("is_quasi_const"), F.lit("Quasi-constant - likely drop")),
         F.when(F.col("is_id_like"), F.lit("ID-like - drop or hash")),
-        F.when(mr > 0.2, F.format_string("%.0f%% missing", 100 * mr)),
-        F.when(big_skew, F.format_string("skew=%.2f - power transform", sk)),
+        F.when(mr > 0.2, F.concat(c_fixed(100 * mr, 0), F.lit("% missing"))),
+        F.when(big_skew, F.concat(F.lit("skew="), c_fixed(sk, 2), F.lit(" - power transform"))),
         F.when(F.col("is_numeric") & F.col("n_outliers").isNotNull() & (F.col("n_outliers") > 0.05 * F.col("_n")),
                F.format_string("%d outliers (IQR)", F.col("n_outliers"))))))
     return p.withColumn("severity", sev).withColumn(
@@ -135,7 +136,7 @@ def leakage_numeric(df: DataFrame, target: str, columns: list[str] | None = None
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r__{c}").alias("r"),
                                                    F.col(f"n__{c}").alias("n_pairs")) for c in cols])))
     hit = long.where((F.col("n_pairs") > 5) & F.col("r").isNotNull() & (F.abs("r") > threshold))
-    return hit.select("column", F.format_string("|cor|=%.4f", F.col("r")).alias("relation"),
+    return hit.select("column", F.concat(F.lit("|cor|="), c_fixed(F.col("r"), 4)).alias("relation"),
                       F.lit("near-perfect correlation").alias("risk"))
 
 
@@ -153,7 +154,7 @@ def leakage_ratios(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
             F.when(F.col("_tv").isNotNull() & (F.col("_tv") > 0),
                    F.try_divide(F.col("_bv") * F.col("_k") / F.col("_n"), F.col("_tv"))).otherwise(F.lit(0.0)).alias("ratio"))
         out = r if out is None else out.unionByName(r)
-    return out.select("column", F.format_string("between/total var=%.3f", F.col("ratio")).alias("relation"),
+    return out.select("column", F.concat(F.lit("between/total var="), c_fixed(F.col("ratio"), 3)).alias("relation"),
                       F.lit("groups explain ~all variance").alias("risk"), "ratio")
 
 

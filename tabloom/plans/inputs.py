@@ -80,3 +80,51 @@ SELECT l_quantity, l_extendedprice, l_discount, l_tax,
        l_returnflag, l_linestatus
 FROM lineitem
 """
+
+# --------------------------------------------------------------------------
+# recipe input: orders with NULLs, zeros, negatives and rare levels.
+def recipe_input(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+        F.when(k % 23 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.when(k % 17 == 0, F.lit(None)).otherwise(F.col("o_totalprice") / 1000.0).alias("price_k"),
+        F.when(k % 29 == 0, F.lit(None)).otherwise(F.col("o_custkey") % 7).alias("cust_mod"),
+        ((k % 11) - 5).alias("disc"),
+        F.when(k % 200 == 0, F.concat(F.lit("RARE-"), (k % 3).cast("string")))
+         .otherwise(F.col("o_orderstatus")).alias("status_r"),
+    )
+
+
+RECIPE_INPUT_SQL = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+       CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice / 1000.0 END AS price_k,
+       CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_custkey % 7 END AS cust_mod,
+       (o_orderkey % 11) - 5 AS disc,
+       CASE WHEN o_orderkey % 200 = 0 THEN 'RARE-' || CAST(o_orderkey % 3 AS VARCHAR) ELSE o_orderstatus END AS status_r
+FROM orders
+"""
+
+
+# date strings in three formats by key, garbage for every 29th key
+def date_strings(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    d = F.col("o_orderdate")
+    s = (F.when(k % 29 == 0, F.lit("not a date"))
+         .when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd"))
+         .when(k % 3 == 1, F.date_format(d, "dd/MM/yyyy"))
+         .otherwise(F.date_format(d, "yyyy-MM-dd HH:mm:ss")))
+    return o.select("o_orderkey", s.alias("date_str"))
+
+
+DATE_STRINGS_SQL = """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 29 = 0 THEN 'not a date'
+            WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+            WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%d/%m/%Y')
+            ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS date_str
+FROM orders
+"""
