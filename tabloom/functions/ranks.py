@@ -28,21 +28,28 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def with_cumulative(vc: DataFrame, keys: Sequence[str], value: str, weight: str,
-                    buckets: int | None = None, out_before: str = "cum_before") -> DataFrame:
+                    buckets: int | None = None, out_before: str = "cum_before",
+                    few_keys: bool = True) -> DataFrame:
     """Add ``out_before`` = total ``weight`` of rows with a smaller ``value`` in the
-    same ``keys`` group.  ``vc`` must hold one row per ``(keys, value)``, value not NULL."""
+    same ``keys`` group.  ``vc`` must hold one row per ``(keys, value)``, value not NULL.
+    ``few_keys``: the caller guarantees a bounded number of key groups (columns,
+    implicates, ...), so the per-group bounds table is broadcast; otherwise the
+    planner decides from runtime sizes."""
     keys = list(keys)
     b = buckets or default_buckets(vc)
     probs = [i / b for i in range(1, b)]
     bounds = vc.groupBy(*keys).agg(
         F.percentile_approx(F.col(value), probs, 10000).alias("_bounds"))
     # one row per key group, `b` doubles each: bounded by the number of keys
-    x = vc.join(F.broadcast(bounds), keys) if keys else vc.crossJoin(F.broadcast(bounds))
+    if not keys:
+        x = attach_scalars(vc, bounds)
+    else:
+        x = vc.join(F.broadcast(bounds) if few_keys else bounds, keys)
     x = x.withColumn("_bk", F.size(F.filter("_bounds", lambda t: t < F.col(value)))).drop("_bounds")
     totals = x.groupBy(*keys, "_bk").agg(F.sum(weight).alias("_bt"))
     w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0))).drop("_bt")
-    x = x.join(F.broadcast(offsets), [*keys, "_bk"])
+    x = x.join(F.broadcast(offsets) if few_keys else offsets, [*keys, "_bk"])
     w_in = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn(out_before, F.col("_off") + F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
     return x.drop("_bk", "_off")
@@ -70,12 +77,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
 def quantiles_from_counts(vc: DataFrame, keys: Sequence[str], value: str, cnt: str,
                           probs: Sequence[float], buckets: int | None = None) -> DataFrame:
     keys = list(keys)
-    spark = vc.sparkSession
     cum = with_cumulative(vc, keys, value, cnt, buckets)
     n = vc.groupBy(*keys).agg(F.sum(cnt).alias("_n"))
-    pr = spark.createDataFrame([(float(p),) for p in probs], "p double")
     # keys x probs rows: bounded by the number of groups times len(probs)
-    tgt = n.crossJoin(F.broadcast(pr)).withColumn("_h", (F.col("_n") - 1) * F.col("p") + 1)
+    tgt = n.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    tgt = tgt.withColumn("_h", (F.col("_n") - 1) * F.col("p") + 1)
     tgt = tgt.withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
     rk = [f"_rk{i}" for i in range(len(keys))]
     ranks = tgt.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)], "p", "_h", F.explode(F.array(
@@ -126,3 +132,10 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     x = x.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_tb")
     w2 = Window.partitionBy(*keys).orderBy(*order)
     return x.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= k)
+
+
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row (broadcast
+    equi-join on a constant key; the right side is a single row)."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))

@@ -149,7 +149,7 @@ def leakage_ratios(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     for c in columns:
         g = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_lvl")).agg(F.avg(target).alias("_gm"))
         s = g.agg(F.var_samp("_gm").alias("_bv"), F.count(F.lit(1)).alias("_k"))
-        r = s.crossJoin(tot).select(
+        r = ranks.attach_scalars(s, tot).select(
             F.lit(c).alias("column"),
             F.when(F.col("_tv").isNotNull() & (F.col("_tv") > 0),
                    F.try_divide(F.col("_bv") * F.col("_k") / F.col("_n"), F.col("_tv"))).otherwise(F.lit(0.0)).alias("ratio"))
@@ -200,7 +200,7 @@ def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def target_histogram(df: DataFrame, target: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram of a numeric target: bin id 1..bins, bounds, count."""
     r = df.agg(F.min(target).alias("_lo"), F.max(target).alias("_hi"))
-    x = df.select(target).where(F.col(target).isNotNull()).crossJoin(F.broadcast(r))
+    x = ranks.attach_scalars(df.select(target).where(F.col(target).isNotNull()), r)
     wdt = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.lit(bins), F.floor((F.col(target) - F.col("_lo")) / wdt).cast("int") + 1))

@@ -1 +1,177 @@
-"""Queries."""
+"""Window / time-series queries: lags, rolling means, supervised windows, ACF,
+time-ordered split, baseline forecasts of many series, Prophet preparation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import series
+from ..operators.detect import horizon_label
+from ..session import table
+from .catalog import query, rounded
+
+EVENTS_SQL = """SELECT event_id, ts, user_id, event_type,
+       CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value FROM events"""
+
+
+def events_input(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", "ts", "user_id", "event_type",
+                    F.when(F.col("event_id") % 17 == 0, F.lit(None)).otherwise(F.col("value")).alias("value"))
+
+
+MONTHLY_SQL = """SELECT c_mktsegment AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+       round(sum(o_totalprice), 2) AS y
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""
+
+
+def monthly_input(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    return (j.groupBy(F.col("c_mktsegment").alias("series_id"),
+                      F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"))
+            .agg(F.round(F.sum("o_totalprice"), 2).alias("y")))
+
+
+DAILY_SQL = """SELECT event_type, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS n_events,
+       round(sum(value), 4) AS total_value FROM events GROUP BY 1, 2"""
+
+
+def daily_input(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_events"), F.round(F.sum("value"), 4).alias("total_value"))
+
+
+@query("lag_features", f"""WITH e AS ({EVENTS_SQL})
+SELECT event_id, round(value, 6) AS value,
+       round(lag(value, 1) OVER w, 6) AS lag_1, round(lag(value, 2) OVER w, 6) AS lag_2,
+       round(lag(value, 3) OVER w, 6) AS lag_3
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def q_lag_features(spark, sf):
+    x = series.lag_features(events_input(spark, sf), "value", ["ts", "event_id"], ["user_id"], [1, 2, 3])
+    return rounded(x.select("event_id", "value", "lag_1", "lag_2", "lag_3"))
+
+
+@query("rolling_mean_7", f"""WITH e AS ({EVENTS_SQL})
+SELECT event_id, round(CASE WHEN count(*) OVER w >= 7 THEN avg(value) OVER w END, 6) AS rollmean_7
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
+def q_rolling_mean(spark, sf):
+    x = series.rolling_mean(events_input(spark, sf), "value", ["ts", "event_id"], ["user_id"], 7)
+    return rounded(x.select("event_id", "rollmean_7"))
+
+
+@query("supervised_windows", f"""WITH d AS ({DAILY_SQL}),
+w AS (SELECT event_type, day, total_value AS y,
+        [[lag(n_events, 3) OVER o, lag(total_value, 3) OVER o],
+         [lag(n_events, 2) OVER o, lag(total_value, 2) OVER o],
+         [lag(n_events, 1) OVER o, lag(total_value, 1) OVER o]] AS X,
+        row_number() OVER o AS rn
+      FROM d WINDOW o AS (PARTITION BY event_type ORDER BY day))
+SELECT event_type, CAST(day AS VARCHAR) AS day, X, y FROM w WHERE rn > 3""")
+def q_supervised_windows(spark, sf):
+    x = series.supervised_windows(daily_input(spark, sf), ["n_events", "total_value"], "total_value",
+                                  ["day"], 3, ["event_type"])
+    return x.select("event_type", F.col("day").cast("string").alias("day"), "X", "y")
+
+
+def _acf_sql(max_lag=20):
+    lags = ", ".join(f"sum(dd * lag{k}) AS s{k}" for k in range(1, max_lag + 1))
+    lagcols = ", ".join(f"lag(dd, {k}) OVER (PARTITION BY event_type ORDER BY day) AS lag{k}"
+                        for k in range(1, max_lag + 1))
+    unions = " UNION ALL ".join(
+        f"SELECT event_type, {k} AS lag, s{k} / ss AS acf, n FROM a WHERE {k} <= least({max_lag}, n - 1)"
+        for k in range(1, max_lag + 1))
+    return f"""WITH d AS ({DAILY_SQL}),
+m AS (SELECT event_type, avg(total_value) AS mu, count(*) AS n FROM d GROUP BY 1),
+c AS (SELECT d.event_type, day, total_value - mu AS dd, n FROM d JOIN m USING (event_type)),
+l AS (SELECT event_type, dd, n, {lagcols} FROM c),
+a AS (SELECT event_type, any_value(n) AS n, sum(dd * dd) AS ss, {lags} FROM l GROUP BY 1),
+r AS ({unions})
+SELECT event_type, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(1.959963984540054 / sqrt(n), 6) AS bound
+FROM r"""
+
+
+@query("acf", _acf_sql())
+def q_acf(spark, sf):
+    return rounded(series.acf(daily_input(spark, sf), "total_value", ["day"], ["event_type"], 20))
+
+
+@query("time_ordered_split", """
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderdate, o_orderkey)
+                         <= floor((SELECT count(*) FROM orders) * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM orders""")
+def q_time_ordered_split(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return series.time_ordered_split(o, "o_orderdate", "o_orderkey", 0.8).select("o_orderkey", "split")
+
+
+def _fc_sql(body):
+    return f"WITH s AS ({MONTHLY_SQL}) {body}"
+
+
+_LAGGED = """l AS (SELECT series_id, month, y, y - lag(y) OVER (PARTITION BY series_id ORDER BY month) AS d FROM s),
+a AS (SELECT series_id, count(y) AS n, arg_min(y, month) AS first, arg_max(y, month) AS last, avg(y) AS mean,
+             stddev_samp(y) AS sd, avg(d * d) AS msd, stddev_samp(d) AS sdd, count(d) AS nd FROM l GROUP BY 1),
+h AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS step)"""
+
+
+@query("forecast_naive", _fc_sql(f""", {_LAGGED}
+SELECT series_id, step, round(last, 2) AS predicted, round(last - 1.959963984540054 * sqrt(msd * step), 2) AS lower,
+       round(last + 1.959963984540054 * sqrt(msd * step), 2) AS upper FROM a, h"""))
+def q_forecast_naive(spark, sf):
+    return rounded(series.forecast_naive(monthly_input(spark, sf), ["series_id"], "month", "y", 12), 2)
+
+
+@query("forecast_rwf_drift", _fc_sql(f""", {_LAGGED},
+b AS (SELECT series_id, last, (last - first) / (n - 1) AS b, sdd AS sigma, sdd / sqrt(nd) AS bse FROM a)
+SELECT series_id, step, round(last + step * b, 2) AS predicted,
+       round(last + step * b - 1.959963984540054 * sqrt(sigma * sigma * step + power(step * bse, 2)), 2) AS lower,
+       round(last + step * b + 1.959963984540054 * sqrt(sigma * sigma * step + power(step * bse, 2)), 2) AS upper
+FROM b, h"""))
+def q_forecast_rwf_drift(spark, sf):
+    return rounded(series.forecast_rwf_drift(monthly_input(spark, sf), ["series_id"], "month", "y", 12), 2)
+
+
+@query("forecast_meanf", _fc_sql(f""", {_LAGGED}
+SELECT series_id, step, round(mean, 2) AS predicted FROM a, h"""))
+def q_forecast_meanf(spark, sf):
+    f = series.forecast_meanf(monthly_input(spark, sf), ["series_id"], "month", "y", 12)
+    return rounded(f.select("series_id", "step", "predicted"), 2)
+
+
+@query("forecast_meanf_interval")
+def q_forecast_meanf_interval(spark, sf):
+    return rounded(series.forecast_meanf(monthly_input(spark, sf), ["series_id"], "month", "y", 12), 2)
+
+
+@query("forecast_snaive", _fc_sql(""",
+l AS (SELECT series_id, month, y, y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY month) AS d,
+             row_number() OVER (PARTITION BY series_id ORDER BY month DESC) AS back FROM s),
+g AS (SELECT series_id, avg(d * d) AS msd FROM l GROUP BY 1),
+h AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS step)
+SELECT l.series_id, step, round(y, 2) AS predicted,
+       round(y - 1.959963984540054 * sqrt(msd * (floor((step - 1) / 12) + 1)), 2) AS lower,
+       round(y + 1.959963984540054 * sqrt(msd * (floor((step - 1) / 12) + 1)), 2) AS upper
+FROM l JOIN g USING (series_id), h WHERE back = 12 - ((step - 1) % 12)"""))
+def q_forecast_snaive(spark, sf):
+    return rounded(series.forecast_snaive(monthly_input(spark, sf), ["series_id"], "month", "y", 12, 12), 2)
+
+
+@query("forecast_horizon", _fc_sql(f""", {_LAGGED}
+SELECT series_id, step, round(last, 2) AS predicted,
+       CAST(step AS VARCHAR) || CASE WHEN step = 1 THEN ' month ahead' ELSE ' months ahead' END AS horizon
+FROM a, h"""))
+def q_forecast_horizon(spark, sf):
+    f = series.forecast_naive(monthly_input(spark, sf), ["series_id"], "month", "y", 12)
+    labels = F.create_map(*[x for h in range(1, 13) for x in (F.lit(h), F.lit(horizon_label("monthly", h)))])
+    return rounded(f.select("series_id", "step", "predicted", F.element_at(labels, F.col("step")).alias("horizon")), 2)
+
+
+@query("prophet_prepare", f"""WITH e AS ({EVENTS_SQL})
+SELECT CAST(ts AS DATE) AS ds, round(arg_min(value, event_id), 6) AS y
+FROM e WHERE value IS NOT NULL GROUP BY 1""")
+def q_prophet_prepare(spark, sf):
+    e = events_input(spark, sf).select(F.col("ts").cast("date").alias("day"), "value",
+                                       F.col("event_id").alias("_ord"))
+    return rounded(series.prophet_prepare(e, "day", "value"))
