@@ -57,8 +57,8 @@ def halo_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], h
     cand = tails.where(F.col("_blk") < F.col("_nb") - 1).withColumn(
         "_to", F.explode(F.sequence(F.col("_blk") + 1, F.col("_nb") - 1)))
     w = Window.partitionBy(*keys, "_to").orderBy(*desc)
-    cand = (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= halo)
-            .drop("_r", "_blk").withColumnRenamed("_to", "_blk"))
+    cand = (cand.withColumn("_hrow", F.row_number().over(w)).where(F.col("_hrow") <= halo)
+            .drop("_hrow", "_blk").withColumnRenamed("_to", "_blk"))
     return (x.withColumn("_halo", F.lit(False)).unionByName(cand.withColumn("_halo", F.lit(True)))
             .drop("_nb"))
 
