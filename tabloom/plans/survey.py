@@ -1 +1,258 @@
-"""Queries."""
+"""Survey, replicate-variance, panel and multiple-imputation queries on orders
+with a derived design (weight, stratum = priority, PSU = customer mod 20)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mi, survey
+from ..operators.survey import Design
+from ..session import table
+from .catalog import query, rounded
+
+SURVEY_SQL = """SELECT o_orderkey, o_custkey, o_totalprice / 1000.0 AS y, CAST(o_custkey % 13 + 1 AS DOUBLE) AS x,
+       CAST(5 + o_orderkey % 16 AS DOUBLE) / 10.0 AS w, o_orderpriority AS stratum, o_custkey % 20 AS psu,
+       o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS wave, 1 + o_orderkey % 5 AS likert
+FROM orders"""
+
+D = Design("w", "stratum", "psu")
+
+
+def survey_input(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000.0).alias("y"),
+                    (F.col("o_custkey") % 13 + 1).cast("double").alias("x"),
+                    ((5 + F.col("o_orderkey") % 16).cast("double") / 10.0).alias("w"),
+                    F.col("o_orderpriority").alias("stratum"), (F.col("o_custkey") % 20).alias("psu"),
+                    "o_orderstatus", F.year("o_orderdate").alias("wave"), (1 + F.col("o_orderkey") % 5).alias("likert"))
+
+
+def _taylor_sql(zexpr: str, est_cte: str, est_cols: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    on = f"USING ({group})" if group else "ON true"
+    return f"""{est_cte},
+z AS (SELECT {g}stratum, psu, {zexpr} AS z FROM s JOIN t {on}),
+p AS (SELECT {g}stratum, psu, sum(z) AS z FROM z GROUP BY ALL),
+h AS (SELECT {g}stratum, count(*) AS nh, sum(z) AS sz, sum(z * z) AS qz FROM p GROUP BY ALL),
+v AS (SELECT {g}sum(CASE WHEN nh > 1 THEN nh / (nh - 1) * (qz - sz * sz / nh) END) AS var,
+             count_if(nh = 1) AS n_single FROM h {gb})
+SELECT {g}{est_cols}, CASE WHEN n_single = 0 THEN sqrt(var) END AS se, CAST(n AS BIGINT) AS n,
+       CAST(n_single AS BIGINT) AS n_single FROM t JOIN v {on}"""
+
+
+MEAN_SQL = f"WITH s AS ({SURVEY_SQL}), " + _taylor_sql(
+    "w * (y - mean) / sw", "t AS (SELECT sum(w * y) / sum(w) AS mean, sum(w) AS sw, count(*) AS n FROM s)", "mean")
+
+
+@query("survey_mean_taylor", f"WITH r AS ({MEAN_SQL}) SELECT round(mean, 6) AS mean, round(se, 6) AS se, n, n_single FROM r")
+def q_survey_mean(spark, sf):
+    return rounded(survey.survey_mean(survey_input(spark, sf), "y", D))
+
+
+@query("survey_total_taylor", "WITH r AS (" + f"WITH s AS ({SURVEY_SQL}), " + _taylor_sql(
+    "w * y", "t AS (SELECT sum(w * y) AS total, count(*) AS n FROM s)", "total")
+       + ") SELECT round(total, 4) AS total, round(se, 4) AS se, n, n_single FROM r")
+def q_survey_total(spark, sf):
+    return rounded(survey.survey_total(survey_input(spark, sf), "y", D), 4)
+
+
+@query("survey_ratio", "WITH r AS (" + f"WITH s AS ({SURVEY_SQL}), " + _taylor_sql(
+    "w * (y - ratio * x) / sx", "t AS (SELECT sum(w * y) / sum(w * x) AS ratio, sum(w * x) AS sx, count(*) AS n FROM s)",
+    "ratio") + ") SELECT round(ratio, 6) AS ratio, round(se, 6) AS se, n, n_single FROM r")
+def q_survey_ratio(spark, sf):
+    return rounded(survey.survey_ratio(survey_input(spark, sf), "y", "x", D))
+
+
+@query("survey_mean_by_domain", "WITH r AS (" + f"WITH s AS ({SURVEY_SQL}), " + _taylor_sql(
+    "w * (y - mean) / sw", "t AS (SELECT o_orderstatus, sum(w * y) / sum(w) AS mean, sum(w) AS sw, count(*) AS n FROM s GROUP BY 1)",
+    "mean", "o_orderstatus") + ") SELECT o_orderstatus, round(mean, 6) AS mean, round(se, 6) AS se, n, n_single FROM r")
+def q_survey_mean_by_domain(spark, sf):
+    return rounded(survey.survey_mean(survey_input(spark, sf), "y", D, ["o_orderstatus"]))
+
+
+@query("survey_proportion", f"""WITH s AS ({SURVEY_SQL}),
+lv AS (SELECT DISTINCT o_orderstatus AS level FROM s),
+tw AS (SELECT sum(w) AS TW FROM s),
+pl AS (SELECT level, sum(CASE WHEN o_orderstatus = level THEN w ELSE 0 END) / any_value(TW) AS p FROM s, lv, tw GROUP BY 1),
+z AS (SELECT level, stratum, psu, (CASE WHEN o_orderstatus = level THEN w ELSE 0 END - p * w) / TW AS z FROM s, pl, tw),
+pz AS (SELECT level, stratum, psu, sum(z) AS z FROM z GROUP BY ALL),
+h AS (SELECT level, stratum, count(*) AS nh, sum(z) AS sz, sum(z * z) AS qz FROM pz GROUP BY ALL),
+v AS (SELECT level, sum(CASE WHEN nh > 1 THEN nh / (nh - 1) * (qz - sz * sz / nh) END) AS var,
+             count_if(nh = 1) AS ns FROM h GROUP BY 1)
+SELECT level, round(p, 6) AS proportion, round(CASE WHEN ns = 0 THEN sqrt(var) END, 6) AS se, CAST(ns AS BIGINT) AS n_single
+FROM pl JOIN v USING (level)""")
+def q_survey_proportion(spark, sf):
+    return rounded(survey.survey_proportion(survey_input(spark, sf), "o_orderstatus", D))
+
+
+@query("survey_quantile", f"""WITH s AS ({SURVEY_SQL}),
+v AS (SELECT y AS value, sum(w) AS w FROM s GROUP BY 1),
+c AS (SELECT value, w, sum(w) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER () AS tot FROM v),
+f AS (SELECT value, cum / tot AS F, (cum - w) / tot AS Fb FROM c),
+p AS (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS p)
+SELECT p, round(min(value), 6) AS quantile FROM f, p WHERE F >= p - 1e-12 AND Fb < p - 1e-12 GROUP BY p""")
+def q_survey_quantile(spark, sf):
+    return rounded(survey.survey_quantile(survey_input(spark, sf), "y", D))
+
+
+@query("unweighted_summary", f"""WITH s AS ({SURVEY_SQL})
+SELECT o_orderstatus, count(*) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd, round(min(y), 6) AS min,
+       round(max(y), 6) AS max, round(quantile_cont(y, 0.5), 6) AS median FROM s GROUP BY 1""")
+def q_unweighted_summary(spark, sf):
+    return rounded(survey.unweighted_summary(survey_input(spark, sf), "y", ["o_orderstatus"]))
+
+
+@query("filter_valid_weight", f"""WITH s AS ({SURVEY_SQL}),
+t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 9 = 1 THEN -w
+                             WHEN o_orderkey % 9 = 2 THEN 0.0 ELSE w END AS w FROM s)
+SELECT o_orderkey, w FROM t WHERE w IS NOT NULL AND NOT isnan(w) AND w > 0 AND w < 'Infinity'::DOUBLE""")
+def q_filter_valid_weight(spark, sf):
+    s = survey_input(spark, sf)
+    k = F.col("o_orderkey")
+    t = s.select("o_orderkey", F.when(k % 9 == 0, F.lit(None)).when(k % 9 == 1, -F.col("w"))
+                 .when(k % 9 == 2, F.lit(0.0)).otherwise(F.col("w")).alias("w"))
+    return survey.valid_weights(t, "w")
+
+
+JK1_SQL = f"""WITH s AS ({SURVEY_SQL}),
+r AS (SELECT r, sum(CASE WHEN psu = r - 1 THEN 0.0 ELSE w * 20.0 / 19.0 END * y)
+                / sum(CASE WHEN psu = r - 1 THEN 0.0 ELSE w * 20.0 / 19.0 END) AS th
+      FROM s, range(1, 21) AS t(r) GROUP BY r),
+f AS (SELECT sum(w * y) / sum(w) AS mean, count(*) AS n FROM s)"""
+
+
+@query("replicate_design_jk1", JK1_SQL + """
+SELECT round(mean, 6) AS mean, round(sqrt(19.0 / 20.0 * sum((th - mean) * (th - mean))), 6) AS se, CAST(n AS BIGINT) AS n
+FROM r, f GROUP BY mean, n""")
+def q_replicate_design(spark, sf):
+    s = survey_input(spark, sf)
+    wr = survey.jk1_replicate_weights(s, "w", F.col("psu"), 20)
+    return rounded(survey.replicate_mean(wr, "y", "w", [f"wr_{i}" for i in range(1, 21)], "JK1"))
+
+
+@query("make_replicates_jk1", f"""WITH s AS ({SURVEY_SQL})
+SELECT o_orderkey, round(CASE WHEN psu = 0 THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_1,
+       round(CASE WHEN psu = 7 THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_8,
+       round(CASE WHEN psu = 19 THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_20 FROM s""")
+def q_make_replicates_jk1(spark, sf):
+    wr = survey.jk1_replicate_weights(survey_input(spark, sf), "w", F.col("psu"), 20)
+    return rounded(wr.select("o_orderkey", "wr_1", "wr_8", "wr_20"), 10)
+
+
+@query("replicate_bootstrap")
+def q_replicate_bootstrap(spark, sf):
+    return rounded(survey.bootstrap_mean(survey_input(spark, sf), "y", D, 200, 42))
+
+
+@query("crosstab_unweighted", f"""WITH s AS ({SURVEY_SQL}),
+c AS (SELECT stratum AS "row", o_orderstatus AS col, CAST(count(*) AS DOUBLE) AS n FROM s GROUP BY 1, 2),
+r AS (SELECT "row", sum(n) AS rt FROM c GROUP BY 1), k AS (SELECT col, sum(n) AS ct FROM c GROUP BY 1),
+t AS (SELECT sum(n) AS tt FROM c)
+SELECT "row", col, n, round(n / tt, 6) AS share, round(rt * ct / tt, 6) AS expected
+FROM c JOIN r USING ("row") JOIN k USING (col), t""")
+def q_crosstab_unweighted(spark, sf):
+    return rounded(survey.crosstab(survey_input(spark, sf), "stratum", "o_orderstatus"))
+
+
+@query("crosstab_chisq", f"""WITH s AS ({SURVEY_SQL}),
+c AS (SELECT stratum AS "row", o_orderstatus AS col, CAST(count(*) AS DOUBLE) AS n FROM s GROUP BY 1, 2),
+r AS (SELECT "row", sum(n) AS rt FROM c GROUP BY 1), k AS (SELECT col, sum(n) AS ct FROM c GROUP BY 1),
+t AS (SELECT sum(n) AS tt FROM c),
+e AS (SELECT "row", col, n, rt * ct / tt AS ex FROM c JOIN r USING ("row") JOIN k USING (col), t)
+SELECT round(sum((n - ex) * (n - ex) / ex), 6) AS statistic,
+       CAST((count(DISTINCT "row") - 1) * (count(DISTINCT col) - 1) AS BIGINT) AS df FROM e""")
+def q_crosstab_chisq(spark, sf):
+    return rounded(survey.chisq_statistic(survey.crosstab(survey_input(spark, sf), "stratum", "o_orderstatus")))
+
+
+@query("survey_crosstab", f"""WITH s AS ({SURVEY_SQL}),
+c AS (SELECT stratum AS "row", o_orderstatus AS col, sum(w) AS n FROM s GROUP BY 1, 2),
+r AS (SELECT "row", sum(n) AS rt FROM c GROUP BY 1), k AS (SELECT col, sum(n) AS ct FROM c GROUP BY 1),
+t AS (SELECT sum(n) AS tt FROM c)
+SELECT "row", col, round(n, 6) AS n, round(n / tt, 6) AS share, round(rt * ct / tt, 6) AS expected
+FROM c JOIN r USING ("row") JOIN k USING (col), t""")
+def q_survey_crosstab(spark, sf):
+    return rounded(survey.crosstab(survey_input(spark, sf), "stratum", "o_orderstatus", "w"))
+
+
+@query("panel_summary", f"""WITH s AS ({SURVEY_SQL}),
+u AS (SELECT o_custkey, count(DISTINCT wave) AS k, count(*) AS obs FROM s GROUP BY 1),
+nw AS (SELECT count(DISTINCT wave) AS n_waves FROM s),
+a AS (SELECT count(*) AS n_units, any_value(n_waves) AS n_waves, sum(obs) AS n_obs,
+             100.0 * avg(CASE WHEN k = n_waves THEN 1.0 ELSE 0.0 END) AS pb FROM u, nw)
+SELECT CAST(n_units AS BIGINT) AS n_units, CAST(n_waves AS BIGINT) AS n_waves, CAST(n_obs AS BIGINT) AS n_obs,
+       round(pb, 2) AS pct_balanced, round(100 - round(pb, 2), 2) AS attrition,
+       round(n_obs / n_units, 4) AS avg_obs_per_unit FROM a""")
+def q_panel_summary(spark, sf):
+    return survey.panel_summary(survey_input(spark, sf), "o_custkey", "wave")
+
+
+@query("likert_distribution", f"""WITH s AS ({SURVEY_SQL}),
+l AS (SELECT CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE likert END AS likert FROM s)
+SELECT CAST(likert AS VARCHAR) AS level, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM l), 4) AS pct
+FROM l GROUP BY 1""")
+def q_likert_distribution(spark, sf):
+    s = survey_input(spark, sf).select(
+        F.when(F.col("o_orderkey") % 31 == 0, F.lit(None)).otherwise(F.col("likert")).alias("likert"))
+    return survey.likert_distribution(s, "likert")
+
+
+# ----------------------------------------------------------------- implicates
+MI_SQL = f"""SELECT s.*, imp AS implicate,
+       y * (1 + CAST((o_orderkey * imp) % 11 - 5 + imp AS DOUBLE) / 100.0) AS y_imp
+FROM ({SURVEY_SQL}) s, range(1, 6) AS t(imp)"""
+
+
+def mi_input(spark, sf):
+    s = survey_input(spark, sf).withColumn("implicate", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    noise = ((F.col("o_orderkey") * F.col("implicate")) % 11 - 5 + F.col("implicate")).cast("double") / 100.0
+    return s.withColumn("y_imp", F.col("y") * (1 + noise))
+
+
+PER_IMP_SQL = f"WITH s AS ({MI_SQL}), " + _taylor_sql(
+    "w * (y_imp - mean) / sw",
+    "t AS (SELECT implicate, sum(w * y_imp) / sum(w) AS mean, sum(w) AS sw, count(*) AS n FROM s GROUP BY 1)",
+    "mean", "implicate")
+
+POOL_SQL = f"""WITH r AS ({PER_IMP_SQL}),
+g AS (SELECT 'y_imp' AS term, count(*) AS m, avg(mean) AS est, avg(se * se) AS W, var_samp(mean) AS B FROM r),
+c AS (SELECT *, W + (1 + 1.0 / m) * B AS T, CASE WHEN W > 0 THEN (1 + 1.0 / m) * B / W END AS riv FROM g),
+d AS (SELECT *, CASE WHEN B > 0 THEN (m - 1) * power(1 + 1 / riv, 2) END AS df FROM c)"""
+
+
+@query("mi_mean", POOL_SQL + """
+SELECT term, CAST(m AS BIGINT) AS m, round(est, 6) AS estimate, round(sqrt(T), 6) AS std_error,
+       round(est / sqrt(T), 4) AS statistic, round(df, 4) AS df,
+       round(CASE WHEN B > 0 THEN (riv + 2 / (df + 3)) / (riv + 1) ELSE 0.0 END, 6) AS fmi,
+       round(riv, 6) AS riv, round((1 + 1.0 / m) * B / T, 6) AS lambda FROM d""")
+def q_mi_mean(spark, sf):
+    p = mi.mi_mean(mi_input(spark, sf), "y_imp", D)
+    return p.select("term", "m", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"),
+                    F.round("statistic", 4).alias("statistic"), F.round("df", 4).alias("df"),
+                    F.round("fmi", 6).alias("fmi"), F.round("riv", 6).alias("riv"), F.round("lambda", 6).alias("lambda"))
+
+
+@query("mi_diagnostics", POOL_SQL + """
+SELECT CAST(m AS BIGINT) AS m, round(CASE WHEN B > 0 THEN (riv + 2 / (df + 3)) / (riv + 1) ELSE 0.0 END, 6) AS avg_fmi,
+       round(CASE WHEN B > 0 THEN (riv + 2 / (df + 3)) / (riv + 1) ELSE 0.0 END, 6) AS max_fmi,
+       round((1 + 1.0 / m) * B / T, 6) AS avg_lambda FROM d""")
+def q_mi_diagnostics(spark, sf):
+    return rounded(mi.mi_diagnostics(mi.mi_mean(mi_input(spark, sf), "y_imp", D)))
+
+
+@query("rubin_pool_p")
+def q_rubin_pool_p(spark, sf):
+    return rounded(mi.with_p_value(mi.mi_ratio(mi_input(spark, sf), "y_imp", "x", D)))
+
+
+@query("mi_split_wide", f"""WITH s AS ({SURVEY_SQL}),
+w AS (SELECT o_orderkey, y + 0.1 AS y_imp1, y + 0.2 AS y_imp2, y + 0.3 AS y_imp3 FROM s)
+SELECT o_orderkey, implicate, round(y, 6) AS y FROM (
+  SELECT o_orderkey, 1 AS implicate, y_imp1 AS y FROM w UNION ALL
+  SELECT o_orderkey, 2, y_imp2 FROM w UNION ALL SELECT o_orderkey, 3, y_imp3 FROM w)""")
+def q_mi_split_wide(spark, sf):
+    s = survey_input(spark, sf).select("o_orderkey", (F.col("y") + 0.1).alias("y_imp1"),
+                                       (F.col("y") + 0.2).alias("y_imp2"), (F.col("y") + 0.3).alias("y_imp3"))
+    long = mi.mi_split_wide(s, mi.wide_bases(s.columns))
+    return rounded(long.select("o_orderkey", "implicate", "y"))
