@@ -1 +1,243 @@
-"""Queries."""
+"""Model, validation, explanation and causal queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import models, validation
+from ..session import table
+from .catalog import query, rounded
+from .series import MONTHLY_SQL, monthly_input
+
+
+def _lineitem(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+def _one_row(spark, cols: dict):
+    return spark.createDataFrame([tuple(float(v) for v in cols.values())], ", ".join(f"{k} double" for k in cols))
+
+
+@query("lm_one_regressor", """
+SELECT round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
+       round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
+       round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""")
+def q_lm_one(spark, sf):
+    fit = models.ols(_lineitem(spark, sf), "l_extendedprice", ["l_quantity"])
+    return rounded(_one_row(spark, {"intercept": fit.coef[0], "slope": fit.coef[1], "r2": fit.r2}))
+
+
+@query("lm_coefficients")
+def q_lm_coefficients(spark, sf):
+    fit = models.ols(_lineitem(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return rounded(fit.table(spark))
+
+
+@query("robust_se")
+def q_robust_se(spark, sf):
+    li = _lineitem(spark, sf)
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    fit = models.ols(li, "l_extendedprice", xs)
+    V = models.robust_se(li, fit, "l_extendedprice", {c: F.col(c) for c in xs}, "HC3")
+    return rounded(fit.table(spark, V))
+
+
+DID_SQL = """SELECT o_totalprice / 1000.0 AS y, CAST(n_regionkey = 0 AS INTEGER) AS treat,
+       CAST(o_orderdate >= TIMESTAMP '1998-01-01' AS INTEGER) AS post
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def did_input(spark, sf):
+    o, c, n = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "nation")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.select((F.col("o_totalprice") / 1000.0).alias("y"), (F.col("n_regionkey") == 0).cast("int").alias("treat"),
+                    (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("int").alias("post"))
+
+
+@query("did_2x2", f"""WITH d AS ({DID_SQL}),
+c AS (SELECT treat, post, avg(y) AS m, count(*) AS n, coalesce(var_samp(y), 0) * (count(*) - 1) AS ss FROM d GROUP BY 1, 2),
+a AS (SELECT sum(CASE WHEN treat = 1 AND post = 1 THEN m WHEN treat = 1 THEN -m WHEN post = 1 THEN -m ELSE m END) AS ate,
+             sum(ss) / (sum(n) - 4) AS s2, sum(1.0 / n) AS inv, sum(n) AS n FROM c)
+SELECT round(ate, 6) AS ate, round(sqrt(s2 * inv), 6) AS se, CAST(n AS BIGINT) AS n FROM a""")
+def q_did(spark, sf):
+    r = models.did_2x2(did_input(spark, sf), "y", "treat", "post")
+    return rounded(spark.createDataFrame([(float(r["ate"]), float(r["se"]), int(r["n"]))], "ate double, se double, n long"))
+
+
+IV_SQL = "SELECT l_extendedprice AS y, l_quantity AS x, l_quantity + l_linenumber AS z FROM lineitem"
+
+
+@query("iv_2sls", f"""WITH d AS ({IV_SQL}),
+b AS (SELECT covar_samp(z, y) / covar_samp(z, x) AS beta, avg(y) AS my, avg(x) AS mx, avg(z) AS mz,
+             count(*) AS n, var_samp(z) AS vz, covar_samp(z, x) AS czx FROM d),
+r AS (SELECT sum(power(y - (my - beta * mx) - beta * x, 2)) / (any_value(n) - 2) AS s2 FROM d, b)
+SELECT round(beta, 6) AS slope, round(my - beta * mx, 6) AS intercept,
+       round(sqrt(s2 * vz / (czx * czx) / (n - 1)), 6) AS slope_se FROM b, r""")
+def q_iv(spark, sf):
+    d = _lineitem(spark, sf).select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("x"),
+                                    (F.col("l_quantity") + F.col("l_linenumber")).alias("z"))
+    r = models.iv_2sls(d, "y", ["x"], ["z"])
+    return rounded(spark.createDataFrame([(r["coef"][1], r["coef"][0], r["se"][1])],
+                                         "slope double, intercept double, slope_se double"))
+
+
+def _glm_table(spark, m, terms):
+    s = m.summary
+    rows = list(zip(["(Intercept)", *terms], [m.intercept, *m.coefficients.toArray().tolist()],
+                    [s.coefficientStandardErrors[-1], *s.coefficientStandardErrors[:-1]]))
+    return spark.createDataFrame([(t, float(b), float(e)) for t, b, e in rows], "term string, estimate double, std_error double")
+
+
+@query("logit")
+def q_logit(spark, sf):
+    li = _lineitem(spark, sf).withColumn("is_r", (F.col("l_returnflag") == "R").cast("double"))
+    m, _ = models.fit_model(li, "logit", "is_r", ["l_quantity", "l_discount"])
+    return rounded(_glm_table(spark, m, ["l_quantity", "l_discount"]))
+
+
+@query("poisson")
+def q_poisson(spark, sf):
+    li = _lineitem(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"),
+                                                       (F.sum("l_extendedprice") / 1e5).alias("value"))
+    m, _ = models.fit_model(li, "poisson", "n_lines", ["value"])
+    return rounded(_glm_table(spark, m, ["value"]))
+
+
+@query("betareg")
+def q_betareg(spark, sf):
+    li = _lineitem(spark, sf).withColumn("share", F.least(F.greatest(F.col("l_discount"), F.lit(0.001)), F.lit(0.999)))
+    m, _ = models.fit_model(li, "betareg", "share", ["l_quantity", "l_tax"])
+    return rounded(spark.createDataFrame([(float(m.intercept), *map(float, m.coefficients.toArray()))],
+                                         "intercept double, b_quantity double, b_tax double"))
+
+
+def _holdout_metrics(spark, sf, model_id, params):
+    from ..operators import metrics
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    sp = validation.holdout_split(li, "idx", 0.8)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    m, asm = models.fit_model(sp.where(F.col("split") == "train"), model_id, "l_extendedprice", feats, params)
+    pred = m.transform(asm.transform(sp.where(F.col("split") == "test")))
+    return metrics.regression_metrics(pred, "l_extendedprice", "prediction")
+
+
+@query("ranger_reg")
+def q_ranger(spark, sf):
+    return _holdout_metrics(spark, sf, "ranger_reg", {"num_trees": 50, "max_depth": 8})
+
+
+@query("xgb_reg")
+def q_xgb(spark, sf):
+    return _holdout_metrics(spark, sf, "xgb_reg", {"nrounds": 30, "max_depth": 4})
+
+
+@query("glmnet_reg")
+def q_glmnet(spark, sf):
+    return _holdout_metrics(spark, sf, "glmnet_reg", {"alpha": 0.5, "lambda": 0.1})
+
+
+@query("ranger_cls")
+def q_ranger_cls(spark, sf):
+    from ..operators import metrics
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    li = li.withColumn("is_r", (F.col("l_returnflag") == "R").cast("double"))
+    sp = validation.holdout_split(li, "idx", 0.8)
+    feats = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+    m, asm = models.fit_model(sp.where(F.col("split") == "train"), "ranger_cls", "is_r", feats,
+                              {"num_trees": 30, "max_depth": 6})
+    pred = m.transform(asm.transform(sp.where(F.col("split") == "test")))
+    return metrics.classification_metrics(pred, "is_r", "prediction")
+
+
+@query("holdout_split")
+def q_holdout(spark, sf):
+    o = table(spark, sf, "orders")
+    return validation.holdout_split(o, "o_orderkey", 0.8).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("split_disjoint")
+def q_split_disjoint(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey")
+    sp = validation.holdout_split(o, "o_orderkey", 0.8)
+    train = sp.where(F.col("split") == "train")
+    test = o.join(train, "o_orderkey", "left_anti")
+    return test.agg(F.count(F.lit(1)).alias("n_test"))
+
+
+@query("kfold_cv")
+def q_kfold(spark, sf):
+    o = table(spark, sf, "orders")
+    return validation.kfold_ids(o, "o_orderkey", 5, 2).groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _roc_sql(initial=24, h=6):
+    lags = " UNION ALL ".join(
+        f"""SELECT series_id, {k} AS horizon, y AS actual, lag(cn, {k}) OVER w AS origin_n, lag(y, {k}) OVER w AS yt,
+               lag(cs, {k}) OVER w AS st, y1 FROM r WINDOW w AS (PARTITION BY series_id ORDER BY month)"""
+        for k in range(1, h + 1))
+    return f"""WITH s AS ({MONTHLY_SQL}),
+r AS (SELECT series_id, month, y, sum(y) OVER (PARTITION BY series_id ORDER BY month ROWS UNBOUNDED PRECEDING) AS cs,
+             count(*) OVER (PARTITION BY series_id ORDER BY month ROWS UNBOUNDED PRECEDING) AS cn,
+             first_value(y) OVER (PARTITION BY series_id ORDER BY month) AS y1 FROM s),
+l AS ({lags}),
+e AS (SELECT horizon, 'naive' AS method, actual - yt AS err FROM l WHERE origin_n >= {initial}
+      UNION ALL SELECT horizon, 'mean', actual - st / origin_n FROM l WHERE origin_n >= {initial}
+      UNION ALL SELECT horizon, 'drift', actual - (yt + horizon * (yt - y1) / (origin_n - 1)) FROM l WHERE origin_n >= {initial})
+SELECT method, CAST(horizon AS INTEGER) AS horizon, count(*) AS n, round(sqrt(avg(err * err)), 2) AS rmse,
+       round(avg(abs(err)), 2) AS mae FROM e GROUP BY 1, 2"""
+
+
+@query("rolling_origin_cv", _roc_sql())
+def q_rolling_origin(spark, sf):
+    return rounded(validation.rolling_origin_cv(monthly_input(spark, sf), ["series_id"], "month", "y", 24, 6), 2)
+
+
+@query("pearson_importance", """
+SELECT 'l_quantity' AS feature, round(abs(corr(l_quantity, l_extendedprice)), 6) AS importance FROM lineitem
+UNION ALL SELECT 'l_discount', round(abs(corr(l_discount, l_extendedprice)), 6) FROM lineitem
+UNION ALL SELECT 'l_tax', round(abs(corr(l_tax, l_extendedprice)), 6) FROM lineitem""")
+def q_pearson_importance(spark, sf):
+    return rounded(validation.pearson_importance(_lineitem(spark, sf), "l_extendedprice",
+                                                 ["l_quantity", "l_discount", "l_tax"]))
+
+
+def _lm_predict_fn(spark, sf, xs):
+    fit = models.ols(_lineitem(spark, sf), "l_extendedprice", xs)
+    return lambda d: d.withColumn("prediction", fit.predict({c: F.col(c) for c in xs}))
+
+
+@query("permutation_importance")
+def q_permutation_importance(spark, sf):
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return rounded(validation.permutation_importance(li, _lm_predict_fn(spark, sf, xs), "l_extendedprice", xs,
+                                                     "idx", 5))
+
+
+@query("partial_dependence")
+def q_partial_dependence(spark, sf):
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    return rounded(validation.partial_dependence(_lineitem(spark, sf), _lm_predict_fn(spark, sf, xs), "l_quantity", 25))
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    new = _lineitem(spark, sf).select("l_orderkey", "l_linenumber", *xs)
+    return rounded(_lm_predict_fn(spark, sf, xs)(new).select("l_orderkey", "l_linenumber", "prediction"))
+
+
+@query("align_scoring_columns", """
+SELECT l_quantity, 0.0 AS l_weight_missing, l_tax FROM lineitem""")
+def q_align_scoring(spark, sf):
+    new = _lineitem(spark, sf).select("l_quantity", "l_tax", "l_discount")
+    return models.align_scoring_columns(new, ["l_quantity", "l_weight_missing", "l_tax"])
+
+
+@query("ipw")
+def q_ipw(spark, sf):
+    d = did_input(spark, sf).withColumn("x", F.col("y") * 0.001)
+    m, asm = models.fit_model(d, "logit", "treat", ["x", "post"])
+    ps = m.transform(asm.transform(d)).withColumnRenamed("prediction", "ps")
+    return rounded(validation.ipw_estimate(ps, "y", "treat", "ps", "ATE").unionByName(
+        validation.ipw_estimate(ps, "y", "treat", "ps", "ATT")))
