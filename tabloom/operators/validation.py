@@ -52,7 +52,7 @@ def rolling_origin_cv(df: DataFrame, keys: Sequence[str], order_col: str, value:
     (origin, horizon) pair costs one lagged column, never a copy of history."""
     keys = list(keys)
     x = running_totals(df.select(*keys, order_col, value), keys, [order_col], value)
-    first = df.groupBy(*keys).agg(F.min_by(value, order_col).alias("_y1"))
+    first = df.groupBy(*keys).agg(F.min_by(value, order_col).alias("_first"))
     x = x.join(first, keys) if keys else ranks.attach_scalars(x, first)
     x = halo_blocks(x, keys, [order_col], h)
     w = Window.partitionBy(*keys, "_blk").orderBy(order_col)
@@ -64,7 +64,7 @@ def rolling_origin_cv(df: DataFrame, keys: Sequence[str], order_col: str, value:
         yt, st, nt = F.col(f"_y{k}"), F.col(f"_s{k}"), F.col(f"_n{k}")
         rows.append(F.struct(F.lit(k).alias("horizon"), nt.alias("origin_n"), yt.alias("naive"),
                              F.try_divide(st, nt).alias("mean"),
-                             (yt + F.try_divide(k * (yt - F.col("_y1")), nt - 1)).alias("drift")))
+                             (yt + F.try_divide(k * (yt - F.col("_first")), nt - 1)).alias("drift")))
     y = x.select(*keys, "_halo", F.col(value).alias("actual"), F.inline(F.array(*rows)))
     y = y.where(~F.col("_halo") & F.col("origin_n").isNotNull() & (F.col("origin_n") >= initial))
     out = y.select(*keys, "horizon", F.inline(F.array(*[
