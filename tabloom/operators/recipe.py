@@ -93,11 +93,16 @@ def scope_columns(s: Step, cols: list[str], scope: list[str] | None) -> list[str
 
 def _replace(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """Replace columns in place, keeping their position."""
-    return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
+    return df.select(*[exprs[c].alias(c) if c in exprs else _q(c) for c in df.columns])
+
+
+def _q(c: str) -> Column:
+    """Column by exact name (names may contain dots)."""
+    return F.col("`" + c.replace("`", "``") + "`")
 
 
 def _num(c: str) -> Column:
-    return F.col(c).cast("double")
+    return _q(c).cast("double")
 
 
 def _one_row(df: DataFrame, aggs: list[Column]) -> dict:
@@ -132,7 +137,7 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     """Most frequent non-NULL value per column, ties -> alphabetically first."""
     if not cols:
         return {}
-    items = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols]
+    items = [F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("v")) for c in cols]
     vc = (df.select(F.inline(F.array(*items))).where(F.col("v").isNotNull())
           .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
     top = ranks.top_k_per_group(vc, ["column"], [F.desc("n"), F.asc("v")], 1).collect()
@@ -195,7 +200,7 @@ def _drop(df, fit, tg, p, sid, **_):
 
 def _impute(df, fit, tg, p, **_):
     k = {f.name: kind(f.dataType) for f in df.schema.fields}
-    nulls = _one_row(fit, [F.count_if(F.col(c).isNull()).alias(c) for c in tg])
+    nulls = _one_row(fit, [F.count_if(_q(c).isNull()).alias(c) for c in tg])
     todo = [c for c in tg if nulls.get(c, 0) > 0]
     nums = [c for c in todo if k[c] == "numeric"]
     cats = [c for c in todo if k[c] != "numeric"]
@@ -206,11 +211,11 @@ def _impute(df, fit, tg, p, **_):
         m = med[c][0]
         if m is not None:
             keep_type = float(m).is_integer()
-            base = F.col(c) if keep_type else _num(c)
+            base = _q(c) if keep_type else _num(c)
             ex[c] = F.coalesce(base, F.lit(m).cast(df.schema[c].dataType) if keep_type else F.lit(m))
     for c in cats:
         if mode[c] is not None:
-            ex[c] = F.coalesce(F.col(c).cast("string"), F.lit(mode[c]))
+            ex[c] = F.coalesce(_q(c).cast("string"), F.lit(mode[c]))
     return _replace(df, ex), f"impute -> filled {len(tg)} cols"
 
 
@@ -648,3 +653,55 @@ def suggest_steps(profile: DataFrame) -> DataFrame:
               .when(sk.isNotNull() & (F.abs(sk) > 1.5), F.concat(F.lit("skew="), c_fixed(sk, 2)))
               .when(F.col("pct_missing") > 0, F.concat(c_fixed(F.col("pct_missing"), 1), F.lit("% missing"))))
     return profile.select("column", action.alias("action"), reason.alias("reason")).where(F.col("action").isNotNull())
+
+
+def drop_high_missing(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Drop columns whose missing share exceeds ``threshold`` (one aggregate)."""
+    r = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    n = r["_n"] or 0
+    keep = [c for i, c in enumerate(df.columns) if n == 0 or (n - r[f"c{i}"]) / n <= threshold]
+    return df.select(*keep)
+
+
+def make_names(s: str) -> str:
+    """Syntactically valid name: invalid characters become '.', an 'X' prefix
+    when the name does not start with a letter (or a dot not followed by a digit)."""
+    import re
+    out = re.sub(r"[^A-Za-z0-9._]", ".", s)
+    if not re.match(r"^([A-Za-z]|\.(?![0-9]))", out):
+        out = "X" + out
+    return out
+
+
+def quick_recipe(df: DataFrame, options: list[str], target: str | None, order_cols: list[str],
+                 keys: list[str] = (), time_col: str | None = None) -> DataFrame:
+    """The legacy seven-option pipeline in its fixed order: drop >50 % missing
+    columns, impute numeric medians, impute categorical modes, dummy-encode,
+    scale, target lags 1-3, 7-row rolling mean, then keep complete rows.
+    Dummy names follow make.names with '.' written as '_' (Spark column
+    paths treat '.' as struct access)."""
+    from . import series
+    k = lambda d: {f.name: kind(f.dataType) for f in d.schema.fields}
+    if "drop_high_na" in options:
+        df = drop_high_missing(df, 0.5)
+    if "impute_num" in options:
+        nums = [c for c, t in k(df).items() if t == "numeric"]
+        df, _ = apply_recipe(df, [step("impute", nums)]) if nums else (df, [])
+    if "impute_cat" in options:
+        cats = [c for c, t in k(df).items() if t == "string"]
+        df, _ = apply_recipe(df, [step("impute", cats)]) if cats else (df, [])
+    if "dummy" in options:
+        cats = [c for c, t in k(df).items() if t == "string" and c not in (target, time_col)]
+        for c in cats:
+            levels = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
+            df = df.select(*[_q(x) for x in df.columns if x != c],
+                           *[F.when(F.col(c) == lv, 1).otherwise(0).alias(f"{c}_{make_names(c + lv).replace('.', '_')}") for lv in levels])
+    if "scale" in options:
+        nums = [c for c, t in k(df).items() if t == "numeric" and c != target and c not in keys and c not in order_cols]
+        df, _ = apply_recipe(df, [step("zscore", nums)]) if nums else (df, [])
+    numeric_target = target in df.columns and k(df)[target] == "numeric"
+    if "lags" in options and numeric_target:
+        df = series.lag_features(df, target, order_cols, keys, [1, 2, 3])
+    if "rollmean" in options and numeric_target:
+        df = series.rolling_mean(df, target, order_cols, keys, 7, "rollmean_7")
+    return df.na.drop("any")

@@ -29,12 +29,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            cols.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from . import explore, prep, series, evaluate, privacy, survey, models  # noqa: F401
+    from . import explore, prep, series, evaluate, privacy, survey, models, io  # noqa: F401

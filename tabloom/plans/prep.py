@@ -270,3 +270,11 @@ def q_drop_zero_var(spark, sf):
     const = [r["column"] for r in prof if r["is_constant"]]
     out, _ = recipe.apply_recipe(df, [step("drop_zero_var", const)], time_col="o_orderdate")
     return rounded(out.drop("o_orderdate"))
+
+
+@query("quick_recipe")
+def q_quick_recipe(spark, sf):
+    df = inputs.recipe_input(spark, sf).drop("o_orderdate")
+    out = recipe.quick_recipe(df, ["drop_high_na", "impute_num", "impute_cat", "dummy", "scale", "lags", "rollmean"],
+                              "o_totalprice", ["o_orderkey"])
+    return rounded(out)
