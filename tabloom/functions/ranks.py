@@ -65,34 +65,73 @@ def value_weights(df: DataFrame, keys: Sequence[str], value: str | Column,
             .groupBy(*keys, "value").agg(F.sum("w").alias("w")))
 
 
+# Groups whose distinct-value count is proven below this use Spark's exact
+# `percentile` aggregate (its buffer is one entry per distinct value).
+NATIVE_DISTINCT_LIMIT = 1_000_000
+
+
+def native_quantiles(vc: DataFrame, keys: Sequence[str], value: str, cnt: str,
+                     probs: Sequence[float]) -> DataFrame:
+    """Spark's exact type-7 ``percentile`` with frequencies; only for groups
+    whose distinct count is known to be bounded."""
+    keys = list(keys)
+    q = vc.groupBy(*keys).agg(F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]),
+                                           F.col(cnt)).alias("_q"))
+    return q.select(*keys, F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
+                                                 F.col("_q").alias("q"))))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-                    probs: Sequence[float], buckets: int | None = None) -> DataFrame:
+                    probs: Sequence[float], buckets: int | None = None, few_keys: bool = True) -> DataFrame:
     """Type-7 (R default, Spark ``percentile``, DuckDB ``quantile_cont``) quantiles
-    of ``value`` per ``keys`` group.  Returns ``(keys..., p, q)``."""
+    of ``value`` per ``keys`` group.  Returns ``(keys..., p, q)``.  With a
+    bounded number of groups, one approximate distinct count decides: groups
+    proven small use the native exact aggregate, the rest the bucketed path."""
     keys = list(keys)
+    v = F.col(value) if isinstance(value, str) else value
+    if few_keys:
+        nd = (df.groupBy(*keys).agg(F.approx_count_distinct(v, 0.02).alias("_nd"))
+              .agg(F.max("_nd").alias("m")).first()["m"] or 0)
+        if nd <= 0.9 * NATIVE_DISTINCT_LIMIT:
+            x = df.select(*keys, v.alias("value"), F.lit(1).cast("long").alias("w")).where(F.col("value").isNotNull())
+            return native_quantiles(x, keys, "value", "w", probs)
     vc = value_weights(df, keys, value)
     return quantiles_from_counts(vc, keys, "value", "w", probs, buckets)
 
 
 def quantiles_from_counts(vc: DataFrame, keys: Sequence[str], value: str, cnt: str,
                           probs: Sequence[float], buckets: int | None = None) -> DataFrame:
+    """Exact type-7 quantiles from a (keys, value, count) table.  Rows get a
+    value bucket (bounds from a sketch); bucket totals give each bucket's rank
+    range, and only the buckets that contain a wanted rank are sorted."""
     keys = list(keys)
-    cum = with_cumulative(vc, keys, value, cnt, buckets)
-    n = vc.groupBy(*keys).agg(F.sum(cnt).alias("_n"))
-    # keys x probs rows: bounded by the number of groups times len(probs)
-    tgt = n.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    tgt = tgt.withColumn("_h", (F.col("_n") - 1) * F.col("p") + 1)
-    tgt = tgt.withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
+    b = buckets or default_buckets(vc)
+    bprobs = [i / b for i in range(1, b)]
+    bounds = vc.groupBy(*keys).agg(F.percentile_approx(F.col(value), bprobs, 10000).alias("_bounds"))
+    x = vc.join(F.broadcast(bounds), keys) if keys else attach_scalars(vc, bounds)
+    x = x.withColumn("_bk", F.size(F.filter("_bounds", lambda t: t < F.col(value)))).drop("_bounds")
+    bt = x.groupBy(*keys, "_bk").agg(F.sum(cnt).alias("_bt"))
+    w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    bt = (bt.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0)))
+          .withColumn("_n", F.sum("_bt").over(Window.partitionBy(*keys))))
+    # wanted ranks (groups x probs x 2 rows) and the bucket holding each
+    r = bt.select(*keys, "_bk", "_off", "_bt", "_n",
+                  F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    r = r.withColumn("_h", (F.col("_n") - 1) * F.col("p") + 1)
+    r = r.select(*keys, "_bk", "_off", "_bt", "p", "_h", F.explode(F.array(
+        F.struct(F.lit("lo").alias("_which"), F.floor("_h").alias("_r")),
+        F.struct(F.lit("hi").alias("_which"), F.ceil("_h").alias("_r")))).alias("_x"))
+    r = r.select(*keys, "_bk", "_off", "p", "_h", "_x._which", "_x._r", "_bt").where(
+        (F.col("_r") > F.col("_off")) & (F.col("_r") <= F.col("_off") + F.col("_bt"))).drop("_bt")
+    want = r.select(*keys, "_bk", "_off").distinct()
+    cand = x.join(F.broadcast(want), [*keys, "_bk"])
+    w_in = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    cand = cand.withColumn("_before", F.col("_off") + F.coalesce(F.sum(cnt).over(w_in), F.lit(0)))
     rk = [f"_rk{i}" for i in range(len(keys))]
-    ranks = tgt.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)], "p", "_h", F.explode(F.array(
-        F.struct(F.lit("lo").alias("_which"), F.col("_lo").alias("_r")),
-        F.struct(F.lit("hi").alias("_which"), F.col("_hi").alias("_r")))).alias("_x")).select(
-        *rk, "p", "_h", "_x._which", "_x._r")
-    cond = [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)]
-    cond += [F.col("cum_before") < F.col("_r"), F.col("_r") <= F.col("cum_before") + F.col(cnt)]
-    # the rank targets (groups x probs x 2 rows) are broadcast; the big side streams
-    hit = cum.select(*keys, F.col(value).alias("_v"), cnt, "cum_before").join(F.broadcast(ranks), cond)
-    hit = hit.select(*keys, "p", "_h", "_which", "_v")
+    rr = r.select(*[F.col(k).alias(n) for k, n in zip(keys, rk)], F.col("_bk").alias("_rbk"), "p", "_h", "_which", "_r")
+    cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, rk)] + [F.col("_bk") == F.col("_rbk")]
+    cond += [F.col("_before") < F.col("_r"), F.col("_r") <= F.col("_before") + F.col(cnt)]
+    hit = cand.join(F.broadcast(rr), cond).select(*keys, "p", "_h", "_which", F.col(value).alias("_v"))
     res = hit.groupBy(*keys, "p", "_h").agg(
         F.max(F.when(F.col("_which") == "lo", F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_which") == "hi", F.col("_v"))).alias("_vhi"))

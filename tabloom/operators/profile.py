@@ -52,7 +52,10 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     meta = spark.createDataFrame(
         [(c, r_class(dtypes[c]), kind(dtypes[c]) == "numeric", i) for i, c in enumerate(columns)],
         "column string, class string, is_numeric boolean, ord int")
-    vc = value_counts(df, columns)
+    # one scan + shuffle builds the value-count table; it is checkpointed to the
+    # shared checkpoint folder so every statistic below reads it instead of
+    # re-scanning the source (lineage is cut; survives executor loss)
+    vc = value_counts(df, columns).checkpoint(eager=True)
     miss = _missing(F.col("num"), F.col("str"))
     base = vc.groupBy("column").agg(
         F.sum("cnt").alias("n"),
@@ -65,9 +68,20 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     cm = num_vc.join(F.broadcast(base.select("column", "_mean")), "column").groupBy("column").agg(
         F.sum(F.col("cnt") * F.pow(F.col("num") - F.col("_mean"), 2)).alias("_m2"),
         F.sum(F.col("cnt") * F.pow(F.col("num") - F.col("_mean"), 3)).alias("_m3"))
-    quart = ranks.quantile_map(
-        ranks.quantiles_from_counts(num_vc, ["column"], "num", "cnt", [0.25, 0.75], buckets),
-        ["column"], {0.25: "_q1", 0.75: "_q3"})
+    # exact distinct counts are known per column: bounded columns use the
+    # native exact percentile, unbounded ones the bucketed selection
+    nu_by_col = {r["column"]: r["n_unique"] for r in base.select("column", "n_unique").collect()}
+    small = [c for c in columns if nu_by_col.get(c, 0) <= ranks.NATIVE_DISTINCT_LIMIT]
+    big = [c for c in columns if c not in small]
+    parts = []
+    if small:
+        parts.append(ranks.native_quantiles(num_vc.where(F.col("column").isin(small)), ["column"], "num", "cnt",
+                                            [0.25, 0.75]))
+    if big:
+        parts.append(ranks.quantiles_from_counts(num_vc.where(F.col("column").isin(big)), ["column"], "num", "cnt",
+                                                 [0.25, 0.75], buckets))
+    qdf = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    quart = ranks.quantile_map(qdf, ["column"], {0.25: "_q1", 0.75: "_q3"})
     bounds = quart.select("column", (F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
                           (F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
     outl = num_vc.join(F.broadcast(bounds), "column").groupBy("column").agg(
