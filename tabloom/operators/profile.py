@@ -254,24 +254,38 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
                          buckets: int | None = None) -> DataFrame:
-    """Spearman = Pearson of average ranks over each pair's complete rows.  Ranks
-    come from the bucketed cumulative counts, never from one global sort."""
+    """Spearman = Pearson of average ranks over each pair's complete rows.
+    Without NULLs every pair's complete rows are all rows, so each column is
+    ranked once (value -> average-rank table from bucketed cumulative counts)
+    and joined back by value; the pair correlations are then one aggregate.
+    With NULLs the ranks are computed per pair over its complete rows."""
     cols = correlation_columns(df, columns)
     pairs = list(combinations(cols, 2))
-    items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(a).cast("double").alias("x"),
-                      F.col(b).cast("double").alias("y")) for a, b in pairs]
-    long = (df.select(F.inline(F.array(*items)))
-            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    rx = ranks.average_ranks(long, ["var1", "var2"], "x", "rx", buckets)
-    rxy = ranks.average_ranks(rx, ["var1", "var2"], "y", "ry", buckets)
-    sd_ok = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols])
-    okc = sd_ok.select(F.inline(F.array(*[F.struct(F.lit(c).alias("v"), (F.coalesce(F.col(c), F.lit(0.0)) > 0).alias("ok"))
-                                          for c in cols])))
-    good = okc.where("ok").select("v")
-    res = rxy.groupBy("var1", "var2").agg(F.corr("rx", "ry").alias("cor"))
-    res = res.join(F.broadcast(good.withColumnRenamed("v", "var1")), "var1").join(
-        F.broadcast(good.withColumnRenamed("v", "var2")), "var2")
-    return res.where(F.col("cor").isNotNull()).select("var1", "var2", "cor")
+    has_null = df.agg(F.count_if(F.greatest(*[F.col(c).isNull() for c in cols]) if len(cols) > 1
+                                 else F.col(cols[0]).isNull()).alias("n")).first()["n"] > 0
+    sd_ok = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols]).first().asDict()
+    good = {c for c in cols if (sd_ok[c] or 0.0) > 0}
+    if not has_null:
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                                            for c in cols])))
+        vc = ranks.value_weights(long, ["column"], "x")
+        cum = ranks.with_cumulative(vc, ["column"], "value", "w", buckets)
+        rk = cum.select("column", "value", (F.col("cum_before") + (F.col("w") + 1) / 2.0).alias("r"))
+        x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        for c in cols:
+            x = x.join(rk.where(F.col("column") == c).select(F.col("value").alias(c), F.col("r").alias(f"_r_{c}")), c)
+        wide = x.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}__{b}") for a, b in pairs])
+        long_r = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                                                         F.col(f"{a}__{b}").alias("cor")) for a, b in pairs])))
+    else:
+        items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(a).cast("double").alias("x"),
+                          F.col(b).cast("double").alias("y")) for a, b in pairs]
+        long = df.select(F.inline(F.array(*items))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        rx = ranks.average_ranks(long, ["var1", "var2"], "x", "rx", buckets)
+        rxy = ranks.average_ranks(rx, ["var1", "var2"], "y", "ry", buckets)
+        long_r = rxy.groupBy("var1", "var2").agg(F.corr("rx", "ry").alias("cor"))
+    ok = F.col("var1").isin(list(good)) & F.col("var2").isin(list(good))
+    return long_r.where(ok & F.col("cor").isNotNull()).select("var1", "var2", "cor")
 
 
 def top_correlated_pairs(pairs: DataFrame, top_n: int = 20) -> DataFrame:

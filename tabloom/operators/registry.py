@@ -160,3 +160,58 @@ def next_project_name(existing: Sequence[str], name: str) -> str:
     while f"{name}_v{k}" in existing:
         k += 1
     return f"{name}_v{k}"
+
+
+# ----------------------------------------------------------------- projects
+
+def _local(path: str) -> str:
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
+def project_list(base_dir: str) -> list[str]:
+    """Saved project names, newest first (by manifest time)."""
+    base = _local(base_dir)
+    if not os.path.isdir(base):
+        return []
+    out = []
+    for n in os.listdir(base):
+        m = os.path.join(base, n, "manifest.json")
+        if os.path.exists(m):
+            with open(m) as fh:
+                out.append((json.load(fh).get("saved_at", ""), n))
+    return [n for _, n in sorted(out, reverse=True)]
+
+
+def project_save(df: DataFrame, base_dir: str, name: str, recipe: list | None = None,
+                 meta: dict | None = None, recipe_log: list | None = None) -> str:
+    """Write the data (Parquet) and a JSON manifest under ``base/name``; an
+    existing name gets ``_v2``, ``_v3``, ... ."""
+    import datetime
+    base = _local(base_dir)
+    os.makedirs(base, exist_ok=True)
+    final = next_project_name(os.listdir(base), name)
+    path = os.path.join(base, final)
+    df.write.parquet(os.path.join(path, "data"))
+    fp = dataset_fingerprint(df).first().asDict()
+    manifest = {"name": final, "saved_at": datetime.datetime.now(datetime.timezone.utc).isoformat(),
+                "dataset": fp, "recipe": recipe or [], "recipe_log": recipe_log or [], "meta": meta or {}}
+    with open(os.path.join(path, "manifest.json"), "w") as fh:
+        json.dump(manifest, fh, default=str)
+    return path
+
+
+def project_load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    with open(os.path.join(_local(path), "manifest.json")) as fh:
+        manifest = json.load(fh)
+    return spark.read.parquet(os.path.join(path, "data")), manifest
+
+
+def reproduce_check(spark: SparkSession, path: str, replay) -> dict:
+    """Fingerprint of the stored data equals the manifest's AND replaying the
+    recipe gives the same log; does not retrain."""
+    df, m = project_load(spark, path)
+    fp = dataset_fingerprint(df).first().asDict()
+    same_data = all(str(fp[k]) == str(m["dataset"].get(k)) for k in fp)
+    _, log = replay(df, m.get("recipe", []))
+    same_log = log == m.get("recipe_log", [])
+    return {"ok": bool(same_data and same_log), "same_data": same_data, "same_recipe_log": same_log}

@@ -18,10 +18,13 @@ TABLES = (
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "tabloom") -> SparkSession:
+              app_name: str = "tabloom", driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        # local mode: the driver JVM is the only executor
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
