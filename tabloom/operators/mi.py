@@ -83,3 +83,10 @@ def mi_ratio(df: DataFrame, num: str, den: str, d: survey.Design, implicate: str
 def mi_diagnostics(pooled: DataFrame) -> DataFrame:
     return pooled.agg(F.max("m").alias("m"), F.avg("fmi").alias("avg_fmi"), F.max("fmi").alias("max_fmi"),
                       F.avg("lambda").alias("avg_lambda"))
+
+
+def mi_glm(df: DataFrame, y: str, xcols: Sequence[str], d: survey.Design, family: str = "gaussian",
+           implicate: str = "implicate") -> DataFrame:
+    """Survey GLM per implicate (one grouped fit), pooled per term by Rubin's rules."""
+    per = survey.survey_glm(df, y, xcols, d, family, [implicate]).withColumnRenamed("std_error", "se")
+    return with_p_value(rubin_pool(per, ["term"], implicate=implicate))

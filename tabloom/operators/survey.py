@@ -304,3 +304,107 @@ def likert_distribution(df: DataFrame, item: str) -> DataFrame:
     g = df.groupBy(F.col(item).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     return ranks.attach_scalars(g, n).select("level", F.col("n").cast("long"),
                                              F.round(100.0 * F.col("n") / F.col("_n"), 4).alias("pct"))
+
+
+def survey_glm(df: DataFrame, y: str, xcols: Sequence[str], d: Design, family: str = "gaussian",
+               keys: Sequence[str] = (), max_iter: int = 25, tol: float = 1e-10) -> DataFrame:
+    """Design-weighted GLM (gaussian, or quasi-binomial logit by IRLS) with the
+    linearisation sandwich: bread = (X' W X)^-1 at the solution, meat from PSU
+    totals of w * x * (y - mu) centred within strata.  Every IRLS step and the
+    meat are grouped aggregates (per ``keys``, e.g. implicate); only K x K
+    matrices per key reach the driver.  Returns keys, term, estimate,
+    std_error, statistic, p_value (t on design df = PSUs - strata - K + 1)."""
+    import numpy as np
+    from ..functions.stats import t_sf2
+    keys = list(keys)
+    spark = df.sparkSession
+    terms = ["(Intercept)", *xcols]
+    K = len(terms)
+    ok = F.col(y).isNotNull()
+    for c in xcols:
+        ok = ok & F.col(c).isNotNull()
+    h, i = _strata_psu(d)
+    x = valid_weights(df, d.weight).where(ok).select(
+        *keys, h.alias("_h"), i.alias("_i"), F.col(d.weight).cast("double").alias("_w"),
+        F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{j + 1}") for j, c in enumerate(xcols)])
+    X = [F.lit(1.0)] + [F.col(f"_x{j}") for j in range(1, K)]
+    key_rows = [tuple(r) for r in x.select(*keys).distinct().collect()] if keys else [()]
+    beta = {kr: np.zeros(K) for kr in key_rows}
+    schema = ", ".join([f"{k} {x.schema[k].dataType.simpleString()}" for k in keys] + [f"_b{j} double" for j in range(K)])
+
+    def with_beta():
+        bt = spark.createDataFrame([(*kr, *map(float, b)) for kr, b in beta.items()], schema)
+        xb = x.join(F.broadcast(bt), keys) if keys else ranks.attach_scalars(x, bt)
+        eta = F.lit(0.0)
+        for j in range(K):
+            eta = eta + X[j] * F.col(f"_b{j}")
+        mu = eta if family == "gaussian" else 1 / (1 + F.exp(-eta))
+        return xb.withColumn("_eta", eta).withColumn("_mu", mu)
+
+    def solve(rows, wcol_sq=True):
+        out = {}
+        for r in rows:
+            kr = tuple(r[k] for k in keys)
+            A = np.zeros((K, K))
+            for a in range(K):
+                for b in range(a, K):
+                    A[a, b] = A[b, a] = r[f"a_{a}_{b}"]
+            out[kr] = (A, np.array([r[f"c_{a}"] for a in range(K)]))
+        return out
+
+    A_final = {}
+    for _ in range(max_iter if family != "gaussian" else 1):
+        xb = with_beta()
+        if family == "gaussian":
+            wt, z = F.col("_w"), F.col("_y")
+        else:
+            v = F.col("_mu") * (1 - F.col("_mu"))
+            wt = F.col("_w") * v
+            z = F.col("_eta") + (F.col("_y") - F.col("_mu")) / v
+        aggs = [F.sum(wt * X[a] * X[b]).alias(f"a_{a}_{b}") for a in range(K) for b in range(a, K)]
+        aggs += [F.sum(wt * X[a] * z).alias(f"c_{a}") for a in range(K)]
+        sol = solve(xb.groupBy(*keys).agg(*aggs).collect())
+        delta = 0.0
+        for kr, (A, c) in sol.items():
+            nb = np.linalg.solve(A, c)
+            delta = max(delta, float(np.max(np.abs(nb - beta[kr]))))
+            beta[kr] = nb
+            A_final[kr] = A
+        if family == "gaussian" or delta < tol:
+            break
+    if family != "gaussian":  # bread at the final coefficients
+        xb = with_beta()
+        v = F.col("_mu") * (1 - F.col("_mu"))
+        aggs = [F.sum(F.col("_w") * v * X[a] * X[b]).alias(f"a_{a}_{b}") for a in range(K) for b in range(a, K)]
+        aggs += [F.lit(0.0).alias(f"c_{a}") for a in range(K)]
+        A_final = {kr: A for kr, (A, _) in solve(xb.groupBy(*keys).agg(*aggs).collect()).items()}
+    xb = with_beta()
+    e = F.col("_y") - F.col("_mu")
+    psu = xb.groupBy(*keys, "_h", "_i").agg(*[F.sum(F.col("_w") * X[a] * e).alias(f"u{a}") for a in range(K)])
+    st = psu.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_nh"),
+                                      *[F.sum(f"u{a}").alias(f"s{a}") for a in range(K)],
+                                      *[F.sum(F.col(f"u{a}") * F.col(f"u{b}")).alias(f"q_{a}_{b}")
+                                        for a in range(K) for b in range(a, K)])
+    nh = F.col("_nh")
+    meat = st.groupBy(*keys).agg(
+        *[F.sum(F.when(nh > 1, nh / (nh - 1) * (F.col(f"q_{a}_{b}") - F.col(f"s{a}") * F.col(f"s{b}") / nh)))
+          .alias(f"m_{a}_{b}") for a in range(K) for b in range(a, K)],
+        F.count(F.lit(1)).alias("_nst"), F.sum("_nh").alias("_npsu"), F.count_if(nh == 1).alias("_single")).collect()
+    rows = []
+    for r in meat:
+        kr = tuple(r[k] for k in keys)
+        M = np.zeros((K, K))
+        for a in range(K):
+            for b in range(a, K):
+                M[a, b] = M[b, a] = r[f"m_{a}_{b}"] or 0.0
+        Ai = np.linalg.inv(A_final[kr])
+        V = Ai @ M @ Ai
+        ddf = max(1, int(r["_npsu"]) - int(r["_nst"]) - K + 1)
+        for a, t in enumerate(terms):
+            se = float(np.sqrt(V[a, a])) if r["_single"] == 0 and V[a, a] >= 0 else float("nan")
+            est = float(beta[kr][a])
+            stat = est / se if se and se == se and se > 0 else float("nan")
+            rows.append((*kr, t, est, se, stat, float(t_sf2(stat, ddf)) if stat == stat else float("nan")))
+    out_schema = ", ".join([f"{k} {x.schema[k].dataType.simpleString()}" for k in keys] +
+                           ["term string", "estimate double", "std_error double", "statistic double", "p_value double"])
+    return spark.createDataFrame(rows, out_schema)

@@ -256,3 +256,32 @@ def q_mi_split_wide(spark, sf):
                                        (F.col("y") + 0.2).alias("y_imp2"), (F.col("y") + 0.3).alias("y_imp3"))
     long = mi.mi_split_wide(s, mi.wide_bases(s.columns))
     return rounded(long.select("o_orderkey", "implicate", "y"))
+
+
+@query("survey_glm_gaussian", f"""WITH s AS ({SURVEY_SQL}),
+m AS (SELECT sum(w) AS sw, sum(w * x) AS swx, sum(w * x * x) AS swxx, sum(w * y) AS swy, sum(w * x * y) AS swxy FROM s),
+b AS (SELECT (swxx * swy - swx * swxy) / (sw * swxx - swx * swx) AS b0,
+             (sw * swxy - swx * swy) / (sw * swxx - swx * swx) AS b1, sw, swx, swxx, sw * swxx - swx * swx AS det FROM m),
+u AS (SELECT stratum, psu, sum(w * (y - b0 - b1 * x)) AS u0, sum(w * x * (y - b0 - b1 * x)) AS u1 FROM s, b GROUP BY 1, 2),
+h AS (SELECT stratum, count(*) AS nh, sum(u0) AS s0, sum(u1) AS s1, sum(u0 * u0) AS q00, sum(u0 * u1) AS q01,
+             sum(u1 * u1) AS q11 FROM u GROUP BY 1),
+mt AS (SELECT sum(nh / (nh - 1) * (q00 - s0 * s0 / nh)) AS m00, sum(nh / (nh - 1) * (q01 - s0 * s1 / nh)) AS m01,
+              sum(nh / (nh - 1) * (q11 - s1 * s1 / nh)) AS m11 FROM h)
+SELECT '(Intercept)' AS term, round(b0, 6) AS estimate,
+       round(sqrt((swxx * swxx * m00 - 2 * swxx * swx * m01 + swx * swx * m11) / (det * det)), 6) AS std_error FROM b, mt
+UNION ALL
+SELECT 'x', round(b1, 6), round(sqrt((swx * swx * m00 - 2 * swx * sw * m01 + sw * sw * m11) / (det * det)), 6) FROM b, mt""")
+def q_survey_glm_gaussian(spark, sf):
+    r = survey.survey_glm(survey_input(spark, sf), "y", ["x"], D, "gaussian")
+    return rounded(r.select("term", "estimate", "std_error"))
+
+
+@query("survey_glm_logit")
+def q_survey_glm_logit(spark, sf):
+    s = survey_input(spark, sf).withColumn("is_f", (F.col("o_orderstatus") == "F").cast("double"))
+    return rounded(survey.survey_glm(s, "is_f", ["y", "x"], D, "binomial"))
+
+
+@query("mi_glm")
+def q_mi_glm(spark, sf):
+    return rounded(mi.mi_glm(mi_input(spark, sf), "y_imp", ["x"], D, "gaussian"))
