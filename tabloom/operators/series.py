@@ -76,6 +76,16 @@ def lag_features(df: DataFrame, value: str, order_cols: Sequence[str], keys: Seq
     return x.where(~F.col("_halo")).drop("_blk", "_halo")
 
 
+def lags_many(df: DataFrame, spec: dict[str, Sequence[int]], order_cols: Sequence[str], keys: Sequence[str] = (),
+              name=lambda col, k: f"{col}__l{k}") -> DataFrame:
+    """Lags of several columns from ONE blocked window pass."""
+    h = max(max(v) for v in spec.values())
+    x = halo_blocks(df, keys, order_cols, h)
+    w = _window(keys, order_cols)
+    x = x.select("*", *[F.lag(F.col(c), k).over(w).alias(name(c, k)) for c, ks in spec.items() for k in ks])
+    return x.where(~F.col("_halo")).drop("_blk", "_halo")
+
+
 def rolling_mean(df: DataFrame, value: str, order_cols: Sequence[str], keys: Sequence[str] = (),
                  k: int = 7, out: str | None = None) -> DataFrame:
     """Trailing mean of the last k rows (NULLs inside skipped); NULL for the

@@ -175,3 +175,35 @@ def q_prophet_prepare(spark, sf):
     e = events_input(spark, sf).select(F.col("ts").cast("date").alias("day"), "value",
                                        F.col("event_id").alias("_ord"))
     return rounded(series.prophet_prepare(e, "day", "value"))
+
+
+@query("arima")
+def q_arima(spark, sf):
+    from ..operators import tsmodels
+    df = monthly_input(spark, sf)
+    m = tsmodels.arima_fit(df, ["series_id"], "month", "y", d=1, max_p=3, max_q=2)
+    return rounded(tsmodels.arima_forecast(df, m, ["series_id"], "month", "y", 12), 2)
+
+
+@query("ets")
+def q_ets(spark, sf):
+    from ..operators import tsmodels
+    df = monthly_input(spark, sf)
+    m = tsmodels.ets_fit(df, ["series_id"], "month", "y", "ANN")
+    return rounded(tsmodels.arima_forecast(df, m, ["series_id"], "month", "y", 12), 2)
+
+
+@query("theta")
+def q_theta(spark, sf):
+    from ..operators import tsmodels
+    return rounded(tsmodels.theta_forecast(monthly_input(spark, sf), ["series_id"], "month", "y", 12), 2)
+
+
+@query("var")
+def q_var(spark, sf):
+    from ..operators import tsmodels
+    wide = monthly_input(spark, sf).groupBy("month").pivot(
+        "series_id", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]).agg(F.first("y"))
+    cols = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    fit = tsmodels.var_fit(wide.na.drop(), "month", cols, 4, "AIC")
+    return rounded(tsmodels.var_forecast(wide.na.drop(), "month", fit, 12), 2)
