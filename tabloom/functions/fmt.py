@@ -45,3 +45,17 @@ def c_round(x: Column, digits: int) -> Column:
 def c_fixed(x: Column, digits: int) -> Column:
     """Text of ``sprintf('%.<digits>f', x)`` with C rounding."""
     return F.format_string(f"%.{digits}f", c_round(x, digits))
+
+
+def c_general(x: Column, sig: int = 6) -> Column:
+    """Text of C ``%g``.  Used only on a few summary values per column (samples,
+    five-number summaries), so an Arrow-batched UDF with Python's C-semantics
+    ``%g`` is cheaper than a very large codegen expression."""
+    fmt = f"%.{sig}g"
+
+    @F.pandas_udf("string")
+    def g(v):
+        import pandas as pd
+        return pd.Series([None if (a is None or a != a) else fmt % a for a in v])
+
+    return g(x.cast("double"))

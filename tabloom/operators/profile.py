@@ -292,3 +292,80 @@ def top_correlated_pairs(pairs: DataFrame, top_n: int = 20) -> DataFrame:
     """cor and abs_cor rounded to 4 dp, sorted by abs desc, first ``top_n``."""
     r = pairs.select("var1", "var2", F.round("cor", 4).alias("cor"), F.round(F.abs("cor"), 4).alias("abs_cor"))
     return r.orderBy(F.desc("abs_cor"), "var1", "var2").limit(top_n)
+
+
+def _labels(df: DataFrame, c: str) -> tuple[str, dict]:
+    md = df.schema[c].metadata or {}
+    return str(md.get("label", "") or ""), dict(md.get("value_labels") or {})
+
+
+def codebook_basic(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """variable, label, class, n_missing, pct_missing, n_unique, value_labels
+    ("code=label; ..." from the schema metadata); one value-count pass."""
+    spark = df.sparkSession
+    columns = columns or df.columns
+    meta = spark.createDataFrame(
+        [(c, _labels(df, c)[0], r_class(df.schema[c].dataType), i,
+          "; ".join(f"{k}={v}" for k, v in _labels(df, c)[1].items())) for i, c in enumerate(columns)],
+        "variable string, label string, class string, ord int, value_labels string")
+    vc = value_counts(df, columns)
+    miss = _missing(F.col("num"), F.col("str"))
+    a = vc.groupBy(F.col("column").alias("variable")).agg(
+        F.coalesce(F.sum(F.when(miss, F.col("cnt"))), F.lit(0)).cast("long").alias("n_missing"),
+        F.sum("cnt").alias("_n"), F.count(F.when(~miss, F.lit(1))).cast("long").alias("n_unique"))
+    out = F.broadcast(meta).join(a, "variable", "left")
+    return out.select("variable", "label", "class", "n_missing",
+                      F.round(100.0 * F.col("n_missing") / F.greatest(F.col("_n"), F.lit(1)), 2).alias("pct_missing"),
+                      "n_unique", "value_labels", "ord").orderBy("ord").drop("ord")
+
+
+def codebook_rich(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """name, type bucket, label, value labels, pct_missing, n_unique, sample
+    (3 smallest distinct values joined ' | ', cut at 80 characters) and a
+    summary: numeric five-number summary in %g, or the top-3 'level=count'."""
+    from ..functions.fmt import c_general
+    spark = df.sparkSession
+    columns = columns or df.columns
+    bucket = {"numeric": "numeric", "logical": "logical", "date": "date", "timestamp": "datetime",
+              "string": "character"}
+    rows = []
+    for i, c in enumerate(columns):
+        lab, vl = _labels(df, c)
+        k = kind(df.schema[c].dataType)
+        rows.append((c, "labelled" if vl else bucket.get(k, k), lab, len(vl),
+                     "; ".join(f"{a} = {b}" for a, b in vl.items()), i, k == "numeric"))
+    meta = spark.createDataFrame(rows, "name string, type string, label string, n_value_labels int, "
+                                       "value_labels_str string, ord int, _isnum boolean")
+    vc = value_counts(df, columns).checkpoint(eager=True)
+    miss = _missing(F.col("num"), F.col("str"))
+    a = vc.groupBy(F.col("column").alias("name")).agg(
+        F.round(100.0 * F.coalesce(F.sum(F.when(miss, F.col("cnt"))), F.lit(0)) / F.sum("cnt"), 2).alias("pct_missing"),
+        F.count(F.when(~miss, F.lit(1))).cast("int").alias("n_unique"))
+    present = vc.where(~miss)
+    # pick the 3 values first, format only those
+    top = ranks.top_k_per_group(present.select("column", "num", "str"), ["column"],
+                                [F.col("num").asc_nulls_last(), F.col("str").asc_nulls_last()], 3)
+    top = top.withColumn("_txt", F.coalesce(F.col("str"), c_general(F.col("num"))))
+    samp = top.groupBy(F.col("column").alias("name")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_rank", "_txt"))), lambda s: s["_txt"]), " | ").alias("_s"))
+    samp = samp.select("name", F.when(F.length("_s") > 80, F.concat(F.substring("_s", 1, 77), F.lit("...")))
+                       .otherwise(F.col("_s")).alias("sample"))
+    nums = present.where(F.col("num").isNotNull())
+    q = ranks.quantile_map(ranks.native_quantiles(nums, ["column"], "num", "cnt", [0.0, 0.25, 0.5, 0.75, 1.0]),
+                           ["column"], {0.0: "q0", 0.25: "q1", 0.5: "q2", 0.75: "q3", 1.0: "q4"})
+    numsum = q.select(F.col("column").alias("name"), F.concat(
+        F.lit("min="), c_general(F.col("q0")), F.lit(" · Q25="), c_general(F.col("q1")), F.lit(" · med="),
+        c_general(F.col("q2")), F.lit(" · Q75="), c_general(F.col("q3")), F.lit(" · max="), c_general(F.col("q4"))
+    ).alias("_num_summary"))
+    cats = present.where(F.col("str").isNotNull())
+    t3 = ranks.top_k_per_group(cats.select("column", "str", "cnt"), ["column"], [F.desc("cnt"), F.asc("str")], 3)
+    catsum = t3.groupBy(F.col("column").alias("name")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_rank", F.concat(F.col("str"), F.lit("="), F.col("cnt").cast("string")).alias("t")))),
+        lambda s: s["t"]), "; ").alias("_cat_summary"))
+    out = (F.broadcast(meta).join(a, "name", "left").join(samp, "name", "left")
+           .join(numsum, "name", "left").join(catsum, "name", "left"))
+    summ = F.when(F.col("_isnum"), F.coalesce(F.col("_num_summary"), F.lit(""))).when(
+        F.col("type") == "character", F.coalesce(F.col("_cat_summary"), F.lit(""))).otherwise(F.lit(""))
+    return out.select("name", "type", "label", "n_value_labels", "value_labels_str", "pct_missing", "n_unique",
+                      F.coalesce(F.col("sample"), F.lit("")).alias("sample"), summ.alias("summary"),
+                      "ord").orderBy("ord").drop("ord")

@@ -222,3 +222,44 @@ def q_detect_task_type(spark, sf):
         "n_chars", (F.col("quality").cast("double") / 2).alias("half_quality"),
         F.when(F.col("quality") == 1, "good").otherwise("bad").alias("quality_label"), "lang", "toxic")
     return detect.detect_task_types(l, ["n_chars", "half_quality", "quality_label", "lang", "toxic"])
+
+
+def _codebook_basic_sql() -> str:
+    parts = [f"""SELECT '{n}' AS variable, '' AS label, '{cls}' AS class, CAST(count(*) - count({n}) AS BIGINT) AS n_missing,
+       round(100.0 * (count(*) - count({n})) / greatest(count(*), 1), 2) AS pct_missing,
+       CAST(count(DISTINCT {n}) AS BIGINT) AS n_unique, '' AS value_labels FROM t""" for n, cls, _ in inputs.PROFILE_COLUMNS]
+    return f"WITH t AS ({inputs.PROFILE_INPUT_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("codebook_basic", _codebook_basic_sql())
+def q_codebook_basic(spark, sf):
+    return profile.codebook_basic(inputs.profile_input(spark, sf))
+
+
+def _codebook_rich_sql() -> str:
+    parts = []
+    for n, cls, is_num in inputs.PROFILE_COLUMNS:
+        typ = "numeric" if is_num else ("datetime" if cls.startswith("POSIX") else "character")
+        txt = f"printf('%g', CAST({n} AS DOUBLE))" if is_num else f"CAST({n} AS VARCHAR)"
+        order = f"CAST({n} AS DOUBLE)" if is_num else f"CAST({n} AS VARCHAR)"
+        if is_num:
+            summ = (f"(SELECT printf('min=%g · Q25=%g · med=%g · Q75=%g · max=%g', quantile_cont({n}, 0.0), "
+                    f"quantile_cont({n}, 0.25), quantile_cont({n}, 0.5), quantile_cont({n}, 0.75), "
+                    f"quantile_cont({n}, 1.0)) FROM t)")
+        elif typ == "character":
+            summ = (f"coalesce((SELECT string_agg(l || '=' || CAST(c AS VARCHAR), '; ' ORDER BY c DESC, l) FROM "
+                    f"(SELECT {n} AS l, count(*) AS c FROM t WHERE {n} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)), '')")
+        else:
+            summ = "''"
+        parts.append(f"""SELECT '{n}' AS name, '{typ}' AS type, '' AS label, 0 AS n_value_labels, '' AS value_labels_str,
+       round(100.0 * (count(*) - count({n})) / count(*), 2) AS pct_missing, CAST(count(DISTINCT {n}) AS INTEGER) AS n_unique,
+       coalesce((SELECT CASE WHEN length(s) > 80 THEN substr(s, 1, 77) || '...' ELSE s END FROM
+                 (SELECT string_agg(v, ' | ' ORDER BY o) AS s FROM (SELECT DISTINCT {txt} AS v, {order} AS o FROM t
+                  WHERE {n} IS NOT NULL ORDER BY o LIMIT 3))), '') AS sample,
+       {summ} AS summary FROM t""")
+    return f"WITH t AS ({inputs.PROFILE_INPUT_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("codebook_rich", _codebook_rich_sql())
+def q_codebook_rich(spark, sf):
+    return profile.codebook_rich(inputs.profile_input(spark, sf))
