@@ -136,3 +136,50 @@ def prediction_frame(df: DataFrame, idx: str, actual: str, predicted: str,
                      (F.col(actual) - F.col(predicted)).cast("double").alias("residual"),
                      (F.col(lower) if lower else F.lit(None)).cast("double").alias("lower"),
                      (F.col(upper) if upper else F.lit(None)).cast("double").alias("upper"))
+
+
+def qq_points(df: DataFrame, value: str, tie_col: str) -> DataFrame:
+    """Normal Q-Q pairs: the i-th smallest value against qnorm(ppoints(n)[i]),
+    ppoints a = 3/8 for n <= 10 else 1/2.  Positions come from the bucketed
+    row index, the quantile from the JVM inverse-normal expression."""
+    from ..functions.stats import inv_norm_cdf
+    from .series import row_index
+    x = df.where(F.col(value).isNotNull())
+    n = x.count()
+    a = 3.0 / 8 if n <= 10 else 0.5
+    r = row_index(x.select(value, tie_col), value, tie_col)
+    p = (F.col("_row") - a) / (n + 1 - 2 * a)
+    return r.select(F.col("_row").alias("i"), F.col(value).cast("double").alias("sample"),
+                    inv_norm_cdf(p).alias("theoretical"))
+
+
+def bootstrap_refit_lm(df: DataFrame, y: str, xcols, key: str, reps: int = 20, seed: int = 42) -> DataFrame:
+    """Re-fit a linear model on Poisson-weighted resamples (one grouped moment
+    aggregate over the exploded replicate id) and score each replicate's RMSE
+    on the full data; returns per-replicate coefficients and RMSE."""
+    import numpy as np
+    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in xcols]
+    k = len(xs)
+    rep = df.select(*[F.col(c) for c in [y, *xcols, key]]).withColumn(
+        "_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    rep = rep.withColumn("_pw", poisson1_weight(F.col(key), F.col("_rep"), F.lit(seed)).cast("double"))
+    cols = xs + [F.col(y).cast("double")]
+    aggs = [F.sum(F.col("_pw") * cols[i] * cols[j]).alias(f"m_{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+    rows = rep.groupBy("_rep").agg(*aggs).collect()          # reps rows of (k+1)^2 sums
+    coefs = []
+    for r in rows:
+        M = np.zeros((k + 1, k + 1))
+        for i in range(k + 1):
+            for j in range(i, k + 1):
+                M[i, j] = M[j, i] = r[f"m_{i}_{j}"]
+        coefs.append((int(r["_rep"]), np.linalg.lstsq(M[:k, :k], M[:k, k], rcond=None)[0]))
+    spark = df.sparkSession
+    bt = spark.createDataFrame([(rp, *map(float, b)) for rp, b in coefs],
+                               "_rep int, " + ", ".join(f"_b{j} double" for j in range(k)))
+    pred = F.lit(0.0)
+    for j in range(k):
+        pred = pred + xs[j] * F.col(f"_b{j}")
+    # replicate coefficients: reps rows, broadcast; rows x reps scored with map-side combine
+    sc = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).join(F.broadcast(bt), "_rep")
+    err = sc.groupBy("_rep").agg(F.sqrt(F.avg(F.pow(F.col(y) - pred, 2))).alias("rmse"))
+    return err.join(bt, "_rep").withColumnRenamed("_rep", "rep")

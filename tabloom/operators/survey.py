@@ -408,3 +408,43 @@ def survey_glm(df: DataFrame, y: str, xcols: Sequence[str], d: Design, family: s
     out_schema = ", ".join([f"{k} {x.schema[k].dataType.simpleString()}" for k in keys] +
                            ["term string", "estimate double", "std_error double", "statistic double", "p_value double"])
     return spark.createDataFrame(rows, out_schema)
+
+
+def hadamard(n: int):
+    """Sylvester Hadamard matrix of the smallest power-of-two order >= n:
+    entry (r, s) = (-1)^popcount(r & s)."""
+    m = 1
+    while m < n:
+        m *= 2
+    return [[-1 if bin(r & s).count("1") % 2 else 1 for s in range(m)] for r in range(m)]
+
+
+def brr_mean(df: DataFrame, y: str, d: Design, rho: float = 0.0) -> DataFrame:
+    """Balanced repeated replication (Fay when rho > 0) for designs with exactly
+    two PSUs per stratum: the PSU table (one pass) gets Hadamard half-sample
+    multipliers 2 - rho / rho; V = sum (theta_r - theta)^2 / (R (1 - rho)^2)."""
+    x = valid_weights(df, d.weight).where(F.col(y).isNotNull())
+    h, i = _strata_psu(d)
+    w, yy = F.col(d.weight).cast("double"), F.col(y).cast("double")
+    psu = x.groupBy(h.alias("_h"), i.alias("_i")).agg(F.sum(w * yy).alias("_T"), F.sum(w).alias("_W"))
+    strata = [r["_h"] for r in psu.groupBy("_h").agg(F.count(F.lit(1)).alias("c")).orderBy("_h").collect()]
+    counts = {r["_h"]: r["c"] for r in psu.groupBy("_h").agg(F.count(F.lit(1)).alias("c")).collect()}
+    if any(c != 2 for c in counts.values()):
+        raise ValueError("BRR/Fay replicates need exactly two PSUs per stratum")
+    H = hadamard(len(strata) + 1)
+    R = len(H)
+    spark = df.sparkSession
+    # (stratum, first/second PSU, replicate) multipliers: strata x 2 x R rows
+    rows = [(s, side, r + 1, (2 - rho) if H[r][j + 1] * (1 if side == 0 else -1) > 0 else rho)
+            for j, s in enumerate(strata) for side in (0, 1) for r in range(R)]
+    mult = spark.createDataFrame(rows, "_h string, _side int, rep int, mult double")
+    from pyspark.sql import Window
+    psu = psu.withColumn("_side", F.row_number().over(Window.partitionBy("_h").orderBy("_i")) - 1)
+    th = psu.join(F.broadcast(mult), ["_h", "_side"]).groupBy("rep").agg(
+        (F.sum(F.col("mult") * F.col("_T")) / F.sum(F.col("mult") * F.col("_W"))).alias("theta_r"))
+    full = psu.agg((F.sum("_T") / F.sum("_W")).alias("mean"))
+    j = ranks.attach_scalars(th, full)
+    v = j.groupBy().agg(F.first("mean").alias("mean"),
+                        (F.sum(F.pow(F.col("theta_r") - F.col("mean"), 2)) / (R * (1 - rho) ** 2)).alias("_v"),
+                        F.count(F.lit(1)).alias("R"))
+    return v.select("mean", F.sqrt("_v").alias("se"), F.col("R").cast("long"))

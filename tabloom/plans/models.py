@@ -241,3 +241,91 @@ def q_ipw(spark, sf):
     ps = m.transform(asm.transform(d)).withColumnRenamed("prediction", "ps")
     return rounded(validation.ipw_estimate(ps, "y", "treat", "ps", "ATE").unionByName(
         validation.ipw_estimate(ps, "y", "treat", "ps", "ATT")))
+
+
+@query("top_k_importance", """
+SELECT feature, importance FROM (
+  SELECT 'l_quantity' AS feature, round(abs(corr(l_quantity, l_extendedprice)), 6) AS importance FROM lineitem
+  UNION ALL SELECT 'l_discount', round(abs(corr(l_discount, l_extendedprice)), 6) FROM lineitem
+  UNION ALL SELECT 'l_tax', round(abs(corr(l_tax, l_extendedprice)), 6) FROM lineitem
+  UNION ALL SELECT 'l_linenumber', round(abs(corr(l_linenumber, l_extendedprice)), 6) FROM lineitem)
+ORDER BY importance DESC LIMIT 2""")
+def q_top_k_importance(spark, sf):
+    imp = validation.pearson_importance(_lineitem(spark, sf), "l_extendedprice",
+                                        ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
+    return rounded(imp).orderBy(F.desc("importance")).limit(2)
+
+
+@query("qq_points")
+def q_qq_points(spark, sf):
+    from ..operators import metrics
+    from .evaluate import preds
+    r = preds(spark, sf).withColumn("residual", F.col("actual") - F.col("predicted"))
+    return rounded(metrics.qq_points(r, "residual", "idx"))
+
+
+@query("bootstrap_refit")
+def q_bootstrap_refit(spark, sf):
+    from ..operators import metrics
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return rounded(metrics.bootstrap_refit_lm(li, "l_extendedprice", ["l_quantity", "l_discount"], "idx", 20))
+
+
+@query("negbin")
+def q_negbin(spark, sf):
+    li = _lineitem(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"),
+                                                       (F.sum("l_extendedprice") / 1e5).alias("value"))
+    r = models.negbin_fit(li, "n_lines", ["value"])
+    rows = [(t, float(b), float(s), float(r["theta"])) for t, b, s in zip(r["terms"], r["coef"], r["se"])]
+    return rounded(spark.createDataFrame(rows, "term string, estimate double, std_error double, theta double"))
+
+
+@query("builtin_importance")
+def q_builtin_importance(spark, sf):
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    m, _ = models.fit_model(_lineitem(spark, sf), "ranger_reg", "l_extendedprice", feats,
+                            {"num_trees": 20, "max_depth": 5})
+    return rounded(spark.createDataFrame(models.feature_importance(m, feats), "feature string, importance double"))
+
+
+@query("model_presets")
+def q_model_presets(spark, sf):
+    from ..operators import metrics
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    sp = validation.holdout_split(li, "idx", 0.8)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    out = None
+    for i, params in enumerate(models.preset_grid("glmnet_reg", "aggressive")):
+        m, asm = models.fit_model(sp.where(F.col("split") == "train"), "glmnet_reg", "l_extendedprice", feats, params)
+        met = metrics.regression_metrics(m.transform(asm.transform(sp.where(F.col("split") == "test"))),
+                                         "l_extendedprice", "prediction").select(
+            F.lit(i + 1).alias("candidate"), F.lit(str(params)).alias("params"), "rmse", "r2")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+@query("train_run")
+def q_train_run(spark, sf):
+    """split -> fit -> predict -> metrics -> append run and predictions to the
+    registry (shared folder) -> read the stored run back."""
+    import json
+    import uuid
+    from ..operators import metrics, registry
+    root = registry.registry_path(spark) + f"/train_{uuid.uuid4().hex}"
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    sp = validation.holdout_split(li, "idx", 0.8)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    m, asm = models.fit_model(sp.where(F.col("split") == "train"), "lm", "l_extendedprice", feats)
+    pred = m.transform(asm.transform(sp.where(F.col("split") == "test")))
+    met = metrics.regression_metrics(pred, "l_extendedprice", "prediction").first().asDict()
+    run = spark.createDataFrame([(1, 1, "lm", "regression", json.dumps({"features": feats}),
+                                  json.dumps({k: met[k] for k in ("rmse", "mae", "mape", "r2")}), None, None, "ok", "")],
+                                "id long, dataset_id long, model_id string, task_type string, params_json string, "
+                                "metrics_json string, horizon int, duration_sec double, status string, notes string")
+    registry.append_rows(run, root, "runs")
+    registry.append_rows(pred.select(F.lit(1).cast("long").alias("run_id"), "idx",
+                                     F.col("l_extendedprice").alias("actual"), F.col("prediction").alias("predicted")),
+                         root, "predictions")
+    runs = registry.read_table(spark, root, "runs")
+    n_pred = registry.read_table(spark, root, "predictions").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_predictions"))
+    return runs.join(n_pred, runs.id == n_pred.run_id).select("id", "model_id", "metrics_json", "n_predictions")

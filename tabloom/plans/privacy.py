@@ -119,3 +119,18 @@ def q_pseudonymize(spark, sf):
     df = pii_input(spark, sf)
     scan = [r.asDict() for r in privacy.privacy_scan(df).collect()]
     return privacy.pseudonymize(df, scan)
+
+
+@query("privacy_audit_log")
+def q_privacy_audit_log(spark, sf):
+    """Append one audit event per flagged column to the append-only log, then
+    read the latest 200 events."""
+    import uuid
+    from ..operators import registry
+    root = registry.registry_path(spark) + f"/audit_{uuid.uuid4().hex}"
+    scan = privacy.privacy_scan(pii_input(spark, sf)).where(F.col("severity") != "OK")
+    events = scan.select(F.lit(1).cast("long").alias("dataset_id"), F.lit("scan").alias("action"),
+                         F.concat_ws(":", "column", "severity").alias("scope"))
+    registry.append_rows(events, root, "privacy_log")
+    log = registry.read_table(spark, root, "privacy_log")
+    return log.orderBy(F.desc("created_at"), "scope").limit(200).select("dataset_id", "action", "scope")

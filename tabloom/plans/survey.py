@@ -285,3 +285,29 @@ def q_survey_glm_logit(spark, sf):
 @query("mi_glm")
 def q_mi_glm(spark, sf):
     return rounded(mi.mi_glm(mi_input(spark, sf), "y_imp", ["x"], D, "gaussian"))
+
+
+def _brr_sql(rho: float) -> str:
+    return f"""WITH s AS ({SURVEY_SQL}),
+p AS (SELECT stratum, o_custkey % 2 AS psu2, sum(w * y) AS T, sum(w) AS W FROM s GROUP BY 1, 2),
+ps AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CAST(psu2 AS VARCHAR)) - 1 AS side,
+              dense_rank() OVER (ORDER BY stratum) AS j FROM p),
+r AS (SELECT unnest(range(0, 8)) AS r),
+m AS (SELECT r, T, W, CASE WHEN (CASE WHEN bit_count(CAST(r AS BIGINT) & CAST(j AS BIGINT)) % 2 = 1 THEN -1 ELSE 1 END)
+                                * (CASE WHEN side = 0 THEN 1 ELSE -1 END) > 0 THEN 2 - {rho} ELSE {rho} END AS mult FROM ps, r),
+th AS (SELECT r, sum(mult * T) / sum(mult * W) AS th FROM m GROUP BY r),
+f AS (SELECT sum(T) / sum(W) AS mean FROM p)
+SELECT round(mean, 6) AS mean, round(sqrt(sum((th - mean) * (th - mean)) / (8 * power(1 - {rho}, 2))), 6) AS se,
+       CAST(8 AS BIGINT) AS R FROM th, f GROUP BY mean"""
+
+
+@query("make_replicates_brr", _brr_sql(0.0))
+def q_brr(spark, sf):
+    s = survey_input(spark, sf).withColumn("psu2", F.col("o_custkey") % 2)
+    return rounded(survey.brr_mean(s, "y", Design("w", "stratum", "psu2"), 0.0))
+
+
+@query("make_replicates_fay", _brr_sql(0.5))
+def q_fay(spark, sf):
+    s = survey_input(spark, sf).withColumn("psu2", F.col("o_custkey") % 2)
+    return rounded(survey.brr_mean(s, "y", Design("w", "stratum", "psu2"), 0.5))
