@@ -253,7 +253,7 @@ def _rf_cls(p):
 
 def _gbt_reg(p):
     _, R = _ml()
-    return R.GBTRegressor(maxIter=int(p.get("nrounds", p.get("num_iterations", 200))),
+    return R.GBTRegressor(maxIter=int(p.get("nrounds", p.get("num_iterations", p.get("iterations", 200)))),
                           stepSize=float(p.get("eta", p.get("learning_rate", 0.1))),
                           maxDepth=int(p.get("max_depth", 6)) if int(p.get("max_depth", 6)) > 0 else 6,
                           subsamplingRate=float(p.get("subsample", p.get("bagging_fraction", 0.9))),
@@ -261,6 +261,12 @@ def _gbt_reg(p):
                           seed=42)
 
 
+def _gbt_multi(p):
+    """Multiclass boosting: one-vs-rest over binary boosted trees."""
+    C, _ = _ml()
+    return C.OneVsRest(classifier=_gbt_cls(p))
+
+
 def _gbt_cls(p):
     C, _ = _ml()
     return C.GBTClassifier(maxIter=int(p.get("nrounds", p.get("num_iterations", 200))),
@@ -430,3 +436,57 @@ def feature_importance(model, features: Sequence[str]):
         t = model.summary.tValues
         return list(zip(features, [abs(float(v)) for v in t[:len(features)]]))
     return [(f, float("nan")) for f in features]
+
+
+# ----------------------------------------------------------------- GAM
+
+def gam_fit(df: DataFrame, y: str, xcols: Sequence[str], k: int = 10,
+            lambdas: Sequence[float] | None = None) -> dict:
+    """Additive model: each predictor gets a cubic truncated-power spline basis
+    with k-4 interior knots at its exact quantiles (standardised first); the
+    knot terms are ridge-penalised and lambda is chosen by GCV.  The fit is one
+    cross-moment aggregate; GCV for every lambda is computed from the moments
+    (trace of the hat matrix = tr((X'X + lambda P)^-1 X'X))."""
+    from ..operators.recipe import exact_quantile_values
+    lambdas = list(lambdas) if lambdas else [10.0 ** e for e in range(-6, 5)]
+    st = df.agg(*[a for c in xcols for a in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
+    zc = {c: (F.col(c).cast("double") - st[f"m_{c}"]) / (st[f"s_{c}"] or 1.0) for c in xcols}
+    nk = max(k - 4, 0)
+    probs = [(j + 1) / (nk + 1) for j in range(nk)]
+    zdf = df.select(*[zc[c].alias(c) for c in xcols], F.col(y).cast("double").alias("_y"))
+    q = exact_quantile_values(zdf, list(xcols), probs) if nk else {c: [] for c in xcols}
+    cols, names, pen = [F.lit(1.0)], ["(Intercept)"], [0.0]
+    for c in xcols:
+        z = F.col(c)
+        cols += [z, z * z, z * z * z]
+        names += [f"{c}", f"{c}^2", f"{c}^3"]
+        pen += [0.0, 0.0, 0.0]
+        for j, kn in enumerate(sorted(set(v for v in q[c] if v is not None))):
+            cols.append(F.pow(F.greatest(z - F.lit(kn), F.lit(0.0)), 3))
+            names.append(f"{c}_knot{j + 1}")
+            pen.append(1.0)
+    ok = F.col("_y").isNotNull()
+    for c in xcols:
+        ok = ok & F.col(c).isNotNull()
+    allc = cols + [F.col("_y")]
+    row = zdf.where(ok).agg(F.count(F.lit(1)).alias("_n"),
+                            *[F.sum(allc[i] * allc[j]).alias(f"m_{i}_{j}") for i in range(len(allc))
+                              for j in range(i, len(allc))]).first().asDict()
+    K = len(cols)
+    M = _matrix(row, K + 1)
+    XX, Xy, yy = M[:K, :K], M[:K, K], M[K, K]
+    n = int(row["_n"])
+    P = np.diag(pen)
+    scale = np.trace(XX) / K
+    best = None
+    for lam in lambdas:
+        A = XX + lam * scale * P
+        b = np.linalg.solve(A, Xy)
+        ssr = float(yy - 2 * b @ Xy + b @ XX @ b)
+        edf = float(np.trace(np.linalg.solve(A, XX)))
+        gcv = n * ssr / (n - edf) ** 2 if n > edf else math.inf
+        if best is None or gcv < best[0]:
+            best = (gcv, lam, b, edf, ssr)
+    gcv, lam, b, edf, ssr = best
+    return {"terms": names, "coef": b.tolist(), "lambda": lam, "edf": edf, "gcv": gcv, "sigma2": ssr / max(n - edf, 1),
+            "n": n, "columns": cols, "standardise": {c: (st[f"m_{c}"], st[f"s_{c}"]) for c in xcols}}

@@ -64,6 +64,9 @@ def arima_fit(df: DataFrame, keys: Sequence[str], order_col: str, value: str, d:
     x = _diff(df, keys, order_col, value, d)
     # stage 1: long AR(m) on the differenced series
     x = series.lag_features(x, "_w", [order_col], keys, list(range(1, m + 1)), prefix="_a")
+    # the lagged design feeds both stage-1 moments and the residual pass:
+    # materialise it once in the shared checkpoint folder (cuts the lineage)
+    x = x.checkpoint(eager=True)
     c1 = [F.lit(1.0)] + [F.col(f"_a{j}") for j in range(1, m + 1)] + [F.col("_w")]
     ok1 = F.col("_w").isNotNull()
     for j in range(1, m + 1):
@@ -288,3 +291,270 @@ def var_forecast(df: DataFrame, order_col: str, fit: dict, h: int = 12) -> DataF
             se = math.sqrt(max(cov[k, k], 0.0))
             rows.append((name, s + 1, float(preds[s][k]), float(preds[s][k] - Z975 * se), float(preds[s][k] + Z975 * se)))
     return df.sparkSession.createDataFrame(rows, "series_id string, step int, predicted double, lower double, upper double")
+
+
+# ----------------------------------------------------------------- decomposition
+
+def decompose(df: DataFrame, keys: Sequence[str], order_col: str, value: str, m: int = 12) -> DataFrame:
+    """Classical additive decomposition per series: centred moving average of
+    order m (2 x m for even m) as trend, seasonal means of the detrended values
+    by position mod m centred to sum zero, remainder.  Positions come from
+    block-offset running counts; the centred window is evaluated at its last
+    row (a trailing window in a blocked pass) and joined back by position."""
+    keys = list(keys)
+    x = running_totals(df.select(*keys, order_col, F.col(value).cast("double").alias("_y")), keys, [order_col], "_y")
+    x = x.withColumnRenamed("cum_n", "pos").drop("cum_sum")
+    half = m // 2
+    span = m if m % 2 == 0 else m - 1          # rows before the window's last row
+    hb = series.halo_blocks(x, keys, [order_col], span)
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys, "_blk").orderBy(order_col).rowsBetween(-span, 0)
+    wl = Window.partitionBy(*keys, "_blk").orderBy(order_col)
+    if m % 2 == 0:
+        tr = (F.sum("_y").over(w) - 0.5 * F.lag("_y", span).over(wl) - 0.5 * F.col("_y")) / m
+    else:
+        tr = F.avg("_y").over(w)
+    hb = hb.withColumn("_tr", F.when(F.count(F.lit(1)).over(w) == span + 1, tr))
+    trend = hb.where(~F.col("_halo") & F.col("_tr").isNotNull()).select(
+        *keys, (F.col("pos") - half).alias("pos"), F.col("_tr").alias("trend"))
+    y = x.join(trend, [*keys, "pos"], "left").withColumn("season", ((F.col("pos") - 1) % m).cast("int"))
+    s = (y.where(F.col("trend").isNotNull()).groupBy(*keys, "season")
+         .agg(F.avg(F.col("_y") - F.col("trend")).alias("_s")))
+    from pyspark.sql import Window as W2
+    s = s.withColumn("seasonal", F.col("_s") - F.avg("_s").over(W2.partitionBy(*keys))).drop("_s")
+    out = y.join(s, [*keys, "season"], "left")
+    return out.select(*keys, order_col, "pos", "season", F.col("_y").alias(value), "trend", "seasonal",
+                      (F.col("_y") - F.col("trend") - F.col("seasonal")).alias("remainder"))
+
+
+def stl_arima_forecast(df: DataFrame, keys: Sequence[str], order_col: str, value: str, m: int = 12,
+                       h: int = 12) -> DataFrame:
+    """Forecast the seasonally adjusted series with ARIMA, then add back the
+    seasonal index of each future position."""
+    keys = list(keys)
+    n_min = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    m = int(series.ts_frequency_guard(m, n_min))
+    if m < 2:
+        raise ValueError("stl_arima needs a seasonal frequency of at least 2")
+    dec = decompose(df, keys, order_col, value, m).checkpoint(eager=True)
+    adj = dec.select(*keys, order_col, (F.col(value) - F.col("seasonal")).alias("_adj"))
+    model = arima_fit(adj, keys, order_col, "_adj", d=1, max_p=2, max_q=1)
+    f = arima_forecast(adj, model, keys, order_col, "_adj", h)
+    last = dec.groupBy(*keys).agg(F.max("pos").alias("_n"))
+    seas = dec.select(*keys, "season", "seasonal").distinct()
+    x = f.join(last, keys) if keys else ranks.attach_scalars(f, last)
+    x = x.withColumn("season", ((F.col("_n") + F.col("step") - 1) % m).cast("int")).join(seas, [*keys, "season"])
+    return x.select(*keys, "step", (F.col("predicted") + F.col("seasonal")).alias("predicted"),
+                    (F.col("lower") + F.col("seasonal")).alias("lower"), (F.col("upper") + F.col("seasonal")).alias("upper"))
+
+
+# ----------------------------------------------------------------- system models
+
+def _system_moments(df: DataFrame, order_col: str, cols: Sequence[str], p: int):
+    """One aggregate: cross moments of [1, lags 1..p of every series, series]."""
+    x = df.select(order_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    x = series.lags_many(x, {c: list(range(1, p + 1)) for c in cols}, [order_col], [])
+    lagc = [f"{c}__l{j}" for j in range(1, p + 1) for c in cols]
+    ok = F.lit(True)
+    for c in lagc + list(cols):
+        ok = ok & F.col(c).isNotNull()
+    allc = [F.lit(1.0)] + [F.col(c) for c in lagc] + [F.col(c) for c in cols]
+    r = x.where(ok).agg(F.count(F.lit(1)).alias("_n"), *_moment_cols(allc)).first().asDict()
+    return int(r["_n"]), _mat(r, len(allc))
+
+
+def bvar_fit(df: DataFrame, order_col: str, cols: Sequence[str], p: int = 4, lam: float = 0.2,
+             cross: float = 0.5) -> dict:
+    """VAR(p) with a Minnesota prior (own first lag 1, others 0; prior sd
+    lam / l for own lags, lam * cross * s_i / (l s_j) for other series, a flat
+    constant); the conjugate posterior mean per equation comes from the same
+    cross moments as the VAR (no MCMC; lambda fixed)."""
+    cols = list(cols)
+    K = len(cols)
+    T, M = _system_moments(df, order_col, cols, p)
+    nx = 1 + K * p
+    XX, XY = M[:nx, :nx], M[:nx, nx:]
+    YY = M[nx:, nx:]
+    # univariate AR(1) residual scales s_i from the same moments
+    s = []
+    for i in range(K):
+        idx = [0, 1 + i]
+        b = np.linalg.lstsq(XX[np.ix_(idx, idx)], XY[idx, i], rcond=None)[0]
+        ssr = YY[i, i] - 2 * b @ XY[idx, i] + b @ XX[np.ix_(idx, idx)] @ b
+        s.append(math.sqrt(max(ssr / max(T - 2, 1), 1e-12)))
+    B = np.zeros((nx, K))
+    for i in range(K):
+        prior_mean = np.zeros(nx)
+        prior_var = np.zeros(nx)
+        prior_var[0] = 1e6 * s[i] ** 2
+        for lag in range(1, p + 1):
+            for j in range(K):
+                col = 1 + (lag - 1) * K + j
+                sd = lam / lag if j == i else lam * cross * s[i] / (lag * s[j])
+                prior_var[col] = sd ** 2
+                if j == i and lag == 1:
+                    prior_mean[col] = 1.0
+        Vinv = np.diag(1 / prior_var)
+        A = XX / s[i] ** 2 + Vinv
+        B[:, i] = np.linalg.solve(A, XY[:, i] / s[i] ** 2 + Vinv @ prior_mean)
+    S = (YY - B.T @ XY - XY.T @ B + B.T @ XX @ B) / max(T - nx, 1)
+    return {"p": p, "coef": B, "sigma": S, "cols": cols, "trend": "const", "n": T, "det": 1}
+
+
+def dfm_forecast(df: DataFrame, order_col: str, cols: Sequence[str], r: int = 2, p: int = 1, h: int = 12) -> DataFrame:
+    """Two-step dynamic factor model: principal-component factors of the
+    standardised system (covariance from one aggregate), VAR(p) on the
+    factors, forecasts mapped back through the loadings."""
+    cols = list(cols)
+    st = df.agg(*[a for c in cols for a in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
+    z = {c: (F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"] for c in cols}
+    row = df.agg(*_moment_cols([z[c] for c in cols]), F.count(F.lit(1)).alias("_n")).first().asDict()
+    C = _mat(row, len(cols)) / (row["_n"] - 1)
+    val, vec = np.linalg.eigh(C)
+    order = np.argsort(val)[::-1][:r]
+    L = vec[:, order]
+    for j in range(r):
+        if L[np.argmax(np.abs(L[:, j])), j] < 0:
+            L[:, j] = -L[:, j]
+    fac = df.select(order_col, *[sum((z[c] * float(L[i, j]) for i, c in enumerate(cols)), F.lit(0.0)).alias(f"f{j + 1}")
+                                 for j in range(r)])
+    fit = var_fit(fac, order_col, [f"f{j + 1}" for j in range(r)], max_p=p)
+    ff = var_forecast(fac, order_col, fit, h).collect()
+    fmat = {}
+    for rr in ff:
+        fmat.setdefault(rr["step"], {})[rr["series_id"]] = rr["predicted"]
+    rows = []
+    for step in sorted(fmat):
+        f = np.array([fmat[step][f"f{j + 1}"] for j in range(r)])
+        for i, c in enumerate(cols):
+            rows.append((c, step, float(st[f"m_{c}"] + st[f"s_{c}"] * (L[i, :] @ f))))
+    return df.sparkSession.createDataFrame(rows, "series_id string, step int, predicted double")
+
+
+def vecm_fit(df: DataFrame, order_col: str, cols: Sequence[str], k: int = 2, r: int = 1) -> dict:
+    """Johansen reduced-rank regression.  Delta y_t, y_(t-1) and the k-1 lagged
+    differences (+ constant) come from one cross-moment aggregate; the
+    partialled moments S00, S01, S11 (Frisch-Waugh) give the eigenproblem.
+    Returns beta (cointegrating vectors), alpha, Gamma, trace statistics."""
+    cols = list(cols)
+    K = len(cols)
+    x = df.select(order_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    x = series.lags_many(x, {c: list(range(1, k + 1)) for c in cols}, [order_col], [])
+    d0 = [F.col(c) - F.col(f"{c}__l1") for c in cols]                                   # delta y_t
+    y1 = [F.col(f"{c}__l1") for c in cols]                                               # y_(t-1)
+    dl = [F.col(f"{c}__l{j}") - F.col(f"{c}__l{j + 1}") for j in range(1, k) for c in cols]  # lagged deltas
+    allc = d0 + y1 + [F.lit(1.0)] + dl
+    ok = F.lit(True)
+    for c in cols:
+        for j in range(1, k + 1):
+            ok = ok & F.col(f"{c}__l{j}").isNotNull()
+    row = x.where(ok).agg(F.count(F.lit(1)).alias("_n"), *_moment_cols(allc)).first().asDict()
+    T = int(row["_n"])
+    M = _mat(row, len(allc)) / T
+    i0, i1, iz = list(range(K)), list(range(K, 2 * K)), list(range(2 * K, len(allc)))
+    Mzz_inv = np.linalg.pinv(M[np.ix_(iz, iz)])
+
+    def part(a, b):
+        return M[np.ix_(a, b)] - M[np.ix_(a, iz)] @ Mzz_inv @ M[np.ix_(iz, b)]
+    S00, S01, S11 = part(i0, i0), part(i0, i1), part(i1, i1)
+    A = np.linalg.solve(S11, S01.T @ np.linalg.solve(S00, S01))
+    val, vec = np.linalg.eig(A)
+    order = np.argsort(val.real)[::-1]
+    val, vec = val.real[order], vec.real[:, order]
+    beta = vec[:, :r]
+    beta = beta / np.sqrt(np.diag(beta.T @ S11 @ beta))
+    alpha = S01 @ beta
+    trace = [float(-T * np.sum(np.log(1 - val[j:]))) for j in range(K)]
+    Pi = alpha @ beta.T
+    # short-run coefficients from the partial regression given Pi
+    Gz = (M[np.ix_(i0, iz)] - Pi @ M[np.ix_(i1, iz)]) @ Mzz_inv
+    return {"beta": beta, "alpha": alpha, "Pi": Pi, "Gamma_z": Gz, "eigen": val.tolist(), "trace": trace,
+            "cols": cols, "k": k, "r": r, "n": T}
+
+
+def midas_fit(y_df: DataFrame, x_df: DataFrame, period_col: str, y: str, x_order_col: str, x: str,
+              high_lags: int = 4, degree: int = 2) -> dict:
+    """MIDAS regression with polynomial (Almon) lag weights: y_q on
+    sum_j w(j) x_(q, j) over the last ``high_lags`` high-frequency values of
+    each low-frequency period.  With Almon weights the model is linear in the
+    polynomial coefficients, so it is OLS on Z_k = sum_j j^k x_j."""
+    hx = series.lags_many(x_df.select(period_col, x_order_col, F.col(x).cast("double").alias("_x")),
+                          {"_x": list(range(1, high_lags))}, [x_order_col], [])
+    # the last high-frequency row of each period carries its own value and the lags
+    last = ranks.top_k_per_group(hx, [period_col], [F.col(x_order_col).desc()], 1)
+    lagv = [F.col("_x")] + [F.col(f"_x__l{j}") for j in range(1, high_lags)]
+    zs = [sum((lagv[j] * float(j ** kk) for j in range(high_lags)), F.lit(0.0)).alias(f"z{kk}") for kk in range(degree + 1)]
+    z = last.select(period_col, *zs)
+    d = y_df.select(period_col, F.col(y).cast("double").alias("_y")).join(z, period_col)
+    from .models import ols
+    fit = ols(d, "_y", [f"z{kk}" for kk in range(degree + 1)])
+    theta = fit.coef[1:]
+    w = [float(sum(theta[kk] * j ** kk for kk in range(degree + 1))) for j in range(high_lags)]
+    return {"intercept": float(fit.coef[0]), "theta": theta.tolist(), "weights": w, "r2": fit.r2, "n": fit.n}
+
+
+# ----------------------------------------------------------------- trend + seasonality
+
+def prophet_forecast(df: DataFrame, keys: Sequence[str], ds: str, y: str, h: int = 12, freq: str = "month",
+                     n_changepoints: int = 25, changepoint_range: float = 0.8, changepoint_prior_scale: float = 0.05,
+                     seasonality_prior_scale: float = 10.0, yearly_order: int = 10, weekly_order: int = 3) -> DataFrame:
+    """Piecewise-linear trend with changepoints over the first 80 % of each
+    series' time span plus yearly (and, for daily data, weekly) Fourier terms,
+    fitted per series as a MAP estimate with Gaussian priors (ridge penalties
+    sigma^2/scale^2), y scaled by its max |y| - all from one grouped
+    cross-moment aggregate and a solve in applyInPandas per series."""
+    keys = list(keys)
+    day = F.unix_date(F.col(ds).cast("date")).cast("double")
+    st = df.groupBy(*keys).agg(F.min(day).alias("_t0"), F.max(day).alias("_t1"),
+                               F.max(F.abs(F.col(y))).alias("_ys"), F.max(F.col(ds).cast("date")).alias("_last"))
+    x = df.join(st, keys) if keys else ranks.attach_scalars(df, st)
+    span = F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1.0))
+    tau = (day - F.col("_t0")) / span
+    feats = [F.lit(1.0), tau]
+    names = ["k", "m"]
+    for j in range(1, n_changepoints + 1):
+        s = changepoint_range * j / (n_changepoints + 1)
+        feats.append(F.greatest(tau - F.lit(s), F.lit(0.0)))
+        names.append(f"d{j}")
+    fourier = []
+    for kk in range(1, yearly_order + 1):
+        fourier += [F.sin(2 * math.pi * kk * day / 365.25), F.cos(2 * math.pi * kk * day / 365.25)]
+    if freq == "day":
+        for kk in range(1, weekly_order + 1):
+            fourier += [F.sin(2 * math.pi * kk * day / 7.0), F.cos(2 * math.pi * kk * day / 7.0)]
+    feats += fourier
+    K = len(feats)
+    nc = n_changepoints
+    allc = feats + [F.col(y).cast("double") / F.col("_ys")]
+    mom = x.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *_moment_cols(allc))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in pdf.iterrows():
+            M = _mat(r, K + 1)
+            XX, Xy, yy = M[:K, :K], M[:K, K], M[K, K]
+            n = int(r["_n"])
+            base = [0, 1] + list(range(2 + nc, K))          # trend + seasonality, no changepoints
+            b0 = np.linalg.lstsq(XX[np.ix_(base, base)], Xy[base], rcond=None)[0]
+            s2 = max(float(yy - 2 * b0 @ Xy[base] + b0 @ XX[np.ix_(base, base)] @ b0) / max(n - len(base), 1), 1e-12)
+            pen = np.zeros(K)
+            pen[2:2 + nc] = s2 / changepoint_prior_scale ** 2
+            pen[2 + nc:] = s2 / seasonality_prior_scale ** 2
+            b = np.linalg.solve(XX + np.diag(pen) + 1e-12 * np.eye(K), Xy)
+            ssr = float(yy - 2 * b @ Xy + b @ XX @ b)
+            out.append({**{k: r[k] for k in keys}, "coef": [float(v) for v in b], "sigma2": max(ssr / max(n - 2, 1), 0.0)})
+        return pd.DataFrame(out)
+
+    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    model = mom.groupBy(*keys).applyInPandas(solve, f"{key_schema + ', ' if keys else ''}coef array<double>, sigma2 double")
+    fut = st.select(*keys, "_t0", "_t1", "_ys", "_last", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"))
+    fdate = (F.add_months(F.col("_last"), F.col("step")) if freq == "month"
+             else F.date_add(F.col("_last"), F.col("step") * (7 if freq == "week" else 1)))
+    fut = fut.withColumn(ds, fdate)
+    fut = fut.join(model, keys) if keys else ranks.attach_scalars(fut, model)
+    pred = F.lit(0.0)
+    for j, f in enumerate(feats):
+        pred = pred + f * F.col("coef")[j]
+    half = Z975 * F.sqrt(F.col("sigma2"))
+    return fut.select(*keys, "step", F.col(ds).cast("string").alias("ds"), (pred * F.col("_ys")).alias("predicted"),
+                      ((pred - half) * F.col("_ys")).alias("lower"), ((pred + half) * F.col("_ys")).alias("upper"))

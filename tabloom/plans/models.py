@@ -329,3 +329,72 @@ def q_train_run(spark, sf):
     runs = registry.read_table(spark, root, "runs")
     n_pred = registry.read_table(spark, root, "predictions").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_predictions"))
     return runs.join(n_pred, runs.id == n_pred.run_id).select("id", "model_id", "metrics_json", "n_predictions")
+
+
+def _cls_holdout(spark, sf, model_id, params, multiclass=False):
+    from ..operators import metrics
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    if multiclass:
+        li = li.withColumn("label_y", F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0)
+                           .otherwise(2.0))
+    else:
+        li = li.withColumn("label_y", (F.col("l_returnflag") == "R").cast("double"))
+    sp = validation.holdout_split(li, "idx", 0.8)
+    feats = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+    p = dict(params)
+    if model_id == "mlp_cls":
+        p.update({"n_features": len(feats), "n_classes": 3 if multiclass else 2})
+    m, asm = models.fit_model(sp.where(F.col("split") == "train"), model_id, "label_y", feats, p)
+    pred = m.transform(asm.transform(sp.where(F.col("split") == "test")))
+    return metrics.classification_metrics(pred, "label_y", "prediction")
+
+
+@query("glmnet_cls")
+def q_glmnet_cls(spark, sf):
+    return _cls_holdout(spark, sf, "glmnet_cls", {"alpha": 0.5, "lambda": 0.01})
+
+
+@query("xgb_cls")
+def q_xgb_cls(spark, sf):
+    return _cls_holdout(spark, sf, "xgb_cls", {"nrounds": 20, "max_depth": 4})
+
+
+@query("lightgbm_cls")
+def q_lightgbm_cls(spark, sf):
+    return _cls_holdout(spark, sf, "lightgbm_cls", {"num_iterations": 20, "max_depth": 4})
+
+
+@query("mlp_cls")
+def q_mlp_cls(spark, sf):
+    return _cls_holdout(spark, sf, "mlp_cls", {"hidden_units": "8,4", "epochs": 20}, multiclass=True)
+
+
+@query("lightgbm_reg")
+def q_lightgbm_reg(spark, sf):
+    return _holdout_metrics(spark, sf, "lightgbm_reg", {"num_iterations": 20, "max_depth": 4})
+
+
+@query("catboost_reg")
+def q_catboost_reg(spark, sf):
+    """Categorical levels target-encoded (smoothed, fitted on the training
+    split) and fed to the boosted trees."""
+    from ..operators import metrics, recipe
+    from ..operators.recipe import step
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    sp = validation.holdout_split(li, "idx", 0.8)
+    train = sp.where(F.col("split") == "train")
+    enc, _ = recipe.apply_recipe(sp, [step("target_encode", ["l_returnflag", "l_linestatus"], smoothing=10)],
+                                 target="l_extendedprice", fit_on=train)
+    feats = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    m, asm = models.fit_model(enc.where(F.col("split") == "train"), "catboost_reg", "l_extendedprice", feats,
+                              {"iterations": 20, "max_depth": 4})
+    pred = m.transform(asm.transform(enc.where(F.col("split") == "test")))
+    return metrics.regression_metrics(pred, "l_extendedprice", "prediction")
+
+
+@query("gam")
+def q_gam(spark, sf):
+    li = _lineitem(spark, sf)
+    fit = models.gam_fit(li, "l_extendedprice", ["l_quantity", "l_discount"], k=8)
+    rows = [(t, float(b)) for t, b in zip(fit["terms"], fit["coef"])]
+    return rounded(spark.createDataFrame(rows, "term string, estimate double"))

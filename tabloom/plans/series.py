@@ -207,3 +207,78 @@ def q_var(spark, sf):
     cols = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     fit = tsmodels.var_fit(wide.na.drop(), "month", cols, 4, "AIC")
     return rounded(tsmodels.var_forecast(wide.na.drop(), "month", fit, 12), 2)
+
+
+@query("stl_decomposition", f"""WITH s AS ({MONTHLY_SQL}),
+p AS (SELECT series_id, month, y, row_number() OVER (PARTITION BY series_id ORDER BY month) AS pos FROM s),
+t AS (SELECT *, CASE WHEN count(*) OVER w = 13 THEN (sum(y) OVER w - 0.5 * lag(y, 6) OVER o - 0.5 * lead(y, 6) OVER o) / 12 END AS trend
+      FROM p WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING),
+                    o AS (PARTITION BY series_id ORDER BY month)),
+d AS (SELECT *, CAST((pos - 1) % 12 AS INTEGER) AS season FROM t),
+sm AS (SELECT series_id, season, avg(y - trend) AS sraw FROM d WHERE trend IS NOT NULL GROUP BY 1, 2),
+sn AS (SELECT series_id, season, sraw - avg(sraw) OVER (PARTITION BY series_id) AS seasonal FROM sm)
+SELECT d.series_id, CAST(month AS VARCHAR) AS month, round(trend / 1000, 1) AS trend_k, round(seasonal / 1000, 1) AS seasonal_k,
+       round((y - trend - seasonal) / 1000, 1) AS remainder_k
+FROM d JOIN sn USING (series_id, season)""")
+def q_stl_decomposition(spark, sf):
+    from ..operators import tsmodels
+    dec = tsmodels.decompose(monthly_input(spark, sf), ["series_id"], "month", "y", 12)
+    # reported in thousands: float noise on ~1e7 sums stays far from the rounding grid
+    return rounded(dec.select("series_id", F.col("month").cast("string").alias("month"),
+                              (F.col("trend") / 1000).alias("trend_k"), (F.col("seasonal") / 1000).alias("seasonal_k"),
+                              (F.col("remainder") / 1000).alias("remainder_k")), 1)
+
+
+@query("stl_arima")
+def q_stl_arima(spark, sf):
+    from ..operators import tsmodels
+    return rounded(tsmodels.stl_arima_forecast(monthly_input(spark, sf), ["series_id"], "month", "y", 12, 12), 2)
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _system(spark, sf):
+    return (monthly_input(spark, sf).groupBy("month").pivot("series_id", SEGMENTS).agg(F.first("y")).na.drop())
+
+
+@query("bvar")
+def q_bvar(spark, sf):
+    from ..operators import tsmodels
+    w = _system(spark, sf)
+    return rounded(tsmodels.var_forecast(w, "month", tsmodels.bvar_fit(w, "month", SEGMENTS, 4, 0.2), 12), 2)
+
+
+@query("dfm")
+def q_dfm(spark, sf):
+    from ..operators import tsmodels
+    return rounded(tsmodels.dfm_forecast(_system(spark, sf), "month", SEGMENTS, 2, 1, 12), 2)
+
+
+@query("vecm")
+def q_vecm(spark, sf):
+    from ..operators import tsmodels
+    fit = tsmodels.vecm_fit(_system(spark, sf), "month", SEGMENTS, 2, 1)
+    rows = [(c, float(fit["beta"][i, 0]), float(fit["alpha"][i, 0]), float(fit["trace"][i]))
+            for i, c in enumerate(SEGMENTS)]
+    return rounded(spark.createDataFrame(rows, "series_id string, beta double, alpha double, trace_stat double"))
+
+
+@query("midas")
+def q_midas(spark, sf):
+    """Quarterly revenue on the monthly order counts of each quarter (Almon lags)."""
+    from ..operators import tsmodels
+    o = table(spark, sf, "orders")
+    q = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+    y = o.groupBy(q.alias("quarter")).agg(F.round(F.sum("o_totalprice") / 1e6, 4).alias("revenue"))
+    x = o.groupBy(q.alias("quarter"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_orders"))
+    fit = tsmodels.midas_fit(y, x, "quarter", "revenue", "month", "n_orders", 3, 2)
+    rows = [(j, float(w)) for j, w in enumerate(fit["weights"])] + [(-1, float(fit["intercept"]))]
+    return rounded(spark.createDataFrame(rows, "lag int, weight double"))
+
+
+@query("prophet")
+def q_prophet(spark, sf):
+    from ..operators import tsmodels
+    return rounded(tsmodels.prophet_forecast(monthly_input(spark, sf), ["series_id"], "month", "y", 12, "month"), 2)

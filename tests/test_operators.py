@@ -170,3 +170,45 @@ def test_project_save_versions_and_reproduce(spark, tmp_path):
     assert back.count() == 20 and set(m) >= {"name", "saved_at", "dataset", "recipe", "meta"}
     r = registry.reproduce_check(spark, p2, lambda d, s: recipe.apply_recipe(d, s))
     assert r["ok"]
+
+
+def test_brr_hadamard_and_fay(spark):
+    H = survey.hadamard(6)
+    assert len(H) == 8 and all(sum(a * b for a, b in zip(H[i], H[j])) == 0 for i in range(8) for j in range(i))
+    d = _design_df(spark).withColumn("psu2", F.col("o_orderkey") % 2)
+    brr = survey.brr_mean(d, "y", survey.Design("w", "h", "psu2"), 0.0).first()
+    fay = survey.brr_mean(d, "y", survey.Design("w", "h", "psu2"), 0.5).first()
+    tay = survey.survey_mean(d, "y", survey.Design("w", "h", "psu2")).first()
+    assert math.isclose(brr["mean"], tay["mean"], rel_tol=1e-12) and brr["se"] > 0 and fay["se"] > 0
+
+
+def test_survey_glm_logit_matches_unweighted_glm(spark):
+    # equal weights, one PSU per row: the point estimates equal the plain logit MLE
+    rows = [(float(i % 10), float((i * 7) % 3), 1.0 if (i * 13) % 7 < 3 + (i % 10) // 4 else 0.0, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "x1 double, x2 double, yb double, id long").withColumn("w", F.lit(1.0))
+    r = {t["term"]: t for t in survey.survey_glm(df, "yb", ["x1", "x2"], survey.Design("w"), "binomial").collect()}
+    m, _ = models.fit_model(df, "logit", "yb", ["x1", "x2"])
+    assert abs(r["x1"]["estimate"] - m.coefficients[0]) < 1e-6 and abs(r["(Intercept)"]["estimate"] - m.intercept) < 1e-6
+
+
+def test_negbin_recovers_overdispersion(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = rng.uniform(0, 1, 4000)
+    mu = np.exp(0.5 + 1.0 * x)
+    y = rng.negative_binomial(2.0, 2.0 / (2.0 + mu))
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y long")
+    r = models.negbin_fit(df, "y", ["x"])
+    assert abs(r["coef"][1] - 1.0) < 0.15 and 1.2 < r["theta"] < 3.5
+
+
+def test_qq_points_are_monotone(spark):
+    df = spark.createDataFrame([(i, float((i * 37) % 11)) for i in range(50)], "id long, r double")
+    q = metrics.qq_points(df, "r", "id").orderBy("i").collect()
+    assert len(q) == 50 and all(a["theoretical"] < b["theoretical"] for a, b in zip(q, q[1:]))
+    assert all(a["sample"] <= b["sample"] for a, b in zip(q, q[1:]))
+
+
+def test_preset_grid():
+    g = models.preset_grid("glmnet_reg", "aggressive")
+    assert len(g) == 9 and {"alpha", "lambda"} <= set(g[0])
