@@ -27,6 +27,25 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, n)
 
 
+def assign_buckets(vc: DataFrame, keys: Sequence[str], value: str, b: int, few_keys: bool) -> DataFrame:
+    """Add ``_bk``, the value bucket of each row within its key group.
+    Bounds must be identical in every plan branch that uses them: with a
+    bounded number of groups they are sketch quantiles materialised once
+    (``checkpoint`` in the shared folder, ``keys x b`` doubles); otherwise
+    equal-width ranges between the exact group min and max."""
+    if few_keys:
+        probs = [i / b for i in range(1, b)]
+        bounds = vc.groupBy(*keys).agg(F.percentile_approx(F.col(value), probs, 10000).alias("_bounds"))
+        bounds = bounds.checkpoint(eager=True)
+        x = vc.join(F.broadcast(bounds), keys) if keys else attach_scalars(vc, bounds)
+        return x.withColumn("_bk", F.size(F.filter("_bounds", lambda t: t < F.col(value)))).drop("_bounds")
+    mm = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    x = vc.join(mm, keys) if keys else attach_scalars(vc, mm)
+    width = (F.col("_hi") - F.col("_lo")) / b
+    bk = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(b - 1))).otherwise(F.lit(0))
+    return x.withColumn("_bk", bk.cast("int")).drop("_lo", "_hi")
+
+
 def with_cumulative(vc: DataFrame, keys: Sequence[str], value: str, weight: str,
                     buckets: int | None = None, out_before: str = "cum_before",
                     few_keys: bool = True) -> DataFrame:
@@ -37,15 +56,7 @@ def with_cumulative(vc: DataFrame, keys: Sequence[str], value: str, weight: str,
     planner decides from runtime sizes."""
     keys = list(keys)
     b = buckets or default_buckets(vc)
-    probs = [i / b for i in range(1, b)]
-    bounds = vc.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value), probs, 10000).alias("_bounds"))
-    # one row per key group, `b` doubles each: bounded by the number of keys
-    if not keys:
-        x = attach_scalars(vc, bounds)
-    else:
-        x = vc.join(F.broadcast(bounds) if few_keys else bounds, keys)
-    x = x.withColumn("_bk", F.size(F.filter("_bounds", lambda t: t < F.col(value)))).drop("_bounds")
+    x = assign_buckets(vc, keys, value, b, few_keys)
     totals = x.groupBy(*keys, "_bk").agg(F.sum(weight).alias("_bt"))
     w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0))).drop("_bt")
@@ -106,10 +117,7 @@ def quantiles_from_counts(vc: DataFrame, keys: Sequence[str], value: str, cnt: s
     range, and only the buckets that contain a wanted rank are sorted."""
     keys = list(keys)
     b = buckets or default_buckets(vc)
-    bprobs = [i / b for i in range(1, b)]
-    bounds = vc.groupBy(*keys).agg(F.percentile_approx(F.col(value), bprobs, 10000).alias("_bounds"))
-    x = vc.join(F.broadcast(bounds), keys) if keys else attach_scalars(vc, bounds)
-    x = x.withColumn("_bk", F.size(F.filter("_bounds", lambda t: t < F.col(value)))).drop("_bounds")
+    x = assign_buckets(vc, keys, value, b, True)
     bt = x.groupBy(*keys, "_bk").agg(F.sum(cnt).alias("_bt"))
     w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     bt = (bt.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0)))

@@ -104,7 +104,8 @@ def residual_stats(df: DataFrame, actual: str, predicted: str, order_cols: Seque
     predicted) and the t statistic of that correlation."""
     keys, order_cols = list(keys), list(order_cols)
     r = (F.col(actual) - F.col(predicted)).cast("double")
-    x = df.select(*keys, *order_cols, F.col(predicted).cast("double").alias("_p"), r.alias("_r")).where(
+    x = df.select(*keys, *[c for c in order_cols if c not in keys], F.col(predicted).cast("double").alias("_p"),
+                  r.alias("_r")).where(
         F.col("_r").isNotNull())
     m = x.groupBy(*keys).agg(F.avg("_r").alias("_m"))
     x = (x.join(m, keys) if keys else ranks.attach_scalars(x, m)).withColumn("_d", F.col("_r") - F.col("_m"))

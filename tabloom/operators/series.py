@@ -39,15 +39,16 @@ def halo_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], h
     preceding rows).  Series under MIN_BLOCK_ROWS rows stay one block."""
     keys, order_cols = list(keys), list(order_cols)
     b = buckets or ranks.default_buckets(df)
-    o = order_key(df, order_cols[0])
-    probs = [i / b for i in range(1, b)]
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                  F.percentile_approx(o.cast("double"), probs, 10000).alias("_bounds"))
+    o = order_key(df, order_cols[0]).cast("double")
+    # equal-width time blocks between each series' exact first and last time:
+    # exact aggregates, so every plan branch assigns the same block ids
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(o).alias("_lo"), F.max(o).alias("_hi"))
     nb = F.greatest(F.lit(1), F.least(F.lit(b), (F.col("_n") / F.lit(max(MIN_BLOCK_ROWS, 10 * halo))).cast("long")))
-    stats = stats.select(*keys, "_bounds", nb.alias("_nb"))
+    stats = stats.select(*keys, "_lo", "_hi", nb.alias("_nb"))
     x = df.join(stats, keys) if keys else ranks.attach_scalars(df, stats)
-    pos = F.size(F.filter("_bounds", lambda t: t < o.cast("double")))
-    x = x.withColumn("_blk", F.floor(pos * F.col("_nb") / F.lit(b)).cast("int")).drop("_bounds")
+    width = (F.col("_hi") - F.col("_lo")) / F.col("_nb")
+    blk = F.when(width > 0, F.least(F.floor((o - F.col("_lo")) / width), F.col("_nb") - 1)).otherwise(F.lit(0))
+    x = x.withColumn("_blk", blk.cast("int")).drop("_lo", "_hi")
     if halo <= 0:
         return x.withColumn("_halo", F.lit(False)).drop("_nb")
     desc = [F.col(c).desc() for c in order_cols]
