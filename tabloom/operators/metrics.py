@@ -184,3 +184,43 @@ def bootstrap_refit_lm(df: DataFrame, y: str, xcols, key: str, reps: int = 20, s
     sc = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).join(F.broadcast(bt), "_rep")
     err = sc.groupBy("_rep").agg(F.sqrt(F.avg(F.pow(F.col(y) - pred, 2))).alias("rmse"))
     return err.join(bt, "_rep").withColumnRenamed("_rep", "rep")
+
+
+# weighted metric aggregates usable by the bootstrap (custom metrics plug in here)
+def _w_rmse(a, p, w):
+    return F.sqrt(F.sum(w * (a - p) * (a - p)) / F.sum(w))
+
+
+def _w_mae(a, p, w):
+    return F.sum(w * F.abs(a - p)) / F.sum(w)
+
+
+def _w_mape(a, p, w):
+    ok = a != 0
+    return 100 * F.sum(F.when(ok, w * F.abs((a - p) / a))) / F.sum(F.when(ok, w))
+
+
+METRICS = {"rmse": _w_rmse, "mae": _w_mae, "mape": _w_mape}
+
+
+def bootstrap_metric(df: DataFrame, actual: str, predicted: str, row_id: str, metric="rmse",
+                     keys: Sequence[str] = (), reps: int = 200, seed: int = 42) -> DataFrame:
+    """Poisson bootstrap of any weighted metric aggregate ``metric(a, p, w)``
+    (a name from METRICS or a callable building a Column aggregate)."""
+    fn = METRICS[metric] if isinstance(metric, str) else metric
+    keys = list(keys)
+    a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    x = df.where(a.isNotNull() & p.isNotNull()).select(*keys, F.col(row_id), a.alias("_a"), p.alias("_p"))
+    rep = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    rep = rep.withColumn("_w", poisson1_weight(F.col(row_id), F.col("rep"), F.lit(seed)).cast("double"))
+    per = rep.groupBy(*keys, "rep").agg(fn(F.col("_a"), F.col("_p"), F.col("_w")).alias("v"))
+    per = per.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    est = x.groupBy(*keys).agg(fn(F.col("_a"), F.col("_p"), F.lit(1.0)).alias("estimate"), F.count(F.lit(1)).alias("n"))
+    dist = per.groupBy(*keys).agg(F.stddev_samp("v").alias("se"), F.count(F.lit(1)).alias("R"),
+                                  F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    out = est.join(dist, keys, "left") if keys else ranks.attach_scalars(est, dist)
+    ok = F.col("n") >= 5
+    ci = ok & (F.col("R") >= 10)
+    return out.select(*keys, F.when(ok, F.col("estimate")).alias("estimate"), F.when(ci, F.col("se")).alias("se"),
+                      F.when(ci, F.col("_q")[0]).alias("lo"), F.when(ci, F.col("_q")[1]).alias("hi"),
+                      F.when(ok, F.col("R")).otherwise(F.lit(0)).cast("long").alias("R"), F.col("n").cast("long"))

@@ -448,3 +448,48 @@ def brr_mean(df: DataFrame, y: str, d: Design, rho: float = 0.0) -> DataFrame:
                         (F.sum(F.pow(F.col("theta_r") - F.col("mean"), 2)) / (R * (1 - rho) ** 2)).alias("_v"),
                         F.count(F.lit(1)).alias("R"))
     return v.select("mean", F.sqrt("_v").alias("se"), F.col("R").cast("long"))
+
+
+# Survey column conventions (first exact match, then
+# case-insensitive) for the two household-finance panels.
+SURVEY_TEMPLATES = {
+    "phf": {"method": "replicate", "weight": ["wgt", "weight", "phf_wgt"],
+            "repweights_pattern": "^wr_|^wgt_rep_|^repwgt_", "repdesign_type": "Fay",
+            "combined_weights": True, "use_mse": True, "strata": ["wsr", "stratum", "schicht"],
+            "psu": ["psu", "cluster", "wsr"], "id": ["hid", "pid", "household_id"], "wave": ["wave", "welle"],
+            "implicate": ["implicate", "imp", "imp_id"]},
+    "hfcn": {"method": "replicate", "weight": ["hw0001", "weight", "hfcn_weight"],
+             "repweights_pattern": "^hw[0-9]{4}$|^hw_rep_|^wgt_rep_", "repdesign_type": "bootstrap",
+             "combined_weights": True, "use_mse": True, "strata": ["sa0100", "stratum"],
+             "psu": ["sa0010", "psu"], "id": ["id", "hid"], "wave": ["wave"], "implicate": ["implicate", "imp"]},
+}
+
+
+def _first_match(candidates: Sequence[str], names: Sequence[str]) -> str | None:
+    for c in candidates:
+        if c in names:
+            return c
+    lower = {n.lower(): n for n in reversed(list(names))}
+    for c in candidates:
+        if c.lower() in lower:
+            return lower[c.lower()]
+    return None
+
+
+def apply_template(columns: Sequence[str], template: str) -> dict:
+    """Resolve a template's roles against a schema (metadata only)."""
+    import re
+    t = SURVEY_TEMPLATES[template]
+    roles = {r: _first_match(t[r], columns) for r in ("weight", "strata", "psu", "id", "wave", "implicate")}
+    wcol = roles["weight"]
+    reps = [c for c in columns if re.search(t["repweights_pattern"], c) and c != wcol]
+    return {**roles, "replicate_weights": reps, "method": t["method"], "type": t["repdesign_type"],
+            "combined_weights": t["combined_weights"], "use_mse": t["use_mse"]}
+
+
+def model_features(columns: Sequence[str], target: str, spec: dict, time_col: str | None = None) -> list[str]:
+    """Predictors for a survey-weighted model: the weight, design and replicate
+    columns leave the feature set (the weight becomes the model weight)."""
+    drop = {target, time_col, spec.get("weight"), spec.get("strata"), spec.get("psu"), spec.get("id"),
+            spec.get("implicate"), *spec.get("replicate_weights", [])}
+    return [c for c in columns if c not in drop]

@@ -558,3 +558,55 @@ def prophet_forecast(df: DataFrame, keys: Sequence[str], ds: str, y: str, h: int
     half = Z975 * F.sqrt(F.col("sigma2"))
     return fut.select(*keys, "step", F.col(ds).cast("string").alias("ds"), (pred * F.col("_ys")).alias("predicted"),
                       ((pred - half) * F.col("_ys")).alias("lower"), ((pred + half) * F.col("_ys")).alias("upper"))
+
+
+def harmonic_forecast(df: DataFrame, keys: Sequence[str], order_col: str, value: str, periods: Sequence[float],
+                      h: int = 12, harmonics: int = 5, box_cox: float | None = None) -> DataFrame:
+    """TBATS-style trigonometric seasonality: per series, an (optionally
+    Box-Cox transformed) regression on a linear trend and Fourier terms of each
+    seasonal period (in observations), from one grouped moment aggregate and a
+    solve per series in applyInPandas; forecasts are back-transformed."""
+    keys = list(keys)
+    x = running_totals(df.select(*keys, order_col, F.col(value).cast("double").alias("_v")), keys, [order_col], "_v")
+    t = F.col("cum_n").cast("double")
+    yv = F.col("_v") if box_cox is None else (
+        F.log("_v") if abs(box_cox) < 1e-9 else (F.pow(F.col("_v"), F.lit(box_cox)) - 1) / box_cox)
+    feats = [F.lit(1.0), t]
+    for per in periods:
+        for kk in range(1, min(harmonics, int(per // 2)) + 1):
+            feats += [F.sin(2 * math.pi * kk * t / per), F.cos(2 * math.pi * kk * t / per)]
+    K = len(feats)
+    mom = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *_moment_cols(feats + [yv]))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in pdf.iterrows():
+            M = _mat(r, K + 1)
+            b = np.linalg.lstsq(M[:K, :K], M[:K, K], rcond=None)[0]
+            n = int(r["_n"])
+            ssr = float(M[K, K] - 2 * b @ M[:K, K] + b @ M[:K, :K] @ b)
+            out.append({**{k: r[k] for k in keys}, "coef": [float(v) for v in b],
+                        "sigma2": max(ssr / max(n - K, 1), 0.0), "n": n})
+        return pd.DataFrame(out)
+
+    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    model = mom.groupBy(*keys).applyInPandas(solve, f"{key_schema + ', ' if keys else ''}coef array<double>, "
+                                                    "sigma2 double, n long")
+    fut = model.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))
+    tf = (F.col("n") + F.col("step")).cast("double")
+    ff = [F.lit(1.0), tf]
+    for per in periods:
+        for kk in range(1, min(harmonics, int(per // 2)) + 1):
+            ff += [F.sin(2 * math.pi * kk * tf / per), F.cos(2 * math.pi * kk * tf / per)]
+    pred = F.lit(0.0)
+    for j, f in enumerate(ff):
+        pred = pred + f * F.col("coef")[j]
+    half = Z975 * F.sqrt(F.col("sigma2"))
+
+    def back(e):
+        if box_cox is None:
+            return e
+        return F.exp(e) if abs(box_cox) < 1e-9 else F.pow(F.greatest(box_cox * e + 1, F.lit(0.0)), 1 / box_cox)
+
+    return fut.select(*keys, "step", back(pred).alias("predicted"), back(pred - half).alias("lower"),
+                      back(pred + half).alias("upper"))

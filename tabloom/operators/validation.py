@@ -128,3 +128,40 @@ def ipw_estimate(df: DataFrame, y: str, treat: str, ps: str, estimand: str = "AT
                - F.sum(F.col("w") * (1 - F.col("t")) * F.col("y")) / F.sum(F.col("w") * (1 - F.col("t")))).alias("estimate"),
               F.count(F.lit(1)).alias("n"))
     return a.select(F.lit(estimand).alias("estimand"), "estimate", F.col("n").cast("long"))
+
+
+def kfold_lm_cv(df: DataFrame, y: str, xcols, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """k-fold cross-validated RMSE of a linear model without k refits over the
+    data: cross moments per fold (one grouped aggregate); fold j trains on
+    total - moments_j; each fold's rows are scored with its coefficients."""
+    import numpy as np
+    x = kfold_ids(df, key, k, 1, seed)
+    cols = [F.lit(1.0)] + [F.col(c).cast("double") for c in xcols] + [F.col(y).cast("double")]
+    m = len(cols)
+    ok = F.col(y).isNotNull()
+    for c in xcols:
+        ok = ok & F.col(c).isNotNull()
+    x = x.where(ok)
+    rows = x.groupBy("fold").agg(*[F.sum(cols[i] * cols[j]).alias(f"m_{i}_{j}") for i in range(m)
+                                   for j in range(i, m)]).collect()
+    mats = {}
+    for r in rows:
+        M = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i, m):
+                M[i, j] = M[j, i] = r[f"m_{i}_{j}"]
+        mats[int(r["fold"])] = M
+    total = sum(mats.values())
+    coef = []
+    K = m - 1
+    for f, M in mats.items():
+        T = total - M
+        coef.append((f, *map(float, np.linalg.lstsq(T[:K, :K], T[:K, K], rcond=None)[0])))
+    spark = df.sparkSession
+    bt = spark.createDataFrame(coef, "fold int, " + ", ".join(f"_b{j} double" for j in range(K)))
+    pred = F.lit(0.0)
+    for j in range(K):
+        pred = pred + cols[j] * F.col(f"_b{j}")
+    sc = x.join(F.broadcast(bt), "fold")   # k rows
+    return sc.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"),
+                                  F.sqrt(F.avg(F.pow(cols[K] - pred, 2))).alias("rmse"))

@@ -285,3 +285,14 @@ def q_inverse_class_weight(spark, sf):
     c = p.groupBy("actual").agg(F.count(F.lit(1)).alias("_n"))
     # one row per class: a proven-small lookup
     return rounded(p.join(F.broadcast(c), "actual").select("idx", (1.0 / F.col("_n")).alias("weight")), 10)
+
+
+@query("custom_metric_bootstrap")
+def q_custom_metric_bootstrap(spark, sf):
+    """Bootstrap of a user-supplied metric aggregate (here MAE and MAPE)."""
+    p = preds(spark, sf)
+    a = metrics.bootstrap_metric(p, "actual", "predicted", "idx", "mae", ["l_returnflag"], 100).withColumn(
+        "metric", F.lit("mae"))
+    b = metrics.bootstrap_metric(p, "actual", "predicted", "idx", "mape", ["l_returnflag"], 100).withColumn(
+        "metric", F.lit("mape"))
+    return rounded(a.unionByName(b))

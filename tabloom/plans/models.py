@@ -398,3 +398,9 @@ def q_gam(spark, sf):
     fit = models.gam_fit(li, "l_extendedprice", ["l_quantity", "l_discount"], k=8)
     rows = [(t, float(b)) for t, b in zip(fit["terms"], fit["coef"])]
     return rounded(spark.createDataFrame(rows, "term string, estimate double"))
+
+
+@query("kfold_lm_cv")
+def q_kfold_lm_cv(spark, sf):
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return rounded(validation.kfold_lm_cv(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "idx", 5))

@@ -282,3 +282,11 @@ def q_midas(spark, sf):
 def q_prophet(spark, sf):
     from ..operators import tsmodels
     return rounded(tsmodels.prophet_forecast(monthly_input(spark, sf), ["series_id"], "month", "y", 12, "month"), 2)
+
+
+@query("tbats")
+def q_tbats(spark, sf):
+    from ..operators import recipe, tsmodels
+    df = monthly_input(spark, sf)
+    lam = recipe.boxcox_lambda(df, "y")
+    return rounded(tsmodels.harmonic_forecast(df, ["series_id"], "month", "y", [12.0], 12, 5, lam), 2)

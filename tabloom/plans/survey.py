@@ -311,3 +311,39 @@ def q_brr(spark, sf):
 def q_fay(spark, sf):
     s = survey_input(spark, sf).withColumn("psu2", F.col("o_custkey") % 2)
     return rounded(survey.brr_mean(s, "y", Design("w", "stratum", "psu2"), 0.5))
+
+
+def _phf_input(spark, sf):
+    s = survey_input(spark, sf).select("o_orderkey", "y", "x", F.col("w").alias("wgt"), F.col("stratum").alias("wsr"),
+                                       "psu", F.col("o_custkey").alias("hid"))
+    return survey.jk1_replicate_weights(s, "wgt", F.col("psu"), 20)
+
+
+@query("survey_template_apply")
+def q_survey_template_apply(spark, sf):
+    """PHF conventions resolved on a derived panel; the replicate-weight mean
+    then uses the template's design type (Fay, rho 0.5, MSE form)."""
+    d = _phf_input(spark, sf)
+    spec = survey.apply_template(d.columns, "phf")
+    est = survey.replicate_mean(d, "y", spec["weight"], spec["replicate_weights"], spec["type"], rho=0.5,
+                                mse=spec["use_mse"], combined=spec["combined_weights"])
+    roles = ", ".join(f"{k}={spec[k]}" for k in ("weight", "strata", "psu", "id"))
+    return rounded(est.withColumn("roles", F.lit(roles)).withColumn("n_replicates", F.lit(len(spec["replicate_weights"]))))
+
+
+@query("survey_to_model")
+def q_survey_to_model(spark, sf):
+    """Design columns leave the predictors; the survey weight becomes the model weight."""
+    from ..operators import models
+    d = _phf_input(spark, sf)
+    spec = survey.apply_template(d.columns, "phf")
+    feats = [c for c in survey.model_features(d.columns, "y", spec) if c != "o_orderkey"]
+    fit = models.ols(d, "y", feats, weight=spec["weight"])
+    return rounded(fit.table(spark))
+
+
+@query("detect_survey_columns")
+def q_detect_survey_columns(spark, sf):
+    from ..operators import detect
+    return detect.detect_survey_columns(_phf_input(spark, sf).withColumnRenamed("wsr", "stratum_id")
+                                        .withColumn("wave", F.lit(1)))
