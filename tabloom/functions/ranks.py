@@ -186,3 +186,12 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     equi-join on a constant key; the right side is a single row)."""
     return (df.withColumn("_one", F.lit(1))
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Before CPU-heavy per-row work (replicates, grids): if the input has
+    fewer partitions than the cluster's default parallelism, spread it
+    round-robin; large inputs already have enough partitions and pass through."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df

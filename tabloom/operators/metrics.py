@@ -83,6 +83,7 @@ def bootstrap_rmse(df: DataFrame, actual: str, predicted: str, row_id: str, keys
     percentile interval (type 7), R, n.  n < 5 -> NULLs; < 10 finite -> no CI."""
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     x = df.where(a.isNotNull() & p.isNotNull()).select(*keys, F.col(row_id), ((a - p) * (a - p)).alias("_e2"))
+    x = ranks.ensure_parallelism(x)
     rep = x.select(*keys, "_e2", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), F.col(row_id))
     rep = rep.withColumn("_w", poisson1_weight(F.col(row_id), F.col("rep"), F.lit(seed)))
     per = rep.groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col("_e2")) / F.sum("_w")).alias("v"))
@@ -211,6 +212,7 @@ def bootstrap_metric(df: DataFrame, actual: str, predicted: str, row_id: str, me
     keys = list(keys)
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     x = df.where(a.isNotNull() & p.isNotNull()).select(*keys, F.col(row_id), a.alias("_a"), p.alias("_p"))
+    x = ranks.ensure_parallelism(x)
     rep = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     rep = rep.withColumn("_w", poisson1_weight(F.col(row_id), F.col("rep"), F.lit(seed)).cast("double"))
     per = rep.groupBy(*keys, "rep").agg(fn(F.col("_a"), F.col("_p"), F.col("_w")).alias("v"))

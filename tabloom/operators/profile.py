@@ -268,8 +268,16 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
     if not has_null:
         long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
                                             for c in cols])))
-        vc = ranks.value_weights(long, ["column"], "x")
-        cum = ranks.with_cumulative(vc, ["column"], "value", "w", buckets)
+        vc = ranks.value_weights(long, ["column"], "x").checkpoint(eager=True)
+        nd = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if nd <= ranks.NATIVE_DISTINCT_LIMIT:
+            # every column has a proven-bounded number of distinct values: one
+            # window per column over its value table is bounded
+            from pyspark.sql import Window
+            wc = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+            cum = vc.withColumn("cum_before", F.coalesce(F.sum("w").over(wc), F.lit(0)))
+        else:
+            cum = ranks.with_cumulative(vc, ["column"], "value", "w", buckets)
         rk = cum.select("column", "value", (F.col("cum_before") + (F.col("w") + 1) / 2.0).alias("r"))
         x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
         for c in cols:

@@ -197,7 +197,7 @@ def replicate_mean(df: DataFrame, y: str, weight: str, rep_cols: Sequence[str],
     w, yy = F.col(weight).cast("double"), F.col(y).cast("double")
     arr = F.array(*[F.col(c).cast("double") * (F.lit(1.0) if combined else w) for c in rep_cols])
     full = x.groupBy(*keys).agg((F.sum(w * yy) / F.sum(w)).alias("mean"), F.count(F.lit(1)).alias("n"))
-    rep = x.select(*keys, yy.alias("_y"), F.posexplode(arr).alias("rep", "_wr"))
+    rep = ranks.ensure_parallelism(x).select(*keys, yy.alias("_y"), F.posexplode(arr).alias("rep", "_wr"))
     th = rep.groupBy(*keys, "rep").agg((F.sum(F.col("_wr") * F.col("_y")) / F.sum("_wr")).alias("theta_r"))
     j = _keyed(th, full, keys)
     center = F.col("mean") if mse else F.avg("theta_r").over(_window_by(keys))

@@ -127,7 +127,8 @@ def q_stream_profile(spark, sf):
     for lo in range(1, 32, 6):
         e.where((day >= lo) & (day < lo + 6)).write.mode("append").parquet(src)
     out = jobs.stream_profile(spark, src, e.schema, "ts", "event_type", "value",
-                              sinks.shared_scratch(spark, "events-profile"), sinks.shared_scratch(spark, "profile-ckpt"))
+                              sinks.shared_scratch(spark, "events-profile"), sinks.shared_scratch(spark, "profile-ckpt"),
+                              max_files_per_trigger=2)
     return rounded(out.select("event_type", "day", "n", "n_missing", "mean", "min", "max"))
 
 
