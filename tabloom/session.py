@@ -38,6 +38,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +63,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     for n in names:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabloom`` importable in executor Python workers (Arrow UDFs and
+    applyInPandas functions refer to its modules): zip the package once per
+    application and distribute it with ``addPyFile``."""
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    base = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in base or not os.path.isdir(os.path.dirname(base.rstrip("/")) or "/"):
+        base = tempfile.mkdtemp(prefix="tabloom-pkg-")   # driver-side file; Spark serves it to executors
+    os.makedirs(base, exist_ok=True)
+    path = os.path.join(base, f"tabloom-{app}.zip")
+    if not os.path.exists(path):
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
