@@ -27,6 +27,23 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, n)
 
 
+def bucket_of(bounds: Column, x: Column, n_bounds: int) -> Column:
+    """Number of entries of the ascending array ``bounds`` below ``x`` (lower
+    bound) by binary search in an ``aggregate`` over log2(n) steps: O(log n)
+    comparisons per row, evaluated JVM-side."""
+    import math
+    steps = max(1, math.ceil(math.log2(n_bounds + 1)) + 1)
+    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).cast("int").alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.when(lo < hi, F.try_element_at(bounds, mid + 1) < x)
+        return F.struct(F.when(below, mid + 1).otherwise(lo).cast("int").alias("lo"),
+                        F.when(below == F.lit(False), mid).otherwise(hi).cast("int").alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
 def assign_buckets(vc: DataFrame, keys: Sequence[str], value: str, b: int, few_keys: bool) -> DataFrame:
     """Add ``_bk``, the value bucket of each row within its key group.
     Bounds must be identical in every plan branch that uses them: with a
@@ -38,7 +55,7 @@ def assign_buckets(vc: DataFrame, keys: Sequence[str], value: str, b: int, few_k
         bounds = vc.groupBy(*keys).agg(F.percentile_approx(F.col(value), probs, 10000).alias("_bounds"))
         bounds = bounds.checkpoint(eager=True)
         x = vc.join(F.broadcast(bounds), keys) if keys else attach_scalars(vc, bounds)
-        return x.withColumn("_bk", F.size(F.filter("_bounds", lambda t: t < F.col(value)))).drop("_bounds")
+        return x.withColumn("_bk", bucket_of(F.col("_bounds"), F.col(value), b - 1)).drop("_bounds")
     mm = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     x = vc.join(mm, keys) if keys else attach_scalars(vc, mm)
     width = (F.col("_hi") - F.col("_lo")) / b

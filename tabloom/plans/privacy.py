@@ -113,7 +113,7 @@ def q_k_anonymity(spark, sf):
 
 
 @query("pseudonymize", f"""WITH p AS ({PII_SQL})
-SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal, substr(sha256('shiny-ml' || passport_no), 1, 12) AS passport_no,
+SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal, substr(sha256('tabloom-pseudonym' || passport_no), 1, 12) AS passport_no,
        income_band FROM p""")
 def q_pseudonymize(spark, sf):
     df = pii_input(spark, sf)

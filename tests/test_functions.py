@@ -105,3 +105,15 @@ def test_dates_iso_mixed_garbage(spark):
     ts = spark.createDataFrame([("2024-01-31 10:15:00",), ("2024-12-15 23:59:59",)], "s string").select(
         parse_timestamp(F.col("s")).cast("string").alias("t")).collect()
     assert [r["t"] for r in ts] == ["2024-01-31 10:15:00", "2024-12-15 23:59:59"]
+
+
+def test_bucket_of_is_lower_bound(spark):
+    import bisect
+    rng = random.Random(11)
+    for n in (1, 2, 7, 64, 199):
+        bounds = sorted(rng.uniform(-10, 10) for _ in range(n))
+        xs = [rng.uniform(-12, 12) for _ in range(50)] + bounds[:3]
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        got = [r["b"] for r in df.select(ranks.bucket_of(F.array(*[F.lit(b) for b in bounds]), F.col("x"), n)
+                                         .alias("b")).collect()]
+        assert got == [bisect.bisect_left(bounds, x) for x in xs]
