@@ -493,3 +493,71 @@ def model_features(columns: Sequence[str], target: str, spec: dict, time_col: st
     drop = {target, time_col, spec.get("weight"), spec.get("strata"), spec.get("psu"), spec.get("id"),
             spec.get("implicate"), *spec.get("replicate_weights", [])}
     return [c for c in columns if c not in drop]
+
+
+def rao_scott_test(df: DataFrame, row: str, col: str, d: Design) -> dict:
+    """Second-order Rao-Scott test of independence for a weighted two-way
+    table.  The design covariance of the cell proportions comes from PSU
+    totals of the cell influence values (cells^2 stratum aggregates); the
+    generalised design effects are the eigen-structure of
+    (C' D^-1 V_srs D^-1 C)^-1 (C' D^-1 V D^-1 C), C = interaction contrasts
+    orthogonal to the main effects.  F = X^2 / tr(Delta) on (d0, d0 * df_design)
+    degrees of freedom, d0 = tr(Delta)^2 / tr(Delta^2)."""
+    import numpy as np
+    from ..functions.stats import f_sf
+    x = valid_weights(df, d.weight).where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    rl = [r[0] for r in x.select(F.col(row).cast("string")).distinct().orderBy(1).collect()]
+    cl = [r[0] for r in x.select(F.col(col).cast("string")).distinct().orderBy(1).collect()]
+    nr, nc = len(rl), len(cl)
+    cells = [(a, b) for b in cl for a in rl]          # row index varies fastest
+    h, i = _strata_psu(d)
+    w = F.col(d.weight).cast("double")
+    ind = [((F.col(row).cast("string") == a) & (F.col(col).cast("string") == b)) for a, b in cells]
+    psu = x.groupBy(h.alias("_h"), i.alias("_i")).agg(
+        F.sum(w).alias("_B"), *[F.sum(F.when(c, w).otherwise(0.0)).alias(f"_A{k}") for k, c in enumerate(ind)])
+    tot = psu.agg(F.sum("_B").alias("W"), F.count(F.lit(1)).alias("npsu"),
+                  *[F.sum(f"_A{k}").alias(f"T{k}") for k in range(len(cells))]).first()
+    W = tot["W"]
+    p = np.array([tot[f"T{k}"] / W for k in range(len(cells))])
+    z = [(F.col(f"_A{k}") - F.lit(float(p[k])) * F.col("_B")) / F.lit(W) for k in range(len(cells))]
+    st = psu.select("_h", *[zk.alias(f"z{k}") for k, zk in enumerate(z)]).groupBy("_h").agg(
+        F.count(F.lit(1)).alias("nh"), *[F.sum(f"z{k}").alias(f"s{k}") for k in range(len(cells))],
+        *[F.sum(F.col(f"z{a}") * F.col(f"z{b}")).alias(f"q{a}_{b}") for a in range(len(cells))
+          for b in range(a, len(cells))]).collect()
+    m = len(cells)
+    V = np.zeros((m, m))
+    nstrata = 0
+    for r in st:
+        nstrata += 1
+        nh = r["nh"]
+        if nh < 2:
+            continue
+        S = np.array([r[f"s{k}"] for k in range(m)])
+        Q = np.zeros((m, m))
+        for a in range(m):
+            for b in range(a, m):
+                Q[a, b] = Q[b, a] = r[f"q{a}_{b}"]
+        V += nh / (nh - 1) * (Q - np.outer(S, S) / nh)
+    n = x.count()
+    # interaction contrasts orthogonal to the intercept and main effects
+    rows_idx = np.array([k % nr for k in range(m)])
+    cols_idx = np.array([k // nr for k in range(m)])
+    X1 = np.column_stack([np.ones(m)] + [(rows_idx == a).astype(float) for a in range(1, nr)]
+                         + [(cols_idx == b).astype(float) for b in range(1, nc)])
+    X12 = np.column_stack([((rows_idx == a) & (cols_idx == b)).astype(float)
+                           for b in range(1, nc) for a in range(1, nr)])
+    Cm = X12 - X1 @ np.linalg.lstsq(X1, X12, rcond=None)[0]
+    Dinv = np.diag(np.where(p > 0, 1 / np.where(p > 0, p, 1), 0.0))
+    Vsrs = (np.diag(p) - np.outer(p, p)) / n
+    denom = Cm.T @ Dinv @ Vsrs @ Dinv @ Cm
+    numr = Cm.T @ Dinv @ V @ Dinv @ Cm
+    Delta = np.linalg.solve(denom, numr)
+    tr, tr2 = float(np.trace(Delta)), float(np.trace(Delta @ Delta))
+    # Pearson X^2 on the weighted table rescaled to the sample size
+    tab = p.reshape(nc, nr).T * n
+    e = np.outer(tab.sum(axis=1), tab.sum(axis=0)) / n
+    x2 = float(((tab - e) ** 2 / np.where(e > 0, e, 1)).sum())
+    d0 = tr * tr / tr2 if tr2 > 0 else float("nan")
+    ddf = d0 * (tot["npsu"] - nstrata)
+    fstat = x2 / tr if tr > 0 else float("nan")
+    return {"chisq": x2, "F": fstat, "ndf": d0, "ddf": ddf, "p_value": f_sf(fstat, d0, ddf), "deff_mean": tr / len(Delta)}

@@ -347,3 +347,10 @@ def q_detect_survey_columns(spark, sf):
     from ..operators import detect
     return detect.detect_survey_columns(_phf_input(spark, sf).withColumnRenamed("wsr", "stratum_id")
                                         .withColumn("wave", F.lit(1)))
+
+
+@query("survey_crosstab_rao_scott")
+def q_survey_crosstab_rao_scott(spark, sf):
+    r = survey.rao_scott_test(survey_input(spark, sf), "stratum", "o_orderstatus", D)
+    return rounded(spark.createDataFrame([tuple(float(r[k]) for k in ("chisq", "F", "ndf", "ddf", "p_value", "deff_mean"))],
+                                         "chisq double, F double, ndf double, ddf double, p_value double, deff_mean double"))

@@ -212,3 +212,11 @@ def test_qq_points_are_monotone(spark):
 def test_preset_grid():
     g = models.preset_grid("glmnet_reg", "aggressive")
     assert len(g) == 9 and {"alpha", "lambda"} <= set(g[0])
+
+
+def test_rao_scott_reduces_to_pearson_under_srs(spark):
+    # unit weights, one PSU per row, no strata: generalised design effects ~ 1
+    o = table(spark, SF_SMALL, "orders").select("o_orderpriority", "o_orderstatus").withColumn("w", F.lit(1.0))
+    r = survey.rao_scott_test(o, "o_orderpriority", "o_orderstatus", survey.Design("w"))
+    assert abs(r["deff_mean"] - 1) < 0.05
+    assert abs(r["F"] * r["ndf"] - r["chisq"]) / r["chisq"] < 0.1 and 0 <= r["p_value"] <= 1
