@@ -68,16 +68,44 @@ def taylor_variance(z_df: DataFrame, d: Design, keys: Sequence[str] = (), zcols:
                     F.col("n_single").cast("long"))
 
 
+def _psu_sums(x: DataFrame, keys: list[str], d: Design, sums: dict[str, Column]) -> DataFrame:
+    """One pass over the data: per (keys, stratum, PSU) sums - the sufficient
+    statistics of every linearised estimator below (size: number of PSUs)."""
+    h, i = _strata_psu(d)
+    return x.groupBy(*keys, h.alias("_h"), i.alias("_i")).agg(
+        F.count(F.lit(1)).alias("_cnt"), *[e.alias(n) for n, e in sums.items()])
+
+
+def _psu_variance(psu: DataFrame, keys: list[str]) -> DataFrame:
+    """Taylor variance from PSU-level influence totals ``z`` (already summed)."""
+    nh = F.col("_nh")
+    st = psu.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_nh"), F.sum("z").alias("_s"),
+                                      F.sum(F.col("z") * F.col("z")).alias("_q"))
+    v = st.groupBy(*keys).agg(F.sum(F.when(nh > 1, nh / (nh - 1) * (F.col("_q") - F.col("_s") * F.col("_s") / nh)))
+                              .alias("_v"), F.count_if(nh == 1).alias("n_single"))
+    return v.select(*keys, F.when(F.col("n_single") == 0, F.col("_v")).alias("var_z"), F.col("n_single").cast("long"))
+
+
 def survey_mean(df: DataFrame, y: str, d: Design, keys: Sequence[str] = ()) -> DataFrame:
-    """Weighted mean sum(w y)/sum(w) and its Taylor SE; NULL y rows dropped."""
+    """Weighted mean sum(w y)/sum(w) and its Taylor SE; NULL y rows dropped.
+    With PSUs, one pass builds PSU sums (T, W); the influence total of PSU i is
+    (T_i - mean W_i) / W, so the data is read once."""
     keys = list(keys)
     x = valid_weights(df, d.weight).where(F.col(y).isNotNull())
     w, yy = F.col(d.weight).cast("double"), F.col(y).cast("double")
-    tot = x.groupBy(*keys).agg(F.sum(w * yy).alias("_swy"), F.sum(w).alias("_sw"), F.count(F.lit(1)).alias("n"))
-    tot = tot.withColumn("mean", F.col("_swy") / F.col("_sw"))
-    z = _keyed(x, tot.select(*keys, "mean", "_sw"), keys).withColumn(
-        "z", w * (yy - F.col("mean")) / F.col("_sw"))
-    v = taylor_variance(z, d, keys)
+    if d.psu:
+        psu = _psu_sums(x, keys, d, {"_T": F.sum(w * yy), "_W": F.sum(w)})
+        tot = psu.groupBy(*keys).agg((F.sum("_T") / F.sum("_W")).alias("mean"), F.sum("_W").alias("_sw"),
+                                     F.sum("_cnt").alias("n"))
+        z = _keyed(psu, tot.select(*keys, "mean", "_sw"), keys).withColumn(
+            "z", (F.col("_T") - F.col("mean") * F.col("_W")) / F.col("_sw"))
+        v = _psu_variance(z, keys)
+    else:
+        tot = x.groupBy(*keys).agg((F.sum(w * yy) / F.sum(w)).alias("mean"), F.sum(w).alias("_sw"),
+                                   F.count(F.lit(1)).alias("n"))
+        z = _keyed(x, tot.select(*keys, "mean", "_sw"), keys).withColumn(
+            "z", w * (yy - F.col("mean")) / F.col("_sw"))
+        v = taylor_variance(z, d, keys)
     return _keyed(tot.select(*keys, "mean", "n"), v, keys).select(
         *keys, "mean", F.sqrt("var_z").alias("se"), F.col("n").cast("long"), "n_single")
 
@@ -85,9 +113,15 @@ def survey_mean(df: DataFrame, y: str, d: Design, keys: Sequence[str] = ()) -> D
 def survey_total(df: DataFrame, y: str, d: Design, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     x = valid_weights(df, d.weight).where(F.col(y).isNotNull())
-    z = x.withColumn("z", F.col(d.weight).cast("double") * F.col(y).cast("double"))
-    tot = z.groupBy(*keys).agg(F.sum("z").alias("total"), F.count(F.lit(1)).alias("n"))
-    v = taylor_variance(z, d, keys)
+    wy = F.col(d.weight).cast("double") * F.col(y).cast("double")
+    if d.psu:
+        psu = _psu_sums(x, keys, d, {"z": F.sum(wy)})
+        tot = psu.groupBy(*keys).agg(F.sum("z").alias("total"), F.sum("_cnt").alias("n"))
+        v = _psu_variance(psu, keys)
+    else:
+        z = x.withColumn("z", wy)
+        tot = z.groupBy(*keys).agg(F.sum("z").alias("total"), F.count(F.lit(1)).alias("n"))
+        v = taylor_variance(z, d, keys)
     return _keyed(tot, v, keys).select(*keys, "total", F.sqrt("var_z").alias("se"), F.col("n").cast("long"),
                                        "n_single")
 
@@ -97,11 +131,19 @@ def survey_ratio(df: DataFrame, num: str, den: str, d: Design, keys: Sequence[st
     keys = list(keys)
     x = valid_weights(df, d.weight).where(F.col(num).isNotNull() & F.col(den).isNotNull())
     w, yy, xx = F.col(d.weight).cast("double"), F.col(num).cast("double"), F.col(den).cast("double")
-    tot = x.groupBy(*keys).agg(F.sum(w * yy).alias("_sy"), F.sum(w * xx).alias("_sx"), F.count(F.lit(1)).alias("n"))
-    tot = tot.withColumn("ratio", F.col("_sy") / F.col("_sx"))
-    z = _keyed(x, tot.select(*keys, "ratio", "_sx"), keys).withColumn(
-        "z", w * (yy - F.col("ratio") * xx) / F.col("_sx"))
-    v = taylor_variance(z, d, keys)
+    if d.psu:
+        psu = _psu_sums(x, keys, d, {"_Y": F.sum(w * yy), "_X": F.sum(w * xx)})
+        tot = psu.groupBy(*keys).agg((F.sum("_Y") / F.sum("_X")).alias("ratio"), F.sum("_X").alias("_sx"),
+                                     F.sum("_cnt").alias("n"))
+        z = _keyed(psu, tot.select(*keys, "ratio", "_sx"), keys).withColumn(
+            "z", (F.col("_Y") - F.col("ratio") * F.col("_X")) / F.col("_sx"))
+        v = _psu_variance(z, keys)
+    else:
+        tot = x.groupBy(*keys).agg(F.sum(w * yy).alias("_sy"), F.sum(w * xx).alias("_sx"),
+                                   F.count(F.lit(1)).alias("n")).withColumn("ratio", F.col("_sy") / F.col("_sx"))
+        z = _keyed(x, tot.select(*keys, "ratio", "_sx"), keys).withColumn(
+            "z", w * (yy - F.col("ratio") * xx) / F.col("_sx"))
+        v = taylor_variance(z, d, keys)
     return _keyed(tot.select(*keys, "ratio", "n"), v, keys).select(
         *keys, "ratio", F.sqrt("var_z").alias("se"), F.col("n").cast("long"), "n_single")
 

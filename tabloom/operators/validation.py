@@ -54,6 +54,9 @@ def rolling_origin_cv(df: DataFrame, keys: Sequence[str], order_col: str, value:
     x = running_totals(df.select(*keys, order_col, value), keys, [order_col], value)
     first = df.groupBy(*keys).agg(F.min_by(value, order_col).alias("_first"))
     x = x.join(first, keys) if keys else ranks.attach_scalars(x, first)
+    # the running totals feed three branches of the blocked window below:
+    # materialise them once (shared checkpoint folder) instead of re-deriving
+    x = x.checkpoint(eager=True)
     x = halo_blocks(x, keys, [order_col], h)
     w = Window.partitionBy(*keys, "_blk").orderBy(order_col)
     for k in range(1, h + 1):
