@@ -55,7 +55,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     # one scan + shuffle builds the value-count table; it is checkpointed to the
     # shared checkpoint folder so every statistic below reads it instead of
     # re-scanning the source (lineage is cut; survives executor loss)
-    vc = value_counts(df, columns).checkpoint(eager=True)
+    vc = value_counts(ranks.ensure_parallelism(df.select(*columns)), columns).checkpoint(eager=True)
     miss = _missing(F.col("num"), F.col("str"))
     base = vc.groupBy("column").agg(
         F.sum("cnt").alias("n"),

@@ -568,24 +568,26 @@ MAX_ONE_HOT_LEVELS = 10_000
 
 
 def _one_hot(df, fit, tg, p, **_):
-    out_cols = []
-    levels = {}
+    """Levels of all target columns in two jobs: a bounded-sketch distinct
+    count per column (guard against encoding an unbounded column), then one
+    distinct-values collect; each level becomes a 0/1 column."""
+    approx = _one_row(fit, [F.approx_count_distinct(_q(c)).alias(f"n{i}") for i, c in enumerate(tg)])
+    for i, c in enumerate(tg):
+        if approx[f"n{i}"] > MAX_ONE_HOT_LEVELS:
+            raise ValueError(f"one_hot: column {c} has about {approx[f'n{i}']} levels; encode it another way")
+    long = fit.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("l"))
+                                         for c in tg])))
+    rows = long.where(F.col("l").isNotNull()).distinct().collect()
+    levels = {c: [] for c in tg}
+    for r in rows:
+        levels[r["column"]].append(r["l"])
     for c in tg:
-        lv = fit.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("l")).distinct()
-        n = lv.count()
-        if n > MAX_ONE_HOT_LEVELS:
-            raise ValueError(f"one_hot: column {c} has {n} levels; encode it another way")
-        levels[c] = [r[0] for r in lv.orderBy("l").collect()]
-    done = set()
-    for c in df.columns:
-        if c in levels and len(levels[c]) > 1:
-            done.add(c)
-            continue
-        out_cols.append(F.col(c))
+        levels[c].sort()
+    out_cols = [_q(c) for c in df.columns if not (c in levels and len(levels[c]) > 1)]
     for c in tg:
-        if c in done:
-            for l in levels[c]:
-                out_cols.append(F.when(F.col(c).cast("string") == F.lit(l), 1).otherwise(0).alias(f"{c}_{l}"))
+        if len(levels[c]) > 1:
+            for lv in levels[c]:
+                out_cols.append(F.when(_q(c).cast("string") == F.lit(lv), 1).otherwise(0).alias(f"{c}_{lv}"))
     return df.select(*out_cols), f"one_hot -> encoded {len(tg)} cols"
 
 
