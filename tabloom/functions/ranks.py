@@ -212,3 +212,16 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     target = df.sparkSession.sparkContext.defaultParallelism
     n = df.rdd.getNumPartitions()
     return df.repartition(target) if n < target else df
+
+
+_DERIVED_OPS = ("Aggregate", "Join", "Window", "Generate", "FlatMapGroupsInPandas", "MapInPandas")
+
+
+def materialize_if_derived(df: DataFrame) -> DataFrame:
+    """Checkpoint (shared checkpoint folder, lineage cut) an input that several
+    plan branches will read, when it is derived by shuffling operators; plain
+    scans and projections are cheaper to re-read than to write."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(op in plan for op in _DERIVED_OPS):
+        return df.checkpoint(eager=True)
+    return df
