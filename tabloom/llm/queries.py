@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from ..session import table
-from . import near_dedup
+from . import byte_bpe, embedding_dedup, mixing, near_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +27,64 @@ def query(name: str, sql: str | None = None):
 @query("op2_near_dedup")
 def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"),
+                                       public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark, sf_dir):
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
+         ('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 7))::BIGINT AS draw
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS held, row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM d GROUP BY source),
+w AS (SELECT source, held, 3.0::DOUBLE * held AS cap, [5, 2, 1][CAST((nr - 1) % 3 + 1 AS INT)]::DOUBLE AS weight, nr FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, nr) AS place FROM w),
+l AS (SELECT *, (SELECT sum(held) FROM s)::DOUBLE - coalesce(sum(cap) OVER before, 0) AS room,
+             (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER before, 0) AS shares
+      FROM o WINDOW before AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT min(place) AS edge FROM l WHERE cap * shares > room * weight),
+t AS (SELECT l.source, l.held,
+             CASE WHEN edge IS NULL OR place < edge THEN cap
+                  ELSE (SELECT room / shares FROM l WHERE place = edge) * weight END AS target
+      FROM l CROSS JOIN f),
+q AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS quota FROM t),
+r AS (SELECT d.doc_id, d.size, q.held AS source_size, q.target, q.quota,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS upto
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 4) AS target,
+       (size * CASE WHEN source_size = 0 THEN 0
+                    ELSE quota // source_size + CASE WHEN upto <= quota % source_size THEN 1 ELSE 0 END END)::BIGINT AS taken
+FROM r
+"""
+
+
+def source_weights(names: list) -> list[float]:
+    return [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))]
+
+
+@query("op10_mixing", MIX_SQL)
+def op10_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("members"))
+    mixed = mixing.mix(docs, source_weights, repeats=3)
+    return mixed.select("doc_id", "size", F.get("source_sizes", F.lit(0)).alias("source_size"),
+                        F.round(F.get("targets", F.lit(0)), 4).alias("target"), "taken")
