@@ -11,7 +11,9 @@
    for a seeded part: documents are ordered by a seeded hash, and the cut that keeps
    the running size within the share is found by two histograms of that hash (4096
    bins, then 65536 within the one bin that holds the cut), so no group is sorted or
-   gathered, however many documents one source has.
+   gathered, however many documents one source has.  What the cut leaves open (less
+   than the next document) goes, in ``ROUNDS`` - 1 further cuts of the same kind, to
+   documents not yet copied again that fit into it.
 
 Inputs: null text has size 0; a null source is a source of its own; a document of no
 source is never taken; null or repeated ids keep a row each (equal ids share one
@@ -29,6 +31,7 @@ from .scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 FINE_BITS = 16          # bins of the second histogram, as a power of two
 COARSE_BITS = 12        # bins of the first
+ROUNDS = 4              # cuts; each leaves a small part of what the one before left open
 
 
 def water_fill(sizes: list[float], weights: list[float], limit: float) -> list[float]:
@@ -142,26 +145,45 @@ def mix(docs: DataFrame, weights, repeats: int = 3, id_col: str = "doc_id", size
             for (m, size), t in zip(patterns, taken)]
     plan = spark.createDataFrame(
         plan, "members array<string>, whole long, rest long, targets array<double>, source_sizes array<long>")
-    planned = rows.join(plan, "members").withColumn("coarse", F.shiftright("draw", FINE_BITS)).withColumn(
-        "fine", F.col("draw").bitwiseAND((1 << FINE_BITS) - 1))
-
-    def cut(frame: DataFrame, bins: str, rest: str) -> DataFrame:
-        """First bin of each pattern whose running size exceeds ``rest``, and the size before it."""
-        run = Window.partitionBy("members").orderBy(bins)
-        sums = frame.groupBy("members", bins).agg(F.sum("size").alias("held"), F.max(rest).alias("rest"))
-        sums = sums.withColumn("upto", F.sum("held").over(run)).where("upto > rest")
-        return sums.groupBy("members").agg(F.min(F.struct(bins, (F.col("upto") - F.col("held")).alias("before")))
-                                           .alias("c")).select("members", f"c.{bins}", "c.before")
-    first = scratch.save(cut(planned, "coarse", "rest").withColumnRenamed("coarse", "edge"), "coarse")
-    at_edge = planned.join(first, "members").where("coarse = edge").withColumn(
-        "left", F.col("rest") - F.col("before"))
-    second = scratch.save(cut(at_edge, "fine", "left").select("members", F.col("fine").alias("fine_edge")), "fine")
-    edge = first.select("members", "edge").join(second, "members", "left")
-    copies = F.expr("whole + CASE WHEN edge IS NULL OR coarse < edge THEN IF(rest > 0, 1, 0)"
-                    " WHEN coarse = edge AND fine < coalesce(fine_edge, 0) THEN 1 ELSE 0 END")
-    return planned.join(edge, "members", "left").withColumn("copies", copies).select(
+    planned = rows.withColumn("more", F.lit(0)).join(plan, "members").withColumn(
+        "coarse", F.shiftright("draw", FINE_BITS)).withColumn("fine", F.col("draw").bitwiseAND((1 << FINE_BITS) - 1))
+    for turn in range(ROUNDS):
+        planned = scratch.save(_cut(planned, scratch, turn), f"cut-{turn}")
+    copies = F.col("whole") + F.col("more")
+    return planned.select(
         F.col("doc_id").alias(id_col), F.col("size").alias(size_col), F.col("members").alias(members_col),
-        "source_sizes", "targets", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        "source_sizes", "targets", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _edge(frame: DataFrame, bins: str, room: str) -> DataFrame:
+    """(members, ``bins``, before): of each pattern the first bin whose running size
+    exceeds ``room``, and the size before it.  A pattern has at most 65536 bins."""
+    run = Window.partitionBy("members").orderBy(bins)
+    sums = frame.groupBy("members", bins).agg(F.sum("size").alias("held"), F.max(room).alias("room"))
+    over = sums.withColumn("upto", F.sum("held").over(run)).where("upto > room")
+    first = over.groupBy("members").agg(F.min(F.struct(bins, (F.col("upto") - F.col("held")).alias("before"))).alias("c"))
+    return first.select("members", f"c.{bins}", "c.before")
+
+
+def _cut(planned: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    """``planned`` with ``more`` = 1 for the rows that fit into ``rest`` in the seeded
+    order, and ``rest`` reduced by them."""
+    fits = "more = 0 AND size > 0 AND size <= rest"
+    open_rows = planned.where(fits)
+    coarse = scratch.save(_edge(open_rows, "coarse", "rest").withColumnRenamed("coarse", "coarse_edge"),
+                          f"coarse-{turn}")
+    inside = open_rows.join(coarse, "members").where("coarse = coarse_edge").withColumn(
+        "room", F.col("rest") - F.col("before"))
+    fine = scratch.save(_edge(inside, "fine", "room").select("members", F.col("fine").alias("fine_edge")),
+                        f"fine-{turn}")
+    edges = coarse.select("members", "coarse_edge").join(fine, "members", "left")
+    took = F.expr(f"{fits} AND (coarse_edge IS NULL OR coarse < coarse_edge"
+                  " OR coarse = coarse_edge AND fine < coalesce(fine_edge, 0))")
+    marked = planned.join(edges, "members", "left").withColumn("took", took)
+    sums = scratch.save(marked.where("took").groupBy("members").agg(F.sum("size").alias("spent")), f"spent-{turn}")
+    return marked.join(sums, "members", "left").select(
+        *(c for c in planned.columns if c not in ("more", "rest")),
+        F.expr("more + IF(took, 1, 0)").alias("more"), F.expr("rest - coalesce(spent, 0)").alias("rest"))
 
 
 def water_fill_total(held: list[int], weights: list[float], limit: float, total: int) -> list[float]:

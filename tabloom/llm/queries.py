@@ -67,13 +67,19 @@ t AS (SELECT l.source, l.held,
                   ELSE (SELECT room / shares FROM l WHERE place = edge) * weight END AS target
       FROM l CROSS JOIN f),
 q AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS quota FROM t),
-r AS (SELECT d.doc_id, d.size, q.held AS source_size, q.target, q.quota,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS upto
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+c0 AS (SELECT d.doc_id, d.source, d.size, d.draw, q.held AS source_size, q.target,
+              CASE WHEN held = 0 THEN 0 ELSE quota // held END AS copies, 0 AS more,
+              CASE WHEN held = 0 THEN 0 ELSE quota % held END AS rest
+       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+""" + "".join(f""",
+m{i} AS (SELECT *, more = 0 AND size > 0 AND size <= rest AND sum(CASE WHEN more = 0 AND size > 0 AND size <= rest
+                   THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY draw) <= rest AS took FROM c{i}),
+c{i + 1} AS (SELECT doc_id, source, size, draw, source_size, target, copies, more + CASE WHEN took THEN 1 ELSE 0 END AS more,
+              rest - coalesce(sum(CASE WHEN took THEN size END) OVER (PARTITION BY source), 0) AS rest FROM m{i})
+""" for i in range(mixing.ROUNDS)) + f"""
 SELECT doc_id, size::BIGINT AS size, source_size, round(target, 4) AS target,
-       (size * CASE WHEN source_size = 0 THEN 0
-                    ELSE quota // source_size + CASE WHEN upto <= quota % source_size THEN 1 ELSE 0 END END)::BIGINT AS taken
-FROM r
+       (size * (copies + more))::BIGINT AS taken
+FROM c{mixing.ROUNDS}
 """
 
 
