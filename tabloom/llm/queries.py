@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, embedding_dedup, mixing, near_dedup, token_counts
+from . import byte_bpe, embedding_dedup, language_id, mixing, near_dedup, secrets, token_counts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -24,11 +24,31 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_secrets")
+def op1_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["finish"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+              for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
+                        text(F.col("spans")).alias("spans"))
+
+
 @query("op2_near_dedup")
 def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    named = language_id.predict(docs, language_id.train(docs))
+    return named.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"),
