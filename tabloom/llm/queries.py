@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, embedding_dedup, language_id, mixing, near_dedup, secrets, token_counts
+from . import byte_bpe, embedding_dedup, language_id, licenses, mixing, near_dedup, secrets, token_counts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -56,6 +56,12 @@ def op4_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query("op6_licenses")
+def op6_licenses(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, sf_dir):
     coded = byte_bpe.encode(table(spark, sf_dir, "documents"),
