@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, embedding_dedup, language_id, licenses, mixing, near_dedup, secrets, token_counts
+from . import byte_bpe, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, secrets, token_counts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -56,6 +56,20 @@ def op4_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query("op5_fingerprints")
+def op5_fingerprints(spark, sf_dir):
+    rows = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    n_chars = F.char_length("text")
+    edited = F.concat(F.substring("text", F.lit(1), n_chars - F.floor(n_chars / 4).cast("int")), "next_head")
+    rows = rows.withColumn("edited", edited).withColumn("edited_fingerprint", fingerprints.fingerprint(F.col("edited")))
+    own = F.col("fingerprint")
+    return rows.select(
+        "doc_id", n_chars.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        fingerprints.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(own, F.col("next_fingerprint")).alias("near_next"))
+
+
 @query("op6_licenses")
 def op6_licenses(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents"))
