@@ -1,6 +1,80 @@
-STAGES = []
-ORACLE_SQL = None
+"""A training corpus from ``documents``: language identification, near-duplicates,
+secrets, mixing, byte-level BPE.
 
+Every stage takes (spark, docs, sf_dir), where ``docs`` holds the columns of
+``documents`` (and any others), works on all rows it is given and returns the same
+columns, but for the last, which returns the encoded corpus.  ``run`` writes each
+stage's result as Parquet to the shared folder and reads it again."""
 
-def run(spark, sf_dir):
-    return spark.range(0)
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom.llm import byte_bpe, language_id, mixing, near_dedup, secrets
+from tabloom.llm.queries import source_weights
+from tabloom.llm.scratch import Scratch
+
+LEAST_SCORE = 0.5    # of a language; below it the document is of no language that was learned
+ORACLE_SQL = None    # a fitted classifier, a network and BPE merges are no SQL: tested by brute force
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is one of the learned ones; ``lang`` becomes the
+    prediction.  Texts without a letter and undecided ones go."""
+    model = language_id.train(docs)
+    named = language_id.predict(docs, model, keep=True)
+    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn(
+        "lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8):
+    the one of smallest id.  Documents without an id are kept; of rows that share one, one."""
+    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret replaced by a mark and ``n_chars`` counted anew."""
+    clean = secrets.redact(docs, secrets.train(docs))
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it (0 to 3 times); rows that share an id are
+    taken as often as the most taken of them."""
+    sized = docs.select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("members"))
+    copies = mixing.mix(sized, source_weights, repeats=3).groupBy(F.col("doc_id").alias("id")).agg(
+        F.max("copies").cast("int").alias("copies")).where("copies > 0")
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(docs[c] for c in docs.columns))
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of
+    the ids and of the bytes they decode to, one row a document taken."""
+    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids",
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE", encode_bytes),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i > 0:
+            scratch.drop(f"stage-{i - 1}")
+    return docs

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_package
 
@@ -166,17 +167,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return fit([(r["text"], r["label"]) for r in rows], idf)
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row of ``docs``; reads the text only."""
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
+            keep: bool = False) -> DataFrame:
+    """(id, lang_pred, score) of every row of ``docs``; reads the text only.  With ``keep`` all
+    columns of ``docs`` pass before the two (a column that has their name is replaced)."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)   # 2 ** BITS rows of one weight a language
+    rows = docs.drop("lang_pred", "score") if keep else docs.select(id_col, text_col)
+    place = rows.columns.index(text_col)
+    passed = [i for i, c in enumerate(rows.columns) if keep or c == id_col]
 
     def run(batches):
         m, grams = shared.value, Ngrams()
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(1):
+            for text in batch.column(place):
                 codes = grams.codes(text.as_py() or "")
                 if not m["classes"] or not codes.any():
                     names.append(UNKNOWN)
@@ -187,7 +193,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 p = _softmax(logits / m["temperature"])
                 names.append(m["classes"][int(p.argmax())])
                 scores.append(float(min(p.max(), 1.0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()),
-                                              pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in passed), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*(batch.schema.names[i] for i in passed), "lang_pred", "score"])
+    schema = T.StructType([rows.schema[i] for i in passed]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema)
