@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def column(name: str) -> Column:
+    """Column by exact name (names may contain dots or backticks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def kind(dt: T.DataType) -> str:
     if isinstance(dt, NUMERIC):
         return "numeric"

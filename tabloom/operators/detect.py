@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
+from ..functions.types import column as _q
 from ..functions.types import kind
 
 
@@ -20,9 +21,9 @@ def detect_task_types(df: DataFrame, columns: list[str], time_col_present: bool
     k = {f.name: kind(f.dataType) for f in df.schema.fields}
     aggs, items = [], []
     for i, c in enumerate(columns):
-        aggs.append(F.count_distinct(F.col(c)).alias(f"nd{i}"))
+        aggs.append(F.count_distinct(_q(c)).alias(f"nd{i}"))
         if k[c] == "numeric":
-            x = F.col(c).cast("double")
+            x = _q(c).cast("double")
             aggs += [F.bool_and(F.when(x.isNotNull(), x == F.floor(x))).alias(f"int{i}"),
                      F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
     w = df.agg(*aggs)
@@ -49,7 +50,7 @@ def detect_time_columns(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     text = [c for c in df.columns if k[c] == "string"]
     aggs = []
     for i, c in enumerate(text):
-        s = F.col(c)
+        s = _q(c)
         ok = s.isNotNull() & (F.length(s) > 0)
         aggs += [F.count_if(ok).alias(f"n{i}"), F.count_if(ok & parse_date(s).isNotNull()).alias(f"p{i}")]
     w = df.agg(*aggs) if aggs else df.sparkSession.range(1)
@@ -131,10 +132,10 @@ def detect_likert(df: DataFrame, columns: list[str], labels: dict | None = None)
     for i, c in enumerate(columns):
         aggs.append(F.count_distinct(c).alias(f"nd{i}"))
         if k[c] == "numeric":
-            x = F.col(c).cast("double")
+            x = _q(c).cast("double")
             aggs.append(F.bool_and(F.when(x.isNotNull(), x == F.round(x))).alias(f"int{i}"))
         else:
-            aggs.append(F.bool_or(F.lower(F.col(c).cast("string")).rlike(LIKERT_PATTERN)).alias(f"kw{i}"))
+            aggs.append(F.bool_or(F.lower(_q(c).cast("string")).rlike(LIKERT_PATTERN)).alias(f"kw{i}"))
     w = df.agg(*aggs)
     items = []
     for i, c in enumerate(columns):

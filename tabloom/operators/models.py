@@ -321,18 +321,38 @@ for _spec in [
 
 def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str], params: dict | None = None,
               weight: str | None = None):
-    """Assemble features and fit a registered estimator; returns (model, assembler)."""
+    """Assemble features and fit a registered estimator on the rows complete in target and
+    predictors; returns (model, assembler), ``assembler.rows_dropped`` tells how many of
+    the rows with a target were incomplete."""
     from pyspark.ml.feature import VectorAssembler
     spec = MODEL_REGISTRY[model_id]
     p = dict(spec.params)
     p.update(params or {})
     est = spec.build(p)
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    data = asm.transform(df).withColumn("label", F.col(target).cast("double"))
+    label = F.col(target).cast("double")
+    complete = label.isNotNull()
+    for c in features:
+        complete = complete & F.col(c).isNotNull()
+    n, used = df.agg(F.count(label), F.count_if(complete)).first()
+    train_shape_guard(n, n if used else 0, len(features), model_id)
+    asm = VectorAssembler(inputCols=list(features), outputCol="features")
+    data = asm.transform(df.where(complete)).withColumn("label", label)
     est = est.setFeaturesCol("features").setLabelCol("label")
     if weight and hasattr(est, "setWeightCol"):
         est = est.setWeightCol(weight)
-    return est.fit(data), asm
+    model = est.fit(data)
+    asm.rows_dropped = n - used            # of those with a target: incomplete predictors
+    return model, asm
+
+
+def score(model, asm, df: DataFrame) -> DataFrame:
+    """Predictions for every row of ``df``; a row with a missing predictor keeps its
+    place with a NULL prediction."""
+    complete = F.lit(True)
+    for c in asm.getInputCols():
+        complete = complete & F.col(c).isNotNull()
+    scored = model.transform(asm.transform(df.where(complete)))
+    return scored.unionByName(df.where(~complete), allowMissingColumns=True)
 
 
 def align_scoring_columns(df: DataFrame, train_columns: Sequence[str]) -> DataFrame:
@@ -404,27 +424,30 @@ def negbin_fit(df: DataFrame, y: str, xcols: Sequence[str], max_iter: int = 30,
             "p": [t_sf2(float(b / s), n - k) for b, s in zip(beta, se)]}
 
 
-# The default / aggressive / conservative tuning presets
-# (parameter name -> candidate values) offered per model family.
+# Parameters of the default / aggressive / conservative presets,
+# per model family; a family without an entry keeps its registry defaults.
+_XGB = {"default": {"eta": 0.1, "max_depth": 6, "subsample": 0.9, "colsample_bytree": 0.9, "nrounds": 200},
+        "aggressive": {"eta": 0.05, "max_depth": 10, "subsample": 1.0, "colsample_bytree": 1.0, "nrounds": 1500},
+        "conservative": {"eta": 0.05, "max_depth": 4, "subsample": 0.7, "colsample_bytree": 0.7, "nrounds": 500,
+                         "gamma": 1, "lambda": 5, "alpha": 1}}
+_RANGER = {"default": {"num_trees": 500, "min_node_size": 5, "sample_fraction": 1},
+           "aggressive": {"num_trees": 1500, "min_node_size": 1, "sample_fraction": 1},
+           "conservative": {"num_trees": 1000, "min_node_size": 10, "sample_fraction": 0.7}}
+_LIGHTGBM = {"default": {"num_iterations": 300, "learning_rate": 0.05, "num_leaves": 31},
+             "aggressive": {"num_iterations": 2000, "learning_rate": 0.02, "num_leaves": 127},
+             "conservative": {"num_iterations": 500, "learning_rate": 0.05, "num_leaves": 15, "min_data_in_leaf": 50}}
 MODEL_PRESETS = {
-    "glmnet_reg": {"default": {"alpha": [1.0], "lambda": [0.01]},
-                   "aggressive": {"alpha": [0.0, 0.5, 1.0], "lambda": [0.001, 0.01, 0.1]},
-                   "conservative": {"alpha": [1.0], "lambda": [0.1]}},
-    "ranger_reg": {"default": {"num_trees": [500]}, "aggressive": {"num_trees": [500, 1000], "max_depth": [0, 10]},
-                   "conservative": {"num_trees": [200], "max_depth": [6]}},
-    "xgb_reg": {"default": {"nrounds": [200], "eta": [0.1]},
-                "aggressive": {"nrounds": [200, 500], "eta": [0.05, 0.1], "max_depth": [4, 6, 8]},
-                "conservative": {"nrounds": [100], "eta": [0.1], "max_depth": [3]}},
+    "xgb_reg": _XGB, "xgb_cls": _XGB, "ranger_reg": _RANGER,
+    "ranger_cls": {**_RANGER, "default": {**_RANGER["default"], "min_node_size": 1}},
+    "lightgbm_reg": _LIGHTGBM, "lightgbm_cls": _LIGHTGBM,
 }
 
 
-def preset_grid(model_id: str, preset: str = "default") -> list[dict]:
-    """Expand a preset into the list of parameter dicts (the grid)."""
-    spec = MODEL_PRESETS.get(model_id, {}).get(preset, {})
-    grid = [{}]
-    for name, values in spec.items():
-        grid = [{**g, name: v} for g in grid for v in values]
-    return grid
+def preset(model_id: str, kind: str = "default") -> dict:
+    """Parameters of a preset; empty (registry defaults) where a family has none."""
+    if kind not in ("default", "aggressive", "conservative"):
+        raise ValueError(f"unknown preset {kind}")
+    return dict(MODEL_PRESETS.get(model_id, {}).get(kind, {}))
 
 
 def feature_importance(model, features: Sequence[str]):

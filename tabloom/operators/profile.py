@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions.fmt import c_fixed
+from ..functions.types import column as _q
 from ..functions.types import kind, r_class
 
 
@@ -26,8 +27,8 @@ def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     k = {f.name: kind(f.dataType) for f in df.schema.fields}
     items = []
     for c in columns:
-        num = F.col(c).cast("double") if k[c] == "numeric" else F.lit(None).cast("double")
-        txt = F.lit(None).cast("string") if k[c] == "numeric" else F.col(c).cast("string")
+        num = _q(c).cast("double") if k[c] == "numeric" else F.lit(None).cast("double")
+        txt = F.lit(None).cast("string") if k[c] == "numeric" else _q(c).cast("string")
         items.append(F.struct(F.lit(c).alias("column"), num.alias("num"), txt.alias("str")))
     return df.select(F.inline(F.array(*items)))
 
@@ -143,8 +144,8 @@ def leakage_numeric(df: DataFrame, target: str, columns: list[str] | None = None
     cols = [c for c in (columns or df.columns) if c != target and k[c] == "numeric"]
     aggs = []
     for c in cols:
-        ok = F.col(c).isNotNull() & F.col(target).isNotNull()
-        aggs += [F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r__{c}"),
+        ok = _q(c).isNotNull() & _q(target).isNotNull()
+        aggs += [F.corr(_q(c).cast("double"), _q(target).cast("double")).alias(f"r__{c}"),
                  F.count_if(ok).alias(f"n__{c}")]
     wide = df.agg(*aggs)
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r__{c}").alias("r"),
@@ -158,10 +159,10 @@ def leakage_ratios(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """(column, relation, risk, ratio) for every categorical column, ratio =
     (var(group means) * k / n) / var(y) — the reference's formula kept as is.
     Each column costs one grouped aggregate; the per-level table is small."""
-    tot = df.agg(F.var_samp(F.col(target)).alias("_tv"), F.count(F.lit(1)).alias("_n"))
+    tot = df.agg(F.var_samp(_q(target)).alias("_tv"), F.count(F.lit(1)).alias("_n"))
     out = None
     for c in columns:
-        g = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_lvl")).agg(F.avg(target).alias("_gm"))
+        g = df.where(_q(c).isNotNull()).groupBy(_q(c).alias("_lvl")).agg(F.avg(target).alias("_gm"))
         s = g.agg(F.var_samp("_gm").alias("_bv"), F.count(F.lit(1)).alias("_k"))
         r = ranks.attach_scalars(s, tot).select(
             F.lit(c).alias("column"),
@@ -204,7 +205,7 @@ def schema_summary(df: DataFrame, columns: list[str] | None = None, n_samples: i
 def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """% missing per column, descending (one agg over the source)."""
     columns = columns or df.columns
-    w = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"c__{i}") for i, c in enumerate(columns)])
+    w = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(_q(c)).alias(f"c__{i}") for i, c in enumerate(columns)])
     long = w.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
                                                 (100.0 * (F.col("_n") - F.col(f"c__{i}")) / F.col("_n")).alias("pct"))
                                        for i, c in enumerate(columns)])))
@@ -214,10 +215,10 @@ def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def target_histogram(df: DataFrame, target: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram of a numeric target: bin id 1..bins, bounds, count."""
     r = df.agg(F.min(target).alias("_lo"), F.max(target).alias("_hi"))
-    x = ranks.attach_scalars(df.select(target).where(F.col(target).isNotNull()), r)
+    x = ranks.attach_scalars(df.select(target).where(_q(target).isNotNull()), r)
     wdt = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
-        F.least(F.lit(bins), F.floor((F.col(target) - F.col("_lo")) / wdt).cast("int") + 1))
+        F.least(F.lit(bins), F.floor((_q(target) - F.col("_lo")) / wdt).cast("int") + 1))
     g = x.groupBy(b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
     return g.select("bin", (F.col("_lo") + (F.col("bin") - 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("lower"),
                     (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("upper"),
@@ -225,7 +226,7 @@ def target_histogram(df: DataFrame, target: str, bins: int = 30) -> DataFrame:
 
 
 def target_counts(df: DataFrame, target: str) -> DataFrame:
-    return (df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("level"))
+    return (df.where(_q(target).isNotNull()).groupBy(_q(target).cast("string").alias("level"))
             .agg(F.count(F.lit(1)).alias("n")).orderBy("level"))
 
 
@@ -240,7 +241,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     (sd > 0 over >= 2 values), long form ``(var1, var2, cor)`` upper triangle.
     One aggregate over the source computes every pair."""
     cols = correlation_columns(df, columns)
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    x = df.select(*[_q(c).cast("double").alias(c) for c in cols])
     sds = [F.stddev_samp(c).alias(f"sd__{i}") for i, c in enumerate(cols)]
     prs = [F.corr(a, b).alias(f"r__{i}__{j}") for (i, a), (j, b) in combinations(list(enumerate(cols)), 2)]
     wide = x.agg(*sds, *prs)
@@ -261,12 +262,12 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
     With NULLs the ranks are computed per pair over its complete rows."""
     cols = correlation_columns(df, columns)
     pairs = list(combinations(cols, 2))
-    has_null = df.agg(F.count_if(F.greatest(*[F.col(c).isNull() for c in cols]) if len(cols) > 1
+    has_null = df.agg(F.count_if(F.greatest(*[_q(c).isNull() for c in cols]) if len(cols) > 1
                                  else F.col(cols[0]).isNull()).alias("n")).first()["n"] > 0
-    sd_ok = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols]).first().asDict()
+    sd_ok = df.agg(*[F.stddev_samp(_q(c).cast("double")).alias(c) for c in cols]).first().asDict()
     good = {c for c in cols if (sd_ok[c] or 0.0) > 0}
     if not has_null:
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("double").alias("x"))
                                             for c in cols])))
         vc = ranks.value_weights(long, ["column"], "x").checkpoint(eager=True)
         nd = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -279,7 +280,7 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
         else:
             cum = ranks.with_cumulative(vc, ["column"], "value", "w", buckets)
         rk = cum.select("column", "value", (F.col("cum_before") + (F.col("w") + 1) / 2.0).alias("r"))
-        x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        x = df.select(*[_q(c).cast("double").alias(c) for c in cols])
         for c in cols:
             x = x.join(rk.where(F.col("column") == c).select(F.col("value").alias(c), F.col("r").alias(f"_r_{c}")), c)
         wide = x.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}__{b}") for a, b in pairs])

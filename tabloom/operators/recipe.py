@@ -21,11 +21,11 @@ from ..functions import ranks
 from ..functions.dates import parse_date, parse_timestamp
 from ..functions.fmt import c_fixed
 from ..functions.stats import inv_norm_cdf
+from ..functions.types import column as _q
 from ..functions.types import kind
 
 SELECTORS = ("all", "all_numeric", "all_categorical", "all_predictors")
 DATE_SAFE = ("date_features", "parse_datetime")
-LOOKUP_BROADCAST_ROWS = 1_000_000   # lookup tables above this join by shuffle
 
 
 # Step vocabulary with default parameters.
@@ -96,11 +96,6 @@ def _replace(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     return df.select(*[exprs[c].alias(c) if c in exprs else _q(c) for c in df.columns])
 
 
-def _q(c: str) -> Column:
-    """Column by exact name (names may contain dots)."""
-    return F.col("`" + c.replace("`", "``") + "`")
-
-
 def _num(c: str) -> Column:
     return _q(c).cast("double")
 
@@ -123,14 +118,12 @@ def exact_quantile_values(df: DataFrame, cols: list[str], probs: list[float]) ->
 
 
 def join_lookup(df: DataFrame, lut: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
-    """Join a per-level table; broadcast it only when its row count is proven small."""
-    n = lut.count()
-    side = F.broadcast(lut) if n <= LOOKUP_BROADCAST_ROWS else lut
-    return df.join(side, on, how)
+    """Join a per-level table; the planner picks the strategy from its size at run time."""
+    return df.join(lut, on, how)
 
 
 def level_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(F.col(col).cast("string").alias("_lvl")).agg(F.count(F.lit(1)).alias("_cnt"))
+    return df.groupBy(_q(col).cast("string").alias("_lvl")).agg(F.count(F.lit(1)).alias("_cnt"))
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
@@ -215,7 +208,7 @@ def _impute(df, fit, tg, p, **_):
             ex[c] = F.coalesce(base, F.lit(m).cast(df.schema[c].dataType) if keep_type else F.lit(m))
     for c in cats:
         if mode[c] is not None:
-            ex[c] = F.coalesce(_q(c).cast("string"), F.lit(mode[c]))
+            ex[c] = F.coalesce(_q(c), F.lit(mode[c]).cast(df.schema[c].dataType))
     return _replace(df, ex), f"impute -> filled {len(tg)} cols"
 
 
@@ -227,7 +220,7 @@ def _lump(df, fit, tg, p, **_):
         rare = (level_counts(fit, c).where(F.col("_lvl").isNotNull() & (F.col("_cnt") / F.lit(float(n)) < thr))
                 .select(F.col("_lvl").alias(f"_rare_{c}"), F.lit(True).alias(f"_israre_{c}")))
         out = join_lookup(out, rare, out[c].cast("string") == rare[f"_rare_{c}"])
-        out = out.withColumn(c, F.when(F.col(f"_israre_{c}"), F.lit("Other")).otherwise(F.col(c).cast("string")))
+        out = out.withColumn(c, F.when(F.col(f"_israre_{c}"), F.lit("Other")).otherwise(_q(c).cast("string")))
         out = out.drop(f"_rare_{c}", f"_israre_{c}")
     return out, f"lump_rare -> processed {len(tg)} cols"
 
@@ -236,14 +229,14 @@ def _date_features(df, fit, tg, p, time_col=None, **_):
     k = {f.name: kind(f.dataType) for f in df.schema.fields}
     parsed = {}
     str_cols = [c for c in tg if k[c] == "string"]
-    ok = _one_row(fit, [F.count_if(parse_date(F.col(c)).isNotNull()).alias(c) for c in str_cols])
+    ok = _one_row(fit, [F.count_if(parse_date(_q(c)).isNotNull()).alias(c) for c in str_cols])
     skipped = 0
     for c in tg:
         if k[c] == "string" and ok.get(c, 0) == 0:
             skipped += 1
             continue
         if k[c] in ("date", "timestamp", "string"):
-            parsed[c] = F.col(c).cast("date") if k[c] != "string" else parse_date(F.col(c))
+            parsed[c] = _q(c).cast("date") if k[c] != "string" else parse_date(_q(c))
         else:
             skipped += 1
     cols = []
@@ -251,7 +244,7 @@ def _date_features(df, fit, tg, p, time_col=None, **_):
         if c in parsed:
             d = parsed[c]
             if c == time_col:
-                cols.append(F.col(c) if k[c] != "string" else d.alias(c))
+                cols.append(_q(c) if k[c] != "string" else d.alias(c))
             dow = F.dayofweek(d)  # Sunday=1
             iso = ((dow + 5) % 7) + 1
             cols += [F.year(d).alias(f"{c}_year"), F.month(d).alias(f"{c}_month"), iso.alias(f"{c}_dow"),
@@ -259,7 +252,7 @@ def _date_features(df, fit, tg, p, time_col=None, **_):
                      F.when(iso.isin(6, 7), 1).otherwise(0).alias(f"{c}_is_weekend"),
                      F.unix_date(d).alias(f"{c}_days_since_epoch")]
         else:
-            cols.append(F.col(c))
+            cols.append(_q(c))
     extra = f" ({skipped} unparsed; check parse_datetime)" if skipped else ""
     return df.select(*cols), f"date_features -> expanded {len(tg)} cols{extra}"
 
@@ -274,12 +267,12 @@ def _parse_datetime(df, fit, tg, p, **_):
         if k[c] in ("date", "timestamp"):
             continue
         if as_kind in ("posix", "posixct", "datetime"):
-            ex[c] = parse_timestamp(F.col(c), sfmt)
+            ex[c] = parse_timestamp(_q(c), sfmt)
         else:
-            ex[c] = parse_date(F.col(c), sfmt)
-    chk = _one_row(df.select(*[ex[c].alias(f"v_{c}") for c in ex], *[F.col(c) for c in ex]),
+            ex[c] = parse_date(_q(c), sfmt)
+    chk = _one_row(df.select(*[ex[c].alias(f"v_{c}") for c in ex], *[_q(c) for c in ex]),
                    [F.count_if(F.col(f"v_{c}").isNotNull()).alias(f"ok_{c}") for c in ex]
-                   + [F.count_if(F.col(c).isNotNull()).alias(f"in_{c}") for c in ex])
+                   + [F.count_if(_q(c).isNotNull()).alias(f"in_{c}") for c in ex])
     failed = sum(1 for c in ex if chk[f"ok_{c}"] == 0 and chk[f"in_{c}"] > 0)
     extra = f" ({failed} unparsed)" if failed else ""
     return _replace(df, ex), f"parse_datetime -> coerced {len(tg)} cols{extra}"
@@ -400,13 +393,13 @@ def _robust(df, fit, tg, p, **_):
 def _quantile_normal(df, fit, tg, p, **_):
     out = df
     for c in tg:
-        n = _one_row(fit, [F.count(F.col(c)).alias("n")])["n"]
+        n = _one_row(fit, [F.count(_q(c)).alias("n")])["n"]
         vc = ranks.value_weights(fit, [], _num(c))
         cum = ranks.with_cumulative(vc, [], "value", "w")
         lut = cum.select(F.col("value").alias(f"_qv_{c}"),
                          inv_norm_cdf((F.col("cum_before") + (F.col("w") + 1) / 2.0) / F.lit(n + 1)).alias(f"_qz_{c}"))
         out = join_lookup(out, lut, _num(c) == F.col(f"_qv_{c}"))
-        out = out.withColumn(c, F.when(F.col(c).isNull(), F.lit(None).cast("double")).otherwise(F.col(f"_qz_{c}")))
+        out = out.withColumn(c, F.when(_q(c).isNull(), F.lit(None).cast("double")).otherwise(F.col(f"_qz_{c}")))
         out = out.drop(f"_qv_{c}", f"_qz_{c}")
     return out, f"quantile_normal -> mapped {len(tg)} cols"
 
@@ -477,7 +470,7 @@ def _target_encode(df, fit, tg, p, target=None, log=None, **_):
     is_class = kind(df.schema[target].dataType) != "numeric"
     if is_class:
         top = modes(fit, [target])[target]
-        yv = F.when(F.col(target).isNull(), F.lit(None)).otherwise((F.col(target).cast("string") == F.lit(top)).cast("double"))
+        yv = F.when(_q(target).isNull(), F.lit(None)).otherwise((_q(target).cast("string") == F.lit(top)).cast("double"))
     else:
         yv = _num(target)
     gm = _one_row(fit, [F.avg(yv).alias("gm")])["gm"]
@@ -485,7 +478,7 @@ def _target_encode(df, fit, tg, p, target=None, log=None, **_):
     for c in tg:
         if c == target:
             continue
-        lut = (fit.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias(f"_te_{c}"))
+        lut = (fit.where(_q(c).isNotNull()).groupBy(_q(c).cast("string").alias(f"_te_{c}"))
                .agg(F.avg(yv).alias("_mu"), F.count(F.lit(1)).alias("_n"))
                .select(f"_te_{c}", ((F.col("_mu") * F.col("_n") + F.lit(gm) * m) / (F.col("_n") + m)).alias(f"_tv_{c}")))
         out = join_lookup(out, lut, out[c].cast("string") == F.col(f"_te_{c}"))
@@ -502,10 +495,10 @@ def _ordinal(df, fit, tg, p, **_):
         elif isinstance(lv, (list, tuple)) and lv:
             order = [str(v) for v in lv]
         else:
-            order = [r[0] for r in fit.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct()
+            order = [r[0] for r in fit.where(_q(c).isNotNull()).select(_q(c).cast("string")).distinct()
                      .orderBy(1).collect()]
         arr = F.array(*[F.lit(v) for v in order])
-        pos = F.array_position(arr, F.col(c).cast("string"))
+        pos = F.array_position(arr, _q(c).cast("string"))
         ex[c] = F.when(pos > 0, pos.cast("int"))
     return _replace(df, ex), f"ordinal_encode -> encoded {len(tg)} cols"
 
@@ -527,7 +520,7 @@ def _pca(df, fit, tg, p, log, **_):
     nums = [c for c in tg if k[c] == "numeric"]
     if len(nums) < 2:
         return df, "pca -> need at least 2 numeric columns; skipped"
-    st = _one_row(fit, [a for c in nums for a in (F.count_if(F.col(c).isNull()).alias(f"z_{c}"),
+    st = _one_row(fit, [a for c in nums for a in (F.count_if(_q(c).isNull()).alias(f"z_{c}"),
                                                    F.avg(_num(c)).alias(f"m_{c}"), F.stddev_samp(_num(c)).alias(f"s_{c}"))])
     use = [c for c in nums if st[f"z_{c}"] == 0 and st[f"s_{c}"] is not None and st[f"s_{c}"] > 0]
     if len(use) < 2:
@@ -564,17 +557,9 @@ def _pca(df, fit, tg, p, log, **_):
     return out, f"pca -> {kk} cols -> {n_comp} components"
 
 
-MAX_ONE_HOT_LEVELS = 10_000
-
-
 def _one_hot(df, fit, tg, p, **_):
-    """Levels of all target columns in two jobs: a bounded-sketch distinct
-    count per column (guard against encoding an unbounded column), then one
-    distinct-values collect; each level becomes a 0/1 column."""
-    approx = _one_row(fit, [F.approx_count_distinct(_q(c)).alias(f"n{i}") for i, c in enumerate(tg)])
-    for i, c in enumerate(tg):
-        if approx[f"n{i}"] > MAX_ONE_HOT_LEVELS:
-            raise ValueError(f"one_hot: column {c} has about {approx[f'n{i}']} levels; encode it another way")
+    """Levels of all target columns in one job (one row a level reaches the
+    driver, as many as columns are made); each level becomes a 0/1 column."""
     long = fit.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("l"))
                                          for c in tg])))
     rows = long.where(F.col("l").isNotNull()).distinct().collect()
@@ -659,7 +644,7 @@ def suggest_steps(profile: DataFrame) -> DataFrame:
 
 def drop_high_missing(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Drop columns whose missing share exceeds ``threshold`` (one aggregate)."""
-    r = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    r = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     n = r["_n"] or 0
     keep = [c for i, c in enumerate(df.columns) if n == 0 or (n - r[f"c{i}"]) / n <= threshold]
     return df.select(*keep)
@@ -695,9 +680,9 @@ def quick_recipe(df: DataFrame, options: list[str], target: str | None, order_co
     if "dummy" in options:
         cats = [c for c, t in k(df).items() if t == "string" and c not in (target, time_col)]
         for c in cats:
-            levels = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
+            levels = [r[0] for r in df.where(_q(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
             df = df.select(*[_q(x) for x in df.columns if x != c],
-                           *[F.when(F.col(c) == lv, 1).otherwise(0).alias(f"{c}_{make_names(c + lv).replace('.', '_')}") for lv in levels])
+                           *[F.when(_q(c) == lv, 1).otherwise(0).alias(f"{c}_{make_names(c + lv).replace('.', '_')}") for lv in levels])
     if "scale" in options:
         nums = [c for c, t in k(df).items() if t == "numeric" and c != target and c not in keys and c not in order_cols]
         df, _ = apply_recipe(df, [step("zscore", nums)]) if nums else (df, [])

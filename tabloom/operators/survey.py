@@ -218,8 +218,10 @@ def replicate_scale(kind: str, R: int, rho: float = 0.0) -> float:
         return 1.0 / R
     if k == "fay":
         return 1.0 / (R * (1 - rho) ** 2)
-    if k in ("jk1", "jkn"):
+    if k == "jk1":
         return (R - 1) / R
+    if k == "jkn":
+        raise ValueError("JKn has a scale per replicate, (n_h - 1) / n_h: pass `rscales`")
     if k == "bootstrap":
         return 1.0 / (R - 1)
     if k == "acs":
@@ -228,11 +230,13 @@ def replicate_scale(kind: str, R: int, rho: float = 0.0) -> float:
 
 
 def replicate_mean(df: DataFrame, y: str, weight: str, rep_cols: Sequence[str], kind: str = "JK1",
-                   rho: float = 0.0, mse: bool = True, combined: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+                   rho: float = 0.0, mse: bool = True, combined: bool = True, keys: Sequence[str] = (),
+                   rscales: Sequence[float] | None = None) -> DataFrame:
     """Mean with replicate-weight variance: theta_r from each replicate weight
     (times the full weight unless ``combined``), V = scale * sum (theta_r - c)^2
-    with c = theta (mse) or mean theta_r.  One aggregate over an exploded
-    replicate index with map-side combine."""
+    with c = theta (mse) or mean theta_r.  ``rscales`` gives each replicate its own
+    scale (JKn: (n_h - 1) / n_h of the stratum that lost a PSU).  One aggregate over
+    an exploded replicate index with map-side combine."""
     keys = list(keys)
     R = len(rep_cols)
     x = valid_weights(df, weight).where(F.col(y).isNotNull())
@@ -244,9 +248,10 @@ def replicate_mean(df: DataFrame, y: str, weight: str, rep_cols: Sequence[str],
     j = _keyed(th, full, keys)
     center = F.col("mean") if mse else F.avg("theta_r").over(_window_by(keys))
     j = j.withColumn("_c", center)
-    sc = replicate_scale(kind, R, rho)
+    sc = F.get(F.array(*[F.lit(float(s)) for s in rscales]), F.col("rep")) if rscales is not None \
+        else F.lit(replicate_scale(kind, R, rho))
     v = j.groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("n").alias("n"),
-                             (F.lit(sc) * F.sum(F.pow(F.col("theta_r") - F.col("_c"), 2))).alias("_v"))
+                             F.sum(sc * F.pow(F.col("theta_r") - F.col("_c"), 2)).alias("_v"))
     return v.select(*keys, "mean", F.sqrt("_v").alias("se"), F.col("n").cast("long"))
 
 
@@ -255,6 +260,23 @@ def _window_by(keys):
     return Window.partitionBy(*keys)
 
 
+def jkn_replicate_weights(df: DataFrame, weight: str, stratum: Column, psu_index: Column,
+                          psus_of: dict, prefix: str = "wr_") -> tuple[DataFrame, list[float]]:
+    """Stratified delete-one-PSU weights: a replicate drops one PSU of one stratum and
+    scales that stratum's others by n_h / (n_h - 1).  ``psus_of`` maps each stratum to
+    the PSU numbers it holds (a design has as many columns as PSUs).  Returns the frame
+    and the scale (n_h - 1) / n_h of every replicate; strata of one PSU give none."""
+    w, cols, scales = F.col(weight).cast("double"), [], []
+    for h, members in psus_of.items():
+        n = len(members)
+        for i in members if n > 1 else ():
+            own = stratum == F.lit(h)
+            cols.append(F.when(own & (psu_index == F.lit(i)), F.lit(0.0)).when(own, w * (n / (n - 1.0))).otherwise(w)
+                        .alias(f"{prefix}{len(cols) + 1}"))
+            scales.append((n - 1.0) / n)
+    return df.select("*", *cols), scales
+
+
 def jk1_replicate_weights(df: DataFrame, weight: str, psu_index: Column, n_psu: int, prefix: str = "wr_") -> DataFrame:
     """Delete-one-PSU weights: replicate r zeroes PSU r and scales the rest by
     R/(R-1); strata are ignored (JK1)."""
@@ -327,17 +349,17 @@ def chisq_statistic(tab: DataFrame) -> DataFrame:
 
 
 def panel_summary(df: DataFrame, unit: str, wave: str) -> DataFrame:
-    """Units, waves, observations, % balanced units (observed in every wave),
+    """Units, waves, observations, % balanced units (as many rows as there are waves),
     attrition, mean observations per unit."""
-    per_unit = df.groupBy(unit).agg(F.count_distinct(wave).alias("_k"), F.count(F.lit(1)).alias("_obs"))
+    per_unit = df.groupBy(unit).agg(F.count(F.lit(1)).alias("_obs"))
     nw = df.agg(F.count_distinct(wave).alias("n_waves"))
     x = ranks.attach_scalars(per_unit, nw)
     s = x.agg(F.count(F.lit(1)).alias("n_units"), F.first("n_waves").alias("n_waves"), F.sum("_obs").alias("n_obs"),
-              (100.0 * F.avg((F.col("_k") == F.col("n_waves")).cast("double"))).alias("pct_balanced"))
+              (100.0 * F.avg((F.col("_obs") == F.col("n_waves")).cast("double"))).alias("pct_balanced"))
     return s.select(F.col("n_units").cast("long"), F.col("n_waves").cast("long"), F.col("n_obs").cast("long"),
                     F.round("pct_balanced", 2).alias("pct_balanced"),
                     F.round(100 - F.col("pct_balanced"), 2).alias("attrition"),
-                    F.round(F.col("n_obs") / F.col("n_units"), 4).alias("avg_obs_per_unit"))
+                    F.round(F.col("n_obs") / F.col("n_units"), 2).alias("avg_obs_per_unit"))
 
 
 def likert_distribution(df: DataFrame, item: str) -> DataFrame:

@@ -240,7 +240,8 @@ def var_fit(df: DataFrame, order_col: str, cols: Sequence[str], max_p: int = 4,
         ok = ok & F.col(c).isNotNull()
     det = {"const": [F.lit(1.0)], "none": [], "trend": [], "both": [F.lit(1.0)]}[trend]
     if trend in ("trend", "both"):
-        det = det + [F.unix_date(F.col(order_col).cast("date")).cast("double") / 365.25]
+        x = running_totals(x, [], [order_col], cols[0]).drop("cum_sum")
+        det = det + [F.col("cum_n").cast("double")]       # 1, 2, ... in time
     allc = det + [F.col(c) for c in lagc] + [F.col(c) for c in cols]
     r = x.where(ok).agg(F.count(F.lit(1)).alias("_n"), *_moment_cols(allc)).first().asDict()
     T = int(r["_n"])
@@ -273,9 +274,11 @@ def var_forecast(df: DataFrame, order_col: str, fit: dict, h: int = 12) -> DataF
     hist = [np.array([float(r[c]) for c in cols]) for r in sorted(last, key=lambda r: r["_rank"], reverse=True)]
     A = [B[D + K * (j - 1): D + K * j, :].T for j in range(1, p + 1)]   # K x K per lag
     c = B[0, :] if fit["trend"] in ("const", "both") else np.zeros(K)
+    slope = B[D - 1, :] if fit["trend"] in ("trend", "both") else np.zeros(K)
+    n = df.select(order_col).count() if slope.any() else 0
     preds = []
-    for _ in range(h):
-        v = c.copy()
+    for t in range(1, h + 1):
+        v = c + slope * (n + t)
         for j in range(1, p + 1):
             v = v + A[j - 1] @ hist[-j]
         hist.append(v)

@@ -25,6 +25,11 @@ def preds(spark, sf):
         "l_shipdate", F.col("l_extendedprice").alias("actual"), F.col("gm").alias("predicted"))
 
 
+def _with_row_hash(p):
+    """A draw key per row from all its values, so that lines of one order draw apart."""
+    return p.withColumn("row", F.xxhash64(*p.columns))
+
+
 CLS_SQL = """SELECT l_orderkey * 10 + l_linenumber AS idx, l_linestatus,
        CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'no' END AS actual,
        CASE WHEN l_discount > 0.05 THEN 'yes' ELSE 'no' END AS predicted FROM lineitem"""
@@ -72,7 +77,7 @@ def q_confusion_matrix(spark, sf):
 
 @query("bootstrap_metric")
 def q_bootstrap_metric(spark, sf):
-    return rounded(metrics.bootstrap_rmse(preds(spark, sf), "actual", "predicted", "idx", ["l_returnflag"], 200, 42))
+    return rounded(metrics.bootstrap_rmse(_with_row_hash(preds(spark, sf)), "actual", "predicted", "row", ["l_returnflag"], 200, 42))
 
 
 @query("residual_stats", f"""WITH p AS ({PRED_SQL}),
@@ -124,10 +129,9 @@ FROM m"""
 
 
 def runs_input(spark, sf):
-    from pyspark.sql import Window
     o = table(spark, sf, "orders")
-    p = o.select("o_orderpriority", F.col("o_totalprice").alias("a"),
-                 F.round(F.avg("o_totalprice").over(Window.partitionBy("o_orderstatus")), 4).alias("p"))
+    means = o.groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 4).alias("p"))   # one row a status
+    p = o.join(means, "o_orderstatus").select("o_orderpriority", F.col("o_totalprice").alias("a"), "p")
     e = F.col("a") - F.col("p")
     m = p.groupBy(F.substring("o_orderpriority", 1, 1).cast("long").alias("id")).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
@@ -290,9 +294,9 @@ def q_inverse_class_weight(spark, sf):
 @query("custom_metric_bootstrap")
 def q_custom_metric_bootstrap(spark, sf):
     """Bootstrap of a user-supplied metric aggregate (here MAE and MAPE)."""
-    p = preds(spark, sf)
-    a = metrics.bootstrap_metric(p, "actual", "predicted", "idx", "mae", ["l_returnflag"], 100).withColumn(
+    p = _with_row_hash(preds(spark, sf))
+    a = metrics.bootstrap_metric(p, "actual", "predicted", "row", "mae", ["l_returnflag"], 200).withColumn(
         "metric", F.lit("mae"))
-    b = metrics.bootstrap_metric(p, "actual", "predicted", "idx", "mape", ["l_returnflag"], 100).withColumn(
+    b = metrics.bootstrap_metric(p, "actual", "predicted", "row", "mape", ["l_returnflag"], 200).withColumn(
         "metric", F.lit("mape"))
     return rounded(a.unionByName(b))

@@ -121,10 +121,9 @@ SELECT event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n,
 def q_stream_profile(spark, sf):
     src = sinks.shared_scratch(spark, "events-arrivals")
     e = events_input(spark, sf)
-    # files arrive in event-time order, as from a live feed: six consecutive
-    # 5-day slices of January, each appended after the previous one
+    # six slices of January arrive, the latest days first: nothing may be too late
     day = F.dayofmonth("ts")
-    for lo in range(1, 32, 6):
+    for lo in range(31, -5, -6):
         e.where((day >= lo) & (day < lo + 6)).write.mode("append").parquet(src)
     out = jobs.stream_profile(spark, src, e.schema, "ts", "event_type", "value",
                               sinks.shared_scratch(spark, "events-profile"), sinks.shared_scratch(spark, "profile-ckpt"),

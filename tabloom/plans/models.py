@@ -47,11 +47,11 @@ DID_SQL = """SELECT o_totalprice / 1000.0 AS y, CAST(n_regionkey = 0 AS INTEGER)
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
 
 
-def did_input(spark, sf):
+def did_input(spark, sf, *extra):
     o, c, n = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "nation")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.select((F.col("o_totalprice") / 1000.0).alias("y"), (F.col("n_regionkey") == 0).cast("int").alias("treat"),
-                    (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("int").alias("post"))
+                    (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("int").alias("post"), *extra)
 
 
 @query("did_2x2", f"""WITH d AS ({DID_SQL}),
@@ -117,7 +117,7 @@ def _holdout_metrics(spark, sf, model_id, params):
     sp = validation.holdout_split(li, "idx", 0.8)
     feats = ["l_quantity", "l_discount", "l_tax"]
     m, asm = models.fit_model(sp.where(F.col("split") == "train"), model_id, "l_extendedprice", feats, params)
-    pred = m.transform(asm.transform(sp.where(F.col("split") == "test")))
+    pred = models.score(m, asm, sp.where(F.col("split") == "test"))
     return metrics.regression_metrics(pred, "l_extendedprice", "prediction")
 
 
@@ -145,7 +145,7 @@ def q_ranger_cls(spark, sf):
     feats = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
     m, asm = models.fit_model(sp.where(F.col("split") == "train"), "ranger_cls", "is_r", feats,
                               {"num_trees": 30, "max_depth": 6})
-    pred = m.transform(asm.transform(sp.where(F.col("split") == "test")))
+    pred = models.score(m, asm, sp.where(F.col("split") == "test"))
     return metrics.classification_metrics(pred, "is_r", "prediction")
 
 
@@ -236,9 +236,9 @@ def q_align_scoring(spark, sf):
 
 @query("ipw")
 def q_ipw(spark, sf):
-    d = did_input(spark, sf).withColumn("x", F.col("y") * 0.001)
-    m, asm = models.fit_model(d, "logit", "treat", ["x", "post"])
-    ps = m.transform(asm.transform(d)).withColumnRenamed("prediction", "ps")
+    d = did_input(spark, sf, "c_acctbal")        # known before the treatment
+    m, asm = models.fit_model(d, "logit", "treat", ["c_acctbal", "post"])
+    ps = models.score(m, asm, d).withColumnRenamed("prediction", "ps")
     return rounded(validation.ipw_estimate(ps, "y", "treat", "ps", "ATE").unionByName(
         validation.ipw_estimate(ps, "y", "treat", "ps", "ATT")))
 
@@ -288,20 +288,21 @@ def q_builtin_importance(spark, sf):
     return rounded(spark.createDataFrame(models.feature_importance(m, feats), "feature string, importance double"))
 
 
-@query("model_presets")
+@query("model_presets", """
+SELECT * FROM (VALUES ('xgb_reg', 'aggressive', 'nrounds', 1500.0), ('xgb_reg', 'aggressive', 'eta', 0.05),
+  ('xgb_reg', 'aggressive', 'max_depth', 10.0), ('xgb_reg', 'aggressive', 'subsample', 1.0),
+  ('xgb_reg', 'aggressive', 'colsample_bytree', 1.0), ('ranger_cls', 'default', 'num_trees', 500.0),
+  ('ranger_cls', 'default', 'min_node_size', 1.0), ('ranger_cls', 'default', 'sample_fraction', 1.0)) p(model, preset, name, value)
+CROSS JOIN (SELECT count(*) AS n_rows, count_if(l_discount IS NOT NULL AND l_quantity IS NOT NULL) AS n_complete FROM lineitem)
+""")
 def q_model_presets(spark, sf):
-    from ..operators import metrics
-    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    sp = validation.holdout_split(li, "idx", 0.8)
-    feats = ["l_quantity", "l_discount", "l_tax"]
-    out = None
-    for i, params in enumerate(models.preset_grid("glmnet_reg", "aggressive")):
-        m, asm = models.fit_model(sp.where(F.col("split") == "train"), "glmnet_reg", "l_extendedprice", feats, params)
-        met = metrics.regression_metrics(m.transform(asm.transform(sp.where(F.col("split") == "test"))),
-                                         "l_extendedprice", "prediction").select(
-            F.lit(i + 1).alias("candidate"), F.lit(str(params)).alias("params"), "rmse", "r2")
-        out = met if out is None else out.unionByName(met)
-    return out
+    """Preset parameters beside the rows that a fit on lineitem would train on."""
+    li = _lineitem(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(
+        F.col("l_discount").isNotNull() & F.col("l_quantity").isNotNull()).alias("n_complete"))
+    rows = [(m, k, n, float(v)) for m, k in (("xgb_reg", "aggressive"), ("ranger_cls", "default"))
+            for n, v in models.preset(m, k).items()]
+    out = spark.createDataFrame(rows, "model string, preset string, name string, value double")
+    return out.join(F.broadcast(li))
 
 
 @query("train_run")
@@ -316,7 +317,7 @@ def q_train_run(spark, sf):
     sp = validation.holdout_split(li, "idx", 0.8)
     feats = ["l_quantity", "l_discount", "l_tax"]
     m, asm = models.fit_model(sp.where(F.col("split") == "train"), "lm", "l_extendedprice", feats)
-    pred = m.transform(asm.transform(sp.where(F.col("split") == "test")))
+    pred = models.score(m, asm, sp.where(F.col("split") == "test"))
     met = metrics.regression_metrics(pred, "l_extendedprice", "prediction").first().asDict()
     run = spark.createDataFrame([(1, 1, "lm", "regression", json.dumps({"features": feats}),
                                   json.dumps({k: met[k] for k in ("rmse", "mae", "mape", "r2")}), None, None, "ok", "")],
@@ -345,7 +346,7 @@ def _cls_holdout(spark, sf, model_id, params, multiclass=False):
     if model_id == "mlp_cls":
         p.update({"n_features": len(feats), "n_classes": 3 if multiclass else 2})
     m, asm = models.fit_model(sp.where(F.col("split") == "train"), model_id, "label_y", feats, p)
-    pred = m.transform(asm.transform(sp.where(F.col("split") == "test")))
+    pred = models.score(m, asm, sp.where(F.col("split") == "test"))
     return metrics.classification_metrics(pred, "label_y", "prediction")
 
 
@@ -388,7 +389,7 @@ def q_catboost_reg(spark, sf):
     feats = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     m, asm = models.fit_model(enc.where(F.col("split") == "train"), "catboost_reg", "l_extendedprice", feats,
                               {"iterations": 20, "max_depth": 4})
-    pred = m.transform(asm.transform(enc.where(F.col("split") == "test")))
+    pred = models.score(m, asm, enc.where(F.col("split") == "test"))
     return metrics.regression_metrics(pred, "l_extendedprice", "prediction")
 
 

@@ -177,13 +177,13 @@ def q_survey_crosstab(spark, sf):
 
 
 @query("panel_summary", f"""WITH s AS ({SURVEY_SQL}),
-u AS (SELECT o_custkey, count(DISTINCT wave) AS k, count(*) AS obs FROM s GROUP BY 1),
+u AS (SELECT o_custkey, count(*) AS obs FROM s GROUP BY 1),
 nw AS (SELECT count(DISTINCT wave) AS n_waves FROM s),
 a AS (SELECT count(*) AS n_units, any_value(n_waves) AS n_waves, sum(obs) AS n_obs,
-             100.0 * avg(CASE WHEN k = n_waves THEN 1.0 ELSE 0.0 END) AS pb FROM u, nw)
+             100.0 * avg(CASE WHEN obs = n_waves THEN 1.0 ELSE 0.0 END) AS pb FROM u, nw)
 SELECT CAST(n_units AS BIGINT) AS n_units, CAST(n_waves AS BIGINT) AS n_waves, CAST(n_obs AS BIGINT) AS n_obs,
        round(pb, 2) AS pct_balanced, round(100 - round(pb, 2), 2) AS attrition,
-       round(n_obs / n_units, 4) AS avg_obs_per_unit FROM a""")
+       round(n_obs / n_units, 2) AS avg_obs_per_unit FROM a""")
 def q_panel_summary(spark, sf):
     return survey.panel_summary(survey_input(spark, sf), "o_custkey", "wave")
 

@@ -62,8 +62,12 @@ def flatten_columns(schema: T.StructType, prefix: str = "") -> list:
     return out
 
 
-def scan_json_flat(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    df = spark.read.option("multiLine", multiline).json(path)
+def scan_json_flat(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """One record per line, or whole documents (an object or an array of records
+    over several lines).  Not told which, lines that don't parse decide."""
+    df = spark.read.option("multiLine", bool(multiline)).json(path)
+    if multiline is None and "_corrupt_record" in df.columns:
+        df = spark.read.option("multiLine", True).json(path)
     return df.select(*flatten_columns(df.schema))
 
 

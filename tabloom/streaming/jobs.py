@@ -1,5 +1,5 @@
 """Structured Streaming jobs: incremental ingest of arriving Parquet files and
-a running per-day column profile with bounded state (watermark + windows)."""
+a running per-day column profile from mergeable partial sums."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.registry import keep_latest
-
 
 def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str,
                        checkpoint_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -24,26 +22,24 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructTyp
 
 
 def stream_profile(spark: SparkSession, source_dir: str, schema: T.StructType, ts: str, group: str, value: str,
-                   sink_dir: str, checkpoint_dir: str, watermark: str = "1 day",
-                   max_files_per_trigger: int = 1) -> DataFrame:
+                   sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 4) -> DataFrame:
     """Per ``group`` and day: rows, missing values, mean, min, max of ``value``
-    over arriving files.  Update mode with a watermark keeps state bounded;
-    each micro-batch's updated rows are appended with their batch id and the
-    newest row per (group, day) is the current profile."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source_dir).withColumn("_ts", F.col(ts).cast("timestamp")))
-    agg = (src.withWatermark("_ts", watermark)
-           .groupBy(F.col(group), F.window("_ts", "1 day").alias("w"))
-           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("n_missing"),
-                F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")))
+    over arriving files.  Each micro-batch writes its partial sums (mergeable,
+    one row a group and day) and the profile merges them, so the stream needs
+    no state, rows may arrive in any order and none is ever too late.  A batch
+    that is run again after a failure replaces its own part."""
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(group, F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "n", "n_missing", "mean",
-                      "min", "max", F.lit(batch_id).cast("long").alias("_batch"))
-         .write.mode("append").parquet(sink_dir))
+        v = F.col(value)
+        (batch.groupBy(F.col(group), F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd").alias("day"))
+         .agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("n_missing"), F.sum(v).alias("total"),
+              F.count(v).alias("held"), F.min(v).alias("min"), F.max(v).alias("max"))
+         .write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}"))
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
+    q = (src.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
-    out = spark.read.parquet(sink_dir)
-    return keep_latest(out, [group, "day"], "_batch").drop("_batch")
+    return spark.read.parquet(sink_dir).groupBy(group, "day").agg(
+        F.sum("n").alias("n"), F.sum("n_missing").alias("n_missing"),
+        F.try_divide(F.sum("total"), F.sum("held")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"))

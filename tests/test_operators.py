@@ -210,8 +210,10 @@ def test_qq_points_are_monotone(spark):
 
 
 def test_preset_grid():
-    g = models.preset_grid("glmnet_reg", "aggressive")
-    assert len(g) == 9 and {"alpha", "lambda"} <= set(g[0])
+    assert models.preset("xgb_reg", "aggressive")["nrounds"] == 1500
+    assert models.preset("xgb_cls", "conservative")["lambda"] == 5
+    assert models.preset("ranger_reg", "aggressive")["num_trees"] == 1500
+    assert models.preset("glmnet_reg", "aggressive") == {}
 
 
 def test_rao_scott_reduces_to_pearson_under_srs(spark):
