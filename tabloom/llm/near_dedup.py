@@ -246,18 +246,24 @@ def _residual_pairs(sets: DataFrame, scratch: Scratch, percent: int) -> DataFram
         "other", F.explode(F.expr(f"sequence(own_class - {reach}, own_class + {reach})"))).where(
         f"place <= n - ceil({ratio} * (n + floor(exp(other * {step}) * (1 - 1e-9))) - 1e-9) + 1").select(
         "value", F.least("own_class", "other").alias("lo"), F.greatest("own_class", "other").alias("hi"),
-        "doc_id", "n", "component")
+        "doc_id", "n", "place", "component")
     keyed = scratch.save(keyed, "residual")
     key = ["value", "lo", "hi"]
     mixed = keyed.groupBy(*key).agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .where("x <> y").select(*key)
     parts = scratch.save(keyed.join(mixed, key), "parts")
-    groups = parts.select(*key, "component").distinct()
-    met = groups.select(*key, F.col("component").alias("ca")).join(
-        groups.select(*key, F.col("component").alias("cb")), key).where("ca < cb")
-    side = lambda x: parts.select(*key, F.col("component").alias(f"c{x}"), F.col("doc_id").alias(x),
-                                  F.col("n").alias(f"n{x}"))
-    pairs = met.join(side("a"), [*key, "ca"]).join(side("b"), [*key, "cb"]).where(_sizes_fit(percent))
+    # a member can meet a partner of size m only if place <= n + 1 - ratio * (n + m)
+    groups = parts.groupBy(*key, "component").agg(
+        F.min(F.expr(f"place - (1 - {ratio}) * n")).alias("reach"), F.min("n").alias("least"))
+    group = lambda x: groups.select(*key, *(F.col(c).alias(f"{c}_{x}") for c in ("component", "reach", "least")))
+    met = group("a").join(group("b"), key).where(
+        "component_a < component_b"
+        f" AND reach_a <= 1.000001 - {ratio} * least_b AND reach_b <= 1.000001 - {ratio} * least_a")
+    side = lambda x: parts.select(*key, F.col("component").alias(f"component_{x}"), F.col("doc_id").alias(x),
+                                  F.col("n").alias(f"n{x}"), F.col("place").alias(f"place_{x}"))
+    overlap = f"ceil({ratio} * (na + nb) - 1e-9)"
+    pairs = met.join(side("a"), [*key, "component_a"]).join(side("b"), [*key, "component_b"]).where(
+        _sizes_fit(percent)).where(f"place_a <= na - {overlap} + 1 AND place_b <= nb - {overlap} + 1")
     out = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     scratch.drop("residual", "parts")
     return out
