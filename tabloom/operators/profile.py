@@ -56,7 +56,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     # one scan + shuffle builds the value-count table; it is checkpointed to the
     # shared checkpoint folder so every statistic below reads it instead of
     # re-scanning the source (lineage is cut; survives executor loss)
-    vc = value_counts(ranks.ensure_parallelism(df.select(*columns)), columns).checkpoint(eager=True)
+    vc = value_counts(ranks.ensure_parallelism(df.select(*[_q(c) for c in columns])), columns).checkpoint(eager=True)
     miss = _missing(F.col("num"), F.col("str"))
     base = vc.groupBy("column").agg(
         F.sum("cnt").alias("n"),
@@ -215,7 +215,7 @@ def missingness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def target_histogram(df: DataFrame, target: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram of a numeric target: bin id 1..bins, bounds, count."""
     r = df.agg(F.min(target).alias("_lo"), F.max(target).alias("_hi"))
-    x = ranks.attach_scalars(df.select(target).where(_q(target).isNotNull()), r)
+    x = ranks.attach_scalars(df.select(_q(target)).where(_q(target).isNotNull()), r)
     wdt = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.lit(bins), F.floor((_q(target) - F.col("_lo")) / wdt).cast("int") + 1))

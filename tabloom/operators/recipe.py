@@ -219,8 +219,8 @@ def _lump(df, fit, tg, p, **_):
     for c in tg:
         rare = (level_counts(fit, c).where(F.col("_lvl").isNotNull() & (F.col("_cnt") / F.lit(float(n)) < thr))
                 .select(F.col("_lvl").alias(f"_rare_{c}"), F.lit(True).alias(f"_israre_{c}")))
-        out = join_lookup(out, rare, out[c].cast("string") == rare[f"_rare_{c}"])
-        out = out.withColumn(c, F.when(F.col(f"_israre_{c}"), F.lit("Other")).otherwise(_q(c).cast("string")))
+        out = join_lookup(out, rare, _q(c).cast("string") == _q(f"_rare_{c}"))
+        out = out.withColumn(c, F.when(_q(f"_israre_{c}"), F.lit("Other")).otherwise(_q(c).cast("string")))
         out = out.drop(f"_rare_{c}", f"_israre_{c}")
     return out, f"lump_rare -> processed {len(tg)} cols"
 
@@ -399,7 +399,7 @@ def _quantile_normal(df, fit, tg, p, **_):
         lut = cum.select(F.col("value").alias(f"_qv_{c}"),
                          inv_norm_cdf((F.col("cum_before") + (F.col("w") + 1) / 2.0) / F.lit(n + 1)).alias(f"_qz_{c}"))
         out = join_lookup(out, lut, _num(c) == F.col(f"_qv_{c}"))
-        out = out.withColumn(c, F.when(_q(c).isNull(), F.lit(None).cast("double")).otherwise(F.col(f"_qz_{c}")))
+        out = out.withColumn(c, F.when(_q(c).isNull(), F.lit(None).cast("double")).otherwise(_q(f"_qz_{c}")))
         out = out.drop(f"_qv_{c}", f"_qz_{c}")
     return out, f"quantile_normal -> mapped {len(tg)} cols"
 
@@ -481,8 +481,8 @@ def _target_encode(df, fit, tg, p, target=None, log=None, **_):
         lut = (fit.where(_q(c).isNotNull()).groupBy(_q(c).cast("string").alias(f"_te_{c}"))
                .agg(F.avg(yv).alias("_mu"), F.count(F.lit(1)).alias("_n"))
                .select(f"_te_{c}", ((F.col("_mu") * F.col("_n") + F.lit(gm) * m) / (F.col("_n") + m)).alias(f"_tv_{c}")))
-        out = join_lookup(out, lut, out[c].cast("string") == F.col(f"_te_{c}"))
-        out = out.withColumn(c, F.coalesce(F.col(f"_tv_{c}"), F.lit(gm))).drop(f"_te_{c}", f"_tv_{c}")
+        out = join_lookup(out, lut, _q(c).cast("string") == _q(f"_te_{c}"))
+        out = out.withColumn(c, F.coalesce(_q(f"_tv_{c}"), F.lit(gm))).drop(f"_te_{c}", f"_tv_{c}")
     return out, f"target_encode -> encoded {len(tg)} cols"
 
 
@@ -509,8 +509,8 @@ def _frequency(df, fit, tg, p, **_):
     for c in tg:
         lut = level_counts(fit, c).where(F.col("_lvl").isNotNull()).select(
             F.col("_lvl").alias(f"_fe_{c}"), (F.col("_cnt") / F.lit(float(n))).alias(f"_fv_{c}"))
-        out = join_lookup(out, lut, out[c].cast("string") == F.col(f"_fe_{c}"))
-        out = out.withColumn(c, F.col(f"_fv_{c}")).drop(f"_fe_{c}", f"_fv_{c}")
+        out = join_lookup(out, lut, _q(c).cast("string") == _q(f"_fe_{c}"))
+        out = out.withColumn(c, _q(f"_fv_{c}")).drop(f"_fe_{c}", f"_fv_{c}")
     return out, f"frequency_encode -> encoded {len(tg)} cols"
 
 
@@ -553,7 +553,7 @@ def _pca(df, fit, tg, p, log, **_):
             term = z[c] * F.lit(float(vec[i, j]))
             e = term if e is None else e + term
         pcs.append(e.alias(f"pca_{j + 1}"))
-    out = df.select(*[c for c in df.columns if c not in use], *pcs)
+    out = df.select(*[_q(c) for c in df.columns if c not in use], *pcs)
     return out, f"pca -> {kk} cols -> {n_comp} components"
 
 

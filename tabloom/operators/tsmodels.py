@@ -144,39 +144,87 @@ def _psi(ar: list[float], ma: list[float], d: int, h: int) -> np.ndarray:
     return psi
 
 
+def _filter_state(df: DataFrame, model: DataFrame, keys: Sequence[str], order_col: str, value: str) -> DataFrame:
+    """(keys, e): the last q residuals of the ARMA filter over the WHOLE series, newest first.
+
+    With u_t = w_t - const - sum ar_i w_{t-i} (w: differenced, pre-sample terms 0) the filter
+    is e_t = u_t - sum ma_j e_{t-j}.  Over a block of rows it is an affine map of the q
+    residuals before it, so every block is folded on its own (its map needs only the
+    block's u and length) and the few blocks of a series are then applied in order."""
+    keys = list(keys)
+    head = model.select(*keys, "p", "d", "q", "const", "ar", "ma")
+    depth, longest = head.agg(F.max(F.col("p") + F.col("d")), F.max("q")).first()
+    x = df.select(*keys, order_col, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if not longest:
+        return head.select(*keys, F.array().cast("array<double>").alias("e"))
+    x = series.lag_features(x, "_v", [order_col], keys, list(range(1, depth + 1)), prefix="_y") if depth else x
+    x = series.halo_blocks(x, keys, [order_col], 0)
+    x = x.join(head, keys) if keys else ranks.attach_scalars(x, head)
+    lagged = ["_v", *[f"_y{i}" for i in range(1, depth + 1)]]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order_col, kind="stable")
+        r = pdf.iloc[0]
+        p, d, q, c = int(r["p"]), int(r["d"]), int(r["q"]), float(r["const"])
+        y = pdf[lagged].to_numpy(float)                     # newest first: y_t, y_{t-1}, ...
+        for _ in range(d):
+            y = y[:, :-1] - y[:, 1:]
+        ok = ~np.isnan(y[:, 0])                             # rows with a differenced value
+        u = y[ok, 0] - c - np.nan_to_num(y[ok, 1:p + 1]) @ np.array(list(r["ar"]), float)
+        ma = np.array(list(r["ma"]), float)
+        step = np.zeros((q, q))
+        step[1:, :-1] = np.eye(max(q - 1, 0))
+        if q:
+            step[0] = -ma
+        e = np.zeros(q)
+        for v in u:
+            e = step @ e
+            e[:1] += v
+        return pd.DataFrame([{**{k: r[k] for k in keys}, "_blk": int(r["_blk"]), "end": e.tolist(),
+                              "map": np.linalg.matrix_power(step, len(u)).ravel().tolist()}])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        e = np.zeros(len(pdf.iloc[0]["end"]))
+        for end, m in zip(pdf["end"], pdf["map"]):
+            e = np.array(list(m), float).reshape(len(e), len(e)) @ e + np.array(list(end), float)
+        return pd.DataFrame([{**{k: pdf.iloc[0][k] for k in keys}, "e": e.tolist()}])
+
+    key_schema = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+    blocks = x.groupBy(*keys, "_blk").applyInPandas(fold, f"{key_schema}_blk int, end array<double>, map array<double>")
+    return blocks.groupBy(*keys).applyInPandas(chain, f"{key_schema}e array<double>")
+
+
 def arima_forecast(df: DataFrame, model: DataFrame, keys: Sequence[str], order_col: str, value: str,
-                   h: int = 12, tail: int = 120) -> DataFrame:
-    """Recursive h-step forecasts with 95 % intervals per series.  The last
-    ``tail`` observations of each series (bounded top-k) and the model row
-    are the only input of each series' tiny recursion."""
+                   h: int = 12) -> DataFrame:
+    """Recursive h-step forecasts with 95 % intervals per series.  The recursion needs the
+    last p + d observations (a bounded top-k) and the last q residuals, which carry the
+    filter's state over the whole series."""
     keys = list(keys)
-    last = ranks.top_k_per_group(df.select(*keys, order_col, F.col(value).cast("double").alias("_v")), keys,
-                                 [F.col(order_col).desc()], tail).select(*keys, "_rank", "_v")
-    x = last.join(model, keys) if keys else ranks.attach_scalars(last, model)
+    state = _filter_state(df, model, keys, order_col, value)
+    need = model.agg(F.max(F.col("p") + F.col("d"))).first()[0] or 0
+    last = ranks.top_k_per_group(df.select(*keys, order_col, F.col(value).cast("double").alias("_v"))
+                                 .where(F.col("_v").isNotNull()), keys, [F.col(order_col).desc()],
+                                 max(need, 1)).select(*keys, "_rank", "_v")
+    full = model.join(state, keys) if keys else ranks.attach_scalars(model, state)
+    x = last.join(full, keys) if keys else ranks.attach_scalars(last, full)
 
     def fc(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rank", ascending=False)
-        y = list(pdf["_v"].astype(float))
         r0 = pdf.iloc[0]
         p, d, q = int(r0["p"]), int(r0["d"]), int(r0["q"])
-        ar, ma = list(r0["ar"]), list(r0["ma"])
+        ar, ma, e = list(r0["ar"]), list(r0["ma"]), list(r0["e"])      # e: newest first
         c, s2 = float(r0["const"]), float(r0["sigma2"])
-        w = np.array(y, dtype=float)
+        w = pdf["_v"].to_numpy(float)
         levels = []
         for _ in range(d):
             levels.append(w[-1])
             w = np.diff(w)
         w = list(w)
-        # residuals over the tail by running the ARMA filter (pre-sample errors 0)
-        e = []
-        for t in range(len(w)):
-            v = w[t] - c - sum(ar[i] * w[t - 1 - i] for i in range(p) if t - 1 - i >= 0) \
-                - sum(ma[j] * e[t - 1 - j] for j in range(q) if t - 1 - j >= 0)
-            e.append(v)
         preds = []
         for k in range(h):
             v = c + sum(ar[i] * w[-1 - i] for i in range(p) if len(w) > i)
-            v += sum(ma[j] * e[len(e) - 1 - (j - k)] for j in range(k, q) if len(e) - 1 - (j - k) >= 0)
+            v += sum(ma[j] * e[j - k] for j in range(k, q) if j - k < len(e))
             w.append(v)
             preds.append(v)
         out = np.array(preds)
@@ -335,10 +383,37 @@ def stl_arima_forecast(df: DataFrame, keys: Sequence[str], order_col: str, value
     """Forecast the seasonally adjusted series with ARIMA, then add back the
     seasonal index of each future position."""
     keys = list(keys)
-    n_min = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
-    m = int(series.ts_frequency_guard(m, n_min))
-    if m < 2:
-        raise ValueError("stl_arima needs a seasonal frequency of at least 2")
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
+    if not keys:
+        m = int(series.ts_frequency_guard(m, n.first()[0]))
+        if m < 2:
+            raise ValueError("stl_arima needs a seasonal frequency of at least 2")
+    else:
+        # each series has its own guard: a short one gets the period that its length allows, one too
+        # short for the model's lags its mean; one pass per period in use
+        f = F.when(F.col("_len") > m, F.lit(m)).otherwise(F.greatest(F.lit(1), F.floor(F.col("_len") / 2))).cast("int")
+        n = n.withColumn("_m", F.when((f >= 2) & (F.col("_len") >= 16), f).otherwise(F.lit(1))).checkpoint(eager=True)
+        periods = sorted(r[0] for r in n.select("_m").distinct().collect())     # at most m values
+        if periods != [m]:
+            out = None
+            for own in periods:
+                part = df.join(n.where(F.col("_m") == own).select(*keys), keys)
+                if own >= 2:
+                    res = _stl_arima(part, keys, order_col, value, own, h)
+                else:
+                    y = F.col(value).cast("double")
+                    mean = part.groupBy(*keys).agg(F.avg(y).alias("predicted"), (
+                        F.stddev_samp(y) * F.sqrt(1 + 1 / F.count(y))).alias("_se"))
+                    res = mean.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"), "predicted", (
+                        F.col("predicted") - Z975 * F.col("_se")).alias("lower"), (
+                        F.col("predicted") + Z975 * F.col("_se")).alias("upper"))
+                out = res if out is None else out.unionByName(res)
+            return out
+    return _stl_arima(df, keys, order_col, value, m, h)
+
+
+def _stl_arima(df: DataFrame, keys: list[str], order_col: str, value: str, m: int, h: int) -> DataFrame:
+    """``stl_arima_forecast`` for series that all have the seasonal period ``m``."""
     dec = decompose(df, keys, order_col, value, m).checkpoint(eager=True)
     adj = dec.select(*keys, order_col, (F.col(value) - F.col("seasonal")).alias("_adj"))
     model = arima_fit(adj, keys, order_col, "_adj", d=1, max_p=2, max_q=1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import metrics, mi, models, privacy, profile, recipe, registry, series, survey, validation
 from tabloom.operators.recipe import step
+from tabloom.sources import readers
 from tabloom.session import table
 
 from conftest import SF_SMALL
@@ -222,3 +223,51 @@ def test_rao_scott_reduces_to_pearson_under_srs(spark):
     r = survey.rao_scott_test(o, "o_orderpriority", "o_orderstatus", survey.Design("w"))
     assert abs(r["deff_mean"] - 1) < 0.05
     assert abs(r["F"] * r["ndf"] - r["chisq"]) / r["chisq"] < 0.1 and 0 <= r["p_value"] <= 1
+
+
+def test_column_names_with_dots(spark, tmp_path):
+    import json
+    path = tmp_path / "doc.json"
+    path.write_text(json.dumps([{"id": i, "cust": {"name": "ab"[i % 2], "age": 20.0 + i}} for i in range(40)], indent=1))
+    df = readers.read_dispatch(spark, str(path))
+    assert sorted(df.columns) == ["cust.age", "cust.name", "id"] and df.count() == 40
+    prof = {r["column"]: r for r in profile.profile_columns(df).collect()}
+    assert prof["cust.name"]["n_unique"] == 2
+    out, _ = recipe.apply_recipe(df, [recipe.step("lump_rare", ["cust.name"]), recipe.step("zscore", ["cust.age"])])
+    assert out.count() == 40
+
+
+def test_json_lines_stay_lines(spark, tmp_path):
+    path = tmp_path / "lines.json"
+    path.write_text("\n".join('{"a": %d}' % i for i in range(5)))
+    assert readers.read_dispatch(spark, str(path)).count() == 5
+
+
+def test_impute_keeps_the_date_type(spark):
+    df = spark.sql("SELECT CASE WHEN id % 3 = 0 THEN NULL ELSE DATE'2024-01-05' END AS d, id FROM range(9)")
+    out, _ = recipe.apply_recipe(df, [recipe.step("impute", ["d"])])
+    assert dict(out.dtypes)["d"] == "date" and out.where("d IS NULL").count() == 0
+
+
+def test_jkn_replicates(spark):
+    rows = [(h, p, 1.0 + h, float(h * 10 + p + i)) for h in (1, 2) for p in range(1, 4 + h) for i in range(3)]
+    df = spark.createDataFrame(rows, "h int, p int, w double, y double")
+    of = {1: [1, 2, 3, 4], 2: [1, 2, 3, 4, 5]}
+    reps, scales = survey.jkn_replicate_weights(df, "w", F.col("h"), F.col("p"), of)
+    assert scales == [0.75] * 4 + [0.8] * 5
+    got = survey.replicate_mean(reps, "y", "w", [f"wr_{i + 1}" for i in range(9)], "JKn", rscales=scales).first()
+    mean = lambda keep: sum(keep(h, p) * w * y for h, p, w, y in rows) / sum(keep(h, p) * w for h, p, w, y in rows)
+    full, v = mean(lambda h, p: 1.0), 0.0
+    for a in of:
+        n = len(of[a])
+        for b in of[a]:
+            theta = mean(lambda h, p: 1.0 if h != a else 0.0 if p == b else n / (n - 1))
+            v += (n - 1) / n * (theta - full) ** 2
+    assert abs(got["mean"] - full) < 1e-9 and abs(got["se"] - v ** 0.5) < 1e-9
+
+
+def test_scoring_keeps_incomplete_rows(spark):
+    df = spark.sql("SELECT CAST(id AS DOUBLE) AS y, CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id % 7 AS DOUBLE) END AS x FROM range(100)")
+    m, asm = models.fit_model(df, "lm", "y", ["x"])
+    out = models.score(m, asm, df)
+    assert asm.rows_dropped == 10 and out.count() == 100 and out.where("prediction IS NULL").count() == 10

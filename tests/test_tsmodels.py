@@ -39,3 +39,42 @@ def test_var_recovers_coefficients(spark):
     assert abs(A1[0, 0] - 0.5) < 0.06 and abs(A1[0, 1] - 0.2) < 0.06 and abs(A1[1, 0] + 0.3) < 0.06
     fc = tsmodels.var_forecast(df, "t", fit, 4)
     assert fc.count() == 8
+
+
+def test_var_with_trend_forecasts_the_trend(spark):
+    rng = random.Random(3)
+    rows, b = [], 0.0
+    for t in range(1, 201):
+        b = 0.3 * b + rng.gauss(0, 0.1)
+        rows.append((t, 20.0 + 0.75 * t + rng.gauss(0, 0.1), b))
+    df = spark.createDataFrame(rows, "t long, a double, b double")
+    for trend in ("both", "trend"):
+        f = tsmodels.var_forecast(df, "t", tsmodels.var_fit(df, "t", ["a", "b"], 1, "SC", trend), 5)
+        got = {r["step"]: r["predicted"] for r in f.where("series_id = 'a'").collect()}
+        assert all(abs(got[h] - (20.0 + 0.75 * (200 + h))) < (2.0 if trend == "both" else 8.0) for h in got)
+
+
+def test_filter_state_spans_the_whole_series(spark):
+    # a root near one: residuals of long ago still count
+    ma, c, rng = [0.3, -0.69], 0.2, random.Random(9)
+    y = [rng.gauss(1, 1) for _ in range(900)]
+    df = spark.createDataFrame([("s", t, v) for t, v in enumerate(y)], "sid string, t long, y double")
+    model = spark.createDataFrame([("s", 1, 1, 2, c, [0.4], ma, 1.0)],
+                                  "sid string, p int, d int, q int, const double, ar array<double>, ma array<double>, sigma2 double")
+    w, e = [b - a for a, b in zip(y, y[1:])], []
+    for t, v in enumerate(w):
+        e.append(v - c - (0.4 * w[t - 1] if t else 0) - sum(ma[j] * e[t - 1 - j] for j in range(2) if t - 1 - j >= 0))
+    got = tsmodels._filter_state(df, model, ["sid"], "t", "y").first()["e"]
+    assert abs(got[0] - e[-1]) < 1e-9 and abs(got[1] - e[-2]) < 1e-9
+
+
+def test_seasonal_forecast_of_long_and_short_series(spark):
+    rows = [("long", t, 10.0 + (t % 12) + 0.01 * t) for t in range(96)] + [("short", t, 5.0 + t) for t in range(3)] \
+        + [("mid", t, float(t % 4)) for t in range(9)]
+    df = spark.createDataFrame(rows, "sid string, t long, y double")
+    got = {}
+    for r in tsmodels.stl_arima_forecast(df, ["sid"], "t", "y", 12, 6).collect():
+        got.setdefault(r["sid"], {})[r["step"]] = r["predicted"]
+    assert set(got) == {"long", "short", "mid"} and all(len(v) == 6 for v in got.values())
+    assert abs(got["short"][1] - 6.0) < 1e-9
+    assert all(abs(got["long"][h] - (10.0 + (95 + h) % 12 + 0.01 * (95 + h))) < 1.0 for h in range(1, 7))
