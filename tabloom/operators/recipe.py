@@ -590,41 +590,37 @@ _STEPS = {
 
 # ----------------------------------------------------------------- step lists
 
+def _skewed(r) -> bool:
+    return bool(r["is_numeric"]) and r["skew"] is not None and abs(r["skew"]) > 1
+
+
+# The default recipe as data: option that switches a rule on (and its default), step, which
+# profile rows it takes, whether the target may be among them, parameters (names in braces
+# are options).
+DEFAULT_RULES = (
+    ("drop_zero_var", True, "drop_zero_var", lambda r, o: r["is_constant"], True, {}),
+    ("drop_id_like", True, "drop_id_like", lambda r, o: r["is_id_like"], False, {}),
+    ("drop_high_missing", True, "drop_high_missing",
+     lambda r, o: r["pct_missing"] > 100 * o["high_missing_threshold"], True, {"threshold": "{high_missing_threshold}"}),
+    ("impute", True, "impute", lambda r, o: r["n_missing"], True, {}),
+    ("lump_rare", True, "lump_rare", lambda r, o: r["n_unique"] > 6 and not r["is_numeric"], True,
+     {"threshold": "{rare_threshold}"}),
+    ("add_date_feat", True, "date_features", lambda r, o: any(x in r["class"] for x in ("Date", "POSIX")), True, {}),
+    ("yeo_johnson", True, "yeo_johnson", lambda r, o: _skewed(r), True, {}),
+    ("winsorize", False, "clip", lambda r, o: r["is_numeric"], True, {"lower": 0.01, "upper": 0.99, "by_quantile": True}),
+    ("scale", True, "zscore", lambda r, o: r["is_numeric"], False, {}),
+    ("encode_cats", True, "one_hot", lambda r, o: not r["is_numeric"], False, {}),
+)
+
+
 def default_steps(profile_rows: list[dict], target: str | None = None, **options) -> list[Step]:
-    """Ordered defaults built from a (collected, one-row-per-column) profile."""
-    o = dict(drop_zero_var=True, drop_id_like=True, impute=True, lump_rare=True, rare_threshold=0.01,
-             encode_cats=True, yeo_johnson=True, scale=True, winsorize=False, add_date_feat=True,
-             drop_high_missing=True, high_missing_threshold=0.6)
-    o.update(options)
-    keep = [r for r in profile_rows]
-
-    def cols(pred, drop_target=False):
-        return [r["column"] for r in keep if pred(r) and not (drop_target and r["column"] == (target or ""))]
-
-    steps = []
-    if o["drop_zero_var"]:
-        steps.append(step("drop_zero_var", cols(lambda r: r["is_constant"])))
-    if o["drop_id_like"]:
-        steps.append(step("drop_id_like", cols(lambda r: r["is_id_like"], True)))
-    if o["drop_high_missing"]:
-        thr = o["high_missing_threshold"]
-        steps.append(step("drop_high_missing", cols(lambda r: r["pct_missing"] / 100 > thr), threshold=thr))
-    if o["impute"]:
-        steps.append(step("impute", cols(lambda r: r["n_missing"] > 0)))
-    if o["lump_rare"]:
-        steps.append(step("lump_rare", cols(lambda r: not r["is_numeric"] and r["n_unique"] > 6),
-                          threshold=o["rare_threshold"]))
-    if o["add_date_feat"]:
-        steps.append(step("date_features", cols(lambda r: "Date" in r["class"] or "POSIX" in r["class"])))
-    if o["yeo_johnson"]:
-        steps.append(step("yeo_johnson", cols(lambda r: r["is_numeric"] and r["skew"] is not None and abs(r["skew"]) > 1)))
-    if o["winsorize"]:
-        steps.append(step("clip", cols(lambda r: r["is_numeric"]), lower=0.01, upper=0.99, by_quantile=True))
-    if o["scale"]:
-        steps.append(step("zscore", cols(lambda r: r["is_numeric"], True)))
-    if o["encode_cats"]:
-        steps.append(step("one_hot", cols(lambda r: not r["is_numeric"], True)))
-    return steps
+    """Ordered defaults built from a (collected, one-row-per-column) profile: every rule of
+    ``DEFAULT_RULES`` that the options leave on, applied to the rows that it takes."""
+    chosen = {"rare_threshold": 0.01, "high_missing_threshold": 0.6} | {r[0]: r[1] for r in DEFAULT_RULES} | options
+    filled = lambda v: chosen[v[1:-1]] if isinstance(v, str) and v[:1] == "{" else v
+    return [step(name, [r["column"] for r in profile_rows if takes(r, chosen) and (with_target or r["column"] != target)],
+                 **{k: filled(v) for k, v in params.items()})
+            for option, _, name, takes, with_target, params in DEFAULT_RULES if chosen[option]]
 
 
 def suggest_steps(profile: DataFrame) -> DataFrame:

@@ -289,7 +289,7 @@ def q_builtin_importance(spark, sf):
 
 
 @query("model_presets", """
-SELECT * FROM (VALUES ('xgb_reg', 'aggressive', 'nrounds', 1500.0), ('xgb_reg', 'aggressive', 'eta', 0.05),
+SELECT model, preset, name, CAST(value AS DOUBLE) AS value, n_rows, n_complete FROM (VALUES ('xgb_reg', 'aggressive', 'nrounds', 1500.0), ('xgb_reg', 'aggressive', 'eta', 0.05),
   ('xgb_reg', 'aggressive', 'max_depth', 10.0), ('xgb_reg', 'aggressive', 'subsample', 1.0),
   ('xgb_reg', 'aggressive', 'colsample_bytree', 1.0), ('ranger_cls', 'default', 'num_trees', 500.0),
   ('ranger_cls', 'default', 'min_node_size', 1.0), ('ranger_cls', 'default', 'sample_fraction', 1.0)) p(model, preset, name, value)
