@@ -47,10 +47,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (0 to 3 times); rows that share an id are
     taken as often as the most taken of them."""
     sized = docs.select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("members"))
-    copies = mixing.mix(sized, source_weights, repeats=3).groupBy(F.col("doc_id").alias("id")).agg(
-        F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(docs[c] for c in docs.columns))
+    # names that no column of the corpus has
+    copies = mixing.mix(sized, source_weights, repeats=3).groupBy(F.col("doc_id").alias("_mix_id")).agg(
+        F.max("copies").cast("int").alias("_mix_copies")).where("_mix_copies > 0")
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id"))).withColumn(
+        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ def op1_secrets(spark, sf_dir):
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", s["kind"], s["start"].cast("string"), s["finish"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != "model")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in ("assign", "access", "hex")]
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
                         text(F.col("spans")).alias("spans"))
 
