@@ -93,48 +93,25 @@ def value_weights(df: DataFrame, keys: Sequence[str], value: str | Column,
             .groupBy(*keys, "value").agg(F.sum("w").alias("w")))
 
 
-# Groups whose distinct-value count is proven below this use Spark's exact
-# `percentile` aggregate (its buffer is one entry per distinct value).
-NATIVE_DISTINCT_LIMIT = 1_000_000
-
-
-def native_quantiles(vc: DataFrame, keys: Sequence[str], value: str, cnt: str,
-                     probs: Sequence[float]) -> DataFrame:
-    """Spark's exact type-7 ``percentile`` with frequencies; only for groups
-    whose distinct count is known to be bounded."""
-    keys = list(keys)
-    q = vc.groupBy(*keys).agg(F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]),
-                                           F.col(cnt)).alias("_q"))
-    return q.select(*keys, F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-                                                 F.col("_q").alias("q"))))
-
-
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                     probs: Sequence[float], buckets: int | None = None, few_keys: bool = True) -> DataFrame:
     """Type-7 (R default, Spark ``percentile``, DuckDB ``quantile_cont``) quantiles
-    of ``value`` per ``keys`` group.  Returns ``(keys..., p, q)``.  With a
-    bounded number of groups, one approximate distinct count decides: groups
-    proven small use the native exact aggregate, the rest the bucketed path."""
+    of ``value`` per ``keys`` group.  Returns ``(keys..., p, q)``.  Rows collapse to
+    distinct values with their counts before anything is ranked."""
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    if few_keys:
-        nd = (df.groupBy(*keys).agg(F.approx_count_distinct(v, 0.02).alias("_nd"))
-              .agg(F.max("_nd").alias("m")).first()["m"] or 0)
-        if nd <= 0.9 * NATIVE_DISTINCT_LIMIT:
-            x = df.select(*keys, v.alias("value"), F.lit(1).cast("long").alias("w")).where(F.col("value").isNotNull())
-            return native_quantiles(x, keys, "value", "w", probs)
-    vc = value_weights(df, keys, value)
-    return quantiles_from_counts(vc, keys, "value", "w", probs, buckets)
+    return quantiles_from_counts(value_weights(df, keys, v), keys, "value", "w", probs, buckets, few_keys)
 
 
 def quantiles_from_counts(vc: DataFrame, keys: Sequence[str], value: str, cnt: str,
-                          probs: Sequence[float], buckets: int | None = None) -> DataFrame:
+                          probs: Sequence[float], buckets: int | None = None, few_keys: bool = True) -> DataFrame:
     """Exact type-7 quantiles from a (keys, value, count) table.  Rows get a
     value bucket (bounds from a sketch); bucket totals give each bucket's rank
     range, and only the buckets that contain a wanted rank are sorted."""
     keys = list(keys)
     b = buckets or default_buckets(vc)
-    x = assign_buckets(vc, keys, value, b, True)
+    x = assign_buckets(vc, keys, value, b, few_keys)
+    hint = F.broadcast if few_keys else lambda d: d
     bt = x.groupBy(*keys, "_bk").agg(F.sum(cnt).alias("_bt"))
     w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     bt = (bt.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0)))
@@ -149,14 +126,14 @@ def quantiles_from_counts(vc: DataFrame, keys: Sequence[str], value: str, cnt: s
     r = r.select(*keys, "_bk", "_off", "p", "_h", "_x._which", "_x._r", "_bt").where(
         (F.col("_r") > F.col("_off")) & (F.col("_r") <= F.col("_off") + F.col("_bt"))).drop("_bt")
     want = r.select(*keys, "_bk", "_off").distinct()
-    cand = x.join(F.broadcast(want), [*keys, "_bk"])
+    cand = x.join(hint(want), [*keys, "_bk"])
     w_in = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     cand = cand.withColumn("_before", F.col("_off") + F.coalesce(F.sum(cnt).over(w_in), F.lit(0)))
     rk = [f"_rk{i}" for i in range(len(keys))]
     rr = r.select(*[F.col(k).alias(n) for k, n in zip(keys, rk)], F.col("_bk").alias("_rbk"), "p", "_h", "_which", "_r")
     cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, rk)] + [F.col("_bk") == F.col("_rbk")]
     cond += [F.col("_before") < F.col("_r"), F.col("_r") <= F.col("_before") + F.col(cnt)]
-    hit = cand.join(F.broadcast(rr), cond).select(*keys, "p", "_h", "_which", F.col(value).alias("_v"))
+    hit = cand.join(hint(rr), cond).select(*keys, "p", "_h", "_which", F.col(value).alias("_v"))
     res = hit.groupBy(*keys, "p", "_h").agg(
         F.max(F.when(F.col("_which") == "lo", F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_which") == "hi", F.col("_v"))).alias("_vhi"))
@@ -214,14 +191,7 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     return df.repartition(target) if n < target else df
 
 
-_DERIVED_OPS = ("Aggregate", "Join", "Window", "Generate", "FlatMapGroupsInPandas", "MapInPandas")
-
-
-def materialize_if_derived(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Checkpoint (shared checkpoint folder, lineage cut) an input that several
-    plan branches will read, when it is derived by shuffling operators; plain
-    scans and projections are cheaper to re-read than to write."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(op in plan for op in _DERIVED_OPS):
-        return df.checkpoint(eager=True)
-    return df
+    plan branches will read."""
+    return df.checkpoint(eager=True)

@@ -69,19 +69,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     cm = num_vc.join(F.broadcast(base.select("column", "_mean")), "column").groupBy("column").agg(
         F.sum(F.col("cnt") * F.pow(F.col("num") - F.col("_mean"), 2)).alias("_m2"),
         F.sum(F.col("cnt") * F.pow(F.col("num") - F.col("_mean"), 3)).alias("_m3"))
-    # exact distinct counts are known per column: bounded columns use the
-    # native exact percentile, unbounded ones the bucketed selection
-    nu_by_col = {r["column"]: r["n_unique"] for r in base.select("column", "n_unique").collect()}
-    small = [c for c in columns if nu_by_col.get(c, 0) <= ranks.NATIVE_DISTINCT_LIMIT]
-    big = [c for c in columns if c not in small]
-    parts = []
-    if small:
-        parts.append(ranks.native_quantiles(num_vc.where(F.col("column").isin(small)), ["column"], "num", "cnt",
-                                            [0.25, 0.75]))
-    if big:
-        parts.append(ranks.quantiles_from_counts(num_vc.where(F.col("column").isin(big)), ["column"], "num", "cnt",
-                                                 [0.25, 0.75], buckets))
-    qdf = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    qdf = ranks.quantiles_from_counts(num_vc, ["column"], "num", "cnt", [0.25, 0.75], buckets)
     quart = ranks.quantile_map(qdf, ["column"], {0.25: "_q1", 0.75: "_q3"})
     bounds = quart.select("column", (F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
                           (F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
@@ -263,22 +251,14 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
     cols = correlation_columns(df, columns)
     pairs = list(combinations(cols, 2))
     has_null = df.agg(F.count_if(F.greatest(*[_q(c).isNull() for c in cols]) if len(cols) > 1
-                                 else F.col(cols[0]).isNull()).alias("n")).first()["n"] > 0
+                                 else _q(cols[0]).isNull()).alias("n")).first()["n"] > 0
     sd_ok = df.agg(*[F.stddev_samp(_q(c).cast("double")).alias(c) for c in cols]).first().asDict()
     good = {c for c in cols if (sd_ok[c] or 0.0) > 0}
     if not has_null:
         long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("double").alias("x"))
                                             for c in cols])))
         vc = ranks.value_weights(long, ["column"], "x").checkpoint(eager=True)
-        nd = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if nd <= ranks.NATIVE_DISTINCT_LIMIT:
-            # every column has a proven-bounded number of distinct values: one
-            # window per column over its value table is bounded
-            from pyspark.sql import Window
-            wc = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-            cum = vc.withColumn("cum_before", F.coalesce(F.sum("w").over(wc), F.lit(0)))
-        else:
-            cum = ranks.with_cumulative(vc, ["column"], "value", "w", buckets)
+        cum = ranks.with_cumulative(vc, ["column"], "value", "w", buckets)
         rk = cum.select("column", "value", (F.col("cum_before") + (F.col("w") + 1) / 2.0).alias("r"))
         x = df.select(*[_q(c).cast("double").alias(c) for c in cols])
         for c in cols:
@@ -287,8 +267,8 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
         long_r = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
                                                          F.col(f"{a}__{b}").alias("cor")) for a, b in pairs])))
     else:
-        items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(a).cast("double").alias("x"),
-                          F.col(b).cast("double").alias("y")) for a, b in pairs]
+        items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), _q(a).cast("double").alias("x"),
+                          _q(b).cast("double").alias("y")) for a, b in pairs]
         long = df.select(F.inline(F.array(*items))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
         rx = ranks.average_ranks(long, ["var1", "var2"], "x", "rx", buckets)
         rxy = ranks.average_ranks(rx, ["var1", "var2"], "y", "ry", buckets)
@@ -360,7 +340,7 @@ def codebook_rich(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     samp = samp.select("name", F.when(F.length("_s") > 80, F.concat(F.substring("_s", 1, 77), F.lit("...")))
                        .otherwise(F.col("_s")).alias("sample"))
     nums = present.where(F.col("num").isNotNull())
-    q = ranks.quantile_map(ranks.native_quantiles(nums, ["column"], "num", "cnt", [0.0, 0.25, 0.5, 0.75, 1.0]),
+    q = ranks.quantile_map(ranks.quantiles_from_counts(nums, ["column"], "num", "cnt", [0.0, 0.25, 0.5, 0.75, 1.0]),
                            ["column"], {0.0: "q0", 0.25: "q1", 0.5: "q2", 0.75: "q3", 1.0: "q4"})
     numsum = q.select(F.col("column").alias("name"), F.concat(
         F.lit("min="), c_general(F.col("q0")), F.lit(" · Q25="), c_general(F.col("q1")), F.lit(" · med="),

@@ -39,7 +39,7 @@ def halo_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], h
     preceding rows).  Series under MIN_BLOCK_ROWS rows stay one block."""
     keys, order_cols = list(keys), list(order_cols)
     # the input is read three times below (block bounds, rows, halo tails)
-    df = ranks.materialize_if_derived(df)
+    df = ranks.materialize(df)
     b = buckets or ranks.default_buckets(df)
     o = order_key(df, order_cols[0]).cast("double")
     # equal-width time blocks between each series' exact first and last time:
