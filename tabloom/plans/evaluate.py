@@ -268,7 +268,7 @@ def q_run_manifest(spark, sf):
                                  {"weights": "w", "strata": "o_orderpriority"})
 
 
-@query("sink_run_tables")
+@query("sink_run_tables", f"SELECT id, 'replaced' AS status FROM ({RUNS_SQL})")
 def q_sink_run_tables(spark, sf):
     """Append the runs twice (second time with a later stamp) and read back the
     latest row per run id - the registry's insert-or-replace."""

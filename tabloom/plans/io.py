@@ -66,6 +66,19 @@ def q_scan_json_flat(spark, sf):
     return readers.scan_json_flat(spark, p)
 
 
+@query("scan_json_array", """
+SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS "place.name", CAST(r_regionkey AS BIGINT) * 10 AS "place.code" FROM region""")
+def q_scan_json_array(spark, sf):
+    """One JSON document: a pretty-printed array of nested records."""
+    record = F.struct(F.col("r_regionkey").cast("long").alias("id"), F.struct(
+        F.col("r_name").alias("name"), (F.col("r_regionkey").cast("long") * 10).alias("code")).alias("place"))
+    text = table(spark, sf, "region").agg(F.to_json(F.sort_array(F.collect_list(record)),
+                                                    {"pretty": "true"}).alias("value"))   # five regions
+    path = sinks.shared_scratch(spark, "json-array") + ".json"
+    text.coalesce(1).write.mode("overwrite").text(path)
+    return readers.read_dispatch(spark, path)
+
+
 # The order priorities, coded 1..5 for the labelled file.
 PRIORITY_LABELS = {1: "1-URGENT", 2: "2-HIGH", 3: "3-MEDIUM", 4: "4-NOT SPECIFIED", 5: "5-LOW"}
 
@@ -93,7 +106,7 @@ def q_extract_labels(spark, sf):
     return detect.extract_labels(readers.scan_labelled(spark, _dta_dir(spark, sf)))
 
 
-@query("sink_csv")
+@query("sink_csv", "SELECT count(*) AS rows FROM lineitem")
 def q_sink_csv(spark, sf):
     p = sinks.sink_csv(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"),
                        sinks.shared_scratch(spark, "predictions"))

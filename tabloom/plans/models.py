@@ -214,17 +214,41 @@ def q_permutation_importance(spark, sf):
                                                      "idx", 5))
 
 
-@query("partial_dependence")
+def _ols3_sql(a: str, b: str, c: str, y: str, source: str) -> str:
+    """One row (b0, b1, b2, b3): least squares of y on three regressors, the covariance
+    matrix inverted by cofactors."""
+    cov = ", ".join(f"covar_pop({p}, {q}) AS s{i}{j}" for i, p in enumerate((a, b, c), 1)
+                    for j, q in enumerate((a, b, c, y), 1) if j >= i)
+    det = "s11*(s22*s33-s23*s23) - s12*(s12*s33-s23*s13) + s13*(s12*s23-s22*s13)"
+    return f"""m AS (SELECT {cov}, avg({a}) AS ma, avg({b}) AS mb, avg({c}) AS mc, avg({y}) AS my FROM {source}),
+g AS (SELECT *, {det} AS det FROM m),
+k AS (SELECT ma, mb, mc, my,
+  ((s22*s33-s23*s23)*s14 - (s12*s33-s13*s23)*s24 + (s12*s23-s13*s22)*s34)/det AS b1,
+  (-(s12*s33-s13*s23)*s14 + (s11*s33-s13*s13)*s24 - (s11*s23-s12*s13)*s34)/det AS b2,
+  ((s12*s23-s13*s22)*s14 - (s11*s23-s12*s13)*s24 + (s11*s22-s12*s12)*s34)/det AS b3 FROM g),
+beta AS (SELECT my - b1*ma - b2*mb - b3*mc AS b0, b1, b2, b3 FROM k)"""
+
+
+LM3_SQL = "WITH " + _ols3_sql("l_quantity", "l_discount", "l_tax", "l_extendedprice", "lineitem")
+
+
+@query("partial_dependence", LM3_SQL + """,
+e AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem),
+steps AS (SELECT unnest(range(25)) AS i)
+SELECT round(lo + (hi - lo) * i / 24, 6) AS value,
+       round(b0 + b1 * (lo + (hi - lo) * i / 24) + b2 * d + b3 * t, 4) AS mean_prediction FROM beta, e, steps""")
 def q_partial_dependence(spark, sf):
     xs = ["l_quantity", "l_discount", "l_tax"]
-    return rounded(validation.partial_dependence(_lineitem(spark, sf), _lm_predict_fn(spark, sf, xs), "l_quantity", 25))
+    pd = validation.partial_dependence(_lineitem(spark, sf), _lm_predict_fn(spark, sf, xs), "l_quantity", 25)
+    return pd.select(F.round("value", 6).alias("value"), F.round("mean_prediction", 4).alias("mean_prediction"))
 
 
-@query("batch_score")
+@query("batch_score", LM3_SQL + """
+SELECT l_orderkey, l_linenumber, round(b0 + b1 * l_quantity + b2 * l_discount + b3 * l_tax, 4) AS prediction FROM lineitem, beta""")
 def q_batch_score(spark, sf):
     xs = ["l_quantity", "l_discount", "l_tax"]
     new = _lineitem(spark, sf).select("l_orderkey", "l_linenumber", *xs)
-    return rounded(_lm_predict_fn(spark, sf, xs)(new).select("l_orderkey", "l_linenumber", "prediction"))
+    return rounded(_lm_predict_fn(spark, sf, xs)(new).select("l_orderkey", "l_linenumber", "prediction"), 4)
 
 
 @query("align_scoring_columns", """

@@ -9,6 +9,7 @@ from ..functions.dates import parse_date
 from ..operators import profile, recipe
 from ..operators.recipe import step
 from . import inputs
+from ..session import table
 from .catalog import query, rounded
 from .explore import PROFILE_SQL
 
@@ -35,6 +36,16 @@ def q_impute(spark, sf):
                              "o_orderpriority"))
 
 
+@query("impute_date", """
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders),
+m AS (SELECT d FROM t WHERE d IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, CAST(d AS VARCHAR) LIMIT 1)
+SELECT o_orderkey, coalesce(t.d, m.d) AS d FROM t, m""")
+def q_impute_date(spark, sf):
+    d = table(spark, sf, "orders").select("o_orderkey", F.when(
+        F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("date")).alias("d"))
+    return recipe.apply_recipe(d, [step("impute", ["d"])])[0]
+
+
 @query("lump_rare", f"""{T},
 n AS (SELECT count(*) AS n FROM t),
 c AS (SELECT status_r AS l, count(*) AS c FROM t WHERE status_r IS NOT NULL GROUP BY 1)

@@ -121,7 +121,8 @@ def q_pseudonymize(spark, sf):
     return privacy.pseudonymize(df, scan)
 
 
-@query("privacy_audit_log")
+@query("privacy_audit_log", f"""SELECT CAST(1 AS BIGINT) AS dataset_id, 'scan' AS action, "column" || ':' || severity AS scope
+FROM ({SCAN_SQL}) WHERE severity <> 'OK' ORDER BY scope LIMIT 200""")
 def q_privacy_audit_log(spark, sf):
     """Append one audit event per flagged column to the append-only log, then
     read the latest 200 events."""

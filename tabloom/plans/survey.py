@@ -131,6 +131,22 @@ def q_replicate_design(spark, sf):
     return rounded(survey.replicate_mean(wr, "y", "w", [f"wr_{i}" for i in range(1, 21)], "JK1"))
 
 
+@query("replicate_design_jkn", f"""WITH s AS ({SURVEY_SQL}),
+p AS (SELECT psu, psu % 4 AS h, sum(w * y) AS t, sum(w) AS ww FROM s WHERE w > 0 AND y IS NOT NULL GROUP BY 1, 2),
+hh AS (SELECT h, sum(t) AS th, sum(ww) AS wh, count(*) AS k FROM p GROUP BY 1),
+a AS (SELECT sum(t) AS ta, sum(ww) AS wa FROM p),
+n AS (SELECT count(*) AS n FROM s WHERE w > 0 AND y IS NOT NULL),
+r AS (SELECT (k - 1.0) / k AS c, (ta - th + k / (k - 1.0) * (th - t)) / (wa - wh + k / (k - 1.0) * (wh - ww)) - ta / wa AS d
+      FROM p JOIN hh USING (h), a)
+SELECT round(any_value(ta / wa), 6) AS mean, round(sqrt(sum(c * d * d)), 6) AS se, CAST(any_value(n) AS BIGINT) AS n FROM r, a, n""")
+def q_replicate_design_jkn(spark, sf):
+    """Four strata of five PSUs, one deleted per replicate."""
+    s = survey_input(spark, sf)
+    of = {h: [p for p in range(20) if p % 4 == h] for h in range(4)}
+    wr, scales = survey.jkn_replicate_weights(s, "w", F.col("psu") % 4, F.col("psu"), of)
+    return rounded(survey.replicate_mean(wr, "y", "w", [f"wr_{i + 1}" for i in range(20)], "JKn", rscales=scales))
+
+
 @query("make_replicates_jk1", f"""WITH s AS ({SURVEY_SQL})
 SELECT o_orderkey, round(CASE WHEN psu = 0 THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_1,
        round(CASE WHEN psu = 7 THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_8,
