@@ -231,7 +231,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     cols = correlation_columns(df, columns)
     x = df.select(*[_q(c).cast("double").alias(c) for c in cols])
     sds = [F.stddev_samp(c).alias(f"sd__{i}") for i, c in enumerate(cols)]
-    prs = [F.corr(a, b).alias(f"r__{i}__{j}") for (i, a), (j, b) in combinations(list(enumerate(cols)), 2)]
+    prs = [F.corr(_q(a), _q(b)).alias(f"r__{i}__{j}") for (i, a), (j, b) in combinations(list(enumerate(cols)), 2)]
     wide = x.agg(*sds, *prs)
     items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"r__{i}__{j}").alias("cor"),
                       (F.coalesce(F.col(f"sd__{i}"), F.lit(0.0)) > 0).alias("_ok1"),
@@ -277,6 +277,42 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
     return long_r.where(ok & F.col("cor").isNotNull()).select("var1", "var2", "cor")
 
 
+def correlation_kendall(df: DataFrame, columns: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """(var1, var2, cor): Kendall's tau-b over the complete rows of every pair.
+
+    Concordant pairs are a two-dimensional dominance count: rows with a smaller x and a
+    smaller y.  y becomes an integer rank; two rows differ in y at exactly one level, the
+    highest bit in which their ranks differ, and share all bits above it.  So each
+    row goes to one group per bit (log2(rows) copies, no pair of rows is ever formed); in
+    a group, every x with the bit set counts the rows of smaller x without it, by the bucketed
+    running totals of ``ranks``.  Ties follow from the sizes of equal values."""
+    cols = correlation_columns(df, columns)
+    items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), _q(a).cast("double").alias("x"),
+                      _q(b).cast("double").alias("y")) for a, b in combinations(cols, 2)]
+    pair = ["var1", "var2"]
+    vc = df.select(F.inline(F.array(*items))).where("x IS NOT NULL AND y IS NOT NULL").groupBy(*pair, "x", "y").agg(
+        F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    twice = lambda by: vc.groupBy(*pair, *by).agg(F.sum("n").cast("double").alias("t")).groupBy(*pair).agg(
+        (F.sum(F.col("t") * (F.col("t") - 1)) / 2).alias("n" + "".join(by)))
+    sums = twice([]).join(twice(["x"]), pair).join(twice(["y"]), pair).join(twice(["x", "y"]), pair)
+    top = vc.groupBy(*pair).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    levels = max(1, int(top).bit_length())
+    ys = ranks.with_cumulative(vc.groupBy(*pair, F.col("y").alias("value")).agg(F.sum("n").alias("w")), pair,
+                               "value", "w", buckets, "rank").select(*pair, F.col("value").alias("y"), "rank")
+    bits = vc.join(ys, [*pair, "y"]).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    bits = bits.withColumn("above", F.expr("shiftright(rank, bit + 1)")).withColumn(
+        "set", F.expr("shiftright(rank, bit) & 1"))
+    side = bits.groupBy(*pair, "bit", "above", F.col("x").alias("value")).agg(
+        F.sum(F.when(F.col("set") == 0, F.col("n")).otherwise(0)).alias("w"),
+        F.sum(F.when(F.col("set") == 1, F.col("n")).otherwise(0)).alias("above_w"))
+    met = ranks.with_cumulative(side, [*pair, "bit", "above"], "value", "w", buckets, few_keys=False)
+    c = met.groupBy(*pair).agg(F.sum(F.col("above_w").cast("double") * F.col("cum_before")).alias("c"))
+    x = sums.join(c, pair)
+    gap = F.expr("2 * c - (n - nx - ny + nxy)")
+    room = F.expr("(n - nx) * (n - ny)")
+    return x.where(room > 0).select(*pair, (gap / F.sqrt(room)).alias("cor"))
+
+
 def top_correlated_pairs(pairs: DataFrame, top_n: int = 20) -> DataFrame:
     """cor and abs_cor rounded to 4 dp, sorted by abs desc, first ``top_n``."""
     r = pairs.select("var1", "var2", F.round("cor", 4).alias("cor"), F.round(F.abs("cor"), 4).alias("abs_cor"))

@@ -195,9 +195,9 @@ def q_leaderboard(spark, sf):
 
 
 @query("sort_latest", f"""WITH runs AS ({RUNS_SQL})
-SELECT id, model_id, created_at FROM runs ORDER BY created_at DESC LIMIT 3""")
+SELECT id, model_id, created_at FROM runs ORDER BY created_at DESC""")
 def q_sort_latest(spark, sf):
-    return runs_input(spark, sf).select("id", "model_id", "created_at").orderBy(F.desc("created_at")).limit(3)
+    return runs_input(spark, sf).select("id", "model_id", "created_at").orderBy(F.desc("created_at"))
 
 
 @query("registry_lookup", f"""WITH p AS ({PRED_SQL})

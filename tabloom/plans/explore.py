@@ -168,6 +168,21 @@ def q_correlation_spearman(spark, sf):
     return rounded(profile.correlation_spearman(inputs.line_numeric(spark, sf), inputs.LINE_NUM_COLUMNS))
 
 
+def _kendall_sql(table_name, cols):
+    return " UNION ALL ".join(f"""SELECT '{a}' AS var1, '{b}' AS var2, round(
+       sum(sign(CAST(s.{a} - t.{a} AS DOUBLE)) * sign(CAST(s.{b} - t.{b} AS DOUBLE)))
+       / sqrt(sum(abs(sign(CAST(s.{a} - t.{a} AS DOUBLE)))) * sum(abs(sign(CAST(s.{b} - t.{b} AS DOUBLE))))), 6) AS cor
+FROM {table_name} s, {table_name} t""" for a, b in _pairs(cols))
+
+
+KENDALL_COLUMNS = ["p_partkey", "p_size", "p_retailprice"]
+
+
+@query("correlation_kendall", _kendall_sql("part", KENDALL_COLUMNS))
+def q_correlation_kendall(spark, sf):
+    return rounded(profile.correlation_kendall(table(spark, sf, "part"), KENDALL_COLUMNS))
+
+
 @query("top_correlated_pairs", f"""
 WITH t AS ({inputs.LINE_NUMERIC_SQL}),
 c AS ({" UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS cor FROM t" for a, b in _pairs(inputs.LINE_NUM_COLUMNS))})

@@ -283,6 +283,23 @@ def q_drop_zero_var(spark, sf):
     return rounded(out.drop("o_orderdate"))
 
 
+@query("drop_id_like", f"""WITH t AS ({inputs.PROFILE_INPUT_SQL})
+SELECT o_orderkey, o_orderstatus, o_orderpriority FROM t""")
+def q_drop_id_like(spark, sf):
+    df = inputs.profile_input(spark, sf).select("o_orderkey", "order_code", "o_orderstatus", "o_orderpriority")
+    ids = [r["column"] for r in profile.profile_columns(df).collect() if r["is_id_like"]]
+    return recipe.apply_recipe(df, [step("drop_id_like", ids)])[0]
+
+
+@query("drop_high_missing", """
+SELECT o_orderkey, o_totalprice FROM orders""")
+def q_drop_high_missing(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.when(
+        F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("mostly_missing"))
+    gone = [r["column"] for r in profile.profile_columns(df).collect() if r["pct_missing"] > 60]
+    return recipe.apply_recipe(df, [step("drop_high_missing", gone)])[0]
+
+
 @query("quick_recipe")
 def q_quick_recipe(spark, sf):
     df = inputs.recipe_input(spark, sf).drop("o_orderdate")
