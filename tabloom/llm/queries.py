@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, secrets, token_counts
+from . import byte_bpe, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, passage_dedup, secrets, token_counts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -84,6 +84,39 @@ def op7_byte_bpe(spark, sf_dir):
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+PASSAGE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, unnest(x) AS unit, generate_subscripts(x, 1) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS x FROM d)),
+o AS (SELECT doc_id, unit, i, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) AS finish FROM p),
+n AS (SELECT doc_id, i, CAST(finish - length(unit) AS BIGINT) AS start, CAST(finish AS BIGINT) AS finish,
+             len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) AS words,
+             translate(array_to_string(regexp_extract_all(unit, '[^\x20\x09-\x0D]+'), ' '),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM o),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nr,
+             row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) AS occurrence FROM n WHERE words > 0),
+r AS (SELECT *, nr - row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS run FROM u WHERE occurrence > 1),
+g AS (SELECT doc_id, run, sum(words) AS words, count(*) AS n, min(start) AS start, max(finish) AS finish
+      FROM r GROUP BY 1, 2 HAVING sum(words) >= 20),
+s AS (SELECT doc_id, sum(n) AS n_removed, sum(finish - start) AS removed_chars,
+             string_agg(start || ':' || finish, ',' ORDER BY start) AS spans FROM g GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY 1)
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(removed_chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS spans
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
+@query("op8_passage_dedup", PASSAGE_SQL)
+def op8_passage_dedup(spark, sf_dir):
+    found = passage_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_units", "n_removed",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["finish"] - s["start"]).alias("removed_chars"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(
+            ":", s["start"].cast("string"), s["finish"].cast("string"))), ",").alias("spans"))
+
+
 @query("op9_embedding_dedup")
 def op9_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
