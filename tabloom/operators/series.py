@@ -54,11 +54,15 @@ def halo_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], h
     if halo <= 0:
         return x.withColumn("_halo", F.lit(False)).drop("_nb")
     desc = [F.col(c).desc() for c in order_cols]
-    # the last `halo` rows of every block, copied forward into each later block
-    # (halo x blocks^2 rows per series at most); the nearest `halo` are kept
+    # the last `halo` rows of a block go to the blocks that need them: the next one, and one
+    # after it only while the blocks between hold fewer than `halo` rows
     tails = ranks.top_k_per_group(x, [*keys, "_blk"], desc, halo).drop("_rank")
-    cand = tails.where(F.col("_blk") < F.col("_nb") - 1).withColumn(
-        "_to", F.explode(F.sequence(F.col("_blk") + 1, F.col("_nb") - 1)))
+    order = Window.partitionBy(*keys).orderBy("_blk")                 # one row a block
+    per = x.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_cum", F.sum("_c").over(order)).withColumn("_next", F.lead("_blk").over(order))
+    near = Window.partitionBy(*keys).orderBy("_cum").rangeBetween(0, halo - 1)
+    per = per.select(*keys, "_blk", F.collect_list("_next").over(near).alias("_to"))
+    cand = tails.join(per, [*keys, "_blk"]).withColumn("_to", F.explode("_to"))
     w = Window.partitionBy(*keys, "_to").orderBy(*desc)
     cand = (cand.withColumn("_hrow", F.row_number().over(w)).where(F.col("_hrow") <= halo)
             .drop("_hrow", "_blk").withColumnRenamed("_to", "_blk"))

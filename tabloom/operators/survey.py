@@ -344,8 +344,11 @@ def chisq_statistic(tab: DataFrame) -> DataFrame:
                       / F.col("expected")).alias("_x2y"),
                 F.count_distinct("row").alias("_r"), F.count_distinct("col").alias("_c"))
     two = (F.col("_r") == 2) & (F.col("_c") == 2)
+    from ..functions.stats import chi2_sf
+    p_value = F.udf(lambda x, df: chi2_sf(x, df) if x is not None and df else None, "double")   # of one row
     return s.select(F.when(two, F.col("_x2y")).otherwise(F.col("_x2")).alias("statistic"),
-                    ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("long").alias("df"))
+                    ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("long").alias("df")).withColumn(
+        "p_value", p_value("statistic", "df"))
 
 
 def panel_summary(df: DataFrame, unit: str, wave: str) -> DataFrame:

@@ -175,9 +175,12 @@ def q_crosstab_unweighted(spark, sf):
 c AS (SELECT stratum AS "row", o_orderstatus AS col, CAST(count(*) AS DOUBLE) AS n FROM s GROUP BY 1, 2),
 r AS (SELECT "row", sum(n) AS rt FROM c GROUP BY 1), k AS (SELECT col, sum(n) AS ct FROM c GROUP BY 1),
 t AS (SELECT sum(n) AS tt FROM c),
-e AS (SELECT "row", col, n, rt * ct / tt AS ex FROM c JOIN r USING ("row") JOIN k USING (col), t)
-SELECT round(sum((n - ex) * (n - ex) / ex), 6) AS statistic,
-       CAST((count(DISTINCT "row") - 1) * (count(DISTINCT col) - 1) AS BIGINT) AS df FROM e""")
+e AS (SELECT "row", col, n, rt * ct / tt AS ex FROM c JOIN r USING ("row") JOIN k USING (col), t),
+x AS (SELECT sum((n - ex) * (n - ex) / ex) AS s, CAST((count(DISTINCT "row") - 1) * (count(DISTINCT col) - 1) AS BIGINT) AS df
+      FROM e)
+-- upper tail of chi-square for an even number of degrees of freedom
+SELECT round(s, 6) AS statistic, df, round(exp(-s / 2) * list_sum(list_transform(range(df // 2),
+       lambda k: pow(s / 2, k) / gamma(k + 1))), 6) AS p_value FROM x""")
 def q_crosstab_chisq(spark, sf):
     return rounded(survey.chisq_statistic(survey.crosstab(survey_input(spark, sf), "stratum", "o_orderstatus")))
 
