@@ -31,6 +31,7 @@ from .scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 FINE_BITS = 16          # bins of the second histogram, as a power of two
 COARSE_BITS = 12        # bins of the first
+FEW = 10_000            # patterns whose tables (one row each) are broadcast; more are joined by shuffle
 ROUNDS = 4              # cuts; each leaves a small part of what the one before left open
 
 
@@ -143,12 +144,13 @@ def mix(docs: DataFrame, weights, repeats: int = 3, id_col: str = "doc_id", size
     plan = [(m, t // size if size else 0, t % size if size else 0,
              [targets[place[s]] for s in m], [held[place[s]] for s in m])
             for (m, size), t in zip(patterns, taken)]
+    small = F.broadcast if len(plan) <= FEW else lambda df: df
     plan = spark.createDataFrame(
         plan, "members array<string>, whole long, rest long, targets array<double>, source_sizes array<long>")
-    planned = rows.withColumn("more", F.lit(0)).join(plan, "members").withColumn(
+    planned = rows.withColumn("more", F.lit(0)).join(small(plan), "members").withColumn(
         "coarse", F.shiftright("draw", FINE_BITS)).withColumn("fine", F.col("draw").bitwiseAND((1 << FINE_BITS) - 1))
     for turn in range(ROUNDS):
-        planned = scratch.save(_cut(planned, scratch, turn), f"cut-{turn}")
+        planned = scratch.save(_cut(planned, scratch, turn, small), f"cut-{turn}")
     copies = F.col("whole") + F.col("more")
     return planned.select(
         F.col("doc_id").alias(id_col), F.col("size").alias(size_col), F.col("members").alias(members_col),
@@ -165,23 +167,23 @@ def _edge(frame: DataFrame, bins: str, room: str) -> DataFrame:
     return first.select("members", f"c.{bins}", "c.before")
 
 
-def _cut(planned: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+def _cut(planned: DataFrame, scratch: Scratch, turn: int, small) -> DataFrame:
     """``planned`` with ``more`` = 1 for the rows that fit into ``rest`` in the seeded
-    order, and ``rest`` reduced by them."""
+    order, and ``rest`` reduced by them; ``small`` marks tables of one row a pattern."""
     fits = "more = 0 AND size > 0 AND size <= rest"
     open_rows = planned.where(fits)
     coarse = scratch.save(_edge(open_rows, "coarse", "rest").withColumnRenamed("coarse", "coarse_edge"),
                           f"coarse-{turn}")
-    inside = open_rows.join(coarse, "members").where("coarse = coarse_edge").withColumn(
+    inside = open_rows.join(small(coarse), "members").where("coarse = coarse_edge").withColumn(
         "room", F.col("rest") - F.col("before"))
     fine = scratch.save(_edge(inside, "fine", "room").select("members", F.col("fine").alias("fine_edge")),
                         f"fine-{turn}")
     edges = coarse.select("members", "coarse_edge").join(fine, "members", "left")
     took = F.expr(f"{fits} AND (coarse_edge IS NULL OR coarse < coarse_edge"
                   " OR coarse = coarse_edge AND fine < coalesce(fine_edge, 0))")
-    marked = planned.join(edges, "members", "left").withColumn("took", took)
+    marked = planned.join(small(edges), "members", "left").withColumn("took", took)
     sums = scratch.save(marked.where("took").groupBy("members").agg(F.sum("size").alias("spent")), f"spent-{turn}")
-    return marked.join(sums, "members", "left").select(
+    return marked.join(small(sums), "members", "left").select(
         *(c for c in planned.columns if c not in ("more", "rest")),
         F.expr("more + IF(took, 1, 0)").alias("more"), F.expr("rest - coalesce(spent, 0)").alias("rest"))
 
