@@ -23,24 +23,24 @@ length keep one row each; other columns are ignored."""
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pretokens import portions, splitter
 from .scratch import Scratch
+from .workers import tidy
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 FREQUENT = 1 << 20          # words whose ids the workers hold
 FOLD_BYTES = 48
-PORTION_CHARS = 4_000_000   # characters of the documents handled at a time
-COUNT_WORDS = 300_000       # words a counting task holds before it hands them on
+PORTION_CHARS = 2_000_000   # characters of the documents handled at a time; about 40 bytes of worker memory each
+COUNT_CHARS = 4_000_000     # characters whose words are counted at a time
 OPEN = 1 << 31              # marks the place of a word that is encoded later
 
 
@@ -50,19 +50,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> str:
-    """JSON array of buckets {hexadecimal piece: rank}, by the low bits of xxhash64."""
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> str:
+    """JSON array of buckets {hexadecimal piece: rank}, by the low bits of Spark's ``hash``."""
+    rows = spark.createDataFrame([(p.hex().upper(), r) for p, r in ranks.items()], "piece string, rank int")
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        buckets[xxhash.xxh64_intdigest(key, seed=42) & (BUCKETS - 1)][key] = rank
+    for piece, rank, slot in rows.select("piece", "rank", F.hash("piece").bitwiseAND(BUCKETS - 1)).collect():
+        buckets[slot][piece] = rank                  # as many rows as the vocabulary file has
     return json.dumps(buckets, separators=(",", ":"))
 
 
 def _rank(piece: Column, table: Column) -> Column:
     """Rank of a piece, null if no piece is spelled so."""
-    bucket = F.get(table, F.xxhash64(piece).bitwiseAND(BUCKETS - 1).cast("int"))
-    return F.try_element_at(bucket, piece)
+    bucket = F.get(table, F.hash(piece).bitwiseAND(BUCKETS - 1))
+    return bucket[piece]
 
 
 def _let(value: Column, body) -> Column:
@@ -79,30 +79,31 @@ def _encode_words(word: Column, table: Column) -> Column:
     """Ids (array<int>) of a binary ``word``: while some adjacent pieces join to a known
     piece, the leftmost pair of lowest rank becomes one piece.
 
-    The fold's state holds the pieces ``p`` and the ranks ``o`` of every adjacent pair, so
-    a merge looks up only the two pairs that it changes."""
-    size = F.octet_length(word)
-    pieces = _let(F.hex(word), lambda h: F.transform(
-        F.sequence(F.lit(1), size * 2 - 1, F.lit(2)), lambda i: F.substring(h, i, F.lit(2))))
-    state = _let(pieces, lambda p: F.struct(p.alias("p"), F.transform(
-        F.slice(p, F.lit(2), size), lambda right, i: _rank(F.concat(F.get(p, i), right), table)).alias("o")))
-    empty = F.array().cast("array<int>")
-
-    def merge(p: Column, o: Column, at: Column) -> Column:
-        """Joins pieces ``at`` and ``at + 1`` (from 0)."""
-        return _let(F.concat(F.get(p, at), F.get(p, at + 1)), lambda joined: F.struct(
-            F.concat(F.slice(p, F.lit(1), at), F.array(joined), F.slice(p, at + 3, size)).alias("p"),
-            F.concat(
-                F.when(at > 0, F.concat(F.slice(o, F.lit(1), at - 1),
-                                        F.array(_rank(F.concat(F.get(p, at - 1), joined), table)))).otherwise(empty),
-                F.when(at + 1 < F.size(o), F.concat(F.array(_rank(F.concat(joined, F.get(p, at + 2)), table)),
-                                                    F.slice(o, at + 3, size))).otherwise(empty)).alias("o")))
-
-    def step(s: Column, _: Column) -> Column:
-        return _let(F.array_min(s["o"]), lambda best: F.when(best.isNull(), s).otherwise(
-            _let(F.array_position(s["o"], best).cast("int") - 1, lambda at: merge(s["p"], s["o"], at))))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), state, step,
-                       lambda s: F.transform(s["p"], lambda x: _rank(x, table)))
+    The fold's state holds the bounds ``b`` of the pieces (in hexadecimal digits) and at
+    each piece the rank ``o`` of its pair with the next one (null if they don't join).  A
+    merge takes one bound away and looks up only the two pairs that it changes; bounds
+    outside the word are null, and so are the ranks of what they would bound."""
+    digits = F.octet_length(word) * 2
+
+    def fold(hexed: Column) -> Column:
+        rank = lambda start, end: _rank(F.substring(hexed, start + 1, end - start), table)
+
+        def merge(b: Column, o: Column, at: Column) -> Column:
+            """Joins pieces ``at`` and ``at + 1``."""
+            return F.struct(
+                F.filter(b, lambda x, i: i != at + 1).alias("b"),
+                F.transform(F.filter(o, lambda x, i: i != at), lambda x, i: F.when(
+                    i == at, rank(F.get(b, at), F.get(b, at + 3))).when(
+                    i == at - 1, rank(F.get(b, at - 1), F.get(b, at + 2))).otherwise(x)).alias("o"))
+
+        def step(s: Column, _: Column) -> Column:
+            best = F.array_position(s["o"], F.array_min(s["o"])).cast("int") - 1
+            return _let(best, lambda at: F.when(at.isNull(), s).otherwise(merge(s["b"], s["o"], at)))
+        start = _let(F.sequence(F.lit(0), digits, F.lit(2)), lambda b: F.struct(b.alias("b"), F.transform(
+            b, lambda x, i: rank(x, F.get(b, i + 2))).alias("o")))
+        return F.aggregate(F.sequence(F.lit(4), F.greatest(digits, F.lit(4)), F.lit(2)), start, step, lambda s: F.transform(
+            F.filter(s["b"], lambda x: x < digits), lambda x, i: rank(x, F.get(s["b"], i + 1))))
+    return _let(F.hex(word), fold)
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -136,22 +137,11 @@ def count_words(texts: DataFrame, pattern: str) -> DataFrame:
     """(word, n) over all rows of ``texts`` (id, text); words as binary, at most FOLD_BYTES long."""
     def run(batches):
         split = splitter(pattern)
-        held: dict[str, int] = {}
-
-        def flush():
-            words = [(w.encode("utf-8", "surrogatepass"), n) for w, n in held.items()]
-            words = [x for x in words if len(x[0]) <= FOLD_BYTES]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()),
-                                               pa.array([n for _, n in words], pa.int64())], ["word", "n"])
-        for _, part in portions(batches, PORTION_CHARS):
-            for t in part:
-                for w in split(t):
-                    held[w] = held.get(w, 0) + 1
-                if len(held) >= COUNT_WORDS:
-                    yield flush()
-        yield flush()
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for _, part in portions(batches, COUNT_CHARS):
+            found = _words(part, split).value_counts()
+            short = found.filter(pc.less_equal(pc.binary_length(found.field("values")), FOLD_BYTES))
+            yield pa.RecordBatch.from_arrays([short.field("values"), short.field("counts")], ["word", "n"])
+    return texts.mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, bound: int) -> DataFrame:
@@ -168,83 +158,108 @@ def frequent_words(counts: DataFrame, bound: int) -> DataFrame:
 
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           frequent: int = FREQUENT) -> DataFrame:
+           frequent: int = FREQUENT, portion: int = PORTION_CHARS) -> DataFrame:
     """(id, ids, text) of every row: ``ids`` are the token ids as little-endian unsigned
     32-bit integers, ``text`` is what they decode to."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ranks = load_ranks(ranks_file)
-    table = F.from_json(F.lit(rank_map(ranks)), "array<map<string,int>>")
+    table = F.from_json(F.lit(rank_map(spark, ranks)), "array<map<string,int>>")
     words = frequent_words(scratch.save(count_words(texts, pattern), "words"), min(frequent, FREQUENT))
-    known = scratch.save(words.select("word", encode_words(F.col("word"), table).alias("ids")), "known").toArrow()
+    known = scratch.save(words.select("word", encode_words(F.col("word"), table).alias("ids")), "known")
+    shared = spark.sparkContext.broadcast(_Known(known.toArrow()))     # at most FREQUENT words
     scratch.drop("words", "known")
-    shared = spark.sparkContext.broadcast(known)        # at most FREQUENT rows
     pieces = spark.sparkContext.broadcast(ranks)        # as large as the vocabulary file
 
     def first(batches):
-        split, held = splitter(pattern), _known(shared.value)
-        for ids, part in portions(batches, PORTION_CHARS):
-            rare = _Rare(held, pieces.value)
-            codes = [b"".join(map(rare.__getitem__, split(t))) for t in part]
+        split, known = splitter(pattern), shared.value
+        for ids, part in portions(batches, portion):
+            codes, rare = known.codes([split(t) for t in part], pieces.value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())),
-                 pa.array([rare.words], pa.list_(pa.binary()))], ["doc_ids", "codes", "rare"])
+                 pa.array([rare], pa.list_(pa.binary()))], ["doc_ids", "codes", "rare"])
 
     def last(batches):
-        by_id = dict((i, p) for p, i in pieces.value.items())
+        by_id = np.empty(max(pieces.value.values()) + 1, object)
+        for piece, i in pieces.value.items():
+            by_id[i] = piece
         for batch in batches:
             for ids, codes, found in zip(*(batch.column(i) for i in range(3))):
-                done = [np.array(x, np.uint32) for x in found.as_py()]
-                tokens = [_placed(np.frombuffer(c.as_py(), "<u4"), done) for c in codes.values]
+                # a slice of a larger array: its offsets don't start at 0
+                done = found.values
+                flat, ends = done.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), done.offsets.to_numpy()
+                tokens = [_placed(np.frombuffer(c.as_buffer(), "<u4"), flat, ends - ends[0]) for c in codes.values]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary()),
-                     pa.array([b"".join(map(by_id.__getitem__, t.tolist())) for t in tokens], pa.binary())],
+                    [ids.values, pa.array([t.tobytes() for t in tokens], pa.binary()),
+                     pa.array([b"".join(by_id[t]) for t in tokens], pa.binary())],
                     ["doc_id", "ids", "text"])
-    portioned = texts.mapInArrow(first, "doc_ids array<long>, codes array<binary>, rare array<binary>")
+    portioned = texts.mapInArrow(tidy(first), "doc_ids array<long>, codes array<binary>, rare array<binary>")
     folded = portioned.select("doc_ids", "codes", F.transform("rare", lambda w: encode_words(w, table)).alias("rare"))
-    return folded.mapInArrow(last, "doc_id long, ids binary, text binary").withColumnRenamed("doc_id", id_col)
-
-
-def _known(table: pa.Table) -> dict[str, bytes]:
-    ids = table.column("ids").combine_chunks()
-    flat = ids.flatten().to_numpy().astype("<u4").tobytes()
-    ends = ids.offsets.to_numpy() * 4
-    return {w.decode("utf-8", "surrogatepass"): flat[a:b]
-            for w, a, b in zip(table.column("word").to_pylist(), ends[:-1], ends[1:])}
-
-
-class _Rare(dict):
-    """Ids of words as bytes: known ones, long ones by heap, others a place for later."""
-
-    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
-        super().__init__()
-        self.known, self.ranks, self.words = known, ranks, []
-
-    def __missing__(self, word: str) -> bytes:
-        code = self.known.get(word)
-        if code is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            if len(raw) > FOLD_BYTES:
-                code = np.array(heap_merge(raw, self.ranks), "<u4").tobytes()
+    return folded.mapInArrow(tidy(last), "doc_id long, ids binary, text binary").withColumnRenamed("doc_id", id_col)
+
+
+def _words(texts: list[str], split) -> pa.Array:
+    """All words of some texts, end to end, as binary."""
+    found = [w for t in texts for w in split(t)]
+    return pa.array(found, pa.string()).cast(pa.binary())
+
+
+def _spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size], end to end."""
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    return flat[at]
+
+
+class _Known:
+    """The frequent words and their ids, as Arrow and numpy arrays."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.words = table.column("word").combine_chunks()
+        ids = table.column("ids").combine_chunks()
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        self.flat = flat.astype(np.min_scalar_type(int(flat.max(initial=0))))
+        self.ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).astype(np.uint32)
+
+    def codes(self, found: list[list[str]], ranks: dict[bytes, int]) -> tuple[list[bytes], list[bytes]]:
+        """(ids of each document as bytes, words still open); the place of an open word holds
+        OPEN plus its number.  Long words are merged here."""
+        coded = pa.array([w for f in found for w in f], pa.string()).cast(pa.binary()).dictionary_encode()
+        each = coded.indices.to_numpy(zero_copy_only=False)
+        words = coded.dictionary
+        at = pc.index_in(words, value_set=self.words) if len(self.words) else pa.nulls(len(words), pa.int32())
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        extra, rare = [], []                     # runs of the words that aren't known
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        known = at >= 0
+        starts[known], sizes[known] = self.ends[at[known]], self.ends[at[known] + 1] - self.ends[at[known]]
+        held = len(self.flat)
+        for i in np.flatnonzero(~known).tolist():
+            word = words[i].as_py()
+            if len(word) > FOLD_BYTES:
+                run = heap_merge(word, ranks)
             else:
-                code = (OPEN | len(self.words)).to_bytes(4, "little")
-                self.words.append(raw)
-        self[word] = code
-        return code
-
-
-def _placed(tokens: np.ndarray, done: list[np.ndarray]) -> np.ndarray:
-    """``tokens`` with every open place replaced by the ids of its word."""
-    at = np.flatnonzero(tokens >= OPEN)
-    if not len(at):
+                run = [OPEN + len(rare)]
+                rare.append(word)
+            starts[i], sizes[i] = held, len(run)
+            held += len(run)
+            extra += run
+        flat = np.concatenate([self.flat, np.array(extra, np.uint32)])
+        tokens = _spread(flat, starts[each], sizes[each]).astype("<u4")
+        counts = np.array([len(f) for f in found], np.int64)
+        until = np.r_[0, np.cumsum(sizes[each])][np.r_[0, np.cumsum(counts)]]
+        return [tokens[a:b].tobytes() for a, b in zip(until[:-1], until[1:])], rare
+
+
+def _placed(tokens: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``tokens`` with every open place replaced by the ids flat[ends[i] : ends[i + 1]] of its word."""
+    there = tokens >= OPEN
+    if not there.any():
         return tokens
-    parts, start = [], 0
-    for i in at.tolist():
-        parts += [tokens[start:i], done[int(tokens[i]) - OPEN]]
-        start = i + 1
-    return np.concatenate([*parts, tokens[start:]])
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+    number = np.where(there, tokens - np.uint32(OPEN), 0).astype(np.int64)
+    both = np.concatenate([flat, tokens])
+    sizes = np.where(there, np.diff(ends)[number], 1)
+    starts = np.where(there, ends[number], len(flat) + np.arange(len(tokens)))
+    return _spread(both, starts, sizes).astype("<u4")

@@ -54,9 +54,10 @@ def test_split_and_merge_any_text(text):
     assert [i for w in words for i in byte_bpe.heap_merge(w.encode(), ranks)] == coder.encode_ordinary(text)
 
 
-@pytest.mark.parametrize("frequent", [1 << 20, 40])
-def test_encoding_equals_the_library_and_decodes(spark, coder, frequent):
-    got = byte_bpe.encode(with_extra(spark), RANKS, public_tokenizers.PATTERN, frequent=frequent).collect()
+@pytest.mark.parametrize(("frequent", "portion"), [(1 << 20, 10**6), (40, 300)])
+def test_encoding_equals_the_library_and_decodes(spark, coder, frequent, portion):
+    docs = with_extra(spark).coalesce(1)
+    got = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, frequent=frequent, portion=portion).collect()
     assert len(got) == len(texts())
     by_id = dict(texts())
     for r in got:
