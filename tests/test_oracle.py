@@ -11,7 +11,10 @@ from conftest import SF_SMALL
 SUBSET = ["profile_columns", "missingness", "correlation_matrix", "impute", "lump_rare", "target_encode",
           "bin_quantile", "date_features", "lag_features", "forecast_snaive", "regression_metrics",
           "classification_metrics", "flatten_stats", "pii_scan", "k_anonymity", "survey_mean_taylor",
-          "survey_proportion", "replicate_design_jk1", "mi_mean", "did_2x2", "rolling_origin_cv", "scan_csv"]
+          "survey_proportion", "replicate_design_jk1", "mi_mean", "did_2x2", "rolling_origin_cv", "scan_csv",
+          "correlation_kendall", "correlation_spearman", "survey_quantile", "robust_scale", "clip", "impute_date",
+          "replicate_design_jkn", "crosstab_chisq", "panel_summary", "stream_profile", "scan_json_array",
+          "partial_dependence", "batch_score", "privacy_audit_log", "sink_run_tables", "model_presets"]
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +28,6 @@ def duck():
 def _canon(v):
     if isinstance(v, float):
         return repr(float(v))
-    if isinstance(v, int) and not isinstance(v, bool):
-        return repr(float(v)) if False else str(v)
     return str(v)
 
 
