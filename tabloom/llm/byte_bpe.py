@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .pretokens import portions, splitter
 from .scratch import Scratch
-from .workers import tidy
+from .workers import give_back, tidy
 
 BUCKETS = 1 << 15
 FREQUENT = 1 << 20          # words whose ids the workers hold
@@ -170,6 +170,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     known = scratch.save(words.select("word", encode_words(F.col("word"), table).alias("ids")), "known")
     shared = spark.sparkContext.broadcast(_Known(known.toArrow()))     # at most FREQUENT words
     scratch.drop("words", "known")
+    give_back()
     pieces = spark.sparkContext.broadcast(ranks)        # as large as the vocabulary file
 
     def first(batches):

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
+from .workers import tidy
 
 CELL = 2.0       # width of a cell; projections of unit vectors have a deviation of 1 or less
 WINDOW = 0.7     # half-width of the window on the last line
@@ -83,7 +84,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(units, pa.list_(pa.float64())),
                  pa.array([None if u is None else hashlib.blake2b(u.tobytes(), digest_size=16).digest()
                            for u in units], pa.binary())], ["vec_id", "unit", "digest"])
-    return vectors.mapInArrow(run, "vec_id long, unit array<double>, digest binary")
+    return vectors.mapInArrow(tidy(run), "vec_id long, unit array<double>, digest binary")
 
 
 def _project(reps: DataFrame, lines: int, tables: int, seed: int) -> DataFrame:
@@ -111,7 +112,7 @@ def _project(reps: DataFrame, lines: int, tables: int, seed: int) -> DataFrame:
                     [pa.array(np.repeat(np.array(ids, np.int64), tables)), pa.array(key.view(np.int64).ravel()),
                      pa.array(np.floor(at / WINDOW).astype(np.int64).ravel()), pa.array(at.ravel())],
                     ["vec_id", "cell", "band", "at"])
-    return reps.mapInArrow(run, "vec_id long, cell long, band long, at double")
+    return reps.mapInArrow(tidy(run), "vec_id long, cell long, band long, at double")
 
 
 def _dot(pairs: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def _dot(pairs: DataFrame) -> DataFrame:
             starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
             sums = np.add.reduceat(products, starts) if len(starts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums)], ["a", "b", "cosine"])
-    return pairs.mapInArrow(run, "a long, b long, cosine double")
+    return pairs.mapInArrow(tidy(run), "a long, b long, cosine double")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
+from .workers import give_back, tidy
 
 BITS = 15                  # hashed features, as a power of two
 ORDERS = (1, 2, 3)
@@ -82,7 +83,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, -1]), pa.array(np.r_[seen[found], docs])],
                                          ["feature", "n"])
-    rows = texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(tidy(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(1 << BITS, np.int64)
     total = 0
     for feature, n in rows:
@@ -164,7 +165,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         rate = F.when(F.col("label") == label, min(1.0, sample / n)).otherwise(rate)
     rows = [] if not counts else labelled.where(share < rate.cast("double")).select("doc_id", "text", "label").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["label"]))
-    return fit([(r["text"], r["label"]) for r in rows], idf)
+    model = fit([(r["text"], r["label"]) for r in rows], idf)
+    del rows
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
@@ -197,4 +201,4 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 [*(batch.column(i) for i in passed), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 [*(batch.schema.names[i] for i in passed), "lang_pred", "score"])
     schema = T.StructType([rows.schema[i] for i in passed]).add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
+from .workers import tidy
 
 K = 96                # retained values
 MET = 0.6             # share of a sketch that a linked pair must have in common
@@ -97,7 +98,7 @@ def features(docs: DataFrame, shingle: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                  _lists([s[:k] for s in sets])], ["doc_id", "n", "digest", "sketch"])
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, digest binary, sketch array<long>")
 
 
 def _bits(ids: DataFrame) -> dict[int, int]:
@@ -128,7 +129,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                  _lists(sets)], ["doc_id", "n", "digest", "full"])
     keyed = docs.where("doc_id IS NOT NULL").select(
         "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("slot"))
-    return keyed.mapInArrow(run, "doc_id long, n long, digest binary, full array<long>")
+    return keyed.mapInArrow(tidy(run), "doc_id long, n long, digest binary, full array<long>")
 
 
 def _sizes_fit(percent: int):

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .workers import tidy
 
 UNIT = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 LEAST = 20          # words of a run that is removed
@@ -70,7 +71,7 @@ def units(docs: DataFrame, unit: str) -> DataFrame:
                 [pa.array(ids[at]), pa.array(rows[at]), pa.array(nr, pa.int32()), pa.array(start, pa.int32()),
                  pa.array(finish, pa.int32()), pa.array(words, pa.int32()),
                  pa.array(np.frombuffer(b"".join(digest), "<i8")), pa.array(again, pa.bool_())], names)
-    return docs.mapInArrow(run, "doc_id long, row long, nr int, start int, finish int, words int, digest long, again boolean")
+    return docs.mapInArrow(tidy(run), "doc_id long, row long, nr int, start int, finish int, words int, digest long, again boolean")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = UNIT,

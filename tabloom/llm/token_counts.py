@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .pretokens import portions, splitter
+from .workers import tidy
 
 PORTION_CHARS = 2_000_000   # characters whose pre-tokens are held at a time
 CHUNK_BYTES = 1 << 20       # bytes merged at a time
@@ -138,4 +139,4 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
                  pa.array([sum(map(counts.__getitem__, f)) + e for f, e in zip(found, extra)], pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long")

@@ -1,4 +1,4 @@
-"""What Python workers do besides the operators' own work."""
+"""What Python processes do besides the operators' own work."""
 
 from __future__ import annotations
 
@@ -9,15 +9,20 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: neither Arrow's pool nor the C library does so soon."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):   # another C library
+        pass
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` (an Arrow batch function) that gives memory back to the system when it ends:
-    Spark keeps workers for later tasks, and what they hold counts against the executor."""
+    """``run`` (an Arrow batch function) that gives memory back when it ends: Spark keeps
+    workers for later tasks, and what they hold counts against the executor."""
     def tidied(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):   # another C library
-            pass
+        give_back()
     return tidied
