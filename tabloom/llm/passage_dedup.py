@@ -5,8 +5,9 @@ by many documents seldom stands on lines of its own (``UNIT`` is a parameter; li
 paragraphs alone are other patterns).  Units are normalised (A-Z as a-z, runs of white
 space as one blank, trimmed) and hashed; equal digests are grouped over all documents
 and the occurrence of smallest doc_id, first in its text, is kept.  All others are repeats.
-A repeat is removed where it is part of a run of adjacent repeats of ``least`` words or
-more: a passage, not a common short sentence.  Spans are code points of the original
+Every repeat is reported, with the words of the run of adjacent repeats that it is part
+of; ``spans`` are those of runs of ``least`` words or more: passages, not common short
+sentences (``least=1`` removes every repeat).  Spans are code points of the original
 text, end exclusive, from the first unit's start to the last one's end.
 
 A task emits one small row a unit.  Digests meet by a count and a smallest id, which are
@@ -34,6 +35,8 @@ from .scratch import Scratch
 from .workers import tidy
 
 UNIT = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
+# the same with the sentence ends of other scripts
+ANY_UNIT = r"[^.!?\n。！？｡।॥؟۔։።]*[.!?\n。！？｡।॥؟۔։።]+|[^.!?\n。！？｡।॥؟۔։።]+"
 LEAST = 20          # words of a run that is removed
 NO_ID = (1 << 63) - 1
 
@@ -76,7 +79,8 @@ def units(docs: DataFrame, unit: str) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = UNIT,
                       least: int = LEAST) -> DataFrame:
-    """(id, n_units, n_removed, spans) of every row; ``spans`` are the (start, finish) to remove, in order."""
+    """(id, n_units, n_removed, spans, repeats) of every row; ``spans`` are the (start, finish) to
+    remove, in order, ``repeats`` the (start, finish, words, run_words) of every repeated unit."""
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
@@ -90,10 +94,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document = Window.partitionBy("doc_id", "row").orderBy("nr")
     runs = repeats.withColumn("run", F.col("nr") - F.row_number().over(document)).groupBy("doc_id", "row", "run").agg(
         F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"), F.min("start").alias("start"),
-        F.max("finish").alias("finish")).where(F.col("words") >= least)
+        F.max("finish").alias("finish"), F.array_sort(F.collect_list(F.struct("start", "finish", "words"))).alias("parts"))
+    passage = F.col("words") >= least
     # as many spans as a text has runs
-    spans = runs.groupBy("doc_id", "row").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(
-        F.struct("start", "finish"))).alias("spans"))
+    spans = runs.groupBy("doc_id", "row").agg(
+        F.sum(F.when(passage, F.col("n"))).alias("n_removed"),
+        F.array_sort(F.collect_list(F.when(passage, F.struct("start", "finish")))).alias("spans"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "words", "parts"))), lambda r: F.transform(
+            r["parts"], lambda u: F.struct(u["start"].alias("start"), u["finish"].alias("finish"), u["words"].alias("words"),
+                                           r["words"].alias("run_words"))))).alias("repeats"))
     counts = found.groupBy("doc_id", "row").agg((F.max("nr") + 1).cast("long").alias("n_units"))
     removed = scratch.save(counts.join(spans, ["doc_id", "row"], "left"), "removed")
     scratch.drop("units", "firsts")
@@ -101,7 +110,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias(id_col), F.coalesce("n_units", F.lit(0)).alias("n_units"),
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,finish:int>>")).alias("spans"))
+        F.coalesce("spans", F.array().cast("array<struct<start:int,finish:int>>")).alias("spans"),
+        F.coalesce("repeats", F.array().cast("array<struct<start:int,finish:int,words:int,run_words:bigint>>")).alias("repeats"))
 
 
 def without(text: Column, spans: Column) -> Column:

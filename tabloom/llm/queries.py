@@ -117,6 +117,37 @@ def op8_passage_dedup(spark, sf_dir):
             ":", s["start"].cast("string"), s["finish"].cast("string"))), ",").alias("spans"))
 
 
+# every repeated unit, whatever the length of its run, cut at the sentence ends of all scripts
+REPEATS_SQL = r"""
+WITH p AS (SELECT doc_id, unnest(x) AS unit, generate_subscripts(x, 1) AS i
+      FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n。！？｡।॥؟۔։።]*[.!?\n。！？｡।॥؟۔։።]+|[^.!?\n。！？｡।॥؟۔։።]+') AS x
+            FROM documents)),
+o AS (SELECT doc_id, unit, i, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) AS finish FROM p),
+n AS (SELECT doc_id, i, CAST(finish - length(unit) AS BIGINT) AS start, CAST(finish AS BIGINT) AS finish,
+             regexp_extract_all(unit, '[^\x20\x09-\x0D]+') AS x FROM o),
+u AS (SELECT *, len(x) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nr,
+             row_number() OVER (PARTITION BY translate(array_to_string(x, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') ORDER BY doc_id, i) AS occurrence FROM n WHERE len(x) > 0),
+r AS (SELECT *, nr - row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS run FROM u WHERE occurrence > 1),
+g AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM r),
+s AS (SELECT doc_id, count(*) AS n_repeats, sum(words) AS repeated_words,
+             string_agg(start || ':' || finish || ':' || run_words, ',' ORDER BY start) AS repeats FROM g GROUP BY 1)
+SELECT d.doc_id, coalesce(n_repeats, 0)::BIGINT AS n_repeats, coalesce(repeated_words, 0)::BIGINT AS repeated_words,
+       coalesce(repeats, '') AS repeats
+FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+
+@query("op8_repeated_units", REPEATS_SQL)
+def op8_repeated_units(spark, sf_dir):
+    found = passage_dedup.repeated_passages(table(spark, sf_dir, "documents"), unit=passage_dedup.ANY_UNIT)
+    return found.select(
+        "doc_id", F.size("repeats").cast("long").alias("n_repeats"),
+        F.aggregate("repeats", F.lit(0).cast("long"), lambda a, s: a + s["words"]).alias("repeated_words"),
+        F.array_join(F.transform("repeats", lambda s: F.concat_ws(
+            ":", s["start"].cast("string"), s["finish"].cast("string"), s["run_words"].cast("string"))), ",").alias("repeats"))
+
+
 @query("op9_embedding_dedup")
 def op9_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)

@@ -48,3 +48,26 @@ def test_query_equals_its_twin(spark, sf):
         rel = con.sql(queries.ORACLE[name])
         assert sorted(got.columns) == sorted(rel.columns)
         assert sorted(map(tuple, got.select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
+def test_every_repeated_unit_is_reported_with_its_run(spark):
+    short, line, other = "All rights reserved.", "Read more here", "引用された文です。"
+    docs = [(1, f"{short} {sentence(1, 9)}\n{line}\n{other}"), (2, f"{sentence(2, 9)} {short}\n{line}\nown {other}"),
+            (3, f"{other}{line}\n{sentence(3, 9)}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in passage_dedup.repeated_passages(df, unit=passage_dedup.ANY_UNIT).collect()}
+    cut = {i: [(t[u["start"]:u["finish"]].strip(), u["run_words"]) for u in out[i]["repeats"]] for i, t in docs}
+    assert cut == {1: [], 2: [(short, 6), (line, 6)], 3: [(other, 4), (line, 4)]}
+    assert all(out[i]["spans"] == [] and out[i]["n_removed"] == 0 for i in out)
+    all_go = {r["doc_id"]: r["n_removed"] for r in passage_dedup.repeated_passages(df, unit=passage_dedup.ANY_UNIT, least=1).collect()}
+    assert all_go == {1: 0, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_repeated_units_equal_their_twin(spark, sf):
+    path = f"/root/testdata/sf{sf}"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet')")
+    got = queries.QUERIES["op8_repeated_units"](spark, path)
+    rel = con.sql(queries.ORACLE["op8_repeated_units"])
+    assert sorted(map(tuple, got.select(*rel.columns).collect())) == sorted(rel.fetchall())
