@@ -7,6 +7,8 @@ Signatures: a few hundred regular expressions, made from the hand-written names,
 identifiers and addresses below in the wordings that notices use (full notice, licence
 reference, identifier tag, address, plain name).  A text is looked at only if it holds one of the families'
 keywords, and a family's rules run only on texts that hold that family's keyword.
+Keywords and rules see a flat copy of the text, where white space, and the comment marks
+that begin or end a line, are one blank: notices are mostly wrapped.
 Detections are ordered by start, longest first; one that lies inside a detection of
 the same or a better priority is suppressed, so a plain name inside a full notice, or
 a short version of an identifier inside a longer one, doesn't count.
@@ -28,6 +30,12 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"   # of words; patterns ignore the case of A-Z
 
+# white space that is more than a blank, with the comment marks at the line's end (box comments) and at the next one's start
+SPACE = r"\s\x{85}\x{A0}\x{2028}\x{2029}"
+MARK = r"(?:[#*;%>|!']+/?|//+[*!]?|/\*+!?|--+|::|<!--|\(\*|\.?\\\x22|@c|(?i:dnl|rem))"
+WRAPPED = (rf"(?=[{SPACE}])(?:[ \t]*+(?:(?<=[ \t])[#*|;]++[ \t]*+)?[\r\n\x0B\f\x{{85}}\x{{2028}}\x{{2029}}][{SPACE}]*+"
+           rf"(?:{MARK}(?=[{SPACE}])[{SPACE}]++)*+|[{SPACE}]{{2,}}+|[\t\x{{A0}}])")
+
 # label, keywords (lower case, "|" between) one of which every name holds, names in notices, identifier prefix, address; regular expressions in the last three
 FAMILIES = (
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e,? (?:version )?1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
@@ -170,7 +178,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     keys = sorted({k for r in rules() for k in r["keys"]}, key=lambda k: (len(k), k))
     gates = [k for i, k in enumerate(keys) if not any(x in k for x in keys[:i])]   # a key holding another is implied
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("lower", F.lower("text")).withColumn(
+    rows = rows.withColumn("flat", F.regexp_replace("text", WRAPPED, " ")).withColumn("lower", F.lower("text")).withColumn(
+        "flat_lower", F.lower("flat")).withColumn(
         "words", F.regexp_replace(F.concat(F.lit(" "), "text", F.lit(" ")), SEPARATORS, " "))
     rows = rows.withColumn("n_words", (_blanks(F.col("words")) - 1).cast("long"))
     nowhere = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"),
@@ -179,10 +188,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         may = [F.col("lower").contains(w) for w in phrase.split()]
         rows = rows.withColumn(f"p{i}", F.when(reduce(Column.__and__, may), _places(
             F.col("words"), F.col("n_words"), phrase)).otherwise(nowhere))
-    present = F.filter(signatures, lambda r: F.exists(r["keys"], lambda k: F.col("lower").contains(k)))
-    found = F.flatten(F.transform(present, lambda r: _detections(F.col("text"), r)))
+    present = F.filter(signatures, lambda r: F.exists(r["keys"], lambda k: F.col("flat_lower").contains(k)))
+    found = F.flatten(F.transform(present, lambda r: _detections(F.col("flat"), r)))
     none = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("sure"))
-    rows = rows.withColumn("method", F.when(F.col("lower").rlike("|".join(map(re.escape, gates))),
+    rows = rows.withColumn("method", F.when(F.col("flat_lower").rlike("|".join(map(re.escape, gates))),
                                             _surviving(found)).otherwise(none))
     places = [F.col(f"p{i}") for i in range(len(PHRASES))]
     base = F.array_compact(F.array(*(F.when(p["n"] > 0, F.lit(label)) for p, label in zip(places, PHRASES.values()))))

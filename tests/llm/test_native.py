@@ -93,3 +93,19 @@ def test_rules_are_many_and_compile():
     assert len(licenses.rules()) >= 200
     for r in licenses.rules():
         re.compile(r["pattern"])
+
+
+WRAPPED = {"GNU General Public\n * License, version 2": ["gpl-2.0"], "MIT\nLicense": ["mit"], "MIT \u00a0\tLicense": ["mit"],
+           "# Apache License,\r\n# Version 2.0": ["apache-2.0"], "/* Licensed  under the\n *\n * Mozilla\tPublic License,    *\n * v. 2.0 */": ["mpl-2.0"],
+           "// released under the terms\n//   of the MIT\n//   license": ["mit"], "dnl Boost Software\ndnl License": ["bsl-1.0"],
+           "* GNU Lesser General   *\n* Public License,      *\n* version 2.1          *": ["lgpl-2.1"],
+           "the MIT\n- and no license": [], "admit\n* licence": [], " " * 20000 + "\n# " * 5000: []}
+
+
+def test_wrapped_and_commented_notices(spark):
+    df = spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for i, (text, labels) in enumerate(WRAPPED.items()):
+        # the phrases add their own labels
+        assert got[i]["labels"] == sorted({*labels, *got[i]["base_labels"]}), text[:60]
+        assert (got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"]) == brute_phrases(text)
