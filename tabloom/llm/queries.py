@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, passage_dedup, secrets, token_counts
+from . import byte_bpe, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, passage_dedup, secrets, token_align, \
+    token_counts
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -198,3 +199,10 @@ def op10_mixing(spark, sf_dir):
     mixed = mixing.mix(docs, source_weights, repeats=3)
     return mixed.select("doc_id", "size", F.get("source_sizes", F.lit(0)).alias("source_size"),
                         F.round(F.get("targets", F.lit(0)), 4).alias("target"), "taken")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    aligned = token_align.cross_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                          public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
