@@ -204,5 +204,5 @@ def op10_mixing(spark, sf_dir):
 @query("op12_token_alignment")
 def op12_token_alignment(spark, sf_dir):
     aligned = token_align.cross_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                                          public_tokenizers.path("piece_bpe_32k.model"))
+                                          public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
     return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))

@@ -22,8 +22,9 @@ are all best; an empty table gives an empty result; other columns are ignored.""
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from itertools import accumulate
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,80 +41,99 @@ FREQUENT = 1 << 18         # pairs whose counts every task holds (16 bytes each)
 PORTION_CHARS = 1_000_000  # characters encoded at a time
 PENDING = 1 << 21          # pairs a task adds up at a time
 STEPS = 16                 # steps of the histogram of counts to the factor of two
+LONG_SPACE = re.compile(r"\s{10000}")
 SHIFT = 32                 # a pair as one number: A id << SHIFT | B id
 
 
 class Coders:
-    """Both tokenizers, from the contents of their files, with the bytes of every token."""
+    """Both tokenizers, from the contents of their files, with the bytes of every token.
 
-    def __init__(self, json_file: bytes, model_file: bytes):
+    Where the ids of A follow the order of its merges, tiktoken gives the ids that the
+    tokenizers library gives, over the same vocabulary and several times as fast; it cannot
+    split very long white space, so texts with such take the library itself."""
+
+    def __init__(self, json_file: bytes, model_file: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_buffer(json_file)
         self.a.encode_special_tokens = True   # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_file)
         symbols = byte_symbols()
-        vocab = self.a.get_vocab()
-        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        spec = json.loads(json_file)
+        vocab, special = self.a.get_vocab(), {t["content"] for t in spec.get("added_tokens", [])}
+        bytes_a = [b""] * (max(vocab.values()) + 1)
         for entry, i in vocab.items():
-            self.bytes_a[i] = bytes(symbols[c] for c in entry) if all(c in symbols for c in entry) else entry.encode()
-        self.bytes_b = []
+            bytes_a[i] = entry.encode() if entry in special else bytes(symbols[c] for c in entry)
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        self.fast = tiktoken.Encoding("a", pat_str=pattern, special_tokens={}, mergeable_ranks={
+            bytes_a[i]: i for entry, i in vocab.items() if entry not in special}) if made == list(range(256, 256 + len(made))) else None
+        bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
-            self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
-        self.name_a, self.name_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(len(self.bytes_b))))
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of either side; two empty lists where the tokens do not spell the text."""
+            bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.bytes = (bytes_a, bytes_b)
+        self.sizes = tuple(np.array([len(x) for x in side]) for side in self.bytes)
+        # every id as text, within a group and at its end
+        self.names = tuple(tuple(np.array([f"{i}{mark}" for i in range(len(side))], object) for mark in marks)
+                           for side, marks in zip(self.bytes, (",|", ",;")))
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is None or LONG_SPACE.search(text):
+            return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        return self.fast.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of either side; two empty arrays where the tokens do not spell the text."""
         out = []
-        for text, a, b in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False),
-                              self.b.encode(texts, num_threads=1)):
-            ids, whole = a.ids, (" " + text).encode()
-            fits = text and b"".join(map(self.bytes_a.__getitem__, ids)) == whole \
-                and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            out.append((ids, b) if fits else ([], []))
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a, whole = self.ids(text), (" " + text).encode()
+            ids = a.tolist()
+            spelled = self.fast.decode_bytes(ids) if self.fast else b"".join(map(self.bytes[0].__getitem__, ids))
+            fits = text and spelled == whole and b"".join(map(self.bytes[1].__getitem__, b)) == whole
+            out.append((a, np.array(b, np.int64)) if fits else (np.zeros(0, np.int64),) * 2)
         return out
 
-    def slices(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        """(end in a, end in b) of every group: where tokens of both sides end."""
-        ends_a = dict(zip(accumulate(map(self.size_a.__getitem__, a)), range(1, len(a) + 1)))
-        ends_b = dict(zip(accumulate(map(self.size_b.__getitem__, b)), range(1, len(b) + 1)))
-        return [(ends_a[k], ends_b[k]) for k in sorted(ends_a.keys() & ends_b.keys())]
+    def slices(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ends in a, ends in b) of the groups: where tokens of both sides end."""
+        index_a, index_b = (dict(zip(np.cumsum(size[ids]).tolist(), range(1, len(ids) + 1)))
+                            for size, ids in zip(self.sizes, (a, b)))
+        common = sorted(index_a.keys() & index_b.keys())
+        return tuple(np.array(list(map(index.__getitem__, common)), np.int64) for index in (index_a, index_b))
 
-    def groups(self, a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
+    def groups(self, a: np.ndarray, b: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of every group in order."""
-        x, y = list(map(self.name_a.__getitem__, a)), list(map(self.name_b.__getitem__, b))
-        p = q = 0
-        out = []
-        for u, v in ends:
-            out.append(x[p] + "|" + y[q] if u - p == 1 == v - q else ",".join(x[p:u]) + "|" + ",".join(y[q:v]))
-            p, q = u, v
-        return ";".join(out)
+        parts = np.empty(len(a) + len(b), object)
+        # before a group stand the tokens of both sides of the earlier ones, before its b also its a
+        before = (np.r_[0, ends[1]][:-1], ends[0])
+        for ids, end, other, (inner, last) in zip((a, b), ends, before, self.names):
+            names = inner[ids]
+            names[end - 1] = last[ids[end - 1]]
+            parts[np.arange(len(ids)) + np.repeat(other, np.diff(end, prepend=0))] = names
+        return "".join(parts.tolist())[:-1]
 
 
-def align(docs: DataFrame, tokenizer: str, model: str, id_col: str = "doc_id", text_col: str = "text",
+def align(docs: DataFrame, tokenizer: str, model: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
           digest: bool = True) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, groups, pair_a, pair_b, times) of every row: ``groups``
-    as text or, with ``digest``, the SHA-256 of that text; the distinct linked pairs as sorted arrays."""
+    """(doc_id, n_a, n_b, n_groups, n_links, groups, pair_a, pair_b, times) of every row, for the file
+    ``tokenizer`` that splits texts by ``pattern``, and the file ``model``: ``groups`` as text or, with ``digest``, the SHA-256 of that text; the distinct linked pairs as sorted arrays."""
     spark = docs.sparkSession
     ship_package(spark)
     with open(tokenizer, "rb") as f, open(model, "rb") as g:
         shared = spark.sparkContext.broadcast((f.read(), g.read()))   # the two vocabulary files
 
     def run(batches):
-        coders = Coders(*shared.value)
+        coders = Coders(*shared.value, pattern)
         for ids, texts in portions(batches, PORTION_CHARS):
             counts, groups, pairs, times = [], [], [], []
             for a, b in coders.encode(texts):
                 ends = coders.slices(a, b)
                 text = coders.groups(a, b, ends)
-                groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and a else text)
-                at = np.array(ends, np.int64).reshape(-1, 2) - 1
-                linked = (np.array(a, np.int64)[at[:, 0]] << SHIFT) | np.array(b, np.int64)[at[:, 1]]
+                groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and text else text)
+                linked = (a[ends[0] - 1] << SHIFT) | b[ends[1] - 1]   # the last tokens of every slice
                 found, n = np.unique(linked, return_counts=True)
-                counts.append((len(a), len(b), len(ends), len(linked)))
+                counts.append((len(a), len(b), len(ends[0]), len(linked)))
                 pairs.append(found)
                 times.append(n)
             flat = np.concatenate([*pairs, np.zeros(0, np.int64)])
@@ -222,10 +242,10 @@ def score_links(aligned: DataFrame, scratch: Scratch, frequent: int = FREQUENT)
     return aligned.join(scored, "row")
 
 
-def cross_alignment(docs: DataFrame, tokenizer: str, model: str, id_col: str = "doc_id", text_col: str = "text",
+def cross_alignment(docs: DataFrame, tokenizer: str, model: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                     frequent: int = FREQUENT, digest: bool = True) -> DataFrame:
     """Every row of ``docs`` aligned and scored: the columns of ``align`` with n_best and count_sum."""
     scratch = Scratch(docs.sparkSession)
-    aligned = scratch.save(align(docs, tokenizer, model, id_col, text_col, digest).withColumn(
+    aligned = scratch.save(align(docs, tokenizer, model, pattern, id_col, text_col, digest).withColumn(
         "row", F.monotonically_increasing_id()), "aligned")
     return score_links(aligned, scratch, frequent)

@@ -48,14 +48,14 @@ def brute(texts):
 
 
 TEXTS = [t if t is None or len(t) < 9001 else t[:900] for _, t, *_ in rows()] + [
-    "<|endoftext|> and <s> </s> <unk>", "▁ odd", "tabs\tand  two  spaces\n\n", "日本語の文章です。 नमस्ते 🙂🙂", "a", " ", "\0x", "naïve café"]
+    "<|endoftext|> and <s> </s> <unk>", "▁ odd", "tabs\tand  two  spaces\n\n", "日本語の文章です。 नमस्ते 🙂🙂", "a", " ", "\0x", "naïve café", "a" + " " * 30000 + "b"]
 
 
 @pytest.mark.parametrize("frequent", [1 << 18, 40, 0])
 def test_equals_brute_force(spark, frequent):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in
-           token_align.cross_alignment(docs, JSON, MODEL, frequent=frequent).collect()}
+           token_align.cross_alignment(docs, JSON, MODEL, public_tokenizers.PATTERN, frequent=frequent).collect()}
     assert [got[i] for i in range(len(TEXTS))] == brute(TEXTS)
 
 
@@ -68,8 +68,8 @@ def test_query_over_documents(spark):
 
 
 def test_awkward_rows(spark):
-    got = token_align.cross_alignment(table(spark), JSON, MODEL, digest=False).collect()
+    got = token_align.cross_alignment(table(spark), JSON, MODEL, public_tokenizers.PATTERN, digest=False).collect()
     assert len(got) == len(rows())
     assert {r["groups"] for r in got if r["doc_id"] in (9, 10)} == {""}
     assert len([r for r in got if r["doc_id"] is None]) == 1 and len([r for r in got if r["doc_id"] == 3]) == 2
-    assert token_align.cross_alignment(empty(spark), JSON, MODEL).count() == 0
+    assert token_align.cross_alignment(empty(spark), JSON, MODEL, public_tokenizers.PATTERN).count() == 0
