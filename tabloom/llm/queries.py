@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import byte_bpe, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, passage_dedup, secrets, token_align, \
-    token_counts
+    token_counts, turn_repair
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -201,6 +201,11 @@ def op10_mixing(spark, sf_dir):
                         F.round(F.get("targets", F.lit(0)), 4).alias("target"), "taken")
 
 
+@query("op11_turn_repair")
+def op11_turn_repair(spark, sf_dir):
+    return turn_repair.digest(turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 @query("op12_token_alignment")
 def op12_token_alignment(spark, sf_dir):
     aligned = token_align.cross_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
