@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, passage_dedup, secrets, token_align, \
+from . import byte_bpe, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, passage_dedup, pii_crf, secrets, token_align, \
     token_counts, turn_repair
 
 QUERIES: dict[str, Callable] = {}
@@ -25,17 +25,21 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def _span_digest(found, kinds):
+    """Counts of the base kinds, the digest of the base spans and all spans as text."""
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["finish"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(of_kind(k).alias(f"n_{k}") for k in kinds),
+                        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 @query("op1_secrets")
 def op1_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.train(docs))
-    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
-        ":", s["kind"], s["start"].cast("string"), s["finish"].cast("string"))), ",")
-    base = F.filter("spans", lambda s: s["kind"] != "model")
-    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    counts = [of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
-                        text(F.col("spans")).alias("spans"))
+    return _span_digest(found, ("assign", "access", "hex"))
 
 
 @query("op2_near_dedup")
@@ -211,3 +215,9 @@ def op12_token_alignment(spark, sf_dir):
     aligned = token_align.cross_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                           public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
     return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@query("op13_pii")
+def op13_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _span_digest(pii_crf.scan(docs, pii_crf.train(docs)), pii_crf.KINDS)
