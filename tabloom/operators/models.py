@@ -319,6 +319,33 @@ for _spec in [
     register_model(_spec)
 
 
+def _q(name: str) -> str:
+    """A column's exact name, dots and all."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def _given(c: Column) -> Column:
+    """Neither NULL nor NaN."""
+    return c.isNotNull() & ~F.isnan(c)
+
+
+def _complete(features: Sequence[str]) -> Column:
+    """Rows with a value of every predictor; a NaN is a missing value."""
+    ok = F.lit(True)
+    for c in features:
+        ok = ok & F.coalesce(_given(F.col(_q(c)).cast("double")), F.lit(False))
+    return ok
+
+
+def _inputs(features: Sequence[str]) -> list[str]:
+    return [f"_x{i}" for i in range(len(features))]
+
+
+def _with_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Predictors under names that the assembler can read."""
+    return df.withColumns({n: F.col(_q(c)).cast("double") for n, c in zip(_inputs(features), features)})
+
+
 def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str], params: dict | None = None,
               weight: str | None = None):
     """Assemble features and fit a registered estimator on the rows complete in target and
@@ -329,14 +356,13 @@ def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str]
     p = dict(spec.params)
     p.update(params or {})
     est = spec.build(p)
-    label = F.col(target).cast("double")
-    complete = label.isNotNull()
-    for c in features:
-        complete = complete & F.col(c).isNotNull()
-    n, used = df.agg(F.count(label), F.count_if(complete)).first()
+    label = F.col(_q(target)).cast("double")
+    complete = _given(label) & _complete(features)
+    n, used = df.agg(F.count_if(_given(label)), F.count_if(complete)).first()
     train_shape_guard(n, n if used else 0, len(features), model_id)
-    asm = VectorAssembler(inputCols=list(features), outputCol="features")
-    data = asm.transform(df.where(complete)).withColumn("label", label)
+    asm = VectorAssembler(inputCols=_inputs(features), outputCol="features")
+    asm.predictors = list(features)
+    data = asm.transform(_with_inputs(df.where(complete), features)).withColumn("label", label)
     est = est.setFeaturesCol("features").setLabelCol("label")
     if weight and hasattr(est, "setWeightCol"):
         est = est.setWeightCol(weight)
@@ -348,11 +374,9 @@ def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str]
 def score(model, asm, df: DataFrame) -> DataFrame:
     """Predictions for every row of ``df``; a row with a missing predictor keeps its
     place with a NULL prediction."""
-    complete = F.lit(True)
-    for c in asm.getInputCols():
-        complete = complete & F.col(c).isNotNull()
-    scored = model.transform(asm.transform(df.where(complete)))
-    return scored.unionByName(df.where(~complete), allowMissingColumns=True)
+    complete = _complete(asm.predictors)
+    scored = model.transform(asm.transform(_with_inputs(df.where(complete), asm.predictors)))
+    return scored.drop(*asm.getInputCols()).unionByName(df.where(~complete), allowMissingColumns=True)
 
 
 def align_scoring_columns(df: DataFrame, train_columns: Sequence[str]) -> DataFrame:

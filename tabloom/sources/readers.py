@@ -62,13 +62,51 @@ def flatten_columns(schema: T.StructType, prefix: str = "") -> list:
     return out
 
 
+def _json_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, value, whole) of every line that is not blank: ``whole`` tells that it is a record by itself."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
+        F.monotonically_increasing_id().alias("place")).where(F.trim("value") != "")
+    return lines.withColumn("whole", F.ltrim("value").rlike("^[\\[{]") & F.try_parse_json("value").isNotNull())
+
+
+def json_documents(spark: SparkSession, path) -> list[str]:
+    """Files under ``path`` that are one JSON value over several lines.  Only a file whose first
+    line is no record can be one, and it is one if it parses as a whole; any other file holds
+    a record a line, some of which may be corrupt."""
+    first = _json_lines(spark, path).groupBy("file").agg(F.min_by("whole", F.struct("block", "place")).alias("whole"))
+    doubtful = [r["file"] for r in first.where("NOT whole").select("file").collect()]   # file names only
+    if not doubtful:
+        return []
+    parsed = spark.read.schema("_corrupt_record string, _any string").option("multiLine", True).json(doubtful)
+    broken = parsed.select("_corrupt_record", "_any", F.col("_metadata.file_path").alias("file")).where(
+        "_corrupt_record IS NOT NULL").select("file", "_any").distinct().collect()
+    return sorted(set(doubtful) - {r["file"] for r in broken})
+
+
+def corrupt_json_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, value) of the lines that ``scan_json_flat`` leaves out because they don't parse."""
+    documents = json_documents(spark, path)
+    return _json_lines(spark, path).where(~F.col("whole") & ~F.col("file").isin(documents)).select("file", "value")
+
+
 def scan_json_flat(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """One record per line, or whole documents (an object or an array of records
-    over several lines).  Not told which, lines that don't parse decide."""
-    df = spark.read.option("multiLine", bool(multiline)).json(path)
-    if multiline is None and "_corrupt_record" in df.columns:
-        df = spark.read.option("multiLine", True).json(path)
-    return df.select(*flatten_columns(df.schema))
+    """One record per line, or whole documents (an object or an array of records over several
+    lines).  Not told which, every file is judged by itself.  A line that doesn't parse costs
+    that line only; ``corrupt_json_lines`` returns those."""
+    def read(paths, whole: bool) -> DataFrame:
+        df = spark.read.option("multiLine", whole).option("mode", "DROPMALFORMED").json(paths)
+        return df.select(*flatten_columns(df.schema))
+    if multiline is not None:
+        return read(path, multiline)
+    documents = json_documents(spark, path)
+    if not documents:
+        return read(path, False)
+    others = [r["file"] for r in spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+              .where(~F.col("file").isin(documents)).collect()]
+    if not others:
+        return read(documents, True)
+    return read(others, False).unionByName(read(documents, True), allowMissingColumns=True)
 
 
 # ----------------------------------------------------------------- Stata

@@ -271,3 +271,47 @@ def test_scoring_keeps_incomplete_rows(spark):
     m, asm = models.fit_model(df, "lm", "y", ["x"])
     out = models.score(m, asm, df)
     assert asm.rows_dropped == 10 and out.count() == 100 and out.where("prediction IS NULL").count() == 10
+
+
+def _write(spark, folder, files):
+    import os
+    os.makedirs(folder, exist_ok=True)
+    for name, text in files.items():
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(text)
+    return str(folder)
+
+
+def test_json_lines_with_a_corrupt_line_lose_that_line_only(spark, tmp_path):
+    from tabloom.sources import readers
+    p = _write(spark, tmp_path / "lines", {"x.json": '{"a":1,"b":{"c":2}}\n{"a":2,"b":{"c":3}}\n{"a":3,"b"\n\n{"a":4}\n{"a":5}\n'})
+    got = readers.scan_json_flat(spark, p)
+    assert sorted(r["a"] for r in got.collect()) == [1, 2, 4, 5] and got.columns == ["a", "b.c"] and got.count() == 4
+    assert [r["value"] for r in readers.corrupt_json_lines(spark, p).collect()] == ['{"a":3,"b"']
+    # a corrupt first line makes no document of the file
+    p = _write(spark, tmp_path / "first", {"x.json": '{"a":1,\n{"a":2}\n{"a":3}\n'})
+    assert sorted(r["a"] for r in readers.scan_json_flat(spark, p).collect()) == [2, 3]
+
+
+def test_json_files_are_judged_one_by_one(spark, tmp_path):
+    from tabloom.sources import readers
+    p = _write(spark, tmp_path / "mixed", {
+        "lines.json": '{"a":1}\n{"a":2}\n', "array.json": '[\n {"a": 3},\n {"a": 4, "b": {"c": 7}}\n]\n',
+        "object.json": '{\n "a": 5\n}', "row.json": '[{"a":6},{"a":7}]'})
+    got = {r["a"]: r["b.c"] for r in readers.scan_json_flat(spark, p).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 7, 5: None, 6: None, 7: None}
+    assert readers.corrupt_json_lines(spark, p).count() == 0
+
+
+def test_missing_and_dotted_predictors(spark):
+    from tabloom.operators import models
+    nan = float("nan")
+    rows = [(float(i), float(i % 7), 2.0 * i + 3.0 * (i % 7)) for i in range(40)] + [(nan, 1.0, 5.0), (1.0, None, 5.0), (2.0, 3.0, nan), (9.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "`x.1` double, z double, y double")
+    model, asm = models.fit_model(df, "lm", "y", ["x.1", "z"])
+    assert asm.rows_dropped == 2
+    got = models.score(model, asm, df).collect()
+    assert len(got) == 44 and sum(r["prediction"] is None for r in got) == 2
+    for r in got:
+        if r["prediction"] is not None:
+            assert abs(r["prediction"] - (2 * r["x.1"] + 3 * r["z"])) < 1e-6
