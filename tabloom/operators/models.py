@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import f_sf, t_sf2
+from ..functions.stats import chi2_sf, f_sf, t_sf2
 
 
 # ----------------------------------------------------------------- moments
@@ -75,24 +75,25 @@ def ols(df: DataFrame, y: str, xcols: Sequence[str], weight: str | None = None,
     columns are first centred at their (weighted) means - one small aggregate -
     so the cross-moment aggregate does not lose precision to large offsets."""
     extra = extra or {}
-    exprs = {c: F.col(c).cast("double") for c in xcols}
+    exprs = {c: F.col(_q(c)).cast("double") for c in xcols}
     exprs.update({k: v.cast("double") for k, v in extra.items()})
     names = list(exprs)
-    ok = F.col(y).isNotNull()
+    yy = F.col(_q(y)).cast("double")
+    ok = _given(yy)
     for c in exprs.values():
-        ok = ok & c.isNotNull()
+        ok = ok & _given(c)
     data = df.where(ok)
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    w = F.lit(1.0) if weight is None else F.col(_q(weight)).cast("double")
     if intercept:
         mrow = data.agg(F.sum(w).alias("_sw"), *[(F.sum(w * exprs[c]) / F.sum(w)).alias(f"mu{i}")
                                                  for i, c in enumerate(names)],
-                        (F.sum(w * F.col(y).cast("double")) / F.sum(w)).alias("mu_y")).first().asDict()
+                        (F.sum(w * yy) / F.sum(w)).alias("mu_y")).first().asDict()
         mus = [mrow[f"mu{i}"] for i in range(len(names))]
-        cols = [exprs[c] - F.lit(m) for c, m in zip(names, mus)] + [F.col(y).cast("double") - F.lit(mrow["mu_y"])]
+        cols = [exprs[c] - F.lit(m) for c, m in zip(names, mus)] + [yy - F.lit(mrow["mu_y"])]
     else:
         mus = [0.0] * len(names)
-        cols = [exprs[c] for c in names] + [F.col(y).cast("double")]
-    row = cross_moments(data, cols, names + [y], weight).first().asDict()
+        cols = [exprs[c] for c in names] + [yy]
+    row = cross_moments(data, cols, names + [y], w).first().asDict()
     k = len(names)
     M = _matrix(row, k + 1)
     xtx, xty, yty = M[:k, :k], M[:k, k], M[k, k]
@@ -155,33 +156,67 @@ def did_2x2(df: DataFrame, y: str, treat: str, post: str, controls: Sequence[str
 
 def iv_2sls(df: DataFrame, y: str, x_endog: Sequence[str], instruments: Sequence[str],
             controls: Sequence[str] = ()) -> dict:
-    """Two-stage least squares from Z'Z, Z'X, Z'y moments (one aggregate)."""
-    xs = ["(Intercept)", *x_endog, *controls]
-    zs = ["(Intercept)", *instruments, *controls]
-    cols = {c: F.col(c).cast("double") for c in {*x_endog, *instruments, *controls, y}}
-    cols["(Intercept)"] = F.lit(1.0)
-    allv = list(dict.fromkeys(zs + xs + [y]))
-    ok = F.lit(True)
-    for c in allv:
-        if c != "(Intercept)":
-            ok = ok & F.col(c).isNotNull()
-    row = cross_moments(df.where(ok), [cols[c] for c in allv], allv).first().asDict()
-    M = _matrix(row, len(allv))
-    idx = {c: i for i, c in enumerate(allv)}
-    Zi, Xi, yi = [idx[c] for c in zs], [idx[c] for c in xs], idx[y]
-    ZZ, ZX, Zy = M[np.ix_(Zi, Zi)], M[np.ix_(Zi, Xi)], M[Zi, yi]
-    XX, Xy, yy = M[np.ix_(Xi, Xi)], M[Xi, yi], M[yi, yi]
-    ZZi = np.linalg.pinv(ZZ)
-    A = ZX.T @ ZZi @ ZX
-    Ai = np.linalg.pinv(A)
-    b = Ai @ (ZX.T @ ZZi @ Zy)
-    n, k = int(row["_n"]), len(xs)
-    ssr = float(yy - 2 * b @ Xy + b @ XX @ b)
-    s2 = ssr / (n - k)
-    se = np.sqrt(np.diag(Ai * s2))
-    # first-stage F of the instruments for the (first) endogenous regressor
-    return {"terms": xs, "coef": b.tolist(), "se": se.tolist(), "n": n, "sigma2": s2,
-            "t": (b / se).tolist(), "p": [t_sf2(float(t), n - k) for t in b / se]}
+    """Two-stage least squares and its diagnostics from one matrix of centred cross-moments
+    (one aggregate for the means, one for the moments; nothing else reaches the driver).
+
+    ``diagnostics`` has, as (statistic, df1, df2, p): ``weak_<x>``, the F test of the excluded
+    instruments in each first stage; ``wu_hausman``, the F test of the first-stage residuals
+    added to the structural equation; ``sargan``, n times the share of the residuals that the
+    instruments explain (None where no instrument is to spare).  Every regression of the
+    diagnostics is on linear combinations of the same variables, so all come from the matrix."""
+    xs, zs = [*x_endog, *controls], [*instruments, *controls]
+    names = list(dict.fromkeys([*zs, *xs, y]))
+    cols = {c: F.col(_q(c)).cast("double") for c in names}
+    data = df.where(_complete(names))
+    means = data.agg(*[F.avg(cols[c]).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    mu = np.array([v if v is not None else 0.0 for v in means], float)
+    row = cross_moments(data, [cols[c] - F.lit(float(m)) for c, m in zip(names, mu)], names).first().asDict()
+    n = int(row["_n"])
+    train_shape_guard(n, n, len(xs), "2SLS")
+    M, at = _matrix(row, len(names)), {c: i for i, c in enumerate(names)}
+
+    def pick(cs):
+        out = np.zeros((len(names), len(cs)))
+        for j, c in enumerate(cs):
+            out[at[c], j] = 1.0
+        return out
+    X, Z, Y = pick(xs), pick(zs), pick([y])[:, 0]
+    first = np.linalg.pinv(Z.T @ M @ Z) @ (Z.T @ M @ X)       # first stages, one column a regressor
+    fitted = Z @ first
+    inv = np.linalg.pinv(fitted.T @ M @ fitted)
+    b = inv @ (fitted.T @ M @ Y)
+    u = Y - X @ b                                             # the residual as a combination of columns
+    k = 1 + len(xs)
+    s2 = float(u @ M @ u) / (n - k)
+    mx = np.array([mu[at[c]] for c in xs])
+    cov = np.zeros((k, k))
+    cov[1:, 1:] = inv
+    cov[0, 0] = 1.0 / n + mx @ inv @ mx
+    cov[0, 1:] = cov[1:, 0] = -(inv @ mx)
+    coef, se = np.r_[mu[at[y]] - b @ mx, b], np.sqrt(np.diag(cov) * s2)
+
+    def rss(target: np.ndarray, regressors: np.ndarray) -> float:
+        if not regressors.shape[1]:
+            return float(target @ M @ target)
+        w = np.linalg.pinv(regressors.T @ M @ regressors) @ (regressors.T @ M @ target)
+        left = target - regressors @ w
+        return float(left @ M @ left)
+
+    def f_test(small: float, large: float, d1: int, d2: int) -> tuple:
+        f = (small - large) / d1 / (large / d2) if d1 > 0 and d2 > 0 and large > 0 else float("nan")
+        return f, d1, d2, f_sf(f, d1, d2) if math.isfinite(f) else float("nan")
+    diagnostics = {}
+    for c in x_endog:
+        x = pick([c])[:, 0]
+        diagnostics[f"weak_{c}"] = f_test(rss(x, pick(list(controls))), rss(x, Z), len(instruments), n - 1 - len(zs))
+    residuals = X[:, :len(x_endog)] - fitted[:, :len(x_endog)]
+    diagnostics["wu_hausman"] = f_test(rss(Y, X), rss(Y, np.hstack([X, residuals])), len(x_endog), n - k - len(x_endog))
+    spare = len(instruments) - len(x_endog)
+    explained = float(u @ M @ u) - rss(u, Z)
+    stat = n * explained / float(u @ M @ u) if spare > 0 else None
+    diagnostics["sargan"] = None if stat is None else (stat, spare, None, chi2_sf(stat, spare))
+    return {"terms": ["(Intercept)", *xs], "coef": coef.tolist(), "se": se.tolist(), "n": n, "sigma2": s2,
+            "t": (coef / se).tolist(), "p": [t_sf2(float(t), n - k) for t in coef / se], "diagnostics": diagnostics}
 
 
 # ----------------------------------------------------------------- registry
@@ -367,7 +402,7 @@ def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str]
     if weight and hasattr(est, "setWeightCol"):
         est = est.setWeightCol(weight)
     model = est.fit(data)
-    asm.rows_dropped = n - used            # of those with a target: incomplete predictors
+    asm.rows_used, asm.rows_dropped = used, n - used   # dropped: with a target but incomplete predictors
     return model, asm
 
 

@@ -28,6 +28,51 @@ def kfold_ids(df: DataFrame, key: str, k: int = 5, repeats: int = 1, seed: int =
     return x.withColumn("fold", (F.floor(_unit(F.col(key), F.col("repeat"), F.lit(seed)) * k) + 1).cast("int"))
 
 
+def cross_validate(df: DataFrame, model_id: str, target: str, features: Sequence[str], key: str | None = None, k: int = 5,
+                   repeats: int = 1, params: dict | None = None, fold_cols: Sequence[str] | None = None,
+                   task: str = "regression", parallelism: int = 4, seed: int = 42) -> DataFrame:
+    """k-fold cross-validation of any registered model, repeated: (repeat, fold, n_train, n_test)
+    and the metrics of the held-out fold.
+
+    Folds come from ``fold_cols`` (one column a repeat) or a hash of ``key``.  The columns in
+    use are written once to the checkpoint folder; every fit is a filter over that table, and
+    ``parallelism`` of them run at a time.  One small row a fit reaches the driver."""
+    from concurrent.futures import ThreadPoolExecutor
+    from . import metrics, models
+    spark = df.sparkSession
+    if fold_cols:
+        named = [(c, F.col(c).cast("long")) for c in fold_cols]
+    elif key is None:
+        raise ValueError("cross_validate needs a row key or fold columns")
+    else:
+        named = [(str(r), (F.floor(_unit(F.col(key), F.lit(r), F.lit(seed)) * k) + 1).cast("long")) for r in range(1, repeats + 1)]
+    folds = [f"_fold{i}" for i in range(len(named))]
+    columns = dict.fromkeys([*features, target])
+    table = df.select(*[F.col(f"`{c}`") for c in columns], *[e.alias(f) for f, (_, e) in zip(folds, named)]).checkpoint(eager=True)
+    jobs = []
+    for f, (name, _) in zip(folds, named):
+        jobs += [(f, name, r[0]) for r in table.select(f).where(F.col(f).isNotNull()).distinct().orderBy(f).collect()]
+
+    def run(job):
+        f, name, held = job
+        model, asm = models.fit_model(table.where(F.col(f) != held), model_id, target, features, params)
+        test = models.score(model, asm, table.where((F.col(f) == held) & F.col(f"`{target}`").isNotNull()))
+        test = test.where(F.col("prediction").isNotNull())
+        if task != "regression" and model_id == "logit":      # its prediction is a probability
+            test = test.withColumn("prediction", (F.col("prediction") > 0.5).cast("double"))
+        measure = metrics.regression_metrics if task == "regression" else metrics.classification_metrics
+        out = measure(test, target, "prediction").first().asDict()
+        return {"repeat": name, "fold": int(held), "n_train": int(asm.rows_used), "n_test": test.count(),
+                **{m: float(v) for m, v in out.items() if isinstance(v, (int, float)) and m not in ("n", "n_obs")}}
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(run, jobs))
+    if not rows:
+        raise ValueError("cross_validate found no folds")
+    measures = [c for c in rows[0] if c not in ("repeat", "fold", "n_train", "n_test")]
+    return spark.createDataFrame([tuple(r.get(c) for c in ("repeat", "fold", "n_train", "n_test", *measures)) for r in rows],
+                                 "repeat string, fold long, n_train long, n_test long, " + ", ".join(f"{c} double" for c in measures))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value: str) -> DataFrame:
     """Per-row running sum and count of ``value`` up to and including the row,
     computed per time block plus block offsets (no window over a whole series)."""

@@ -81,6 +81,33 @@ def q_iv(spark, sf):
                                          "slope double, intercept double, slope_se double"))
 
 
+# two instruments for one regressor: every diagnostic is a regression on one or two columns
+IV2_SQL = """d AS (SELECT l_extendedprice AS y, l_quantity AS x, l_quantity + l_linenumber AS z1,
+       l_quantity * 2 + l_tax * 100 AS z2 FROM lineitem),
+m AS (SELECT *, avg(y) OVER () AS my, avg(x) OVER () AS mx, avg(z1) OVER () AS m1, avg(z2) OVER () AS m2 FROM d),
+c AS (SELECT y - my AS y, x - mx AS x, z1 - m1 AS z1, z2 - m2 AS z2 FROM m),
+s AS (SELECT sum(z1*z1) AS s11, sum(z1*z2) AS s12, sum(z2*z2) AS s22, sum(z1*x) AS s1x, sum(z2*x) AS s2x, count(*) AS n FROM c),
+p AS (SELECT (s22*s1x - s12*s2x) / (s11*s22 - s12*s12) AS p1, (s11*s2x - s12*s1x) / (s11*s22 - s12*s12) AS p2, s11, s12, s22, n FROM s),
+f AS (SELECT y, x, z1, z2, p1*z1 + p2*z2 AS xh, x - p1*z1 - p2*z2 AS v FROM c, p),
+b AS (SELECT sum(xh*y) / sum(xh*xh) AS beta, (sum(xh*xh) / 2) / (sum(v*v) / (count(*) - 3)) AS weak,
+             sum(x*y) / sum(x*x) AS ols, sum(x*v) / sum(x*x) AS vx FROM f),
+r AS (SELECT y - ols*x AS ry, v - vx*x AS rv, y - beta*x AS u, z1, z2 FROM f, b),
+t AS (SELECT sum(ry*rv) AS g, sum(rv*rv) AS h, sum(ry*ry) AS q, sum(u*u) AS uu, sum(z1*u) AS u1, sum(z2*u) AS u2, count(*) AS n FROM r)"""
+
+
+@query("iv_diagnostics", f"""WITH {IV2_SQL}
+SELECT 'weak_x' AS test, round(weak, 2) AS statistic, CAST(2 AS BIGINT) AS df1, n - 3 AS df2 FROM b, t
+UNION ALL SELECT 'wu_hausman', round((g*g/h) / ((q - g*g/h) / (n - 3)), 2), 1, n - 3 FROM t
+UNION ALL SELECT 'sargan', round(t.n * ((u1*u1*s22 - 2*u1*u2*s12 + u2*u2*s11) / (s11*s22 - s12*s12)) / uu, 2), 1, NULL FROM t, p""")
+def q_iv_diagnostics(spark, sf):
+    d = _lineitem(spark, sf).select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("x"),
+                                    (F.col("l_quantity") + F.col("l_linenumber")).alias("z1"),
+                                    (F.col("l_quantity") * 2 + F.col("l_tax") * 100).alias("z2"))
+    tests = models.iv_2sls(d, "y", ["x"], ["z1", "z2"])["diagnostics"]
+    return rounded(spark.createDataFrame([(k, *t[:3]) for k, t in tests.items()],
+                                         "test string, statistic double, df1 long, df2 long"), 2)
+
+
 def _glm_table(spark, m, terms):
     s = m.summary
     rows = list(zip(["(Intercept)", *terms], [m.intercept, *m.coefficients.toArray().tolist()],
@@ -133,7 +160,39 @@ def q_xgb(spark, sf):
 
 @query("glmnet_reg")
 def q_glmnet(spark, sf):
-    return _holdout_metrics(spark, sf, "glmnet_reg", {"alpha": 0.5, "lambda": 0.1})
+    """Lasso of 100 penalties, the penalty chosen by five folds of the training rows, at the registry's defaults."""
+    from ..operators import glmnet, metrics
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    sp = validation.holdout_split(li, "idx", 0.8)
+    fit = glmnet.elastic_net(sp.where(F.col("split") == "train"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], key="idx")
+    return metrics.regression_metrics(fit.score(sp.where(F.col("split") == "test")), "l_extendedprice", "prediction")
+
+
+# one predictor: every fit of the path is a soft threshold
+_GLMNET_MOMENTS = """count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, corr(x, y) AS r"""
+_GLMNET_FIT = "sign(r) * greatest(abs(r) - lam * 0.5 / sy, 0) / (1 + lam * 0.5 / sy) * sy / sx"
+
+
+@query("glmnet_path", f"""WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, (l_orderkey + l_linenumber) % 5 AS fold FROM lineitem),
+a AS (SELECT {_GLMNET_MOMENTS} FROM d),
+l AS (SELECT i + 1 AS step, abs(r) / 0.5 * sy * exp(i * ln(1e-4) / 99) AS lam FROM a, (SELECT unnest(range(100)) AS i)),
+t AS (SELECT f.fold, {_GLMNET_MOMENTS} FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+h AS (SELECT fold, count(*) AS nf, {_GLMNET_MOMENTS.replace("count(*) AS n, ", "").replace("AS mx", "AS hx").replace("AS my", "AS hy").replace("AS sx", "AS hsx").replace("AS sy", "AS hsy").replace("AS r", "AS hr")} FROM d GROUP BY fold),
+b AS (SELECT step, lam, t.*, {_GLMNET_FIT} AS b FROM t, l),
+e AS (SELECT step, nf, power(hy - my - b * (hx - mx), 2) + hsy*hsy - 2*b*hr*hsx*hsy + b*b*hsx*hsx AS mse FROM b JOIN h USING (fold)),
+m AS (SELECT step, sum(nf * mse) / sum(nf) AS cv_mean FROM e GROUP BY step),
+s AS (SELECT step, any_value(cv_mean) AS cv_mean, sqrt(sum(nf * power(mse - cv_mean, 2)) / sum(nf) / 4) AS cv_sd FROM e JOIN m USING (step) GROUP BY step)
+SELECT CAST(step AS INTEGER) AS step, round(lam, 4) AS lambda, round(cv_mean, 0) AS cv_mean, round(cv_sd, 0) AS cv_sd,
+       round({_GLMNET_FIT}, 4) AS coef FROM s JOIN l USING (step), a""")
+def q_glmnet_path(spark, sf):
+    """The whole path at alpha 0.5 with the cross-validated error of every penalty."""
+    from ..operators import glmnet
+    d = _lineitem(spark, sf).select("l_quantity", "l_extendedprice", ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).alias("fold"))
+    fit = glmnet.elastic_net(d, "l_extendedprice", ["l_quantity"], alpha=0.5, fold_col="fold")
+    coef = spark.createDataFrame([(i + 1, float(b[0])) for i, b in enumerate(fit.coef)], "step int, coef double")
+    return fit.table(spark).join(coef, "step").select(
+        "step", F.round("lambda", 4).alias("lambda"), F.round("cv_mean", 0).alias("cv_mean"), F.round("cv_sd", 0).alias("cv_sd"),
+        F.round("coef", 4).alias("coef"))
 
 
 @query("ranger_cls")
@@ -376,7 +435,13 @@ def _cls_holdout(spark, sf, model_id, params, multiclass=False):
 
 @query("glmnet_cls")
 def q_glmnet_cls(spark, sf):
-    return _cls_holdout(spark, sf, "glmnet_cls", {"alpha": 0.5, "lambda": 0.01})
+    """Logistic lasso of 100 penalties, chosen by five folds, at the registry's defaults."""
+    from ..operators import glmnet, metrics
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    sp = validation.holdout_split(li.withColumn("label_y", (F.col("l_returnflag") == "R").cast("double")), "idx", 0.8)
+    fit = glmnet.elastic_net(sp.where(F.col("split") == "train"), "label_y", ["l_quantity", "l_discount", "l_tax", "l_extendedprice"],
+                             "binomial", key="idx")
+    return metrics.classification_metrics(fit.score(sp.where(F.col("split") == "test")), "label_y", "prediction")
 
 
 @query("xgb_cls")
@@ -429,3 +494,32 @@ def q_gam(spark, sf):
 def q_kfold_lm_cv(spark, sf):
     li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return rounded(validation.kfold_lm_cv(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "idx", 5))
+
+
+CV_FOLDS = {"fold_1": "(l_orderkey * 10 + l_linenumber) % 5", "fold_2": "(l_orderkey + l_linenumber * 3) % 5"}
+_CV_SQL = " UNION ALL ".join(f"""
+SELECT '{name}' AS repeat, fold, regr_slope(t.y, t.x) AS b, regr_intercept(t.y, t.x) AS a, count(*) AS n_train
+FROM (SELECT DISTINCT {expr} AS fold FROM lineitem) f
+JOIN (SELECT {expr} AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem) t ON t.g <> f.fold GROUP BY fold""" for name, expr in CV_FOLDS.items())
+_CV_TEST = " UNION ALL ".join(f"SELECT '{name}' AS repeat, {expr} AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem"
+                              for name, expr in CV_FOLDS.items())
+
+
+@query("cross_validate_lm", f"""WITH m AS ({_CV_SQL}), t AS ({_CV_TEST}),
+e AS (SELECT repeat, fold, y, n_train, y - a - b * x AS e FROM t JOIN m USING (repeat, fold)),
+r AS (SELECT repeat, fold, any_value(n_train) AS n_train, count(*) AS n_test, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae,
+             1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY 1, 2)
+SELECT repeat, CAST(fold AS BIGINT) AS fold, n_train, n_test, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM r""")
+def q_cross_validate_lm(spark, sf):
+    """Two repeats of five folds given as columns; the linear model refitted on each."""
+    li = _lineitem(spark, sf).withColumns({name: F.expr(expr) for name, expr in CV_FOLDS.items()})
+    cv = validation.cross_validate(li, "lm", "l_extendedprice", ["l_quantity"], fold_cols=list(CV_FOLDS))
+    return cv.select("repeat", "fold", "n_train", "n_test", "rmse", "mae", "r2")
+
+
+@query("cross_validate_logit")
+def q_cross_validate_logit(spark, sf):
+    """Five hashed folds of a classifier."""
+    li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    li = li.withColumn("is_r", (F.col("l_returnflag") == "R").cast("double"))
+    return rounded(validation.cross_validate(li, "logit", "is_r", ["l_quantity", "l_discount"], "idx", k=5, task="classification"))
