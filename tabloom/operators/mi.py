@@ -80,6 +80,14 @@ def mi_ratio(df: DataFrame, num: str, den: str, d: survey.Design, implicate: str
     return rubin_pool(per, ["term"], implicate=implicate)
 
 
+def mi_quantile(df: DataFrame, y: str, d: survey.Design, probs: Sequence[float] = (0.25, 0.5, 0.75),
+                implicate: str = "implicate") -> DataFrame:
+    """Quantiles of every implicate with their Woodruff errors, pooled per probability."""
+    per = survey.survey_quantile_ci(df, y, d, probs, [implicate]).select(
+        implicate, F.concat(F.lit(f"{y} "), F.col("p").cast("string")).alias("term"), F.col("quantile").alias("estimate"), "se")
+    return rubin_pool(per, ["term"], implicate=implicate)
+
+
 def mi_diagnostics(pooled: DataFrame) -> DataFrame:
     return pooled.agg(F.max("m").alias("m"), F.avg("fmi").alias("avg_fmi"), F.max("fmi").alias("max_fmi"),
                       F.avg("lambda").alias("avg_lambda"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranks
+from ..functions.stats import t_ppf
 
 
 @dataclass(frozen=True)
@@ -200,6 +201,82 @@ def survey_quantile(df: DataFrame, y: str, d: Design, probs: Sequence[float] = (
     return hit.groupBy(*keys, "p").agg(F.min("value").alias("quantile"))
 
 
+def _weighted_cdf(x: DataFrame, keys: list[str], y: str, weight: str) -> DataFrame:
+    """(keys, value, F, below): the weighted distribution function at every value and before it;
+    one row a distinct value, written once because several plan branches look values up in it."""
+    vc = ranks.value_weights(x, keys, F.col(y).cast("double"), F.col(weight).cast("double"))
+    cum = ranks.with_cumulative(vc, keys, "value", "w")
+    tot = vc.groupBy(*keys).agg(F.sum("w").alias("_W"))
+    cum = _keyed(cum, tot, keys)
+    return ranks.materialize(cum.select(*keys, "value", ((F.col("cum_before") + F.col("w")) / F.col("_W")).alias("F"),
+                                        (F.col("cum_before") / F.col("_W")).alias("below")))
+
+
+def _inverted(cdf: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, value): the smallest value whose F reaches each p of the array ``ps`` of the key's
+    row in ``wanted``; a p at or below 0 gives the least value, one at or above 1 the greatest."""
+    x = _keyed(cdf, wanted.select(*keys, "ps"), keys)
+    at = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1.0)) - 1e-12
+    hit = F.filter("ps", lambda p: (F.col("F") >= at(p)) & (F.col("below") < at(p)))
+    return x.select(*keys, "value", F.explode(hit).alias("p")).groupBy(*keys, "p").agg(F.min("value").alias("value"))
+
+
+def survey_quantile_ci(df: DataFrame, y: str, d: Design, probs: Sequence[float] = (0.25, 0.5, 0.75), keys: Sequence[str] = (),
+                       level: float = 0.95) -> DataFrame:
+    """Quantiles with Woodruff intervals: (keys, p, quantile, se, lower, upper, df, n_single).
+
+    The share of weight at or below a quantile is a proportion with a Taylor variance; its limits
+    at the t quantile of (PSUs - strata) degrees of freedom are inverted through the weighted
+    distribution function, and the standard error is the interval's half-width over that t.  One pass
+    builds the distribution function, one the PSU totals of weight and of weight below every
+    quantile; the rest are tables of PSUs or of keys."""
+    keys, probs = list(keys), [float(p) for p in probs]
+    x = valid_weights(df, d.weight).where(F.col(y).isNotNull())
+    cdf = _weighted_cdf(x, keys, y, d.weight)
+    every = cdf.groupBy(*keys).agg(F.lit(1).alias("_any")).select(*keys, F.array(*[F.lit(p) for p in probs]).alias("ps"))
+    found = _inverted(cdf, every, keys)
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"_q{i}") for i, p in enumerate(probs)])
+    w, yy = F.col(d.weight).cast("double"), F.col(y).cast("double")
+    h = F.col(d.strata).cast("string") if d.strata else F.lit("_all")
+    z = _keyed(x.select(*keys, h.alias("_h"), *([F.col(d.psu).cast("string").alias("_i")] if d.psu else []), w.alias("_w"), yy.alias("_yv")), wide, keys)
+    share = {f"_a{i}": F.when(F.col("_yv") <= F.col(f"_q{i}"), F.col("_w")).otherwise(0.0) for i in range(len(probs))}
+    if d.psu:
+        z = z.groupBy(*keys, "_h", "_i").agg(F.sum("_w").alias("_w"), *[F.sum(e).alias(n) for n, e in share.items()])
+    else:
+        z = z.select(*keys, "_h", "_w", *[e.alias(n) for n, e in share.items()])
+    tot = z.groupBy(*keys).agg(F.sum("_w").alias("_total"), *[(F.sum(n) / F.sum("_w")).alias(f"_p{i}") for i, n in enumerate(share)])
+    z = _keyed(z, tot, keys).select(*keys, "_h", *[((F.col(f"_a{i}") - F.col(f"_p{i}") * F.col("_w")) / F.col("_total")).alias(f"z{i}")
+                                                  for i in range(len(probs))])
+    zs = [f"z{i}" for i in range(len(probs))]
+    st = z.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_nh"), *[F.sum(c).alias(f"_s_{c}") for c in zs],
+                                    *[F.sum(F.col(c) * F.col(c)).alias(f"_q_{c}") for c in zs])
+    nh = F.col("_nh")
+    var = st.groupBy(*keys).agg(
+        (F.sum("_nh") - F.count(F.lit(1))).cast("long").alias("df"), F.count_if(nh == 1).cast("long").alias("n_single"),
+        *[F.sum(F.when(nh > 1, nh / (nh - 1) * (F.col(f"_q_{c}") - F.col(f"_s_{c}") * F.col(f"_s_{c}") / nh))).alias(f"_v_{c}") for c in zs])
+    cut = 0.5 + level / 2
+
+    @F.pandas_udf("double")
+    def t_quantile(n):     # one row a key
+        return n.map(lambda v: t_ppf(cut, float(v)) if v > 0 else float("nan"))
+    lim = _keyed(tot, var, keys).withColumn("_t", t_quantile(F.col("df"))).select(*keys, "df", "n_single", "_t", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("p"), (F.col(f"_p{i}") - F.col("_t") * F.sqrt(f"_v_z{i}")).alias("_lo"),
+                 (F.col(f"_p{i}") + F.col("_t") * F.sqrt(f"_v_z{i}")).alias("_hi")) for i, p in enumerate(probs)])).alias("_l")).select(
+        *keys, "df", "n_single", "_t", "_l.*")
+    lim = ranks.materialize(lim)
+    ends = _inverted(cdf, lim.groupBy(*keys).agg(F.flatten(F.collect_list(F.array("_lo", "_hi"))).alias("ps")), keys)
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+
+    def at(frame: DataFrame, limit: str, name: str) -> DataFrame:
+        j = frame.alias("l").join(ends.alias("e"), [*same, F.col(f"l.{limit}") == F.col("e.p")], "left")
+        return j.select("l.*", F.col("e.value").alias(name))
+    out = at(at(lim, "_lo", "lower"), "_hi", "upper").alias("l").join(
+        found.alias("e"), [*same, F.col("l.p") == F.col("e.p")]).select("l.*", F.col("e.value").alias("quantile"))
+    defined = F.col("n_single") == 0
+    return out.select(*keys, "p", "quantile", *[F.when(defined, e).alias(n) for n, e in (
+        ("se", (F.col("upper") - F.col("lower")) / (2 * F.col("_t"))), ("lower", F.col("lower")), ("upper", F.col("upper")))], "df", "n_single")
+
+
 def unweighted_summary(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     x = df.where(F.col(y).isNotNull())

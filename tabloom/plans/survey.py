@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stats import t_ppf
 from ..operators import mi, survey
 from ..operators.survey import Design
 from ..session import table
@@ -217,6 +218,34 @@ def q_likert_distribution(spark, sf):
     return survey.likert_distribution(s, "likert")
 
 
+def _woodruff_sql(source: str, value: str, group: str = "1") -> str:
+    """CTEs up to ``w`` (g, p, q, se, lo, hi, df): the design has 5 strata of 20 PSUs, 95 degrees of freedom."""
+    t = repr(t_ppf(0.975, 95))
+    reach = "F >= greatest(least({0}, 1.0), 1e-9) - 1e-12 AND Fb < greatest(least({0}, 1.0), 1e-9) - 1e-12"
+    return f"""s AS (SELECT {group} AS g, {value} AS y, w, stratum, psu FROM ({source})),
+v AS (SELECT g, y AS value, sum(w) AS w FROM s GROUP BY ALL),
+c AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY value ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY g) AS tot FROM v),
+f AS (SELECT g, value, cum / tot AS F, (cum - w) / tot AS Fb FROM c),
+p AS (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS p),
+q AS (SELECT g, p, min(value) AS q FROM f, p WHERE {reach.format("p")} GROUP BY ALL),
+a AS (SELECT g, p, stratum, psu, sum(w) AS b, sum(CASE WHEN y <= q THEN w ELSE 0 END) AS a FROM s JOIN q USING (g) GROUP BY ALL),
+t AS (SELECT g, p, sum(a) / sum(b) AS ph, sum(b) AS tw FROM a GROUP BY ALL),
+z AS (SELECT g, p, stratum, (a - ph * b) / tw AS z FROM a JOIN t USING (g, p)),
+h AS (SELECT g, p, stratum, count(*) AS nh, sum(z) AS sz, sum(z * z) AS qz FROM z GROUP BY ALL),
+r AS (SELECT g, p, sqrt(sum(nh / (nh - 1) * (qz - sz * sz / nh))) AS sp, sum(nh) - count(*) AS df FROM h GROUP BY ALL),
+l AS (SELECT g, p, df, ph - {t} * sp AS pl, ph + {t} * sp AS pu FROM r JOIN t USING (g, p)),
+lo AS (SELECT g, p, min(value) AS lo FROM f JOIN l USING (g) WHERE {reach.format("pl")} GROUP BY ALL),
+hi AS (SELECT g, p, min(value) AS hi FROM f JOIN l USING (g) WHERE {reach.format("pu")} GROUP BY ALL),
+w AS (SELECT g, p, q, (hi - lo) / (2 * {t}) AS se, lo, hi, df FROM q JOIN l USING (g, p) JOIN lo USING (g, p) JOIN hi USING (g, p))"""
+
+
+@query("survey_quantile_woodruff", f"""WITH {_woodruff_sql(SURVEY_SQL, "y")}
+SELECT p, round(q, 6) AS quantile, round(se, 6) AS se, round(lo, 6) AS lower, round(hi, 6) AS upper, CAST(df AS BIGINT) AS df,
+       CAST(0 AS BIGINT) AS n_single FROM w""")
+def q_survey_quantile_woodruff(spark, sf):
+    return rounded(survey.survey_quantile_ci(survey_input(spark, sf), "y", D))
+
+
 # ----------------------------------------------------------------- implicates
 MI_SQL = f"""SELECT s.*, imp AS implicate,
        y * (1 + CAST((o_orderkey * imp) % 11 - 5 + imp AS DOUBLE) / 100.0) AS y_imp
@@ -252,6 +281,20 @@ def q_mi_mean(spark, sf):
                     F.round("fmi", 6).alias("fmi"), F.round("riv", 6).alias("riv"), F.round("lambda", 6).alias("lambda"))
 
 
+@query("mi_quantile", f"""WITH {_woodruff_sql(MI_SQL, "y_imp", "implicate")},
+k AS (SELECT 'y_imp ' || p AS term, count(*) AS m, avg(q) AS est, avg(se * se) AS W, var_samp(q) AS B FROM w GROUP BY p),
+j AS (SELECT *, W + (1 + 1.0 / m) * B AS T, CASE WHEN W > 0 THEN (1 + 1.0 / m) * B / W END AS riv FROM k),
+d AS (SELECT *, CASE WHEN B > 0 THEN (m - 1) * power(1 + 1 / riv, 2) END AS df FROM j)
+SELECT term, CAST(m AS BIGINT) AS m, round(est, 6) AS estimate, round(sqrt(T), 6) AS std_error,
+       round(est / sqrt(T), 4) AS statistic, round(df, 4) AS df,
+       round(CASE WHEN B > 0 THEN (riv + 2 / (df + 3)) / (riv + 1) ELSE 0.0 END, 6) AS fmi,
+       round(riv, 6) AS riv, round((1 + 1.0 / m) * B / T, 6) AS lambda FROM d""")
+def q_mi_quantile(spark, sf):
+    p = mi.mi_quantile(mi_input(spark, sf), "y_imp", D)
+    return p.select("term", "m", *[F.round(c, n).alias(c) for c, n in (
+        ("estimate", 6), ("std_error", 6), ("statistic", 4), ("df", 4), ("fmi", 6), ("riv", 6), ("lambda", 6))])
+
+
 @query("mi_diagnostics", POOL_SQL + """
 SELECT CAST(m AS BIGINT) AS m, round(CASE WHEN B > 0 THEN (riv + 2 / (df + 3)) / (riv + 1) ELSE 0.0 END, 6) AS avg_fmi,
        round(CASE WHEN B > 0 THEN (riv + 2 / (df + 3)) / (riv + 1) ELSE 0.0 END, 6) AS max_fmi,
