@@ -187,10 +187,21 @@ def q_arima(spark, sf):
 
 @query("ets")
 def q_ets(spark, sf):
-    from ..operators import tsmodels
+    """The model of least AICc of every series among all structures, at the registry's defaults."""
+    from ..operators import ets
+    return rounded(ets.ets_forecast(ets.ets_fit(monthly_input(spark, sf), ["series_id"], "month", "y", "ZZZ", 12), ["series_id"], 12), 2)
+
+
+@query("ets_models")
+def q_ets_models(spark, sf):
+    """Every code of the registry, damped and not, with its parameters and criteria."""
+    from functools import reduce
+    from ..operators import ets
     df = monthly_input(spark, sf)
-    m = tsmodels.ets_fit(df, ["series_id"], "month", "y", "ANN")
-    return rounded(tsmodels.arima_forecast(df, m, ["series_id"], "month", "y", 12), 2)
+    parts = [ets.ets_fit(df, ["series_id"], "month", "y", code, 12, choose=False) for code in ets.CODES]
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    return rounded(out.select("series_id", F.concat("error", "trend_type", "season_type").alias("code"), "damped", "alpha", "beta", "gamma",
+                              "phi", "sse", "aicc", "n"), 4)
 
 
 @query("theta")
