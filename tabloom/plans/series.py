@@ -179,6 +179,20 @@ def q_prophet_prepare(spark, sf):
 
 @query("arima")
 def q_arima(spark, sf):
+    """Orders and differencing chosen per series, seasons of 12 months, at the registry's defaults."""
+    from ..operators import sarima
+    df = monthly_input(spark, sf)
+    return rounded(sarima.sarima_forecast(df, sarima.sarima_fit(df, ["series_id"], "month", "y", 12), ["series_id"], "month", "y", 12), 2)
+
+
+@query("arima_orders")
+def q_arima_orders(spark, sf):
+    from ..operators import sarima
+    return rounded(sarima.sarima_fit(monthly_input(spark, sf), ["series_id"], "month", "y", 12), 4)
+
+
+@query("arima_nonseasonal")
+def q_arima_nonseasonal(spark, sf):
     from ..operators import tsmodels
     df = monthly_input(spark, sf)
     m = tsmodels.arima_fit(df, ["series_id"], "month", "y", d=1, max_p=3, max_q=2)
