@@ -436,53 +436,6 @@ def lm_f_test(fit: LinearFit) -> float:
     return f_sf(f, k, fit.df_resid)
 
 
-def negbin_fit(df: DataFrame, y: str, xcols: Sequence[str], max_iter: int = 30, tol: float = 1e-8) -> dict:
-    """Negative binomial (NB2, log link): IRLS for beta given theta, theta by
-    the Pearson moment equation sum((y-mu)^2/(mu + mu^2/theta)) = n - k, both
-    from one aggregate per step; only (K+1)^2 sums reach the driver."""
-    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in xcols]
-    k = len(xs)
-    yy = F.col(y).cast("double")
-    ok = yy.isNotNull()
-    for c in xcols:
-        ok = ok & F.col(c).isNotNull()
-    data = df.where(ok)
-    mean_y = data.agg(F.avg(yy)).first()[0]
-    beta = np.zeros(k)
-    beta[0] = math.log(max(mean_y, 1e-9))
-    theta = 1.0
-    n = None
-    for _ in range(max_iter):
-        eta = F.lit(0.0)
-        for j in range(k):
-            eta = eta + xs[j] * F.lit(float(beta[j]))
-        mu = F.exp(eta)
-        w = mu / (1 + mu / F.lit(theta))
-        z = eta + (yy - mu) / mu
-        aggs = [F.sum(w * xs[a] * xs[b]).alias(f"a_{a}_{b}") for a in range(k) for b in range(a, k)]
-        aggs += [F.sum(w * xs[a] * z).alias(f"c_{a}") for a in range(k)]
-        aggs += [F.sum(F.pow(yy - mu, 2) / (mu + mu * mu / F.lit(theta))).alias("_pearson"),
-                 F.sum(F.pow(yy - mu, 2) - mu).alias("_num"), F.sum(mu * mu).alias("_den"), F.count(F.lit(1)).alias("_n")]
-        r = data.agg(*aggs).first().asDict()
-        A = np.zeros((k, k))
-        for a in range(k):
-            for b in range(a, k):
-                A[a, b] = A[b, a] = r[f"a_{a}_{b}"]
-        nb = np.linalg.solve(A, np.array([r[f"c_{a}"] for a in range(k)]))
-        n = int(r["_n"])
-        # moment update of theta from Var(y) = mu + mu^2 / theta
-        excess = r["_num"]
-        new_theta = r["_den"] / excess if excess and excess > 0 else 1e6
-        done = np.max(np.abs(nb - beta)) < tol and abs(new_theta - theta) / max(theta, 1e-9) < 1e-6
-        beta, theta = nb, float(min(new_theta, 1e8))
-        if done:
-            break
-    cov = np.linalg.inv(A)
-    se = np.sqrt(np.diag(cov))
-    return {"terms": ["(Intercept)", *xcols], "coef": beta.tolist(), "se": se.tolist(), "theta": theta, "n": n,
-            "p": [t_sf2(float(b / s), n - k) for b, s in zip(beta, se)]}
-
-
 # Parameters of the default / aggressive / conservative presets,
 # per model family; a family without an entry keeps its registry defaults.
 _XGB = {"default": {"eta": 0.1, "max_depth": 6, "subsample": 0.9, "colsample_bytree": 0.9, "nrounds": 200},

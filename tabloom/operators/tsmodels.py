@@ -509,66 +509,173 @@ def dfm_forecast(df: DataFrame, order_col: str, cols: Sequence[str], r: int = 2,
     return df.sparkSession.createDataFrame(rows, "series_id string, step int, predicted double")
 
 
-def vecm_fit(df: DataFrame, order_col: str, cols: Sequence[str], k: int = 2, r: int = 1) -> dict:
-    """Johansen reduced-rank regression.  Delta y_t, y_(t-1) and the k-1 lagged
-    differences (+ constant) come from one cross-moment aggregate; the
-    partialled moments S00, S01, S11 (Frisch-Waugh) give the eigenproblem.
-    Returns beta (cointegrating vectors), alpha, Gamma, trace statistics."""
+# 5 % limits of the trace statistic by the number of relations left (1, 2, ...),
+# for a constant within the relations and for an unrestricted one.
+TRACE_LIMITS = {"const": (9.24, 19.96, 34.91, 53.12, 76.07, 102.14, 131.70, 165.58, 202.92, 244.15, 291.40),
+                "none": (8.18, 17.95, 31.52, 48.28, 70.60, 95.18, 124.25, 157.11, 192.84, 232.49, 277.39)}
+
+
+def vecm_fit(df: DataFrame, order_col: str, cols: Sequence[str], k: int = 2, r: int | None = 1, ecdet: str = "none") -> dict:
+    """Johansen reduced-rank regression.  Delta y_t, y_(t-1) and the k-1 lagged differences come from
+    one aggregate of centred cross-moments; the partialled moments S00, S01, S11 (Frisch-Waugh) give
+    the eigenproblem.  ``ecdet`` "const" keeps the constant within the cointegrating relations, "none"
+    leaves it unrestricted.  ``r`` None takes the first rank whose trace statistic passes no more.
+    Returns beta (cointegrating vectors), alpha, Gamma, trace statistics, residual covariance."""
     cols = list(cols)
     K = len(cols)
+    if k < 2 or ecdet not in TRACE_LIMITS:
+        raise ValueError("vecm needs k >= 2 and ecdet const or none")
     x = df.select(order_col, *[F.col(c).cast("double").alias(c) for c in cols])
     x = series.lags_many(x, {c: list(range(1, k + 1)) for c in cols}, [order_col], [])
+    ok = F.lit(True)
+    for c in cols:
+        for j in range(k + 1):
+            v = F.col(f"{c}__l{j}" if j else c)
+            ok = ok & v.isNotNull() & ~F.isnan(v)
+    x = x.where(ok)
+    mean = x.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    if mean[0] is None:
+        raise ValueError("vecm has no complete rows")
+    mu = np.array([float(v) for v in mean])
+    level = {c: F.lit(float(m)) for c, m in zip(cols, mu)}       # levels are taken from their mean
     d0 = [F.col(c) - F.col(f"{c}__l1") for c in cols]                                   # delta y_t
-    y1 = [F.col(f"{c}__l1") for c in cols]                                               # y_(t-1)
+    y1 = [F.col(f"{c}__l1") - level[c] for c in cols]                                    # y_(t-1)
     dl = [F.col(f"{c}__l{j}") - F.col(f"{c}__l{j + 1}") for j in range(1, k) for c in cols]  # lagged deltas
     allc = d0 + y1 + [F.lit(1.0)] + dl
-    ok = F.lit(True)
-    for c in cols:
-        for j in range(1, k + 1):
-            ok = ok & F.col(f"{c}__l{j}").isNotNull()
-    row = x.where(ok).agg(F.count(F.lit(1)).alias("_n"), *_moment_cols(allc)).first().asDict()
+    row = x.agg(F.count(F.lit(1)).alias("_n"), *_moment_cols(allc)).first().asDict()
     T = int(row["_n"])
     M = _mat(row, len(allc)) / T
-    i0, i1, iz = list(range(K)), list(range(K, 2 * K)), list(range(2 * K, len(allc)))
+    i0 = list(range(K))
+    i1, iz = (list(range(K, 2 * K + 1)), list(range(2 * K + 1, len(allc)))) if ecdet == "const" else \
+        (list(range(K, 2 * K)), list(range(2 * K, len(allc))))
     Mzz_inv = np.linalg.pinv(M[np.ix_(iz, iz)])
 
     def part(a, b):
         return M[np.ix_(a, b)] - M[np.ix_(a, iz)] @ Mzz_inv @ M[np.ix_(iz, b)]
     S00, S01, S11 = part(i0, i0), part(i0, i1), part(i1, i1)
-    A = np.linalg.solve(S11, S01.T @ np.linalg.solve(S00, S01))
-    val, vec = np.linalg.eig(A)
+    val, vec = np.linalg.eig(np.linalg.solve(S11, S01.T @ np.linalg.solve(S00, S01)))
     order = np.argsort(val.real)[::-1]
     val, vec = val.real[order], vec.real[:, order]
+    trace = [float(-T * np.sum(np.log(1 - val[j:K]))) for j in range(K)]
+    if r is None:
+        r = next((j for j in range(K) if trace[j] < TRACE_LIMITS[ecdet][K - j - 1]), K - 1)
     beta = vec[:, :r]
-    beta = beta / np.sqrt(np.diag(beta.T @ S11 @ beta))
+    beta = beta / np.sqrt(np.diag(beta.T @ S11 @ beta)) if r else beta
     alpha = S01 @ beta
-    trace = [float(-T * np.sum(np.log(1 - val[j:]))) for j in range(K)]
     Pi = alpha @ beta.T
     # short-run coefficients from the partial regression given Pi
     Gz = (M[np.ix_(i0, iz)] - Pi @ M[np.ix_(i1, iz)]) @ Mzz_inv
-    return {"beta": beta, "alpha": alpha, "Pi": Pi, "Gamma_z": Gz, "eigen": val.tolist(), "trace": trace,
-            "cols": cols, "k": k, "r": r, "n": T}
+    const = Pi[:, K] if ecdet == "const" else Gz[:, 0]
+    short = Gz if ecdet == "const" else Gz[:, 1:]
+    return {"beta": beta, "alpha": alpha, "Pi": Pi, "Gamma_z": Gz, "eigen": val[:K].tolist(), "trace": trace,
+            "cols": cols, "k": k, "r": r, "n": T, "sigma": S00 - alpha @ alpha.T, "ecdet": ecdet,
+            "constant": const - Pi[:, :K] @ mu, "short": short}
+
+
+def vecm_forecast(df: DataFrame, order_col: str, fit: dict, h: int = 12) -> DataFrame:
+    """Forecasts of the levels: the error-correction form as a vector autoregression of order k
+    (A_1 = I + Pi + Gamma_1, A_j = Gamma_j - Gamma_(j-1), A_k = -Gamma_(k-1)), then its recursion."""
+    K, k = len(fit["cols"]), fit["k"]
+    gamma = [fit["short"][:, K * j:K * (j + 1)] for j in range(k - 1)]
+    A = [np.eye(K) + fit["Pi"][:, :K] + gamma[0], *(gamma[j] - gamma[j - 1] for j in range(1, k - 1)), -gamma[-1]]
+    levels = {"cols": fit["cols"], "p": k, "coef": np.vstack([fit["constant"][None], *(a.T for a in A)]), "sigma": fit["sigma"],
+              "det": 1, "trend": "const"}
+    return var_forecast(df, order_col, levels, h)
+
+
+# ----------------------------------------------------------------- mixed frequencies
+
+def _midas_weights(poly: str, theta: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, derivative by parameter): Almon polynomial, or exponential Almon normalised to a sum."""
+    j = np.arange(1, lags + 1, dtype=float)
+    if poly == "almonp":
+        powers = j[:, None] ** np.arange(len(theta))[None]
+        return powers @ theta, powers
+    z = theta[1] * j + theta[2] * j * j
+    e = np.exp(z - z.max())
+    w = e / e.sum()
+    d = np.column_stack([j, j * j])
+    return theta[0] * w, np.column_stack([w, theta[0] * w[:, None] * (d - w @ d)])
 
 
 def midas_fit(y_df: DataFrame, x_df: DataFrame, period_col: str, y: str, x_order_col: str, x: str,
-              high_lags: int = 4, degree: int = 2) -> dict:
-    """MIDAS regression with polynomial (Almon) lag weights: y_q on
-    sum_j w(j) x_(q, j) over the last ``high_lags`` high-frequency values of
-    each low-frequency period.  With Almon weights the model is linear in the
-    polynomial coefficients, so it is OLS on Z_k = sum_j j^k x_j."""
+              high_lags: int = 4, degree: int = 1, poly: str = "almonp") -> dict:
+    """MIDAS regression: y of a period on sum_j w_j(theta) x_j over the period's last value of x and the
+    ``high_lags`` values before it.  ``almonp``: w a polynomial of ``degree``, a linear model.  ``nealmon``:
+    theta_0 exp(theta_1 j + theta_2 j^2) over its sum.  The squared error is a quadratic form of the
+    weights, so either is fitted on one matrix of centred moments of the lags and y, the second by
+    Gauss-Newton from a grid of starts; no pass over the rows depends on the parameters.
+
+    The rows of x form one sequence; its lags are looked up block by block."""
+    if poly not in ("almonp", "nealmon"):
+        raise ValueError(f"unknown weights {poly}")
+    lags = high_lags + 1
+    z = midas_lags(x_df, period_col, x_order_col, x, high_lags)
+    names = [f"x{j}" for j in range(lags)]
+    d = y_df.select(period_col, F.col(y).cast("double").alias("_y")).join(z, period_col).where(
+        F.col("_y").isNotNull() & ~F.isnan("_y"))
+    for c in names:
+        d = d.where(F.col(c).isNotNull() & ~F.isnan(c))
+    mean = d.agg(F.count(F.lit(1)), *[F.avg(c) for c in [*names, "_y"]]).first()
+    n = int(mean[0])
+    k = degree + 1 if poly == "almonp" else 3
+    if n <= k + 1:
+        raise ValueError(f"midas has {n} complete periods")
+    mu = np.array(mean[1:], float)
+    M = _mat(d.agg(*_moment_cols([F.col(c) - F.lit(float(m)) for c, m in zip([*names, "_y"], mu)])).first().asDict(), lags + 1)
+    S, s, yy = M[:lags, :lags], M[:lags, lags], M[lags, lags]
+    sse = lambda w: float(yy - 2 * w @ s + w @ S @ w)
+    if poly == "almonp":
+        _, P = _midas_weights(poly, np.zeros(k), lags)
+        theta = np.linalg.lstsq(P.T @ S @ P, P.T @ s, rcond=None)[0]
+        converged = True
+    else:
+        best = None
+        for a in np.linspace(-2, 2, 17):
+            for b in np.linspace(-0.5, 0.25, 13):
+                w, _ = _midas_weights(poly, np.array([1.0, a, b]), lags)
+                scale = float(w @ s / max(w @ S @ w, 1e-300))
+                if best is None or sse(scale * w) < best[0]:
+                    best = (sse(scale * w), np.array([scale, a, b]))
+        value, theta, converged = *best, False
+        damp = 1e-3
+        for _ in range(500):
+            w, J = _midas_weights(poly, theta, lags)
+            g, H = J.T @ (s - S @ w), J.T @ S @ J
+            move = np.linalg.lstsq(H + damp * np.diag(np.diag(H) + 1e-12), g, rcond=None)[0]
+            new = sse(_midas_weights(poly, theta + move, lags)[0])
+            if new <= value:
+                converged = value - new <= 1e-13 * yy
+                theta, value, damp = theta + move, new, damp / 3
+                if converged:
+                    break
+            else:
+                damp *= 4
+                if damp > 1e12:
+                    converged = True      # no way down is left
+                    break
+    w, _ = _midas_weights(poly, theta, lags)
+    return {"intercept": float(mu[lags] - w @ mu[:lags]), "theta": theta.tolist(), "weights": w.tolist(),
+            "r2": 1 - sse(w) / yy if yy > 0 else float("nan"), "n": n, "sigma2": sse(w) / (n - k - 1), "converged": bool(converged),
+            "high_lags": high_lags, "poly": poly}
+
+
+def midas_lags(x_df: DataFrame, period_col: str, x_order_col: str, x: str, high_lags: int) -> DataFrame:
+    """(period, x0, x1, ...): the last value of x in each period and the values before it."""
     hx = series.lags_many(x_df.select(period_col, x_order_col, F.col(x).cast("double").alias("_x")),
-                          {"_x": list(range(1, high_lags))}, [x_order_col], [])
-    # the last high-frequency row of each period carries its own value and the lags
-    last = ranks.top_k_per_group(hx, [period_col], [F.col(x_order_col).desc()], 1)
-    lagv = [F.col("_x")] + [F.col(f"_x__l{j}") for j in range(1, high_lags)]
-    zs = [sum((lagv[j] * float(j ** kk) for j in range(high_lags)), F.lit(0.0)).alias(f"z{kk}") for kk in range(degree + 1)]
-    z = last.select(period_col, *zs)
-    d = y_df.select(period_col, F.col(y).cast("double").alias("_y")).join(z, period_col)
-    from .models import ols
-    fit = ols(d, "_y", [f"z{kk}" for kk in range(degree + 1)])
-    theta = fit.coef[1:]
-    w = [float(sum(theta[kk] * j ** kk for kk in range(degree + 1))) for j in range(high_lags)]
-    return {"intercept": float(fit.coef[0]), "theta": theta.tolist(), "weights": w, "r2": fit.r2, "n": fit.n}
+                          {"_x": list(range(1, high_lags + 1))}, [x_order_col], [])
+    last = hx.groupBy(period_col).agg(F.max_by(F.struct("_x", *[f"_x__l{j}" for j in range(1, high_lags + 1)]), x_order_col).alias("v"))
+    return last.select(period_col, F.col("v._x").alias("x0"), *[F.col(f"v._x__l{j}").alias(f"x{j}") for j in range(1, high_lags + 1)])
+
+
+def midas_forecast(fit: dict, x_df: DataFrame, period_col: str, x_order_col: str, x: str) -> DataFrame:
+    """(period, predicted, lower, upper) of every period that x covers, whether y is known or not."""
+    z = midas_lags(x_df, period_col, x_order_col, x, fit["high_lags"])
+    p = F.lit(fit["intercept"])
+    for j, w in enumerate(fit["weights"]):
+        p = p + F.col(f"x{j}") * F.lit(float(w))
+    wide = Z975 * math.sqrt(fit["sigma2"])
+    return z.select(period_col, p.alias("predicted"), (p - wide).alias("lower"), (p + wide).alias("upper")).where("predicted IS NOT NULL")
 
 
 # ----------------------------------------------------------------- trend + seasonality

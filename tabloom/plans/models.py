@@ -132,10 +132,12 @@ def q_poisson(spark, sf):
 
 @query("betareg")
 def q_betareg(spark, sf):
+    """Mean and precision of discounts as shares of the greatest one, with their standard errors."""
+    from ..operators import likelihood
     li = _lineitem(spark, sf).withColumn("share", F.least(F.greatest(F.col("l_discount"), F.lit(0.001)), F.lit(0.999)))
-    m, _ = models.fit_model(li, "betareg", "share", ["l_quantity", "l_tax"])
-    return rounded(spark.createDataFrame([(float(m.intercept), *map(float, m.coefficients.toArray()))],
-                                         "intercept double, b_quantity double, b_tax double"))
+    r = likelihood.beta_fit(li, "share", ["l_quantity", "l_tax"])
+    rows = [(t, float(b), float(s)) for t, b, s in zip(r["terms"], r["coef"], r["se"])] + [("(phi)", r["phi"], r["phi_se"])]
+    return rounded(spark.createDataFrame(rows, "term string, estimate double, std_error double"))
 
 
 def _holdout_metrics(spark, sf, model_id, params):
@@ -356,11 +358,14 @@ def q_bootstrap_refit(spark, sf):
 
 @query("negbin")
 def q_negbin(spark, sf):
-    li = _lineitem(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"),
-                                                       (F.sum("l_extendedprice") / 1e5).alias("value"))
-    r = models.negbin_fit(li, "n_lines", ["value"])
-    rows = [(t, float(b), float(s), float(r["theta"])) for t, b, s in zip(r["terms"], r["coef"], r["se"])]
-    return rounded(spark.createDataFrame(rows, "term string, estimate double, std_error double, theta double"))
+    """Orders of every customer, none included: more dispersed than Poisson counts."""
+    from ..operators import likelihood
+    n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
+    li = table(spark, sf, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.coalesce("n_orders", F.lit(0)).alias("n_orders"), (F.col("c_acctbal") / 1e4).alias("balance"))
+    r = likelihood.negbin_fit(li, "n_orders", ["balance"])
+    rows = [(t, float(b), float(s), float(r["theta"]), float(r["theta_se"])) for t, b, s in zip(r["terms"], r["coef"], r["se"])]
+    return rounded(spark.createDataFrame(rows, "term string, estimate double, std_error double, theta double, theta_se double"))
 
 
 @query("builtin_importance")

@@ -282,6 +282,14 @@ def q_dfm(spark, sf):
 
 @query("vecm")
 def q_vecm(spark, sf):
+    """Forecasts of the five segments from their error-correction form, the rank by the trace test."""
+    from ..operators import tsmodels
+    w = _system(spark, sf)
+    return rounded(tsmodels.vecm_forecast(w, "month", tsmodels.vecm_fit(w, "month", SEGMENTS, 2, None, "const"), 12), 2)
+
+
+@query("vecm_relations")
+def q_vecm_relations(spark, sf):
     from ..operators import tsmodels
     fit = tsmodels.vecm_fit(_system(spark, sf), "month", SEGMENTS, 2, 1)
     rows = [(c, float(fit["beta"][i, 0]), float(fit["alpha"][i, 0]), float(fit["trace"][i]))
@@ -289,18 +297,45 @@ def q_vecm(spark, sf):
     return rounded(spark.createDataFrame(rows, "series_id string, beta double, alpha double, trace_stat double"))
 
 
-@query("midas")
-def q_midas(spark, sf):
-    """Quarterly revenue on the monthly order counts of each quarter (Almon lags)."""
-    from ..operators import tsmodels
+# Quarterly revenue on the monthly order counts up to each quarter's end
+QUARTER = "CAST(year(o_orderdate) AS VARCHAR) || 'Q' || CAST(quarter(o_orderdate) AS VARCHAR)"
+
+
+def midas_input(spark, sf):
     o = table(spark, sf, "orders")
     q = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
     y = o.groupBy(q.alias("quarter")).agg(F.round(F.sum("o_totalprice") / 1e6, 4).alias("revenue"))
     x = o.groupBy(q.alias("quarter"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg(
         F.count(F.lit(1)).cast("double").alias("n_orders"))
-    fit = tsmodels.midas_fit(y, x, "quarter", "revenue", "month", "n_orders", 3, 2)
+    return y, x
+
+
+@query("midas", f"""WITH m AS (SELECT {QUARTER} AS quarter, date_trunc('month', o_orderdate) AS month, count(*)::DOUBLE AS x FROM orders GROUP BY 1, 2),
+l AS (SELECT quarter, month, {", ".join(f"lag(x, {j}) OVER (ORDER BY month) AS x{j}" for j in range(5))} FROM m),
+z AS (SELECT quarter, {" + ".join(f"arg_max(x{j}, month)" for j in range(5))} AS z0, {" + ".join(f"{j + 1} * arg_max(x{j}, month)" for j in range(5))} AS z1 FROM l GROUP BY 1),
+y AS (SELECT {QUARTER} AS quarter, round(sum(o_totalprice) / 1e6, 4) AS y FROM orders GROUP BY 1),
+d AS (SELECT * FROM y JOIN z USING (quarter) WHERE z0 IS NOT NULL),
+s AS (SELECT covar_pop(z0, z0) AS a, covar_pop(z0, z1) AS b, covar_pop(z1, z1) AS c, covar_pop(z0, y) AS p, covar_pop(z1, y) AS q,
+             avg(y) AS my, avg(z0) AS m0, avg(z1) AS m1, var_pop(y) AS v, count(*) AS n FROM d),
+t AS (SELECT (c * p - b * q) / (a * c - b * b) AS t0, (a * q - b * p) / (a * c - b * b) AS t1, * FROM s),
+f AS (SELECT my - t0 * m0 - t1 * m1 AS i, t0, t1, 1.959963984540054 * sqrt((v - t0 * p - t1 * q) * n / (n - 3)) AS w FROM t)
+SELECT quarter, round(i + t0 * z0 + t1 * z1, 4) AS predicted, round(i + t0 * z0 + t1 * z1 - w, 4) AS lower, round(i + t0 * z0 + t1 * z1 + w, 4) AS upper
+FROM z, f WHERE z0 IS NOT NULL""")
+def q_midas(spark, sf):
+    """Almon weights over a month and the four before it, and the fitted value of every quarter."""
+    from ..operators import tsmodels
+    y, x = midas_input(spark, sf)
+    fit = tsmodels.midas_fit(y, x, "quarter", "revenue", "month", "n_orders")
+    return rounded(tsmodels.midas_forecast(fit, x, "quarter", "month", "n_orders"), 4)
+
+
+@query("midas_nealmon")
+def q_midas_nealmon(spark, sf):
+    from ..operators import tsmodels
+    y, x = midas_input(spark, sf)
+    fit = tsmodels.midas_fit(y, x, "quarter", "revenue", "month", "n_orders", poly="nealmon")
     rows = [(j, float(w)) for j, w in enumerate(fit["weights"])] + [(-1, float(fit["intercept"]))]
-    return rounded(spark.createDataFrame(rows, "lag int, weight double"))
+    return rounded(spark.createDataFrame(rows, "lag int, weight double"), 4)
 
 
 @query("prophet")
