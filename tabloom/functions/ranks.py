@@ -3,12 +3,12 @@ in one task.
 
 A plain ``Window.partitionBy(key).orderBy(x)`` puts every distinct value of a
 key into one task.  Here values are first collapsed to ``(key, value, weight)``
-(map-side partial aggregation makes a hot value cost one row), then cut into
-value buckets whose bounds come from a bounded-memory sketch
-(``percentile_approx``).  Per-bucket totals form a table of ``keys x buckets``
-rows; their running sum gives each bucket's offset, and the running sum inside
-a bucket is a window over one bucket only.  Every group a task holds is thus
-about ``distinct values / buckets``.
+(map-side partial aggregation makes a hot value cost one row), then range-partitioned
+by key and value: the planner samples the bounds, so a key of any size is cut wherever
+its values are dense, and small keys share a partition.  Running weights within a
+partition are one pass over its sorted rows; only the first key of a partition can have
+begun in an earlier one, so the totals before a partition are a table of one row a
+partition at most.  One shuffle, whatever the number of keys or the skew.
 """
 
 from __future__ import annotations
@@ -27,60 +27,83 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, n)
 
 
-def bucket_of(bounds: Column, x: Column, n_bounds: int) -> Column:
-    """Number of entries of the ascending array ``bounds`` below ``x`` (lower
-    bound) by binary search in an ``aggregate`` over log2(n) steps: O(log n)
-    comparisons per row, evaluated JVM-side."""
-    import math
-    steps = max(1, math.ceil(math.log2(n_bounds + 1)) + 1)
-    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).cast("int").alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        below = F.when(lo < hi, F.try_element_at(bounds, mid + 1) < x)
-        return F.struct(F.when(below, mid + 1).otherwise(lo).cast("int").alias("lo"),
-                        F.when(below == F.lit(False), mid).otherwise(hi).cast("int").alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
-
-
-def assign_buckets(vc: DataFrame, keys: Sequence[str], value: str, b: int, few_keys: bool) -> DataFrame:
-    """Add ``_bk``, the value bucket of each row within its key group.
-    Bounds must be identical in every plan branch that uses them: with a
-    bounded number of groups they are sketch quantiles materialised once
-    (``checkpoint`` in the shared folder, ``keys x b`` doubles); otherwise
-    equal-width ranges between the exact group min and max."""
-    if few_keys:
-        probs = [i / b for i in range(1, b)]
-        bounds = vc.groupBy(*keys).agg(F.percentile_approx(F.col(value), probs, 10000).alias("_bounds"))
-        bounds = bounds.checkpoint(eager=True)
-        x = vc.join(F.broadcast(bounds), keys) if keys else attach_scalars(vc, bounds)
-        return x.withColumn("_bk", bucket_of(F.col("_bounds"), F.col(value), b - 1)).drop("_bounds")
-    mm = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    x = vc.join(mm, keys) if keys else attach_scalars(vc, mm)
-    width = (F.col("_hi") - F.col("_lo")) / b
-    bk = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(b - 1))).otherwise(F.lit(0))
-    return x.withColumn("_bk", bk.cast("int")).drop("_lo", "_hi")
-
-
-def with_cumulative(vc: DataFrame, keys: Sequence[str], value: str, weight: str,
-                    buckets: int | None = None, out_before: str = "cum_before",
-                    few_keys: bool = True) -> DataFrame:
+def _running(batches, keys: int, weight: int):
+    """Arrow batches of sorted rows with the weight of the rows before each, within its key and this
+    partition, as a last column; the first ``keys`` columns are the key."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    last, held = None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        starts = np.zeros(n, bool)
+        for i in range(keys):
+            c = batch.column(i)
+            if n > 1:
+                a, b = c.slice(1), c.slice(0, n - 1)
+                same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+                starts[1:] |= ~same.to_numpy(zero_copy_only=False)
+        first = tuple(batch.column(i)[0].as_py() for i in range(keys))
+        starts[0] = last is None or first != last
+        w = pc.fill_null(batch.column(weight), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(w)
+        before = total - w
+        # each row less what its key's first row had before it
+        at = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
+        before = np.where(at >= 0, before - before[np.maximum(at, 0)], before + held)
+        held = before[-1] + w[-1]
+        last = tuple(batch.column(i)[n - 1].as_py() for i in range(keys))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], [*batch.schema.names, "_here"])
+
+
+def _placed(vc: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """``vc`` range-partitioned by key and value, with ``_part`` (the partition) and ``_here`` (weight of
+    smaller values of the key in it); written once, so that all that follows sees the same bounds."""
+    from pyspark.sql import types as T
+    from ..session import ship_package
+    ship_package(vc.sparkSession)
+    keys = list(keys)
+    rest = [c for c in vc.columns if c not in keys]
+    whole = isinstance(vc.schema[weight].dataType, (T.LongType, T.IntegerType, T.ShortType))
+    w = F.col(weight).cast("long" if whole else "double").alias(weight)
+    x = vc.select(*keys, *[w if c == weight else c for c in rest])
+    x = x.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*x.schema.fields, T.StructField("_here", T.LongType() if whole else T.DoubleType())])
+    at, n = x.columns.index(weight), len(keys)
+
+    def run(batches):
+        yield from _running(batches, n, at)
+    return materialize(x.mapInArrow(run, schema))
+
+
+def _seams(placed: DataFrame, keys: Sequence[str], weight: str) -> tuple[DataFrame, DataFrame]:
+    """(weight before a partition of the keys that go on into it: at most a row a partition; totals by key)"""
+    parts = placed.groupBy(*keys, "_part").agg(F.sum(weight).alias("_w"))
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("_off", F.sum("_w").over(w)).where(F.col("_off").isNotNull()).select(
+        *[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], F.col("_part").alias("_sp"), "_off")
+    return offsets, parts.groupBy(*keys).agg(F.sum("_w").alias("_total"))
+
+
+def with_cumulative(vc: DataFrame, keys: Sequence[str], value: str, weight: str, out_before: str = "cum_before",
+                    totals: bool = False) -> DataFrame:
     """Add ``out_before`` = total ``weight`` of rows with a smaller ``value`` in the
     same ``keys`` group.  ``vc`` must hold one row per ``(keys, value)``, value not NULL.
-    ``few_keys``: the caller guarantees a bounded number of key groups (columns,
-    implicates, ...), so the per-group bounds table is broadcast; otherwise the
-    planner decides from runtime sizes."""
+    With ``totals`` also ``_total``, the weight of the group."""
     keys = list(keys)
-    b = buckets or default_buckets(vc)
-    x = assign_buckets(vc, keys, value, b, few_keys)
-    totals = x.groupBy(*keys, "_bk").agg(F.sum(weight).alias("_bt"))
-    w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0))).drop("_bt")
-    x = x.join(F.broadcast(offsets) if few_keys else offsets, [*keys, "_bk"])
-    w_in = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn(out_before, F.col("_off") + F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
-    return x.drop("_bk", "_off")
+    placed = _placed(vc, keys, value, weight)
+    offsets, sums = _seams(placed, keys, weight)
+    on = F.col("_part") == F.col("_sp")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    x = placed.join(F.broadcast(offsets), on, "left")       # bounded by the number of partitions
+    x = x.withColumn(out_before, F.col("_here") + F.coalesce("_off", F.lit(0)))
+    x = x.drop("_here", "_part", "_sp", "_off", *[f"_s{i}" for i in range(len(keys))])
+    if totals:
+        x = x.join(sums, keys) if keys else attach_scalars(x, sums)
+    return x.select(*vc.columns, out_before, *(["_total"] if totals else []))
 
 
 def value_weights(df: DataFrame, keys: Sequence[str], value: str | Column,
@@ -94,51 +117,31 @@ def value_weights(df: DataFrame, keys: Sequence[str], value: str | Column,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-                    probs: Sequence[float], buckets: int | None = None, few_keys: bool = True) -> DataFrame:
+                    probs: Sequence[float]) -> DataFrame:
     """Type-7 (R default, Spark ``percentile``, DuckDB ``quantile_cont``) quantiles
     of ``value`` per ``keys`` group.  Returns ``(keys..., p, q)``.  Rows collapse to
     distinct values with their counts before anything is ranked."""
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    return quantiles_from_counts(value_weights(df, keys, v), keys, "value", "w", probs, buckets, few_keys)
+    return quantiles_from_counts(value_weights(df, keys, v), keys, "value", "w", probs)
 
 
 def quantiles_from_counts(vc: DataFrame, keys: Sequence[str], value: str, cnt: str,
-                          probs: Sequence[float], buckets: int | None = None, few_keys: bool = True) -> DataFrame:
-    """Exact type-7 quantiles from a (keys, value, count) table.  Rows get a
-    value bucket (bounds from a sketch); bucket totals give each bucket's rank
-    range, and only the buckets that contain a wanted rank are sorted."""
+                          probs: Sequence[float]) -> DataFrame:
+    """Exact type-7 quantiles from a (keys, value, count) table: the rows whose running count covers
+    a wanted rank, the two ranks beside each quantile."""
     keys = list(keys)
-    b = buckets or default_buckets(vc)
-    x = assign_buckets(vc, keys, value, b, few_keys)
-    hint = F.broadcast if few_keys else lambda d: d
-    bt = x.groupBy(*keys, "_bk").agg(F.sum(cnt).alias("_bt"))
-    w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    bt = (bt.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0)))
-          .withColumn("_n", F.sum("_bt").over(Window.partitionBy(*keys))))
-    # wanted ranks (groups x probs x 2 rows) and the bucket holding each
-    r = bt.select(*keys, "_bk", "_off", "_bt", "_n",
-                  F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    r = r.withColumn("_h", (F.col("_n") - 1) * F.col("p") + 1)
-    r = r.select(*keys, "_bk", "_off", "_bt", "p", "_h", F.explode(F.array(
-        F.struct(F.lit("lo").alias("_which"), F.floor("_h").alias("_r")),
-        F.struct(F.lit("hi").alias("_which"), F.ceil("_h").alias("_r")))).alias("_x"))
-    r = r.select(*keys, "_bk", "_off", "p", "_h", "_x._which", "_x._r", "_bt").where(
-        (F.col("_r") > F.col("_off")) & (F.col("_r") <= F.col("_off") + F.col("_bt"))).drop("_bt")
-    want = r.select(*keys, "_bk", "_off").distinct()
-    cand = x.join(hint(want), [*keys, "_bk"])
-    w_in = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    cand = cand.withColumn("_before", F.col("_off") + F.coalesce(F.sum(cnt).over(w_in), F.lit(0)))
-    rk = [f"_rk{i}" for i in range(len(keys))]
-    rr = r.select(*[F.col(k).alias(n) for k, n in zip(keys, rk)], F.col("_bk").alias("_rbk"), "p", "_h", "_which", "_r")
-    cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, rk)] + [F.col("_bk") == F.col("_rbk")]
-    cond += [F.col("_before") < F.col("_r"), F.col("_r") <= F.col("_before") + F.col(cnt)]
-    hit = cand.join(hint(rr), cond).select(*keys, "p", "_h", "_which", F.col(value).alias("_v"))
-    res = hit.groupBy(*keys, "p", "_h").agg(
-        F.max(F.when(F.col("_which") == "lo", F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_which") == "hi", F.col("_v"))).alias("_vhi"))
-    q = F.col("_vlo") + (F.col("_h") - F.floor("_h")) * (F.col("_vhi") - F.col("_vlo"))
-    return res.select(*keys, "p", q.alias("q"))
+    x = with_cumulative(vc, keys, value, cnt, "_before", totals=True)
+    at = F.transform(F.array(*[F.lit(float(p)) for p in probs]),
+                     lambda p: F.struct(p.alias("p"), ((F.col("_total") - 1) * p + 1).alias("h")))
+    covers = lambda r: (F.col("_before") < r) & (r <= F.col("_before") + F.col(cnt))
+    hit = F.filter(at, lambda s: covers(F.floor(s["h"])) | covers(F.ceil(s["h"])))
+    r = x.select(*keys, F.col(value).alias("_v"), F.col(cnt).alias("_c"), "_before", F.explode(hit).alias("_s")).select(
+        *keys, "_v", "_before", "_c", "_s.p", "_s.h")
+    inside = lambda k: (F.col("_before") < k) & (k <= F.col("_before") + F.col("_c"))
+    res = r.groupBy(*keys, "p", "h").agg(F.max(F.when(inside(F.floor("h")), F.col("_v"))).alias("_lo"),
+                                         F.max(F.when(inside(F.ceil("h")), F.col("_v"))).alias("_hi"))
+    return res.select(*keys, "p", (F.col("_lo") + (F.col("h") - F.floor("h")) * (F.col("_hi") - F.col("_lo"))).alias("q"))
 
 
 def quantile_map(qdf: DataFrame, keys: Sequence[str], names: dict[float, str]) -> DataFrame:
@@ -148,12 +151,12 @@ def quantile_map(qdf: DataFrame, keys: Sequence[str], names: dict[float, str]) -
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str,
-                  out: str = "rank_avg", buckets: int | None = None) -> DataFrame:
+                  out: str = "rank_avg") -> DataFrame:
     """Average ranks with ties (R ``rank(ties='average')``) of ``value`` per keys,
     joined back to ``df``.  NULL values get a NULL rank."""
     keys = list(keys)
     vc = value_weights(df, keys, value)
-    cum = with_cumulative(vc, keys, "value", "w", buckets)
+    cum = with_cumulative(vc, keys, "value", "w")
     rk = [f"_rk{i}" for i in range(len(keys))]
     cum = cum.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)], F.col("value").alias("_rv"),
                      (F.col("cum_before") + (F.col("w") + 1) / 2.0).alias(out))
@@ -192,6 +195,11 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint (shared checkpoint folder, lineage cut) an input that several
-    plan branches will read."""
-    return df.checkpoint(eager=True)
+    """Write an input that several plan branches will read to the shared checkpoint folder, once,
+    as Parquet (so that a branch reads only its columns), and read it back; cuts the lineage."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..session import ship_package
 from .models import _complete, _matrix, _q, cross_moments, train_shape_guard
 
@@ -138,7 +139,7 @@ def elastic_net(df: DataFrame, y: str, features: Sequence[str], family: str = "g
         w.alias("_w"), _folds(df, key, nfolds, fold_col, seed).alias("_fold")).where("_fold IS NOT NULL")
     xs = [f"_x{i}" for i in range(len(features))]
     if family == "binomial":
-        data = data.checkpoint(eager=True)
+        data = ranks.materialize(data)
     means = data.agg(F.count(F.lit(1)), *[F.sum(F.col(c) * F.col("_w")) / F.sum("_w") for c in [*xs, "_y"]]).first()
     n = int(means[0])
     train_shape_guard(n, n, len(features), "elastic net")

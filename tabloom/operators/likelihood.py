@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions.special import digamma, lgamma, trigamma
 from ..functions.stats import t_sf2
 from .models import _complete, _q, train_shape_guard
@@ -26,7 +27,7 @@ def _data(df: DataFrame, y: str, xcols: Sequence[str]):
     """(rows with _y and centred _x0.., means, row count)"""
     data = df.where(_complete([y, *xcols])).select(
         F.col(_q(y)).cast("double").alias("_y"), *[F.col(_q(c)).cast("double").alias(f"_x{i}") for i, c in enumerate(xcols)])
-    data = data.checkpoint(eager=True)
+    data = ranks.materialize(data)
     row = data.agg(F.count(F.lit(1)), *[F.avg(f"_x{i}") for i in range(len(xcols))]).first()
     n, mu = int(row[0]), np.array([v or 0.0 for v in row[1:]], float)
     train_shape_guard(n, n, max(len(xcols), 1), "likelihood model")

@@ -42,8 +42,7 @@ def _missing(c_num: Column, c_str: Column) -> Column:
     return c_num.isNull() & c_str.isNull()
 
 
-def profile_columns(df: DataFrame, columns: list[str] | None = None,
-                    buckets: int | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: class, n_missing, pct_missing, n_unique, is_numeric,
     skew (sample-sd form), n_outliers (1.5 IQR, type-7 quartiles), constant /
     quasi-constant / id-like flags, severity and finding text."""
@@ -56,7 +55,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     # one scan + shuffle builds the value-count table; it is checkpointed to the
     # shared checkpoint folder so every statistic below reads it instead of
     # re-scanning the source (lineage is cut; survives executor loss)
-    vc = value_counts(ranks.ensure_parallelism(df.select(*[_q(c) for c in columns])), columns).checkpoint(eager=True)
+    vc = ranks.materialize(value_counts(ranks.ensure_parallelism(df.select(*[_q(c) for c in columns])), columns))
     miss = _missing(F.col("num"), F.col("str"))
     base = vc.groupBy("column").agg(
         F.sum("cnt").alias("n"),
@@ -69,7 +68,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     cm = num_vc.join(F.broadcast(base.select("column", "_mean")), "column").groupBy("column").agg(
         F.sum(F.col("cnt") * F.pow(F.col("num") - F.col("_mean"), 2)).alias("_m2"),
         F.sum(F.col("cnt") * F.pow(F.col("num") - F.col("_mean"), 3)).alias("_m3"))
-    qdf = ranks.quantiles_from_counts(num_vc, ["column"], "num", "cnt", [0.25, 0.75], buckets)
+    qdf = ranks.quantiles_from_counts(num_vc, ["column"], "num", "cnt", [0.25, 0.75])
     quart = ranks.quantile_map(qdf, ["column"], {0.25: "_q1", 0.75: "_q3"})
     bounds = quart.select("column", (F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
                           (F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
@@ -241,8 +240,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     return long.where(F.col("_ok1") & F.col("_ok2") & F.col("cor").isNotNull()).select("var1", "var2", "cor")
 
 
-def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
-                         buckets: int | None = None) -> DataFrame:
+def correlation_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Spearman = Pearson of average ranks over each pair's complete rows.
     Without NULLs every pair's complete rows are all rows, so each column is
     ranked once (value -> average-rank table from bucketed cumulative counts)
@@ -250,15 +248,15 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
     With NULLs the ranks are computed per pair over its complete rows."""
     cols = correlation_columns(df, columns)
     pairs = list(combinations(cols, 2))
-    has_null = df.agg(F.count_if(F.greatest(*[_q(c).isNull() for c in cols]) if len(cols) > 1
-                                 else _q(cols[0]).isNull()).alias("n")).first()["n"] > 0
-    sd_ok = df.agg(*[F.stddev_samp(_q(c).cast("double")).alias(c) for c in cols]).first().asDict()
+    seen = df.agg(F.count_if(F.greatest(*[_q(c).isNull() for c in cols]) if len(cols) > 1 else _q(cols[0]).isNull()),
+                  *[F.stddev_samp(_q(c).cast("double")) for c in cols]).first()
+    has_null, sd_ok = seen[0] > 0, dict(zip(cols, seen[1:]))
     good = {c for c in cols if (sd_ok[c] or 0.0) > 0}
     if not has_null:
         long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("double").alias("x"))
                                             for c in cols])))
-        vc = ranks.value_weights(long, ["column"], "x").checkpoint(eager=True)
-        cum = ranks.with_cumulative(vc, ["column"], "value", "w", buckets)
+        vc = ranks.value_weights(long, ["column"], "x")
+        cum = ranks.with_cumulative(vc, ["column"], "value", "w")
         rk = cum.select("column", "value", (F.col("cum_before") + (F.col("w") + 1) / 2.0).alias("r"))
         x = df.select(*[_q(c).cast("double").alias(c) for c in cols])
         for c in cols:
@@ -270,14 +268,14 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None,
         items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), _q(a).cast("double").alias("x"),
                           _q(b).cast("double").alias("y")) for a, b in pairs]
         long = df.select(F.inline(F.array(*items))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        rx = ranks.average_ranks(long, ["var1", "var2"], "x", "rx", buckets)
-        rxy = ranks.average_ranks(rx, ["var1", "var2"], "y", "ry", buckets)
+        rx = ranks.average_ranks(long, ["var1", "var2"], "x", "rx")
+        rxy = ranks.average_ranks(rx, ["var1", "var2"], "y", "ry")
         long_r = rxy.groupBy("var1", "var2").agg(F.corr("rx", "ry").alias("cor"))
     ok = F.col("var1").isin(list(good)) & F.col("var2").isin(list(good))
     return long_r.where(ok & F.col("cor").isNotNull()).select("var1", "var2", "cor")
 
 
-def correlation_kendall(df: DataFrame, columns: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def correlation_kendall(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(var1, var2, cor): Kendall's tau-b over the complete rows of every pair.
 
     Concordant pairs are a two-dimensional dominance count: rows with a smaller x and a
@@ -290,22 +288,22 @@ def correlation_kendall(df: DataFrame, columns: list[str] | None = None, buckets
     items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), _q(a).cast("double").alias("x"),
                       _q(b).cast("double").alias("y")) for a, b in combinations(cols, 2)]
     pair = ["var1", "var2"]
-    vc = df.select(F.inline(F.array(*items))).where("x IS NOT NULL AND y IS NOT NULL").groupBy(*pair, "x", "y").agg(
-        F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    vc = ranks.materialize(df.select(F.inline(F.array(*items))).where("x IS NOT NULL AND y IS NOT NULL").groupBy(
+        *pair, "x", "y").agg(F.count(F.lit(1)).alias("n")))
     twice = lambda by: vc.groupBy(*pair, *by).agg(F.sum("n").cast("double").alias("t")).groupBy(*pair).agg(
         (F.sum(F.col("t") * (F.col("t") - 1)) / 2).alias("n" + "".join(by)))
     sums = twice([]).join(twice(["x"]), pair).join(twice(["y"]), pair).join(twice(["x", "y"]), pair)
     top = vc.groupBy(*pair).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
     levels = max(1, int(top).bit_length())
     ys = ranks.with_cumulative(vc.groupBy(*pair, F.col("y").alias("value")).agg(F.sum("n").alias("w")), pair,
-                               "value", "w", buckets, "rank").select(*pair, F.col("value").alias("y"), "rank")
+                               "value", "w", "rank").select(*pair, F.col("value").alias("y"), "rank")
     bits = vc.join(ys, [*pair, "y"]).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     bits = bits.withColumn("above", F.expr("shiftright(rank, bit + 1)")).withColumn(
         "set", F.expr("shiftright(rank, bit) & 1"))
     side = bits.groupBy(*pair, "bit", "above", F.col("x").alias("value")).agg(
         F.sum(F.when(F.col("set") == 0, F.col("n")).otherwise(0)).alias("w"),
         F.sum(F.when(F.col("set") == 1, F.col("n")).otherwise(0)).alias("above_w"))
-    met = ranks.with_cumulative(side, [*pair, "bit", "above"], "value", "w", buckets, few_keys=False)
+    met = ranks.with_cumulative(side, [*pair, "bit", "above"], "value", "w")
     c = met.groupBy(*pair).agg(F.sum(F.col("above_w").cast("double") * F.col("cum_before")).alias("c"))
     x = sums.join(c, pair)
     gap = F.expr("2 * c - (n - nx - ny + nxy)")
@@ -361,7 +359,7 @@ def codebook_rich(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                      "; ".join(f"{a} = {b}" for a, b in vl.items()), i, k == "numeric"))
     meta = spark.createDataFrame(rows, "name string, type string, label string, n_value_labels int, "
                                        "value_labels_str string, ord int, _isnum boolean")
-    vc = value_counts(df, columns).checkpoint(eager=True)
+    vc = ranks.materialize(value_counts(df, columns))
     miss = _missing(F.col("num"), F.col("str"))
     a = vc.groupBy(F.col("column").alias("name")).agg(
         F.round(100.0 * F.coalesce(F.sum(F.when(miss, F.col("cnt"))), F.lit(0)) / F.sum("cnt"), 2).alias("pct_missing"),

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.stats import norm_ppf
+from ..functions import ranks
 from ..session import ship_package
 from .validation import running_totals
 
@@ -57,7 +58,7 @@ def _blocks(df: DataFrame, keys: list[str], order_col: str, value: str, halo: in
     x = x.select(*keys, "block", (F.col("block") * BLOCK).alias("first"), F.get("r", F.lit(0))["_pos"].alias("start"), F.transform("r", lambda a: a["_v"]).alias("v"),
                  F.element_at("r", -1)["_pos"].alias("_end"))
     # a block without rows of its own only repeats the end of the series
-    return x.where(F.col("_end") >= F.col("first")).drop("_end").checkpoint(eager=True)
+    return ranks.materialize(x.where(F.col("_end") >= F.col("first")).drop("_end"))
 
 
 def _per_block(blocks: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
@@ -281,18 +282,18 @@ def sarima_fit(df: DataFrame, keys: Sequence[str], order_col: str, value: str, m
             *keys, "rows", F.when((F.col("strength") > STRENGTH) & (F.col("rows") >= 3 * m), 1).otherwise(0).alias("_sd"))
     else:
         sized = sized.withColumn("_sd", F.lit(D))
-    sized = sized.checkpoint(eager=True)
+    sized = ranks.materialize(sized)
     blocks = blocks.join(sized.select(*keys, "_sd"), keys)
     if d is None:
         tests = kpss(blocks, keys, m, test_lags)
         # the first order whose statistic passes; a constant series needs none
         passed = tests.where((F.col("kpss") <= KPSS_LEVEL) | F.col("kpss").isNull() | F.isnan("kpss") | (F.col("d") == 2))
-        chosen = passed.groupBy(*keys).agg(F.min("d").alias("_nd")).checkpoint(eager=True)
+        chosen = ranks.materialize(passed.groupBy(*keys).agg(F.min("d").alias("_nd")))
         blocks = blocks.join(chosen, keys)
     else:
         blocks = blocks.withColumn("_nd", F.lit(d))
 
-    blocks = blocks.join(sized.select(*keys, "rows"), keys).checkpoint(eager=True)
+    blocks = ranks.materialize(blocks.join(sized.select(*keys, "rows"), keys))
 
     # long autoregression; short series take the lags that a quarter of their rows allows
     k1 = len(long) + 2
@@ -382,7 +383,7 @@ def sarima_fit(df: DataFrame, keys: Sequence[str], order_col: str, value: str, m
         sums = _per_block(blocks.join(filters, keys), keys, "d int, seasonal_d int, rows long, n long, " + ", ".join(f"{c} double" for c in sums2), second)
         sums = sums.groupBy(*keys).agg(F.max("d").alias("d"), F.max("seasonal_d").alias("seasonal_d"), F.max("rows").alias("rows"),
                                        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums2])
-        fitted = _per_block(sums, keys, FITTED, choose).checkpoint(eager=True)     # a row a series
+        fitted = ranks.materialize(_per_block(sums, keys, FITTED, choose))     # a row a series
     return fitted
 
 
@@ -424,7 +425,7 @@ def sarima_forecast(df: DataFrame, fitted: DataFrame, keys: Sequence[str], order
     keys = list(keys)
     if not keys:
         return sarima_forecast(df.withColumn("_all", F.lit(0)), fitted.withColumn("_all", F.lit(0)), ["_all"], order_col, value, h).drop("_all")
-    fitted = fitted.checkpoint(eager=True)
+    fitted = ranks.materialize(fitted)
     reach = fitted.agg(F.max(F.col("p") + F.col("m") * F.col("seasonal_p") + F.col("d") + F.col("m") * F.col("seasonal_d"))).first()[0] or 0
     blocks = _blocks(df, keys, order_col, value, reach + 1)
     schema = T.StructType([df.schema[k] for k in keys]).add("step", "integer").add("predicted", "double").add("lower", "double").add("upper", "double")

@@ -145,14 +145,14 @@ def row_index(df: DataFrame, order_col: str, tie_col: str, keys: Sequence[str] =
     keys = list(keys)
     o = order_key(df, order_col).cast("double")
     vc = df.select(*keys, o.alias("_o")).groupBy(*keys, "_o").agg(F.count(F.lit(1)).alias("_c"))
-    c1 = ranks.with_cumulative(vc, keys, "_o", "_c", out_before="_before_o", few_keys=False)
+    c1 = ranks.with_cumulative(vc, keys, "_o", "_c", out_before="_before_o")
     x = df.withColumn("_o", o).join(c1, [*keys, "_o"])
     # ties on the order value are ranked by tie_col; only multi-row tie groups
     # need the second cumulative pass
     tie = F.col(tie_col).cast("double")
     multi = x.where(F.col("_c") > 1)
     vc2 = multi.select(*keys, "_o", tie.alias("_t")).groupBy(*keys, "_o", "_t").agg(F.count(F.lit(1)).alias("_c2"))
-    c2 = ranks.with_cumulative(vc2, [*keys, "_o"], "_t", "_c2", out_before="_before_t", few_keys=False).drop("_c2")
+    c2 = ranks.with_cumulative(vc2, [*keys, "_o"], "_t", "_c2", out_before="_before_t").drop("_c2")
     x = x.withColumn("_t", tie).join(c2, [*keys, "_o", "_t"], "left")
     idx = F.col("_before_o") + F.coalesce(F.col("_before_t"), F.lit(0)) + 1
     return x.withColumn(out, idx).drop("_o", "_t", "_c", "_before_o", "_before_t")

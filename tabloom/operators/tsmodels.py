@@ -66,7 +66,7 @@ def arima_fit(df: DataFrame, keys: Sequence[str], order_col: str, value: str, d:
     x = series.lag_features(x, "_w", [order_col], keys, list(range(1, m + 1)), prefix="_a")
     # the lagged design feeds both stage-1 moments and the residual pass:
     # materialise it once in the shared checkpoint folder (cuts the lineage)
-    x = x.checkpoint(eager=True)
+    x = ranks.materialize(x)
     c1 = [F.lit(1.0)] + [F.col(f"_a{j}") for j in range(1, m + 1)] + [F.col("_w")]
     ok1 = F.col("_w").isNotNull()
     for j in range(1, m + 1):
@@ -392,7 +392,7 @@ def stl_arima_forecast(df: DataFrame, keys: Sequence[str], order_col: str, value
         # each series has its own guard: a short one gets the period that its length allows, one too
         # short for the model's lags its mean; one pass per period in use
         f = F.when(F.col("_len") > m, F.lit(m)).otherwise(F.greatest(F.lit(1), F.floor(F.col("_len") / 2))).cast("int")
-        n = n.withColumn("_m", F.when((f >= 2) & (F.col("_len") >= 16), f).otherwise(F.lit(1))).checkpoint(eager=True)
+        n = ranks.materialize(n.withColumn("_m", F.when((f >= 2) & (F.col("_len") >= 16), f).otherwise(F.lit(1))))
         periods = sorted(r[0] for r in n.select("_m").distinct().collect())     # at most m values
         if periods != [m]:
             out = None
@@ -414,7 +414,7 @@ def stl_arima_forecast(df: DataFrame, keys: Sequence[str], order_col: str, value
 
 def _stl_arima(df: DataFrame, keys: list[str], order_col: str, value: str, m: int, h: int) -> DataFrame:
     """``stl_arima_forecast`` for series that all have the seasonal period ``m``."""
-    dec = decompose(df, keys, order_col, value, m).checkpoint(eager=True)
+    dec = ranks.materialize(decompose(df, keys, order_col, value, m))
     adj = dec.select(*keys, order_col, (F.col(value) - F.col("seasonal")).alias("_adj"))
     model = arima_fit(adj, keys, order_col, "_adj", d=1, max_p=2, max_q=1)
     f = arima_forecast(adj, model, keys, order_col, "_adj", h)

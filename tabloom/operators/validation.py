@@ -48,7 +48,7 @@ def cross_validate(df: DataFrame, model_id: str, target: str, features: Sequence
         named = [(str(r), (F.floor(_unit(F.col(key), F.lit(r), F.lit(seed)) * k) + 1).cast("long")) for r in range(1, repeats + 1)]
     folds = [f"_fold{i}" for i in range(len(named))]
     columns = dict.fromkeys([*features, target])
-    table = df.select(*[F.col(f"`{c}`") for c in columns], *[e.alias(f) for f, (_, e) in zip(folds, named)]).checkpoint(eager=True)
+    table = ranks.materialize(df.select(*[F.col(f"`{c}`") for c in columns], *[e.alias(f) for f, (_, e) in zip(folds, named)]))
     jobs = []
     for f, (name, _) in zip(folds, named):
         jobs += [(f, name, r[0]) for r in table.select(f).where(F.col(f).isNotNull()).distinct().orderBy(f).collect()]
@@ -101,7 +101,7 @@ def rolling_origin_cv(df: DataFrame, keys: Sequence[str], order_col: str, value:
     x = x.join(first, keys) if keys else ranks.attach_scalars(x, first)
     # the running totals feed three branches of the blocked window below:
     # materialise them once (shared checkpoint folder) instead of re-deriving
-    x = x.checkpoint(eager=True)
+    x = ranks.materialize(x)
     x = halo_blocks(x, keys, [order_col], h)
     w = Window.partitionBy(*keys, "_blk").orderBy(order_col)
     for k in range(1, h + 1):

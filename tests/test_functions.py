@@ -27,7 +27,7 @@ def test_exact_quantiles_match_type7_with_a_hot_value(spark):
     for path in ("bucketed", "native"):
         if path == "bucketed":
             vc = ranks.value_weights(df, ["g"], "x")
-            q = ranks.quantiles_from_counts(vc, ["g"], "value", "w", probs, buckets=16).collect()
+            q = ranks.quantiles_from_counts(vc, ["g"], "value", "w", probs).collect()
         else:
             q = ranks.exact_quantiles(df, ["g"], "x", probs).collect()
         pdf = pd.DataFrame({"g": ["a" if i % 2 else "b" for i in range(len(vals))], "x": vals})
@@ -40,7 +40,7 @@ def test_average_ranks_match_pandas(spark):
     rng = random.Random(3)
     vals = [float(rng.randint(0, 20)) for _ in range(500)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double")
-    out = ranks.average_ranks(df, [], "x", buckets=8).orderBy("id").toPandas()
+    out = ranks.average_ranks(df, [], "x").orderBy("id").toPandas()
     expect = pd.Series(vals).rank(method="average").tolist()
     assert out["rank_avg"].tolist() == expect
 
@@ -107,13 +107,25 @@ def test_dates_iso_mixed_garbage(spark):
     assert [r["t"] for r in ts] == ["2024-01-31 10:15:00", "2024-12-15 23:59:59"]
 
 
-def test_bucket_of_is_lower_bound(spark):
-    import bisect
+def test_running_weights_of_skewed_keys_cross_partitions(spark):
+    """One key holds most distinct values, another most weight; NULL is a key of its own."""
     rng = random.Random(11)
-    for n in (1, 2, 7, 64, 199):
-        bounds = sorted(rng.uniform(-10, 10) for _ in range(n))
-        xs = [rng.uniform(-12, 12) for _ in range(50)] + bounds[:3]
-        df = spark.createDataFrame([(x,) for x in xs], "x double")
-        got = [r["b"] for r in df.select(ranks.bucket_of(F.array(*[F.lit(b) for b in bounds]), F.col("x"), n)
-                                         .alias("b")).collect()]
-        assert got == [bisect.bisect_left(bounds, x) for x in xs]
+    rows = [("big", float(v), rng.randrange(1, 5)) for v in range(4000)] + [(None, float(v), 2) for v in range(50)] \
+        + [(f"k{i}", float(v), 1) for i in range(300) for v in range(3)] + [("hot", 1.0, 10 ** 9), ("hot", 2.0, 1)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double, w long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # so small a table would be one partition
+    got = {(r["k"], r["v"]): (r["cum_before"], r["_total"]) for r in
+           ranks.with_cumulative(df.where("k IS NOT NULL"), ["k"], "v", "w", totals=True).collect()}
+    plain = {(r["k"], r["v"]): r["cum_before"] for r in ranks.with_cumulative(df, ["k"], "v", "w").collect()}
+    assert len(got) == len(rows) - 50 and len(plain) == len(rows)
+    sums = {}
+    for k, v, w in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        before = sums.get(k, 0)
+        assert plain[k, v] == before and (k is None or got[k, v][0] == before)
+        sums[k] = before + w
+    assert all(got[k, v][1] == sums[k] for k, v in got)
+    placed = ranks._placed(df, ["k"], "v", "w")
+    sizes = [r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
