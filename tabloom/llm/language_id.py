@@ -172,33 +172,34 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
-            keep: bool = False) -> DataFrame:
+            keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """(id, lang_pred, score) of every row of ``docs``; reads the text only.  With ``keep`` all
-    columns of ``docs`` pass before the two (a column that has their name is replaced)."""
+    columns of ``docs`` pass before the two, which take ``names`` (a column that has such a
+    name is replaced)."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)   # 2 ** BITS rows of one weight a language
-    rows = docs.drop("lang_pred", "score") if keep else docs.select(id_col, text_col)
+    rows = docs.drop(*names) if keep else docs.select(id_col, text_col)
     place = rows.columns.index(text_col)
     passed = [i for i, c in enumerate(rows.columns) if keep or c == id_col]
 
     def run(batches):
         m, grams = shared.value, Ngrams()
         for batch in batches:
-            names, scores = [], []
+            langs, scores = [], []
             for text in batch.column(place):
                 codes = grams.codes(text.as_py() or "")
                 if not m["classes"] or not codes.any():
-                    names.append(UNKNOWN)
+                    langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
                 found, counts = np.unique(grams.features(codes), return_counts=True)
                 logits = counts @ m["weights"][found] / counts.sum() + m["bias"]
                 p = _softmax(logits / m["temperature"])
-                names.append(m["classes"][int(p.argmax())])
+                langs.append(m["classes"][int(p.argmax())])
                 scores.append(float(min(p.max(), 1.0)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in passed), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*(batch.schema.names[i] for i in passed), "lang_pred", "score"])
-    schema = T.StructType([rows.schema[i] for i in passed]).add("lang_pred", "string").add("score", "double")
+                [*(batch.column(i) for i in passed), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                [*(batch.schema.names[i] for i in passed), *names])
+    schema = T.StructType([rows.schema[i] for i in passed]).add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(tidy(run), schema)
