@@ -24,17 +24,38 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps documents whose language is one of the learned ones; ``lang`` becomes the
     prediction.  Texts without a letter and undecided ones go."""
     model = language_id.train(docs)
-    named = language_id.predict(docs, model, keep=True)
-    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn(
-        "lang", F.col("lang_pred")).select(*docs.columns)
+    # names that no column of the corpus has
+    named = language_id.predict(docs, model, keep=True, names=("_lang_found", "_lang_score"))
+    return named.where((F.col("_lang_found") != language_id.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).withColumn(
+        "lang", F.col("_lang_found")).select(*docs.columns)
+
+
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with ``_near_key``, one number for each distinct (id, text): the id itself where it has
+    one text; texts that share an id, or have none, take numbers above all ids."""
+    digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+    rows = docs.select("doc_id", digest.alias("_near_digest")).distinct()
+    odd = rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_near_id"))
+    odd = scratch.save(rows.join(odd, F.col("doc_id").eqNullSafe(F.col("_near_id"))).select(
+        "_near_id", F.col("_near_digest").alias("_near_text"), F.monotonically_increasing_id().alias("_near_more")), "odd")
+    above = max(docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0, 0) + 1
+    x = docs.withColumn("_near_digest", digest).join(
+        odd, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_digest") == F.col("_near_text")), "left")
+    return x.select(*docs.columns, F.coalesce(F.lit(above) + F.col("_near_more"), F.col("doc_id").cast("long")).alias("_near_key"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five-word shingles, similarity 0.8):
-    the one of smallest id.  Documents without an id are kept; of rows that share one, one."""
-    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    the one of smallest id; documents without an id, and different texts of one id, are compared
+    like any others and come after all ids.  Of rows equal in id and text, the least stays."""
+    scratch = Scratch(spark)
+    keyed = _keyed(docs, scratch)
+    kept = near_dedup.near_duplicates(keyed, id_col="_near_key").where("kept").select(F.col("doc_id").alias("_near_key")).distinct()
+    often = scratch.save(keyed.groupBy("_near_key").count().where("count > 1").select("_near_key"), "often")
+    rows = keyed.join(kept, "_near_key", "left_semi")
+    once = rows.join(often, "_near_key", "left_anti").select(*docs.columns)
+    least = rows.join(often, "_near_key", "left_semi").groupBy("_near_key").agg(F.min(F.struct(*docs.columns)).alias("_near_row"))
+    return once.unionByName(least.select("_near_row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
