@@ -9,9 +9,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: neither Arrow's pool nor the C library does so soon."""
+def give_back(spark=None) -> None:
+    """Returns freed memory to the system: neither Arrow's pool nor the C library does so soon.
+    With ``spark`` the driver's JVM too, which otherwise keeps a heap as large as it ever needed
+    and the broadcast variables and shuffles that no plan refers to any more."""
     gc.collect()
+    if spark is not None:
+        spark._jvm.java.lang.System.gc()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
