@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabloom.llm import byte_bpe, language_id, mixing, near_dedup, secrets
 from tabloom.llm.queries import source_weights
 from tabloom.llm.scratch import Scratch
+from tabloom.llm.workers import give_back
 
 LEAST_SCORE = 0.5    # of a language; below it the document is of no language that was learned
 ORACLE_SQL = None    # a fitted classifier, a network and BPE merges are no SQL: tested by brute force
@@ -78,7 +79,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of
     the ids and of the bytes they decode to, one row a document taken."""
+    give_back(spark)
     coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    give_back(spark)
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids",
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
