@@ -93,11 +93,15 @@ def features(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     def run(batches):
         words = _WordHash()
         for batch in batches:
-            sets = [shingle_set(t, shingle, words) for t in batch.column(1).to_pylist()]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            sizes, digests, sketches = [], [], []
+            for text in batch.column(1):        # one full set at a time
+                full = shingle_set(text.as_py(), shingle, words)
+                sizes.append(len(full))
+                digests.append(hashlib.blake2b(full.tobytes(), digest_size=16).digest())
+                sketches.append(full[:k].copy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 _lists([s[:k] for s in sets])], ["doc_id", "n", "digest", "sketch"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches)],
+                ["doc_id", "n", "digest", "sketch"])
     return docs.mapInArrow(tidy(run), "doc_id long, n long, digest binary, sketch array<long>")
 
 
