@@ -442,6 +442,21 @@ def panel_summary(df: DataFrame, unit: str, wave: str) -> DataFrame:
                     F.round(F.col("n_obs") / F.col("n_units"), 2).alias("avg_obs_per_unit"))
 
 
+def panel_waves(df: DataFrame, unit: str, wave: str) -> DataFrame:
+    """Observations and distinct units of every wave; rows without a wave are left out."""
+    x = df.where(F.col(wave).isNotNull()).groupBy(F.col(wave).cast("string").alias("wave"), F.col(unit).alias("_u")).agg(
+        F.count(F.lit(1)).alias("_n"))       # combined before the shuffle, so a large wave is no hot spot
+    return x.groupBy("wave").agg(F.sum("_n").cast("long").alias("n"), F.count("_u").cast("long").alias("n_units"))
+
+
+def unweighted_shares(df: DataFrame, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Count and share of every level of a categorical column per ``keys``; NULL levels are left out."""
+    keys = list(keys)
+    n = df.where(F.col(y).isNotNull()).groupBy(*keys, F.col(y).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    return _keyed(n, total, keys).select(*keys, "level", F.col("n").cast("long").alias("n"), (F.col("n") / F.col("_all")).alias("proportion"))
+
+
 def likert_distribution(df: DataFrame, item: str) -> DataFrame:
     """% per level including missing (level NULL)."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))

@@ -148,13 +148,14 @@ def q_replicate_design_jkn(spark, sf):
     return rounded(survey.replicate_mean(wr, "y", "w", [f"wr_{i + 1}" for i in range(20)], "JKn", rscales=scales))
 
 
+_JK1 = ", ".join(f"round(CASE WHEN psu = {i} THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_{i + 1}" for i in range(20))
+
+
 @query("make_replicates_jk1", f"""WITH s AS ({SURVEY_SQL})
-SELECT o_orderkey, round(CASE WHEN psu = 0 THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_1,
-       round(CASE WHEN psu = 7 THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_8,
-       round(CASE WHEN psu = 19 THEN 0.0 ELSE w * 20.0 / 19.0 END, 10) AS wr_20 FROM s""")
+SELECT o_orderkey, {_JK1} FROM s""")
 def q_make_replicates_jk1(spark, sf):
     wr = survey.jk1_replicate_weights(survey_input(spark, sf), "w", F.col("psu"), 20)
-    return rounded(wr.select("o_orderkey", "wr_1", "wr_8", "wr_20"), 10)
+    return rounded(wr.select("o_orderkey", *[f"wr_{i}" for i in range(1, 21)]), 10)
 
 
 @query("replicate_bootstrap")
@@ -208,6 +209,19 @@ def q_panel_summary(spark, sf):
     return survey.panel_summary(survey_input(spark, sf), "o_custkey", "wave")
 
 
+@query("panel_waves", f"""WITH s AS ({SURVEY_SQL})
+SELECT CAST(wave AS VARCHAR) AS wave, count(*) AS n, count(DISTINCT o_custkey) AS n_units FROM s GROUP BY 1""")
+def q_panel_waves(spark, sf):
+    return survey.panel_waves(survey_input(spark, sf), "o_custkey", "wave")
+
+
+@query("unweighted_shares", f"""WITH s AS ({SURVEY_SQL})
+SELECT stratum, o_orderstatus AS level, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY stratum), 6) AS proportion
+FROM s WHERE o_orderstatus IS NOT NULL GROUP BY 1, 2""")
+def q_unweighted_shares(spark, sf):
+    return rounded(survey.unweighted_shares(survey_input(spark, sf), "o_orderstatus", ["stratum"]))
+
+
 @query("likert_distribution", f"""WITH s AS ({SURVEY_SQL}),
 l AS (SELECT CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE likert END AS likert FROM s)
 SELECT CAST(likert AS VARCHAR) AS level, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM l), 4) AS pct

@@ -14,7 +14,9 @@ SUBSET = ["profile_columns", "missingness", "correlation_matrix", "impute", "lum
           "survey_proportion", "replicate_design_jk1", "mi_mean", "did_2x2", "rolling_origin_cv", "scan_csv",
           "correlation_kendall", "correlation_spearman", "survey_quantile", "robust_scale", "clip", "impute_date",
           "replicate_design_jkn", "crosstab_chisq", "panel_summary", "stream_profile", "scan_json_array",
-          "partial_dependence", "batch_score", "privacy_audit_log", "sink_run_tables", "model_presets"]
+          "partial_dependence", "batch_score", "privacy_audit_log", "sink_run_tables", "model_presets",
+          "iv_diagnostics", "cross_validate_lm", "glmnet_path", "survey_quantile_woodruff", "mi_quantile", "midas",
+          "make_replicates_jk1", "panel_waves", "unweighted_shares", "top_k_importance"]
 
 
 @pytest.fixture(scope="module")
