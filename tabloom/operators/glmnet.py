@@ -154,7 +154,7 @@ def elastic_net(df: DataFrame, y: str, features: Sequence[str], family: str = "g
     M = np.stack([_matrix(moments[f], len(cols)) for f in names])
     run = _gaussian if family == "gaussian" else _binomial
     lam, a, b, mean, sd, converged = run(data, M, names, mu, len(features), alpha, nlambda, lambdas, standardize)
-    return PathFit(family, features, lam, a, b, mean, sd, converged, n)
+    return PathFit(family, features, lam, a, b + 0.0, mean, sd, converged, n)     # no negative zeros
 
 
 def _gaussian(data, M, names, mu, k, alpha, nlambda, lambdas, standardize):

@@ -185,7 +185,7 @@ e AS (SELECT step, nf, power(hy - my - b * (hx - mx), 2) + hsy*hsy - 2*b*hr*hsx*
 m AS (SELECT step, sum(nf * mse) / sum(nf) AS cv_mean FROM e GROUP BY step),
 s AS (SELECT step, any_value(cv_mean) AS cv_mean, sqrt(sum(nf * power(mse - cv_mean, 2)) / sum(nf) / 4) AS cv_sd FROM e JOIN m USING (step) GROUP BY step)
 SELECT CAST(step AS INTEGER) AS step, round(lam, 4) AS lambda, round(cv_mean, 0) AS cv_mean, round(cv_sd, 0) AS cv_sd,
-       round({_GLMNET_FIT}, 4) AS coef FROM s JOIN l USING (step), a""")
+       round({_GLMNET_FIT}, 4) + 0.0 AS coef FROM s JOIN l USING (step), a""")
 def q_glmnet_path(spark, sf):
     """The whole path at alpha 0.5 with the cross-validated error of every penalty."""
     from ..operators import glmnet
