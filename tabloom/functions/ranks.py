@@ -194,6 +194,13 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     return df.repartition(target) if n < target else df
 
 
+def release(spark) -> None:
+    """Lets Spark delete the shuffles that no plan refers to any more."""
+    import gc
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an input that several plan branches will read to the shared checkpoint folder, once,
     as Parquet (so that a branch reads only its columns), and read it back; cuts the lineage."""

@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ranks
 from .series import halo_blocks
@@ -126,24 +129,46 @@ def permutation_importance(df: DataFrame, predict_fn, target: str, features: Seq
                            repeats: int = 5, seed: int = 42) -> DataFrame:
     """RMSE increase when one feature is permuted.  Rows fall into random hash
     buckets per repeat; inside a bucket the feature's values are re-paired by
-    two independent hash orders, so every group a task ranks is one bucket.
-    All features x repeats are scored in a single pass."""
+    two independent hash orders, so every group a task holds is one bucket.
+    A repeat is one shuffle of the columns of ``df`` (select those in use before), which serves
+    all features and is given back before the next repeat."""
+    from ..session import ship_package
+    spark = df.sparkSession
+    ship_package(spark)
+    features = list(features)
     b = ranks.default_buckets(df)
-    base = predict_fn(df).agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col("prediction"), 2))).alias("_e0"))
-    x = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    x = x.withColumn("_b", F.pmod(F.xxhash64(F.col(key), F.col("_rep"), F.lit(seed)), F.lit(b)))
-    parts = None
-    for f in features:
-        w1 = Window.partitionBy("_rep", "_b").orderBy(F.xxhash64(F.col(key), F.col("_rep"), F.lit(f), F.lit(1)))
-        w2 = Window.partitionBy("_rep", "_b").orderBy(F.xxhash64(F.col(key), F.col("_rep"), F.lit(f), F.lit(2)))
-        left = x.withColumn("_ra", F.row_number().over(w1)).drop(f)
-        right = x.select("_rep", "_b", F.col(f).alias(f), F.row_number().over(w2).alias("_ra"))
-        p = left.join(right, ["_rep", "_b", "_ra"]).drop("_ra").withColumn("_feature", F.lit(f))
-        parts = p if parts is None else parts.unionByName(p)
-    err = predict_fn(parts).groupBy("_feature", "_rep").agg(
-        F.sqrt(F.avg(F.pow(F.col(target) - F.col("prediction"), 2))).alias("_e"))
-    res = ranks.attach_scalars(err, base).groupBy(F.col("_feature").alias("feature")).agg(
-        F.avg(F.col("_e") - F.col("_e0")).alias("importance"))
+    error = F.sqrt(F.avg(F.pow(F.col(target) - F.col("prediction"), 2)))
+    base = predict_fn(df).agg(error).first()[0]
+    orders = [(f"_a{i}", f"_b{i}") for i in range(len(features))]
+    names, places = [f"_v{i}" for i in range(len(features))], [df.columns.index(f) for f in features]
+    moved = T.StructType([*df.schema.fields, *[T.StructField(n, df.schema[f].dataType) for n, f in zip(names, features)]])
+    width = len(df.columns)
+
+    def pair(group):
+        cols = [group.column(i) for i in range(width)]
+        out = []
+        for i, at in enumerate(places):
+            own, other = (np.argsort(group.column(width + 1 + 2 * i + j).to_numpy(), kind="stable") for j in (0, 1))
+            take = np.empty(len(own), np.int64)
+            take[own] = other               # the row of the n-th own hash gets the value of the n-th other one
+            out.append(cols[at].take(pa.array(take)))
+        return pa.Table.from_arrays([*cols, *out], names=moved.names)
+
+    rows = []
+    for rep in range(1, repeats + 1):
+        r = F.lit(rep)
+        x = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key), r, F.lit(seed)), F.lit(b))).repartition("_bucket")
+        x = x.select("*", *[F.xxhash64(F.col(key), r, F.lit(f), F.lit(j + 1)).alias(n)
+                             for f, pairs in zip(features, orders) for j, n in enumerate(pairs)])
+        paired = x.groupBy("_bucket").applyInArrow(pair, moved)
+        cases = F.array(*[F.struct(F.lit(i).alias("_feature"), *[F.col(n if f == g else g).alias(g) for g in features])
+                          for i, (f, n) in enumerate(zip(features, names))])
+        kept = [c for c in df.columns if c not in features]
+        err = predict_fn(paired.select(*kept, F.inline(cases))).groupBy("_feature").agg(error.alias("_e"))
+        rows += [(features[e["_feature"]], None if e["_e"] is None or base is None else e["_e"] - base) for e in err.collect()]
+        del x, paired, err
+        ranks.release(spark)
+    res = spark.createDataFrame(rows, "feature string, gain double").groupBy("feature").agg(F.avg("gain").alias("importance"))
     return res.orderBy(F.desc("importance"))
 
 

@@ -271,6 +271,7 @@ def _lm_predict_fn(spark, sf, xs):
 def q_permutation_importance(spark, sf):
     xs = ["l_quantity", "l_discount", "l_tax"]
     li = _lineitem(spark, sf).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    li = li.select("idx", "l_extendedprice", *xs)       # what the model reads
     return rounded(validation.permutation_importance(li, _lm_predict_fn(spark, sf, xs), "l_extendedprice", xs,
                                                      "idx", 5))
 
