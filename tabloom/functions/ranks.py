@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SMALL_ROWS = 50_000         # of a table of groups that every task may hold
 
 def default_buckets(df: DataFrame) -> int:
     try:
@@ -102,7 +103,7 @@ def with_cumulative(vc: DataFrame, keys: Sequence[str], value: str, weight: str,
     x = x.withColumn(out_before, F.col("_here") + F.coalesce("_off", F.lit(0)))
     x = x.drop("_here", "_part", "_sp", "_off", *[f"_s{i}" for i in range(len(keys))])
     if totals:
-        x = x.join(sums, keys) if keys else attach_scalars(x, sums)
+        x = attach_groups(x, sums, keys) if keys else attach_scalars(x, sums)
     return x.select(*vc.columns, out_before, *(["_total"] if totals else []))
 
 
@@ -185,6 +186,15 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
+def attach_groups(df: DataFrame, table: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a table of one row per group.  It is written once and counted: up to ``SMALL_ROWS`` rows go
+    to every task, because joined by key few groups put all rows of ``df`` into as many tasks (and
+    the planner keeps such a join as it is where most of its partitions are empty); more rows than
+    that are joined by key."""
+    table = materialize(table)
+    return df.join(F.broadcast(table) if table.count() <= SMALL_ROWS else table, on, how)
+
+
 def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Before CPU-heavy per-row work (replicates, grids): if the input has
     fewer partitions than the cluster's default parallelism, spread it

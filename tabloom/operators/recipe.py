@@ -118,8 +118,8 @@ def exact_quantile_values(df: DataFrame, cols: list[str], probs: list[float]) ->
 
 
 def join_lookup(df: DataFrame, lut: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
-    """Join a per-level table; the planner picks the strategy from its size at run time."""
-    return df.join(lut, on, how)
+    """Join a per-level table: broadcast where it is small, by level where it isn't."""
+    return ranks.attach_groups(df, lut, on, how)
 
 
 def level_counts(df: DataFrame, col: str) -> DataFrame:
