@@ -38,6 +38,11 @@ def _keyed(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other, list(keys)) if keys else ranks.attach_scalars(df, other)
 
 
+def _spread(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_keyed`` for many rows and one row a key, of which there may be few."""
+    return ranks.attach_groups(df, groups, list(keys)) if keys else ranks.attach_scalars(df, groups)
+
+
 def _strata_psu(d: Design):
     h = F.col(d.strata).cast("string") if d.strata else F.lit("_all")
     i = F.col(d.psu).cast("string") if d.psu else F.monotonically_increasing_id().cast("string")
@@ -207,7 +212,7 @@ def _weighted_cdf(x: DataFrame, keys: list[str], y: str, weight: str) -> DataFra
     vc = ranks.value_weights(x, keys, F.col(y).cast("double"), F.col(weight).cast("double"))
     cum = ranks.with_cumulative(vc, keys, "value", "w")
     tot = vc.groupBy(*keys).agg(F.sum("w").alias("_W"))
-    cum = _keyed(cum, tot, keys)
+    cum = _spread(cum, tot, keys)
     return ranks.materialize(cum.select(*keys, "value", ((F.col("cum_before") + F.col("w")) / F.col("_W")).alias("F"),
                                         (F.col("cum_before") / F.col("_W")).alias("below")))
 
@@ -215,7 +220,7 @@ def _weighted_cdf(x: DataFrame, keys: list[str], y: str, weight: str) -> DataFra
 def _inverted(cdf: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, p, value): the smallest value whose F reaches each p of the array ``ps`` of the key's
     row in ``wanted``; a p at or below 0 gives the least value, one at or above 1 the greatest."""
-    x = _keyed(cdf, wanted.select(*keys, "ps"), keys)
+    x = _spread(cdf, wanted.select(*keys, "ps"), keys)
     at = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1.0)) - 1e-12
     hit = F.filter("ps", lambda p: (F.col("F") >= at(p)) & (F.col("below") < at(p)))
     return x.select(*keys, "value", F.explode(hit).alias("p")).groupBy(*keys, "p").agg(F.min("value").alias("value"))
@@ -238,14 +243,14 @@ def survey_quantile_ci(df: DataFrame, y: str, d: Design, probs: Sequence[float]
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"_q{i}") for i, p in enumerate(probs)])
     w, yy = F.col(d.weight).cast("double"), F.col(y).cast("double")
     h = F.col(d.strata).cast("string") if d.strata else F.lit("_all")
-    z = _keyed(x.select(*keys, h.alias("_h"), *([F.col(d.psu).cast("string").alias("_i")] if d.psu else []), w.alias("_w"), yy.alias("_yv")), wide, keys)
+    z = _spread(x.select(*keys, h.alias("_h"), *([F.col(d.psu).cast("string").alias("_i")] if d.psu else []), w.alias("_w"), yy.alias("_yv")), wide, keys)
     share = {f"_a{i}": F.when(F.col("_yv") <= F.col(f"_q{i}"), F.col("_w")).otherwise(0.0) for i in range(len(probs))}
     if d.psu:
         z = z.groupBy(*keys, "_h", "_i").agg(F.sum("_w").alias("_w"), *[F.sum(e).alias(n) for n, e in share.items()])
     else:
         z = z.select(*keys, "_h", "_w", *[e.alias(n) for n, e in share.items()])
     tot = z.groupBy(*keys).agg(F.sum("_w").alias("_total"), *[(F.sum(n) / F.sum("_w")).alias(f"_p{i}") for i, n in enumerate(share)])
-    z = _keyed(z, tot, keys).select(*keys, "_h", *[((F.col(f"_a{i}") - F.col(f"_p{i}") * F.col("_w")) / F.col("_total")).alias(f"z{i}")
+    z = _spread(z, tot, keys).select(*keys, "_h", *[((F.col(f"_a{i}") - F.col(f"_p{i}") * F.col("_w")) / F.col("_total")).alias(f"z{i}")
                                                   for i in range(len(probs))])
     zs = [f"z{i}" for i in range(len(probs))]
     st = z.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_nh"), *[F.sum(c).alias(f"_s_{c}") for c in zs],
