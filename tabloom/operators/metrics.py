@@ -109,7 +109,7 @@ def residual_stats(df: DataFrame, actual: str, predicted: str, order_cols: Seque
                   r.alias("_r")).where(
         F.col("_r").isNotNull())
     m = x.groupBy(*keys).agg(F.avg("_r").alias("_m"))
-    x = (x.join(m, keys) if keys else ranks.attach_scalars(x, m)).withColumn("_d", F.col("_r") - F.col("_m"))
+    x = (ranks.attach_groups(x, m, keys) if keys else ranks.attach_scalars(x, m)).withColumn("_d", F.col("_r") - F.col("_m"))
     hb = halo_blocks(x, keys, order_cols, 1)
     w = Window.partitionBy(*keys, "_blk").orderBy(*order_cols)
     hb = hb.withColumn("_l1", F.lag("_d", 1).over(w)).where(~F.col("_halo"))

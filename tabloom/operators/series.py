@@ -47,7 +47,7 @@ def halo_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], h
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(o).alias("_lo"), F.max(o).alias("_hi"))
     nb = F.greatest(F.lit(1), F.least(F.lit(b), (F.col("_n") / F.lit(max(MIN_BLOCK_ROWS, 10 * halo))).cast("long")))
     stats = stats.select(*keys, "_lo", "_hi", nb.alias("_nb"))
-    x = df.join(stats, keys) if keys else ranks.attach_scalars(df, stats)
+    x = ranks.attach_groups(df, stats, keys) if keys else ranks.attach_scalars(df, stats)
     width = (F.col("_hi") - F.col("_lo")) / F.col("_nb")
     blk = F.when(width > 0, F.least(F.floor((o - F.col("_lo")) / width), F.col("_nb") - 1)).otherwise(F.lit(0))
     x = x.withColumn("_blk", blk.cast("int")).drop("_lo", "_hi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fmt import c_fixed
-from ..functions.ranks import attach_scalars
+from ..functions.ranks import attach_groups, attach_scalars
 from ..operators import metrics, registry
 from ..session import table
 from .catalog import query, rounded
@@ -20,7 +20,7 @@ FROM lineitem JOIN g USING (l_returnflag, l_linestatus)"""
 def preds(spark, sf):
     li = table(spark, sf, "lineitem")
     g = li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_extendedprice"), 4).alias("gm"))
-    return li.join(g, ["l_returnflag", "l_linestatus"]).select(
+    return attach_groups(li, g, ["l_returnflag", "l_linestatus"]).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), "l_returnflag", "l_linestatus",
         "l_shipdate", F.col("l_extendedprice").alias("actual"), F.col("gm").alias("predicted"))
 
