@@ -209,7 +209,7 @@ def _binomial(data, M, names, mu, k, alpha, nlambda, lambdas, standardize):
     l2 = np.concatenate([[0.0], np.full(k, 1 - alpha)])[None, None] * lam[None, :, None] * np.ones((sets, 1, 1))
     converged = False
     for _ in range(NEWTON_STEPS):
-        H, g, loss = _sums(data, b, names, center, sd)
+        H, g = _sums(data, b, names, center, sd)
         H, g = H / sizes[:, None, None, None], g / sizes[:, None, None]
         r = np.einsum("slij,slj->sli", H, b) + g
         new = _descend(H.reshape(-1, k + 1, k + 1), r.reshape(-1, k + 1), b.reshape(-1, k + 1).copy(),
@@ -219,50 +219,82 @@ def _binomial(data, M, names, mu, k, alpha, nlambda, lambdas, standardize):
         if moved < NEWTON_TOLERANCE:
             converged = True
             break
-    _, _, loss = _sums(data, b, names, center, sd)
-    mean, spread = _choice(loss[1:] / M[:, 0, 0][:, None], M[:, 0, 0])
+    loss = _losses(data, b, names, center, sd)
+    mean, spread = _choice(loss / M[:, 0, 0][:, None], M[:, 0, 0])
     coef = b[0, :, 1:] / sd
     return lam, b[0, :, 0] - coef @ center, coef, mean, spread, converged
 
 
-def _sums(data: DataFrame, b: np.ndarray, names: list, center: np.ndarray, sd: np.ndarray):
-    """For every (set, lambda): weighted products of the predictors, gradient, and the deviance of the
-    rows that the set leaves out (of all rows, for the set of all)."""
-    sets, L, k1 = b.shape
-    upper = np.triu_indices(k1)
-    width = len(upper[0]) + k1 + 1
-    flat, place = b.reshape(sets * L, k1), {f: i for i, f in enumerate(names)}
+def _blocks(batches, k: int, names: list, center: np.ndarray, sd: np.ndarray):
+    """(fold's place, rows with a constant, targets, weights) of the rows of one fold, BLOCK_ROWS at a time."""
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        X = (np.column_stack(columns[:k]) - center) / sd
+        for place, name in enumerate(names):
+            mine = np.flatnonzero(columns[k + 2] == name)
+            for i in range(0, len(mine), BLOCK_ROWS):
+                at = mine[i:i + BLOCK_ROWS]
+                yield place, np.column_stack([np.ones(len(at)), X[at]]), columns[k][at], columns[k + 1][at]
+
+
+def _added(data: DataFrame, k: int, fits: int, width: int, batch_sums) -> np.ndarray:
+    """(width, fits) sums over all rows: every task sends one row a fit."""
     ship_package(data.sparkSession)
-    shared = data.sparkSession.sparkContext.broadcast((flat, center, sd))    # coefficients of all fits
 
     def run(batches):
-        flat, center, sd = shared.value
-        out = np.zeros((width, sets * L))
-        seen = False
-        for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            X = (np.column_stack(columns[:k1 - 1]) - center) / sd
-            for i in range(0, batch.num_rows, BLOCK_ROWS):
-                seen = True
-                x = np.column_stack([np.ones(len(X[i:i + BLOCK_ROWS])), X[i:i + BLOCK_ROWS]])
-                y, w, fold = (c[i:i + BLOCK_ROWS] for c in columns[k1 - 1:])
-                eta = x @ flat.T
-                p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-                held = np.zeros((len(y), sets), bool)
-                held[np.arange(len(y)), [place[f] + 1 for f in fold.tolist()]] = True
-                keep = np.repeat(~held, L, axis=1) * w[:, None]
-                out[:len(upper[0])] += (x[:, upper[0]] * x[:, upper[1]]).T @ (keep * np.maximum(p * (1 - p), LEAST_WEIGHT))
-                out[len(upper[0]):-1] += x.T @ (keep * (y[:, None] - p))
-                held[:, 0] = True
-                out[-1] += (np.repeat(held, L, axis=1) * w[:, None] * 2 * (np.logaddexp(0, eta) - y[:, None] * eta)).sum(axis=0)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sets * L)), *(pa.array(row) for row in out)],
+        out = batch_sums(batches)
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(fits)), *(pa.array(row) for row in out)],
                                              ["fit", *(f"s{i}" for i in range(width))])
-    cols = [*[f"_x{i}" for i in range(k1 - 1)], "_y", "_w", "_fold"]
+    cols = [*[f"_x{i}" for i in range(k)], "_y", "_w", "_fold"]
     parts = data.select(*cols).mapInArrow(run, "fit long, " + ", ".join(f"s{i} double" for i in range(width)))
     rows = parts.groupBy("fit").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]).orderBy("fit").toArrow()
-    got = np.array([rows[f"s{i}"].to_numpy() for i in range(width)]).reshape(width, sets, L)
+    return np.array([rows[f"s{i}"].to_numpy() for i in range(width)])
+
+
+def _sums(data: DataFrame, b: np.ndarray, names: list, center: np.ndarray, sd: np.ndarray):
+    """For every (set, lambda): weighted products of the predictors and the gradient.  The rows of a fold
+    meet only the sets that train on them."""
+    sets, L, k1 = b.shape
+    upper = np.triu_indices(k1)
+    m = len(upper[0])
+    shared = data.sparkSession.sparkContext.broadcast((b, center, sd))    # coefficients of all fits
+
+    def batch_sums(batches):
+        b, center, sd = shared.value
+        out, seen = np.zeros((m + k1, sets, L)), False
+        for place, x, y, w in _blocks(batches, k1 - 1, names, center, sd):
+            seen = True
+            use = [s for s in range(sets) if s != place + 1]
+            p = x @ b[use].reshape(-1, k1).T
+            np.clip(p, -700, 700, out=p)
+            np.negative(p, out=p)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            curve = p * (1 - p)
+            np.maximum(curve, LEAST_WEIGHT, out=curve)
+            out[:m, use] += ((x[:, upper[0]] * x[:, upper[1]] * w[:, None]).T @ curve).reshape(m, -1, L)
+            out[m:, use] += ((x * (w * y)[:, None]).sum(axis=0)[:, None] - (x * w[:, None]).T @ p).reshape(k1, -1, L)
+        return out.reshape(m + k1, -1) if seen else None
+    got = _added(data, k1 - 1, sets * L, m + k1, batch_sums).reshape(m + k1, sets, L)
     H = np.zeros((sets, L, k1, k1))
     for row, (i, j) in zip(got, zip(*upper)):
         H[:, :, i, j] = H[:, :, j, i] = row
-    return H, np.moveaxis(got[len(upper[0]):-1], 0, -1), got[-1]
+    return H, np.moveaxis(got[m:], 0, -1)
+
+
+def _losses(data: DataFrame, b: np.ndarray, names: list, center: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """(fold, lambda): the deviance of a fold's rows under the fits of the set that leaves them out."""
+    sets, L, k1 = b.shape
+    shared = data.sparkSession.sparkContext.broadcast((b, center, sd))
+
+    def batch_sums(batches):
+        b, center, sd = shared.value
+        out, seen = np.zeros((sets - 1, L)), False
+        for place, x, y, w in _blocks(batches, k1 - 1, names, center, sd):
+            seen = True
+            eta = x @ b[place + 1].T
+            out[place] += 2 * (w @ (np.logaddexp(0, eta) - y[:, None] * eta))
+        return out.reshape(1, -1) if seen else None
+    return _added(data, k1 - 1, (sets - 1) * L, 1, batch_sums).reshape(sets - 1, L)
