@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,13 +49,26 @@ def _all_patterns() -> list[str]:
 ISO_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd"]
 
 
+# What the fields of a pattern can look like (a year beyond four digits has a sign)
+_FIELDS = {"yyyy": "[+-]?[0-9]{4,19}", "MM": "(?:0[1-9]|1[0-2])", "dd": "(?:0[1-9]|[12][0-9]|3[01])",
+           "HH": "(?:[01][0-9]|2[0-3])", "mm": "[0-5][0-9]", "ss": "[0-5][0-9]"}
+_DIGITS = "^[+-]?[0-9]{2}.*[0-9]$"        # every pattern begins and ends in digits
+
+
+def _shape(pattern: str) -> str:
+    """Regular expression of all texts that a pattern may take, and few others."""
+    parts = re.split("(yyyy|MM|dd|HH|mm|ss)", pattern)
+    return "^" + "".join(_FIELDS.get(p) or re.escape(p) for p in parts) + "$"
+
+
 def parse_timestamp(c: Column, fmt: str | None = None) -> Column:
     """String -> timestamp: explicit format, else ISO, else the fallback orders."""
     s = F.trim(c.cast("string"))
     if fmt:
         return F.try_to_timestamp(s, F.lit(fmt))
-    cands = [F.try_to_timestamp(s, F.lit(p)) for p in ISO_PATTERNS + _all_patterns()]
-    return F.coalesce(*cands)
+    # a text that fails a pattern costs an exception: only those of its shape are tried
+    cands = [F.when(s.rlike(_shape(p)), F.try_to_timestamp(s, F.lit(p))) for p in dict.fromkeys(ISO_PATTERNS + _all_patterns())]
+    return F.when(s.rlike(_DIGITS), F.coalesce(*cands))
 
 
 def parse_date(c: Column, fmt: str | None = None) -> Column:
