@@ -381,6 +381,15 @@ def _with_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.col(_q(c)).cast("double") for n, c in zip(_inputs(features), features)})
 
 
+PORTION_ROWS = 500_000      # rows of a partition that trees are grown on
+
+
+def _portioned(data: DataFrame, rows: int) -> DataFrame:
+    """``data`` in partitions of about ``PORTION_ROWS`` rows or less, however large its files are."""
+    parts = -(-rows // PORTION_ROWS)
+    return data.repartition(parts) if parts > data.rdd.getNumPartitions() else data
+
+
 def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str], params: dict | None = None,
               weight: str | None = None):
     """Assemble features and fit a registered estimator on the rows complete in target and
@@ -401,6 +410,8 @@ def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str]
     est = est.setFeaturesCol("features").setLabelCol("label")
     if weight and hasattr(est, "setWeightCol"):
         est = est.setWeightCol(weight)
+    if hasattr(est, "getMaxBins"):          # trees hold their rows as objects
+        data = _portioned(data.select("features", "label", *([_q(weight)] if weight else [])), used)
     model = est.fit(data)
     asm.rows_used, asm.rows_dropped = used, n - used   # dropped: with a target but incomplete predictors
     return model, asm
