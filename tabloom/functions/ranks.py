@@ -195,11 +195,15 @@ def attach_groups(df: DataFrame, table: DataFrame, on, how: str = "inner") -> Da
     return df.join(F.broadcast(table) if table.count() <= SMALL_ROWS else table, on, how)
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
+def ensure_parallelism(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Before CPU-heavy per-row work (replicates, grids): if the input has
     fewer partitions than the cluster's default parallelism, spread it
-    round-robin; large inputs already have enough partitions and pass through."""
+    round-robin; large inputs already have enough partitions and pass through.
+    With ``rows``, work that keeps a state per row, so many that a partition
+    holds at most about ``rows`` of them."""
     target = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        target = max(target, -(-df.count() // rows))
     n = df.rdd.getNumPartitions()
     return df.repartition(target) if n < target else df
 

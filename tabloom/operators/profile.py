@@ -21,6 +21,9 @@ from ..functions.types import column as _q
 from ..functions.types import kind, r_class
 
 
+TASK_VALUES = 4_000_000     # values that a task counts; distinct ones stay in its memory
+
+
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Unpivot to ``(column, num, str)``: numerics in ``num``, the rest as text."""
     columns = columns or df.columns
@@ -55,7 +58,8 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFram
     # one scan + shuffle builds the value-count table; it is checkpointed to the
     # shared checkpoint folder so every statistic below reads it instead of
     # re-scanning the source (lineage is cut; survives executor loss)
-    vc = ranks.materialize(value_counts(ranks.ensure_parallelism(df.select(*[_q(c) for c in columns])), columns))
+    x = ranks.ensure_parallelism(df.select(*[_q(c) for c in columns]), max(1, TASK_VALUES // max(1, len(columns))))
+    vc = ranks.materialize(value_counts(x, columns))
     miss = _missing(F.col("num"), F.col("str"))
     base = vc.groupBy("column").agg(
         F.sum("cnt").alias("n"),
