@@ -390,6 +390,21 @@ def _portioned(data: DataFrame, rows: int) -> DataFrame:
     return data.repartition(parts) if parts > data.rdd.getNumPartitions() else data
 
 
+def _boosted(est, data: DataFrame, inputs: Sequence[str]):
+    """Boosted trees grown on the table of the predictors' binned cells, which passes over the rows once
+    for some rounds instead of once a level; None for other estimators and for more cells than the limit."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+    from . import boosting
+    classes = isinstance(est, GBTClassifier)
+    if not (classes or isinstance(est, GBTRegressor)) or est.getFeatureSubsetStrategy() not in ("all", "1.0"):
+        return None
+    if classes and data.where(~F.col("label").isin(0.0, 1.0)).limit(1).count():
+        return None                          # pyspark.ml says what is wrong
+    return boosting.fit(data, inputs, classes, est.getMaxIter(), est.getStepSize(), est.getMaxDepth(),
+                        est.getSubsamplingRate(), est.getSeed())
+
+
 def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str], params: dict | None = None,
               weight: str | None = None):
     """Assemble features and fit a registered estimator on the rows complete in target and
@@ -410,9 +425,10 @@ def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str]
     est = est.setFeaturesCol("features").setLabelCol("label")
     if weight and hasattr(est, "setWeightCol"):
         est = est.setWeightCol(weight)
-    if hasattr(est, "getMaxBins"):          # trees hold their rows as objects
+    model = None if weight else _boosted(est, data, _inputs(features))
+    if model is None and hasattr(est, "getMaxBins"):          # trees hold their rows as objects
         data = _portioned(data.select("features", "label", *([_q(weight)] if weight else [])), used)
-    model = est.fit(data)
+    model = model or est.fit(data)
     asm.rows_used, asm.rows_dropped = used, n - used   # dropped: with a target but incomplete predictors
     return model, asm
 
