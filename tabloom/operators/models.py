@@ -390,7 +390,7 @@ def _portioned(data: DataFrame, rows: int) -> DataFrame:
     return data.repartition(parts) if parts > data.rdd.getNumPartitions() else data
 
 
-def _boosted(est, data: DataFrame, inputs: Sequence[str]):
+def _boosted(est, data: DataFrame, inputs: Sequence[str], rows: int):
     """Boosted trees grown on the table of the predictors' binned cells, which passes over the rows once
     for some rounds instead of once a level; None for other estimators and for more cells than the limit."""
     from pyspark.ml.classification import GBTClassifier
@@ -402,7 +402,7 @@ def _boosted(est, data: DataFrame, inputs: Sequence[str]):
     if classes and data.where(~F.col("label").isin(0.0, 1.0)).limit(1).count():
         return None                          # pyspark.ml says what is wrong
     return boosting.fit(data, inputs, classes, est.getMaxIter(), est.getStepSize(), est.getMaxDepth(),
-                        est.getSubsamplingRate(), est.getSeed())
+                        est.getSubsamplingRate(), est.getSeed(), rows)
 
 
 def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str], params: dict | None = None,
@@ -425,7 +425,7 @@ def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str]
     est = est.setFeaturesCol("features").setLabelCol("label")
     if weight and hasattr(est, "setWeightCol"):
         est = est.setWeightCol(weight)
-    model = None if weight else _boosted(est, data, _inputs(features))
+    model = None if weight else _boosted(est, data, _inputs(features), used)
     if model is None and hasattr(est, "getMaxBins"):          # trees hold their rows as objects
         data = _portioned(data.select("features", "label", *([_q(weight)] if weight else [])), used)
     model = model or est.fit(data)
