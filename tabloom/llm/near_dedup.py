@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .workers import tidy
+from .workers import small_batches, tidy
 
 K = 96                # retained values
 MET = 0.6             # share of a sketch that a linked pair must have in common
@@ -45,6 +45,7 @@ MARGIN = 4.5          # standard deviations left to the union-sketch estimate
 SIZE_STEP = 1.05      # ratio of neighbouring size classes in the exact search
 BITMAP_BITS = 1 << 22  # of the semi-join filter; fixed, so its broadcast is too
 WORD_CACHE = 500_000  # hashed words a Python worker remembers
+SET_VALUES = 1 << 18  # of the full sets that a worker holds before it sends them on
 
 
 class _WordHash(dict):
@@ -125,12 +126,19 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
         words, table = _WordHash(), shared.value
         for batch in batches:
             slots = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((table[slots // 64] >> (slots % 64)) & 1 == 1))
-            sets = [shingle_set(t, shingle, words) for t in batch.column(1).to_pylist()]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 _lists(sets)], ["doc_id", "n", "digest", "full"])
+            there = np.flatnonzero((table[slots // 64] >> (slots % 64)) & 1)
+            ids, texts = batch.column(0), batch.column(1)
+            at, sets, held = [], [], 0
+            for i in there.tolist():            # texts one at a time, sets as many as fit
+                at.append(i)
+                sets.append(shingle_set(texts[i].as_py(), shingle, words))
+                held += len(sets[-1])
+                if held >= SET_VALUES or i == there[-1]:
+                    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(at)), pa.array([len(s) for s in sets], pa.int64()),
+                         pa.array(digests, pa.binary()), _lists(sets)], ["doc_id", "n", "digest", "full"])
+                    at, sets, held = [], [], 0
     keyed = docs.where("doc_id IS NOT NULL").select(
         "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("slot"))
     return keyed.mapInArrow(tidy(run), "doc_id long, n long, digest binary, full array<long>")
@@ -176,7 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    feats = scratch.save(features(docs, shingle, k), "features")
+    with small_batches(spark):
+        feats = scratch.save(features(docs, shingle, k), "features")
     live = feats.where("n > 0 AND doc_id IS NOT NULL")
     # classes of equal sets, by their smallest id; one id in several classes links them
     classes = scratch.save(live.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
@@ -201,9 +210,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "met", F.size(F.array_intersect(F.array_intersect("low", "sa"), "sb"))).where(
         f"met >= ({percent / 100} - IF(na + nb <= {k}, 0, {MARGIN} * {sd})) * size(low) - 1e-9")
     near = scratch.save(near.select("a", "b").distinct(), "near")
-    full = scratch.save(_full_sets(docs, lists.select("doc_id"), shingle)
-                        .join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-                        .dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "full"), "full")
+    with small_batches(spark):
+        full = scratch.save(_full_sets(docs, lists.select("doc_id"), shingle)
+                            .join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
+                            .dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "full"), "full")
     first = connected_components(_verified(near, full, percent), scratch, "star")
 
     # lists with several components: the exact search

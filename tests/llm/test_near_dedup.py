@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 from cases import SCHEMA, edited, empty, prose, rows, table
+from pyspark.accumulators import AccumulatorParam
 
-from tabloom.llm import near_dedup
+from tabloom.llm import near_dedup, workers
 from tabloom.llm.components import connected_components
 from tabloom.llm.scratch import Scratch
 
@@ -81,3 +82,38 @@ def test_shingle_set_is_the_word_set():
     a = near_dedup.shingle_set("A b  c\td e", 4, words)
     assert len(a) == 2 and np.array_equal(a, near_dedup.shingle_set("a B c d E", 4, words))
     assert len(near_dedup.shingle_set("x y", 4, words)) == 1 and len(near_dedup.shingle_set(None, 4, words)) == 0
+
+
+def test_long_texts_come_and_go_in_small_batches(spark, monkeypatch):
+    # 24 near copies of 300 KB in one partition: Spark's own batches hold all of them
+    words = [f"{random.Random(9).getrandbits(20):05x}{i:04x}" for i in range(30_000)]
+    docs = [(i, " ".join([f"x{i}"] * (i + 1) + words)) for i in range(24)]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    class Largest(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+    came, went = (spark.sparkContext.accumulator(0, Largest()) for _ in range(2))
+
+    def watched(run):
+        def seen(batches):
+            def coming():
+                for batch in batches:
+                    came.add(batch.nbytes)
+                    yield batch
+            for out in run(coming()):
+                went.add(out.nbytes)
+                yield out
+        return seen
+    monkeypatch.setattr(near_dedup, "tidy", watched)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = near_dedup.near_duplicates(df).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(i, 0, i == 0) for i in range(24)]
+    longest = max(len(t) for _, t in docs)
+    assert longest < came.value < workers.BATCH_BYTES + 2 * longest
+    assert 0 < went.value < 8 * (near_dedup.SET_VALUES + 2 * len(words))
+    assert spark.conf.get(key) == before
