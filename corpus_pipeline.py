@@ -80,10 +80,11 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of
     the ids and of the bytes they decode to, one row a document taken."""
     give_back(spark)
-    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id",
+                             F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids",
+                             F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
     give_back(spark)
-    return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids",
-                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return coded
 
 
 STAGES = [

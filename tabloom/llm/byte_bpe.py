@@ -17,6 +17,10 @@ Texts meet the words without any shuffle of texts or word occurrences:
 Decoding concatenates the binary pieces of the ids.  Words above ``FOLD_BYTES`` bytes
 (a fold is quadratic in the word) are merged by a heap in the worker instead.
 
+What a task holds is bounded by its portions only while the texts come in small batches:
+``encode`` counts inside ``small_batches``, and who executes its result should too
+(``encoded`` does, and writes the columns it is asked for).
+
 Inputs: a null or empty text has no ids; null ids, repeated rows and texts of any
 length keep one row each; other columns are ignored."""
 
@@ -34,12 +38,12 @@ from pyspark.sql import functions as F
 
 from .pretokens import portions, splitter
 from .scratch import Scratch
-from .workers import give_back, tidy
+from .workers import give_back, small_batches, tidy
 
 BUCKETS = 1 << 15
 FREQUENT = 1 << 20          # words whose ids the workers hold
 FOLD_BYTES = 48
-PORTION_CHARS = 2_000_000   # characters of the documents handled at a time; about 40 bytes of worker memory each
+PORTION_CHARS = 1_000_000   # characters of the documents handled at a time; about 40 bytes of worker memory each
 COUNT_CHARS = 4_000_000     # characters whose words are counted at a time
 OPEN = 1 << 31              # marks the place of a word that is encoded later
 
@@ -166,7 +170,9 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ranks = load_ranks(ranks_file)
     table = F.from_json(F.lit(rank_map(spark, ranks)), "array<map<string,int>>")
-    words = frequent_words(scratch.save(count_words(texts, pattern), "words"), min(frequent, FREQUENT))
+    with small_batches(spark):
+        counts = scratch.save(count_words(texts, pattern), "words")
+    words = frequent_words(counts, min(frequent, FREQUENT))
     known = scratch.save(words.select("word", encode_words(F.col("word"), table).alias("ids")), "known")
     shared = spark.sparkContext.broadcast(_Known(known.toArrow()))     # at most FREQUENT words
     scratch.drop("words", "known")
@@ -200,6 +206,13 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     return folded.mapInArrow(tidy(last), "doc_id long, ids binary, text binary").withColumnRenamed("doc_id", id_col)
 
 
+def encoded(docs: DataFrame, ranks_file: str, pattern: str, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``encode``'s result, written once while texts pass in small batches."""
+    coded = encode(docs, ranks_file, pattern).select(*columns)
+    with small_batches(docs.sparkSession):
+        return Scratch(docs.sparkSession).save(coded, "coded")
+
+
 def _words(texts: list[str], split) -> pa.Array:
     """All words of some texts, end to end, as binary."""
     found = [w for t in texts for w in split(t)]
@@ -213,30 +226,63 @@ def _spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return flat[at]
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit number (FNV-1a) of each of some binary words without nulls; a step for each byte of the longest."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    starts, sizes = ends[:-1], np.diff(ends)
+    found, live = np.full(len(words), 0xCBF29CE484222325, np.uint64), np.arange(len(words))
+    for i in range(sizes.max(initial=0)):
+        live = live[sizes[live] > i]
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        found[live] = (found[live] ^ data[starts[live] + i]) * np.uint64(0x100000001B3)
+    return found
+
+
 class _Known:
-    """The frequent words and their ids, as Arrow and numpy arrays."""
+    """The frequent words and their ids, as Arrow and numpy arrays in order of the words' hashes: a
+    look-up is a binary search, while a hash table of all words would be built anew for each portion."""
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
-        self.words = table.column("word").combine_chunks()
-        ids = table.column("ids").combine_chunks()
+        words = table.column("word").combine_chunks().cast(pa.binary())
+        hashes = _hashes(words)
+        order = np.argsort(hashes)
+        self.hashes, self.words = hashes[order], words.take(pa.array(order))
+        ids = table.column("ids").combine_chunks().take(pa.array(order))
         flat = ids.flatten().to_numpy(zero_copy_only=False)
         self.flat = flat.astype(np.min_scalar_type(int(flat.max(initial=0))))
         self.ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).astype(np.uint32)
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of some binary words stands, or -1.  Of words with equal hashes one may be
+        missed, which is then encoded like the words that aren't frequent."""
+        found = np.full(len(words), -1)
+        if not len(self.words):
+            return found
+        short = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) <= FOLD_BYTES)
+        words = words.take(pa.array(short))
+        hashes = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = np.flatnonzero(self.hashes[at] == hashes)
+        equal = pc.equal(words.take(pa.array(same)), self.words.take(pa.array(at[same])))
+        same = same[equal.to_numpy(zero_copy_only=False)]
+        found[short[same]] = at[same]
+        return found
+
     def codes(self, found: list[list[str]], ranks: dict[bytes, int]) -> tuple[list[bytes], list[bytes]]:
         """(ids of each document as bytes, words still open); the place of an open word holds
         OPEN plus its number.  Long words are merged here."""
         coded = pa.array([w for f in found for w in f], pa.string()).cast(pa.binary()).dictionary_encode()
         each = coded.indices.to_numpy(zero_copy_only=False)
         words = coded.dictionary
-        at = pc.index_in(words, value_set=self.words) if len(self.words) else pa.nulls(len(words), pa.int32())
-        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = self.places(words)
         extra, rare = [], []                     # runs of the words that aren't known
         starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         known = at >= 0
-        starts[known], sizes[known] = self.ends[at[known]], self.ends[at[known] + 1] - self.ends[at[known]]
-        held = len(self.flat)
+        sizes[known] = self.ends[at[known] + 1] - self.ends[at[known]]
+        starts[known] = np.cumsum(sizes[known]) - sizes[known]
+        runs = _spread(self.flat, self.ends[at[known]].astype(np.int64), sizes[known])
+        held = len(runs)
         for i in np.flatnonzero(~known).tolist():
             word = words[i].as_py()
             if len(word) > FOLD_BYTES:
@@ -247,7 +293,7 @@ class _Known:
             starts[i], sizes[i] = held, len(run)
             held += len(run)
             extra += run
-        flat = np.concatenate([self.flat, np.array(extra, np.uint32)])
+        flat = np.concatenate([runs, np.array(extra, np.uint32)])
         tokens = _spread(flat, starts[each], sizes[each]).astype("<u4")
         counts = np.array([len(f) for f in found], np.int64)
         until = np.r_[0, np.cumsum(sizes[each])][np.r_[0, np.cumsum(counts)]]
