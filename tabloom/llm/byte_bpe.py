@@ -174,7 +174,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
         counts = scratch.save(count_words(texts, pattern), "words")
     words = frequent_words(counts, min(frequent, FREQUENT))
     known = scratch.save(words.select("word", encode_words(F.col("word"), table).alias("ids")), "known")
-    shared = spark.sparkContext.broadcast(_Known(known.toArrow()))     # at most FREQUENT words
+    shared = spark.sparkContext.broadcast(_Known.of(known))            # at most FREQUENT words
     scratch.drop("words", "known")
     give_back()
     pieces = spark.sparkContext.broadcast(ranks)        # as large as the vocabulary file
@@ -227,14 +227,14 @@ def _spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit number (FNV-1a) of each of some binary words without nulls; a step for each byte of the longest."""
+    """A 32-bit number (FNV-1a) of each of some binary words without nulls; a step for each byte of the longest."""
     ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
     starts, sizes = ends[:-1], np.diff(ends)
-    found, live = np.full(len(words), 0xCBF29CE484222325, np.uint64), np.arange(len(words))
+    found, live = np.full(len(words), 0x811C9DC5, np.uint32), np.arange(len(words))
     for i in range(sizes.max(initial=0)):
         live = live[sizes[live] > i]
         data = np.frombuffer(words.buffers()[2], np.uint8)
-        found[live] = (found[live] ^ data[starts[live] + i]) * np.uint64(0x100000001B3)
+        found[live] = (found[live] ^ data[starts[live] + i]) * np.uint32(0x01000193)
     return found
 
 
@@ -243,16 +243,24 @@ class _Known:
     look-up is a binary search, while a hash table of all words would be built anew for each portion."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        words = table.column("word").combine_chunks().cast(pa.binary())
-        hashes = _hashes(words)
+        # the driver does this: one column at a time, and hashes by chunk
+        hashes = np.concatenate([np.zeros(0, np.uint32), *(_hashes(c.cast(pa.binary())) for c in table.column("word").chunks)])
         order = np.argsort(hashes)
-        self.hashes, self.words = hashes[order], words.take(pa.array(order))
-        ids = table.column("ids").combine_chunks().take(pa.array(order))
+        self.hashes, order = hashes[order], pa.array(order.astype(np.int32))
+        self.words = table.column("word").combine_chunks().cast(pa.binary()).take(order)
+        table = table.select(["ids"])
+        ids = table.column("ids").combine_chunks().take(order)
         flat = ids.flatten().to_numpy(zero_copy_only=False)
         self.flat = flat.astype(np.min_scalar_type(int(flat.max(initial=0))))
         self.ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).astype(np.uint32)
 
+    @classmethod
+    def of(cls, known: DataFrame) -> _Known:
+        """From a frame (word, ids); what came from Spark is given back before the result travels."""
+        found = cls(known.toArrow())
+        give_back()
+        return found
+
     def places(self, words: pa.Array) -> np.ndarray:
         """Where each of some binary words stands, or -1.  Of words with equal hashes one may be
         missed, which is then encoded like the words that aren't frequent."""
