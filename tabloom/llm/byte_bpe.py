@@ -176,7 +176,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     known = scratch.save(words.select("word", encode_words(F.col("word"), table).alias("ids")), "known")
     shared = spark.sparkContext.broadcast(_Known.of(known))            # at most FREQUENT words
     scratch.drop("words", "known")
-    give_back()
+    give_back(spark)
     pieces = spark.sparkContext.broadcast(ranks)        # as large as the vocabulary file
 
     def first(batches):
@@ -258,7 +258,7 @@ class _Known:
     def of(cls, known: DataFrame) -> _Known:
         """From a frame (word, ids); what came from Spark is given back before the result travels."""
         found = cls(known.toArrow())
-        give_back()
+        give_back(known.sparkSession)
         return found
 
     def places(self, words: pa.Array) -> np.ndarray:
