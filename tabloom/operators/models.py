@@ -310,6 +310,16 @@ def _gbt_cls(p):
                            subsamplingRate=float(p.get("subsample", p.get("bagging_fraction", 0.9))), seed=42)
 
 
+def _lightgbm_cls(p):
+    """Boosted trees that grow leaf by leaf to ``num_leaves``, as deep as these lead unless ``max_depth`` is above 0.
+    Where ``fit_model`` has to leave them to ``pyspark.ml``, which cannot, they grow to that depth, or to 6."""
+    from . import boosting
+    least, depth = int(p["min_data_in_leaf"]), int(p["max_depth"])
+    est = _gbt_cls(p).setMinInstancesPerNode(max(least, 1))
+    est.leaf_budget = boosting.LeafBudget(int(p["num_leaves"]), least, depth if depth > 0 else None)
+    return est
+
+
 def _poisson(p):
     _, R = _ml()
     return R.GeneralizedLinearRegression(family="poisson", link=p.get("link", "log"),
@@ -342,8 +352,9 @@ for _spec in [
     ModelSpec("xgb_cls", "Gradient boosting", ("binary_classification",), _gbt_cls, {"nrounds": 200}),
     ModelSpec("lightgbm_reg", "Gradient boosting (leaf-wise settings)", ("regression",), _gbt_reg,
               {"num_iterations": 300, "learning_rate": 0.05}),
-    ModelSpec("lightgbm_cls", "Gradient boosting (leaf-wise settings)", ("binary_classification",), _gbt_cls,
-              {"num_iterations": 300, "learning_rate": 0.05}),
+    ModelSpec("lightgbm_cls", "Gradient boosting (leaf-wise settings)", ("binary_classification",), _lightgbm_cls,
+              {"num_iterations": 300, "learning_rate": 0.05, "num_leaves": 31, "max_depth": -1, "min_data_in_leaf": 20,
+               "bagging_fraction": 1.0}),
     ModelSpec("catboost_reg", "Gradient boosting on target-encoded levels", ("regression",), _gbt_reg,
               {"iterations": 500}),
     ModelSpec("mlp_cls", "Multilayer perceptron", ("binary_classification", "multiclass_classification"), _mlp,
@@ -402,7 +413,7 @@ def _boosted(est, data: DataFrame, inputs: Sequence[str], rows: int):
     if classes and data.where(~F.col("label").isin(0.0, 1.0)).limit(1).count():
         return None                          # pyspark.ml says what is wrong
     return boosting.fit(data, inputs, classes, est.getMaxIter(), est.getStepSize(), est.getMaxDepth(),
-                        est.getSubsamplingRate(), est.getSeed(), rows)
+                        est.getSubsamplingRate(), est.getSeed(), rows, getattr(est, "leaf_budget", None))
 
 
 def fit_model(df: DataFrame, model_id: str, target: str, features: Sequence[str], params: dict | None = None,
